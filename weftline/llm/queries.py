@@ -88,7 +88,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 ORACLE_OP7 = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (SELECT r, vec_id, label, e FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, x -> x * x)) > 0),
+ok AS (SELECT r, vec_id, label, e FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
 link AS (SELECT a.r AS x, b.r AS y, a.vec_id AS i, b.vec_id AS j FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(i, j) AS (SELECT DISTINCT i, j FROM link UNION SELECT reach.i, link.j FROM reach JOIN link ON link.i = reach.j),
 n AS (SELECT x AS r, count(*) AS n FROM link GROUP BY x),
