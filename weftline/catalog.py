@@ -384,12 +384,12 @@ def match_phonetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
 _TRI_SQL = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
 
-@query(f"""WITH p AS (SELECT DISTINCT p_type AS v, {_TRI_SQL.format(c="p_type")} AS g FROM part)
+@query(f"""WITH p AS (SELECT DISTINCT p_name AS v, {_TRI_SQL.format(c="p_name")} AS g FROM part)
 SELECT a.v AS a, b.v AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 6) AS similarity FROM p a JOIN p b ON a.v < b.v
-WHERE len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.6""")
+WHERE len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.5""")
 def match_trigram(spark: SparkSession, sf: str) -> DataFrame:
-    values = t(spark, sf, "part").select(F.col("p_type").alias("v")).distinct()
-    pairs = matching.trigram_pairs(values, 0.6)
+    values = t(spark, sf, "part").select(F.col("p_name").alias("v")).distinct()
+    pairs = matching.trigram_pairs(values, 0.5)
     return pairs.select("a", "b", F.round(sim.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -421,12 +421,12 @@ def jaro_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b"), F.round(sim.jaro(F.col("x.s_name"), F.col("y.s_name")), 6).alias("jaro"), F.round(sim.jaro_winkler(F.col("x.s_name"), F.col("y.s_name")), 6).alias("jaro_winkler"))
 
 
-@query("""SELECT a.o_orderkey AS o_orderkey, round(greatest(0, 1 - abs(date_diff('microsecond', TIMESTAMP '1996-01-01', a.o_orderdate)) / 86400000000.0 / 365), 6) AS date_score, round(greatest(0, 1 - abs(a.o_totalprice - 150000) / 100000), 6) AS number_score,
-round((greatest(0, 1 - abs(date_diff('microsecond', TIMESTAMP '1996-01-01', a.o_orderdate)) / 86400000000.0 / 365) + 3 * greatest(0, 1 - abs(a.o_totalprice - 150000) / 100000)) / 4, 6) AS weighted FROM orders a""")
+@query("""SELECT a.o_orderkey AS o_orderkey, greatest(0, 1 - CAST(abs(date_diff('microsecond', TIMESTAMP '1996-01-01', a.o_orderdate)) AS DOUBLE) / CAST(86400000000 AS DOUBLE) / 365) AS date_score, greatest(0, 1 - abs(a.o_totalprice - 150000) / 100000) AS number_score,
+(greatest(0, 1 - CAST(abs(date_diff('microsecond', TIMESTAMP '1996-01-01', a.o_orderdate)) AS DOUBLE) / CAST(86400000000 AS DOUBLE) / 365) + greatest(0, 1 - abs(a.o_totalprice - 150000) / 100000) * 3) / 4 AS weighted FROM orders a""")
 def proximity_scores(spark: SparkSession, sf: str) -> DataFrame:
     d = sim.date_proximity(F.col("o_orderdate").cast("timestamp"), F.lit("1996-01-01").cast("timestamp"), 365)
     n = sim.numeric_proximity(F.col("o_totalprice"), F.lit(150000.0), 100000)
-    return t(spark, sf, "orders").select("o_orderkey", F.round(d, 6).alias("date_score"), F.round(n, 6).alias("number_score"), F.round(sim.weighted([(d, 1.0), (n, 3.0)]), 6).alias("weighted"))
+    return t(spark, sf, "orders").select("o_orderkey", d.alias("date_score"), n.alias("number_score"), sim.weighted([(d, 1.0), (n, 3.0)]).alias("weighted"))
 
 
 @query(r"""SELECT c_custkey, lower(c_name) AS lowercase, upper(c_name) AS uppercase, regexp_replace(c_name, '[^0-9]', '', 'g') AS nphone, lower(trim(c_name)) AS nemail, replace(c_name, ' ', '') AS remove_whitespace,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,18 @@ class Spill:
         fs.delete(path, True)
 
 
+@contextmanager
+def record_batches(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows at most for what is written inside: for rows that hold long texts more than once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for explicit repartition() of tables that AQE would fold into one task."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
