@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.plans.storage import Spill
 
@@ -163,7 +164,7 @@ def score_documents(docs: DataFrame, model: KneserNey, text_col: str = "text", s
         order = np.argsort(g)
         sent = spark.sparkContext.broadcast((g[order].tobytes(), lp[order].tobytes()))
         last = s == shards - 1
-        schema = out.schema if not last else out.withColumn(text_col, F.lit(0).cast("long")).schema
+        schema = T.StructType([T.StructField(f.name, T.LongType() if last and f.name == text_col else f.dataType) for f in out.schema])
         out = out.mapInArrow(_add(sent, names.index(text_col), names.index("log_prob"), names.index("n_scored"), names, last), schema)
     return out
 
@@ -180,7 +181,8 @@ def quality_by_perplexity(docs: DataFrame, trusted_ids: DataFrame, quantile: flo
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     trusted = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = KneserNey(rows.join(trusted.where(~held), "doc_id", "left_semi"))
+    # Joined by shuffle at every size: a side that is small enough to broadcast today isn't bounded.
+    model = KneserNey(rows.join(trusted.where(~held).hint("merge"), "doc_id", "left_semi"))
     scored = Spill(score_documents(rows, model), "perplexities").df.withColumn("h", -F.col("log_prob") / F.when(F.col("n_scored") > 0, F.col("n_scored")))
     fold = scored.join(trusted.where(held), "doc_id", "left_semi").where("h is not null")
     cut = lambda p: F.percentile_approx("h", p, 10_000)
