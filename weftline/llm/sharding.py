@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weftline.plans.storage import Spill
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -48,8 +49,9 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().alias("at"),
     )
-    # The counts come from the same scan, cut into the same partitions, of the key column alone.
-    counts = docs.select(rendezvous(key, weights).alias("shard"), F.spark_partition_id().alias("part")).groupBy("shard", "part").agg(F.count("*").alias("n"))
+    # Written once without the texts: counts and numbers must see the same partitions, whatever ``docs`` is computed from.
+    rows = Spill(rows, "shards").df
+    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inner = Window.partitionBy("shard", "part").orderBy("at")

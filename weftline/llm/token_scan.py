@@ -29,21 +29,26 @@ def _write(encode, separator: int, block: int, width: int):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        names: list = []
+        first = 0
         end = np.array([separator], dtype).tobytes()
 
         def cut(everything: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, size
+            nonlocal number, held, size, first, names
             data = b"".join(held)
             step = block * width
             whole = len(data) if everything else len(data) // step * step
             parts = [data[i : i + step] for i in range(0, whole, step)]
             held, size = [data[whole:]], len(data) - whole
             if parts:
-                yield pa.record_batch([pa.array([file] * len(parts), pa.int64()), pa.array(range(number, number + len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["file_id", "block", "ids"])
-                number += len(parts)
+                rest = len(parts) - 1
+                cols = [pa.array([file] * len(parts), pa.int64()), pa.array(range(number, number + len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([first] * len(parts), pa.int64()), pa.array([names, *[[]] * rest], pa.list_(pa.int64()))]
+                yield pa.record_batch(cols, ["file_id", "block", "ids", "first_doc", "doc_ids"])
+                number, first, names = number + len(parts), first + len(names), []
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                names += batch.column(1).slice(at, 256).to_pylist()
                 for ids in encode([x or "" for x in batch.column(0).slice(at, 256).to_pylist()]):
                     held.append(np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end)
                     size += len(held[-1])
@@ -54,13 +59,16 @@ def _write(encode, separator: int, block: int, width: int):
     return write
 
 
-def write_token_blocks(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, width: int = 2, text_col: str = "text") -> DataFrame:
+def write_token_blocks(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, width: int = 2, text_col: str = "text", id_col: str | None = None) -> DataFrame:
     """Flat token files of ``docs``, one for each input partition: (file_id, block, ids). Null texts are empty documents.
 
+    Beside the file, and of no use to the scan, first_doc and doc_ids list the documents in the order they were written, some
+    with each run of blocks (``id_col``; null ids without it).
+
     Strings of special tokens in a text are ordinary text, so the separator ends documents only. ``width`` bytes an id.
     """
-    rows = docs.select(F.col(text_col).cast("string"))
-    return rows.mapInArrow(_write(encoder(tokenizer, plain=True), separator, block_tokens, width), BLOCKS)
+    rows = docs.select(F.col(text_col).cast("string"), (F.col(id_col) if id_col else F.lit(None)).cast("long"))
+    return rows.mapInArrow(_write(encoder(tokenizer, plain=True), separator, block_tokens, width), f"{BLOCKS}, first_doc long, doc_ids array<long>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -127,11 +135,11 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2,
 def document_token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, file_id, doc_index, start_token, n_tokens): flat token files of ``docs`` written, scanned, and named again.
 
-    The files hold no ids of documents; a document is the doc_index-th of its input partition's file, and that is how its
-    doc_id is found. Null and repeated doc_ids keep their rows; null texts have 0 tokens; other columns are ignored.
+    The files hold no ids of documents; a document is the doc_index-th of its file, and the list of what was written, in order,
+    gives its doc_id. Null and repeated doc_ids keep their rows; null texts have 0 tokens; other columns are ignored.
     """
-    blocks = Spill(write_token_blocks(docs, tokenizer, text_col=text_col), "tokens")
-    order = F.monotonically_increasing_id()
-    names = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("m"))
-    names = names.select("doc_id", F.call_function("shiftright", "m", F.lit(33)).alias("file_id"), F.col("m").bitwiseAND((1 << 33) - 1).alias("doc_index"))
-    return names.join(count_tokens(blocks.df).drop("terminated"), ["file_id", "doc_index"]).select("doc_id", "file_id", "doc_index", "start_token", "n_tokens")
+    blocks = Spill(write_token_blocks(docs, tokenizer, text_col=text_col, id_col=id_col), "tokens")
+    names = blocks.df.select("file_id", "first_doc", F.posexplode("doc_ids").alias("k", "doc_id"))
+    names = names.select("file_id", (F.col("first_doc") + F.col("k")).alias("doc_index"), "doc_id")
+    counts = count_tokens(blocks.df.select("file_id", "block", "ids")).drop("terminated")
+    return names.join(counts, ["file_id", "doc_index"]).select("doc_id", "file_id", "doc_index", "start_token", "n_tokens")
