@@ -25,6 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
 #: Elements that an open p ends at.
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that bound no block: inline ones, and hidden ones that stand in the middle of a text.
+SEAMLESS = INLINE | {"script", "style", "template", "noscript"}
 #: Elements that end an open element of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 #: Hashed feature space: the bound on the model's size.
@@ -63,7 +65,7 @@ class _Blocks(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
-        if tag not in INLINE:
+        if tag not in SEAMLESS:
             self.flush()
             if tag in ENDS_P and any(x[0] == "p" for x in self.stack):
                 self.close_to("p")
@@ -74,7 +76,7 @@ class _Blocks(HTMLParser):
             return
         top = self.stack[-1]
         own = top[1]
-        if tag not in INLINE:
+        if tag not in SEAMLESS:
             names = {f"t={tag}"}
             for name, value in attrs:
                 if name in ("class", "id", "role", "itemprop", "aria-label") and value:
@@ -96,7 +98,7 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in SEAMLESS:
             self.flush()
         self.close_to(tag)
 
