@@ -111,7 +111,7 @@ def _scan(block, text_at: int, spans_at: int, items_at: int, schema_names: list[
                     words, hits, own = split_words(text), [], set()
                     for table in tables:
                         for start, found in table.find(words):
-                            if hits and start <= hits[-1][1] <= start + table.m:
+                            if hits and hits[-1][0] <= start <= hits[-1][1] <= start + table.m:
                                 hits[-1] = (hits[-1][0], start + table.m)
                             else:
                                 hits.append((start, start + table.m))
