@@ -2,7 +2,8 @@
 
 A document longer than the window is cut into full windows, which need no packing, and one remainder. The remainders of an
 input partition wait in a pool of counts by length. For each window a bitset dynamic programme over the pool's multiset finds
-which totals can be reached; the total closest to the capacity is taken and the counts of its lengths are traced back.
+which totals can be reached; the total closest to the capacity is taken and the counts of its lengths are traced back. A piece is
+cut only where the best total leaves more than a few ids free.
 Nothing is shuffled: a task packs what it reads, holds a bounded pool, and gives the same pieces when it is run again.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from weftline.llm.tokens import encoder
 
 CAPACITY, SEPARATOR = 4096, 2
+#: Slack in a window up to which no further piece is cut to fill it.
+CUT = 16
 #: Remainders that wait in a task's pool before windows are filled, and that stay to fill later ones.
 POOL, LEFT = 2400, 800
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -57,7 +60,7 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
-def _pack(encode: Callable[[list], list[bytes]], capacity: int, separator: int, pool_size: int, left_size: int):
+def _pack(encode: Callable[[list], list[bytes]], capacity: int, separator: int, pool_size: int, left_size: int, least: int = CUT):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         pool: dict[int, list[tuple]] = {}
@@ -71,12 +74,19 @@ def _pack(encode: Callable[[list], list[bytes]], capacity: int, separator: int,
                 used, at = fill({k: len(v) for k, v in pool.items()}, capacity), 0
                 for length, n in used.items():
                     for _ in range(n):
-                        doc, start, crc, tokens = pool[length].pop()
-                        out.append((doc, start, length, crc, tokens, number, at))
+                        doc, start, data, tokens = pool[length].pop()
+                        out.append((doc, start, length, zlib.crc32(data), tokens, number, at))
                         at += length
                     if not pool[length]:
                         del pool[length]
                     waiting -= n
+                slack = capacity - at
+                if slack > least and waiting and (length := max(pool)) > slack:  # no multiset comes near: a piece is cut
+                    doc, start, data, tokens = pool[length].pop()
+                    if not pool[length]:
+                        del pool[length]
+                    out.append((doc, start, slack, zlib.crc32(data[: 4 * slack]), tokens, number, at))
+                    pool.setdefault(length - slack, []).append((doc, start + slack, data[4 * slack :], tokens))
                 number += 1
 
         def rows() -> pa.RecordBatch:
@@ -94,12 +104,12 @@ def _pack(encode: Callable[[list], list[bytes]], capacity: int, separator: int,
                     tokens = len(data) // 4
                     for start in range(0, tokens, capacity):
                         piece = data[4 * start : 4 * (start + capacity)]
-                        length, crc = len(piece) // 4, zlib.crc32(piece)
+                        length = len(piece) // 4
                         if length == capacity:
-                            out.append((doc, start, length, crc, tokens, number, 0))
+                            out.append((doc, start, length, zlib.crc32(piece), tokens, number, 0))
                             number += 1
                         else:
-                            pool.setdefault(length, []).append((doc, start, crc, tokens))
+                            pool.setdefault(length, []).append((doc, start, piece, tokens))
                             waiting += 1
                 if waiting > pool_size:
                     drain(left_size)
@@ -117,7 +127,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, se
     exactly one piece; pieces of a sequence follow each other from offset 0 without gaps and hold ``capacity`` ids at most.
     sequence_id is unique: the input partition in the upper bits. A null or empty text is one piece of the separator alone.
     Null and repeated doc_ids are packed like any other, an empty table gives an empty table, other columns are ignored.
-    Padding: the pool's last windows of each input partition only, since every other window draws on ``pool`` remainders.
+    Where no multiset comes within CUT ids of a window's capacity, one more piece is cut to fill it, so that windows are full
+    but for the last of each input partition.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_pack(encoder(tokenizer), capacity, separator, pool, min(LEFT, pool // 3)), PIECE)
