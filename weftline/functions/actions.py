@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import dates
+from weftline.functions.paths import object_json
 from weftline.functions.values import ANY, BOOL, NUMBER, OBJECT, STRING, Kind, Value, array_of, as_text, is_empty, literal, number_text, spark_type, zero
 
 MANY = 1 << 30
@@ -506,7 +507,7 @@ def _merged(a: Column, b: Column, deep: bool) -> Column:
     def both(k: Column, x: Column, y: Column) -> Column:
         inner = lambda s: F.from_json(s, "map<string,string>")
         objects = x.startswith("{") & y.startswith("{")
-        return F.when(objects, F.to_json(_merged(inner(x), inner(y), False))).otherwise(F.coalesce(y, x))
+        return F.when(objects, object_json(_merged(inner(x), inner(y), False))).otherwise(F.coalesce(y, x))
 
     return F.map_zip_with(a, b, both)
 

@@ -101,6 +101,14 @@ def json_literal(x: Column) -> Column:
     return F.when(bare, x).otherwise(quoted)
 
 
+def object_json(m: Column, encoded: bool = False) -> Column:
+    """JSON object of a map of from_json texts: nested JSON, numbers and words stay as they are, keys sorted. ``encoded``: the
+    values are JSON already."""
+    entries = F.array_sort(F.map_entries(m))
+    pairs = F.transform(entries, lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(":"), F.coalesce(e["value"] if encoded else json_literal(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def _json_key(c: Column, name: str, fold_case: bool) -> Column:
     m = F.from_json(c, "map<string,string>")
     if not fold_case:

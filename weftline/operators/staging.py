@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.functions.paths import object_json
+
 KEY = ["tenant_id", "entity_type", "source_id", "integration", "source_key", "config_id"]
 
 
@@ -26,26 +28,18 @@ def upsert(changes: DataFrame, key: list[str], order: list[str], data: str = "da
     Rows of deleted keys come back simply by being sent again. Null and empty data add no fields but keep their key.
     """
     o = F.struct(*[F.col(c) for c in order])
-    fields = F.when(F.size(F.from_json(data, "map<string,string>")) > 0, F.from_json(data, "map<string,string>"))
-    rows = changes.select(*key, o.alias("_o"), F.explode_outer(fields).alias("_k", "_v"))
+    fields = F.from_json(data, "map<string,variant>")
+    as_json = lambda df: df.withColumn("_v", F.to_json("_v"))
+    rows = as_json(changes.select(*key, o.alias("_o"), F.explode_outer(fields).alias("_k", "_v")))
     if current is not None:
-        old = current.select(*key, F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.explode_outer(fields).alias("_k", "_v"))
+        old = as_json(current.select(*key, F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.explode_outer(fields).alias("_k", "_v")))
         rows = rows.unionByName(old)
     last = rows.groupBy(*key, "_k").agg(F.max_by(F.struct("_v"), F.struct(F.col("_o").isNotNull(), "_o")).alias("_v"), F.max("_o").alias("_last"))
     whole = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v._v")))))
     merged = last.groupBy(*key).agg(whole.alias("_m"), F.max("_last").alias("_last"))
     counts = changes.groupBy(*key).agg(F.count("*").alias("n_changes"))
     out = merged.join(counts, key, "left")
-    return out.select(*key, object_json(F.col("_m")).alias(data), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), *[F.col("_last")[c].alias(f"last_{c}") for c in order])
-
-
-def object_json(m: Column) -> Column:
-    """JSON object of a map of from_json texts: nested JSON, numbers and words stay as they are, keys sorted."""
-    from weftline.functions.paths import json_literal
-
-    entries = F.array_sort(F.map_entries(m))
-    pairs = F.transform(entries, lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(":"), F.coalesce(json_literal(e["value"]), F.lit("null"))))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return out.select(*key, object_json(F.col("_m"), encoded=True).alias(data), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), *[F.col("_last")[c].alias(f"last_{c}") for c in order])
 
 
 def _escape(text: str) -> str:
