@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if v != v else repr(v)
+        return "None" if v != v else repr(v)
     if hasattr(v, "isoformat"):
         return "NaT" if pd.isna(v) else pd.Timestamp(v).isoformat()
     return "None" if v is None or v is pd.NA else str(v)

@@ -6,20 +6,23 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline import api
 from weftline.functions import criteria as crit
 from weftline.functions import normalize as norm
 from weftline.functions import similarity as sim
 from weftline.functions.actions import apply_action
+from weftline.functions.paths import record_array
 from weftline.functions.validation import validation_errors
 from weftline.functions.values import BOOL, NUMBER, OBJECT, STRING, Value, array_of
 from weftline.operators import deletion, graph, matching, merging, relations, routing, scheduling, staging
-from weftline.plans.mapping import apply_mapping
+from weftline.plans.mapping import apply_mapping, latest_definitions
 from weftline.plans.storage import shared_dir
 from weftline.sources import datasource
+from weftline.sources.feeds import file_stream
 from weftline.streaming import pipeline as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -641,8 +644,6 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex}"
     source = t(spark, sf, "events").select("user_id", "ts", "event_id", F.to_json(F.struct("event_type")).alias("data"))
     source.repartition(3).write.parquet(f"{base}/in")
-    from weftline.sources.feeds import file_stream
-
     stream = file_stream(spark, f"{base}/in", source.schema, files_per_trigger=3)
     streaming.start_upserts(stream, f"{base}/out", f"{base}/state", ["user_id"], ["ts", "event_id"], available_now=True).awaitTermination()
     return streaming.latest_version(spark, f"{base}/out").select("user_id", "n_changes", F.get_json_object("data", "$.event_type").alias("event_type"))
@@ -659,3 +660,132 @@ def extract_plans(spark: SparkSession, sf: str) -> DataFrame:
     got = spark.read.format("plan_responses").option("plans", json.dumps([plan])).option("configs", json.dumps([{"id": "c", "base": "http://api"}])).option("recorded", json.dumps(recorded)).load()
     items = got.where("error is null").select(F.explode(F.from_json(F.get_json_object("response_body", "$.items"), "array<struct<n_nationkey:int,n_name:string,n_regionkey:int>>")).alias("n"))
     return items.select(F.col("n.n_nationkey").alias("id"), F.col("n.n_name").alias("name"), F.col("n.n_regionkey").alias("region"))
+
+
+# -- reads, lists, events -----------------------------------------------------------------------------------------------
+
+
+JSON_MAPPING = {
+    "source_fields": [{"id": "k", "path": "order.key", "type": "number"}, {"id": "p", "path": "Order.Priority", "type": "string"}, {"id": "ps", "path": "order.parts", "type": "array", "items": {"id": "p1", "type": "number"}}],
+    "target_fields": [{"id": "tk", "path": "key", "type": "number"}, {"id": "tp", "path": "priority", "type": "string"}, {"id": "tn", "path": "n_parts", "type": "number"}, {"id": "tm", "path": "total", "type": "number"}],
+    "steps": [{"id": "len", "type": "transformer", "action": {"key": "array_length"}}, {"id": "sum", "type": "transformer", "action": {"key": "number_add"}}, {"id": "rank", "type": "transformer", "action": {"key": "text_substring", "arguments": {"start": 2}}}],
+    "links": [
+        {"source": {"field_id": "k"}, "target": {"field_id": "tk"}}, {"source": {"field_id": "p"}, "target": {"step_id": "rank"}}, {"source": {"step_id": "rank"}, "target": {"field_id": "tp"}},
+        {"source": {"field_id": "ps"}, "target": {"step_id": "len"}}, {"source": {"step_id": "len"}, "target": {"field_id": "tn"}}, {"source": {"field_id": "p1"}, "target": {"step_id": "sum"}}, {"source": {"step_id": "sum"}, "target": {"field_id": "tm"}},
+    ],
+}
+
+
+@query("""SELECT CAST(o_orderkey AS DOUBLE) AS key, substr(o_orderpriority, 3) AS priority, CAST(3 AS DOUBLE) AS n_parts, CAST(3 * o_orderkey + 3 AS DOUBLE) AS total FROM orders""")
+def map_json_body(spark: SparkSession, sf: str) -> DataFrame:
+    """A mapping over JSON text, with case-insensitive paths, array length and array fan-in."""
+    body = F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.array("o_orderkey", F.col("o_orderkey") + 1, F.col("o_orderkey") + 2).alias("parts")).alias("order")))
+    return apply_mapping(t(spark, sf, "orders").select(body.alias("body")), JSON_MAPPING, "body").select("data.key", "data.priority", "data.n_parts", "data.total")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10""")
+def record_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rec = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"), F.to_json(F.struct(F.col("o_custkey").alias("source_id"))).alias("data"))
+    return api.find_records(rec, "source_id", "7").select("id")
+
+
+@query("""SELECT o_custkey AS cluster_id, min(o_orderdate) AS created_at FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 10 = 0) > 0""")
+def cluster_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    members = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster_id"), "o_orderdate")
+    golden = members.groupBy("cluster_id").agg(F.min("o_orderdate").alias("created_at"))
+    return api.memberships(members, golden, members.where("id % 10 = 0"))
+
+
+@query("""SELECT l_orderkey AS o, first(l_partkey ORDER BY l_linenumber) AS first_part, last(l_partkey ORDER BY l_linenumber) AS last_part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS parts,
+coalesce(first(l_partkey ORDER BY l_linenumber) FILTER (WHERE l_linenumber = 2), -1) AS second FROM lineitem GROUP BY 1""")
+def extract_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _orders_with_lines(spark, sf)
+    parts = F.transform("lines", lambda x: x["l_partkey"])
+    a = record_array
+    return lines.select(F.col("o_orderkey").alias("o"), a(parts, "first").alias("first_part"), a(parts, "last").alias("last_part"), a(parts, "join").alias("parts"), F.coalesce(a(F.col("lines"), "filter", "l_linenumber", "2")["l_partkey"], F.lit(-1)).alias("second"))
+
+
+@query("""SELECT p_partkey AS id, 'name' AS field, 'exact' AS match_type, 'lowercase' AS normalizer, lower(p_name) AS value FROM part UNION ALL SELECT p_partkey, 'size', 'numeric', '', CAST(CAST(p_size AS DOUBLE) AS VARCHAR) FROM part""")
+def match_index_tall(spark: SparkSession, sf: str) -> DataFrame:
+    rule = matching.Rule("r", (matching.Condition("name", normalizer="lowercase"), matching.Condition("size", "numeric")))
+    return matching.tall_index(matching.build_index(_people(spark, sf), [rule]))
+
+
+@query("""WITH p AS (SELECT a.p_partkey AS entity_a, b.p_partkey AS entity_b, (1 + greatest(0, 1 - abs(a.p_size - b.p_size) / 5.0) * 3) / 4.0 AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey)
+SELECT entity_a, entity_b, round(score, 9) AS score, CASE WHEN score >= 0.95 THEN 'auto_merged' ELSE 'pending' END AS status FROM p WHERE score >= 0.5""")
+def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact blocking with a numeric proximity condition, as a candidate table with statuses."""
+    brand, name = matching.Condition("brand", weight=0.5, required=True), matching.Condition("name", weight=0.5, required=True)
+    rule = matching.Rule("r", (brand, name, matching.Condition("size", "numeric", 3.0, threshold=5.0)))
+    index = matching.build_index(_people(spark, sf), [rule])
+    table = matching.candidate_table(matching.score_pairs(matching.candidates(index, [rule]), index, [rule]))
+    return table.withColumn("score", F.round("score", 9))
+
+
+@query("""WITH b AS (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), a AS (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY 1)
+SELECT coalesce(a.c, b.c) AS cluster_id, CASE WHEN b.c IS NULL THEN 'entity.created' WHEN a.c IS NULL THEN 'entity.deleted' ELSE 'entity.updated' END AS event_type FROM a FULL JOIN b ON a.c = b.c WHERE a.n IS DISTINCT FROM b.n""")
+def golden_events(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders")
+    state = lambda df: df.groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.sha2(F.count("*").cast("string"), 256).alias("fingerprint"))
+    return merging.golden_events(state(o.where("o_orderdate < timestamp_ntz '1997-01-01'")), state(o.where("o_orderdate >= timestamp_ntz '1993-01-01'")))
+
+
+@query("""SELECT o_orderkey, (SELECT count(*) FROM orders) AS total_count FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
+def list_page(spark: SparkSession, sf: str) -> DataFrame:
+    return scheduling.page(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3).select("o_orderkey", "total_count")
+
+
+@query("""SELECT count(*) AS pending FROM orders WHERE o_custkey % 3 = 0""")
+def edges_pending(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.lit
+    o = t(spark, sf, "orders")
+    edges = o.select(x("t").alias("tenant_id"), x("r").alias("relationship_type"), x("o").alias("from_entity_type"), F.col("o_orderkey").cast("string").alias("from_source_id"), x("s").alias("from_integration"), x("c").alias("to_entity_type"), F.col("o_custkey").cast("string").alias("to_source_id"), x("s").alias("to_integration"))
+    ent = lambda kind, col, df: df.select(x("t").alias("tenant_id"), x(kind).alias("entity_type"), F.col(col).cast("string").alias("source_id"), x("s").alias("integration"), F.col(col).cast("string").alias("entity_id")).distinct()
+    found = relations.resolve_ends(edges, ent("o", "o_orderkey", o).unionByName(ent("c", "o_custkey", o.where("o_custkey % 3 <> 0"))))
+    return relations.pending(found).agg(F.count("*").alias("pending"))
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0)""")
+def delete_messages(spark: SparkSession, sf: str) -> DataFrame:
+    rec = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_custkey")
+    msg = rec.where("o_custkey % 2 = 0").select("id", F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("action"))
+    return deletion.apply_deletes(rec, msg, ["id"]).select("id")
+
+
+@query("""SELECT user_id AS id, last(event_type ORDER BY event_id) AS p FROM events GROUP BY 1 HAVING last(event_type ORDER BY event_id) <> 'error'""")
+def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    ev = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("p"), (F.col("event_type") == "error").alias("deleted"))
+    return graph.merge_nodes(ev.where("ts % 2 = 0"), ev.where("ts % 2 = 1")).select("id", "p")
+
+
+@query("""SELECT event_id, CAST(least(power(2, event_id % 8), 60) AS DOUBLE) AS exponential, CAST(least(event_id % 8 + 1, 60) AS DOUBLE) AS linear, CAST([1, 1, 2, 3, 5, 8, 13, 21][CAST(event_id % 8 + 1 AS INTEGER)] AS DOUBLE) AS fibonacci FROM events""")
+def backoff_delays(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 8 + 1
+    return t(spark, sf, "events").select("event_id", *[scheduling.backoff_seconds(k, kind).alias(kind) for kind in ("exponential", "linear", "fibonacci")])
+
+
+@query("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Event-time windows over the events as a file stream, complete when the input is read."""
+    base = f"{shared_dir(spark)}/weftline-windows-{uuid.uuid4().hex}"
+    source = t(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    source.write.parquet(f"{base}/in")
+    counts = streaming.windowed_counts(file_stream(spark, f"{base}/in", source.schema), "ts", ["event_type"])
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""SELECT 'p' || p_partkey % 7 AS id, max(p_partkey) AS version FROM part WHERE p_size > 10 GROUP BY 1""")
+def mapping_versions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "part").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("p"), (F.col("p_partkey") % 7).cast("string")).alias("id"), F.col("p_partkey").alias("version"), (F.col("p_size") > 10).alias("is_active"), F.lit(None).cast("string").alias("deleted_at"))
+    return latest_definitions(rows).select("id", "version")
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (WHERE c_acctbal >= 0) AS mapped, count(*) FILTER (WHERE c_acctbal < 0) AS failed FROM customer""")
+def mapping_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "customer").select(F.when(F.col("c_acctbal") < 0, "bad").alias("error"))
+    seen = Observation("counters")
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("error").isNull()).alias("mapped"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("processed", "mapped", "failed"))], "processed long, mapped long, failed long")
