@@ -696,8 +696,8 @@ def cluster_memberships(spark: SparkSession, sf: str) -> DataFrame:
     return api.memberships(members, golden, members.where("id % 10 = 0"))
 
 
-@query("""SELECT l_orderkey AS o, first(l_partkey ORDER BY l_linenumber) AS first_part, last(l_partkey ORDER BY l_linenumber) AS last_part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS parts,
-coalesce(first(l_partkey ORDER BY l_linenumber) FILTER (WHERE l_linenumber = 2), -1) AS second FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey AS o, first(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS first_part, last(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS last_part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS parts,
+coalesce(first(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) FILTER (WHERE l_linenumber = 2), -1) AS second FROM lineitem GROUP BY 1""")
 def extract_arrays(spark: SparkSession, sf: str) -> DataFrame:
     lines = _orders_with_lines(spark, sf)
     parts = F.transform("lines", lambda x: x["l_partkey"])
