@@ -28,6 +28,18 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+#: Spilled tables of this process that are still there.
+_LEFT: list[Spill] = []
+
+
+def drop_spills() -> int:
+    """Deletes all spilled tables of this process, when nothing that was computed from them will be read again."""
+    left = list(_LEFT)
+    for table in left:
+        table.drop()
+    return len(left)
+
+
 class Spill:
     """A table written once to the shared folder. ``df`` reads it; ``drop`` deletes it when no plan needs it any more."""
 
@@ -35,6 +47,7 @@ class Spill:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/weftline-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
+        _LEFT.append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -43,6 +56,8 @@ class Spill:
     def drop(self) -> None:
         fs, path = _fs(self.spark, self.path)
         fs.delete(path, True)
+        if self in _LEFT:
+            _LEFT.remove(self)
 
 
 @contextmanager
