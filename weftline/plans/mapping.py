@@ -8,6 +8,7 @@ feed a step all become inputs of it. Where a step or a required field fails the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -152,7 +153,9 @@ def validate(d: dict | Definition) -> list[str]:
 class Compiled:
     """``columns``: {target path: Column}; ``error``: the first error of a row as text, else null."""
 
-    def __init__(self, d: dict | Definition, body: Column, body_type: T.DataType):
+    def __init__(self, d: dict | Definition, body: Column, body_type: T.DataType, parsed: Column | None = None):
+        """``parsed``: the column of ``first_parse`` for JSON bodies, whose fields are tried before the general look-up."""
+        self.parsed, self.known = parsed, parse_schema(d if isinstance(d, Definition) else Definition.read(d))[1]
         self.m = d if isinstance(d, Definition) else Definition.read(d)
         if errors := validate(self.m):
             raise ValueError("; ".join(errors))
@@ -181,16 +184,26 @@ class Compiled:
         try:
             if isinstance(t, T.StringType):
                 text = json_text(col, f.path) if f.path else col
+                if self.parsed is not None and col is self.body and f.path in self.known:
+                    quick = self.parsed
+                    for name in f.path.split("."):
+                        quick = quick.getField(name)
+                    want = spark_type(f.kind)
+                    if f.kind.name == "array":
+                        text = quick, text
+                    else:
+                        text = F.coalesce(quick, text.try_cast(want) if f.kind.name in ("number", "bool") else text)
                 want = spark_type(f.kind)
                 if f.kind.name == "array":
-                    t, c = T.ArrayType(T.StringType()), F.from_json(text, "array<string>")
+                    listed = lambda x: F.from_json(x, "array<string>")
+                    t, c = T.ArrayType(T.StringType()), F.coalesce(text[0], listed(text[1])) if isinstance(text, tuple) else listed(text)
                     if f.items and f.items.kind.name not in ("object", "any", "string", "date", "array"):
                         c = F.transform(c, lambda x: x.try_cast(spark_type(f.items.kind)))
                         t = T.ArrayType(spark_type(f.items.kind))
                 elif f.kind.name == "object":
                     t, c = T.StringType(), text
                 else:
-                    t, c = want, text.try_cast(want) if f.kind.name in ("number", "bool") else text
+                    t, c = want, text.try_cast(want) if f.kind.name in ("number", "bool") else text  # a no-op after the first parse
             else:
                 c, t = typed(col, t, f.path) if f.path else (col, t)
                 if f.kind.name == "number" and isinstance(t, T.NumericType):
@@ -353,6 +366,33 @@ class Compiled:
         return {f.path or f.id: c for f in self.m.targets if (c := self._target(f)) is not None}
 
 
+def parse_schema(m: Definition) -> tuple[T.StructType | None, set[str]]:
+    """(schema, paths) of one typed parse for the source fields of plain dotted paths: scalars, and arrays as text items."""
+    tree: dict = {}
+    paths: set[str] = set()
+    for f in m.sources:
+        names = f.path.split(".")
+        if not f.path or f.kind.name == "object" or not all(re.fullmatch(r"[^\[\].]+", n) for n in names):
+            continue
+        node, clash = tree, False
+        for n in names:
+            clash |= any(k != n and k.lower() == n.lower() for k in node)  # such names would be ambiguous in one struct
+            if n is names[-1] or clash:
+                break
+            node = node.setdefault(n, {})
+            clash |= not isinstance(node, dict)
+            if clash:
+                break
+        if not clash and names[-1] not in node:
+            node[names[-1]] = T.ArrayType(T.StringType()) if f.kind.name == "array" else spark_type(f.kind)
+            paths.add(f.path)
+
+    def build(node: dict) -> T.StructType:
+        return T.StructType([T.StructField(k, build(v) if isinstance(v, dict) else v) for k, v in node.items()])
+
+    return (build(tree) if paths else None), paths
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -383,18 +423,28 @@ def apply_mapping(df: DataFrame, definition: dict | Definition, body: str | None
 
     Columns named like ``output`` or ``error`` are replaced. An empty table gives an empty table with the same columns.
     """
+    held = None
     if body is None:
         root, t = F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema
     else:
         root, t = F.col(body), df.schema[body].dataType
+        schema = parse_schema(definition if isinstance(definition, Definition) else Definition.read(definition))[0]
+        if isinstance(t, T.StringType) and schema is not None:
+            # A column of its own, so that the text is parsed once however many fields are taken from it.
+            held = "_parsed"
+            while held in df.columns:
+                held += "_"
+            df = df.withColumn(held, F.from_json(body, schema))
     if body is None:  # paths of a row are its columns, with no struct built around them
         compiled = _RowCompiled(definition, root, t)
     else:
-        compiled = Compiled(definition, root, t)
+        compiled = Compiled(definition, root, t, F.col(held) if held else None)
     data = assemble(compiled.columns) if compiled.columns else F.struct()
     if compiled.error is None:
-        return df.withColumns({output: data, error: F.lit(None).cast("string")})
-    return df.withColumns({error: compiled.error}).withColumn(output, F.when(F.col(error).isNull(), data))
+        out = df.withColumns({output: data, error: F.lit(None).cast("string")})
+    else:
+        out = df.withColumns({error: compiled.error}).withColumn(output, F.when(F.col(error).isNull(), data))
+    return out.drop(held) if held else out
 
 
 class _RowCompiled(Compiled):
