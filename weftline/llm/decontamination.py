@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -165,15 +166,7 @@ def _cut(text_at: int, spans_at: int):
         if not text or not spans:
             return text
         data = text.encode("utf-8", "surrogatepass")
-        flat, places, inside, start = data.translate(TABLE), [], False, 0
-        for i, b in enumerate(flat):
-            if b != 0x20 and not inside:
-                start, inside = i, True
-            elif b == 0x20 and inside:
-                places.append((start, i))
-                inside = False
-        if inside:
-            places.append((start, len(flat)))
+        places = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(TABLE))]
         out, at = [], 0
         for s, e in zip(spans[::2], spans[1::2], strict=True):
             out.append(data[at : places[s][0]])
