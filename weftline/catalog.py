@@ -396,7 +396,16 @@ def match_trigram(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("a", "b", F.round(sim.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query(None)
+_RULES_SQL = f"""WITH p AS (SELECT p_partkey AS id, p_name AS n, p_brand AS b, p_size AS s, upper(p_type) AS w FROM part), q AS (SELECT id, n, b, s, {_SOUNDEX_SQL} AS ty FROM p),
+g AS (SELECT DISTINCT p_name AS v, {_TRI_SQL.format(c="p_name")} AS g FROM part), sim AS (SELECT a.v AS x, b.v AS y, len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) AS sim FROM g a, g b),
+c AS (SELECT a.id AS i, b.id AS j, CAST(a.n = b.n AS INTEGER) AS ne, CAST(a.b = b.b AS INTEGER) AS be, CAST(a.ty = b.ty AS INTEGER) AS te, sim, a.s <> b.s AS blocked FROM q a JOIN q b ON a.id < b.id JOIN sim ON x = a.n AND y = b.n),
+d AS (SELECT i, j, blocked, (ne + be) / CAST(2 AS DOUBLE) AS s1, CASE WHEN sim >= 0.8 THEN sim * CAST(0.8 AS DOUBLE) ELSE -1 END AS s2, (be + te) / CAST(2 AS DOUBLE) AS s3 FROM c WHERE ne + be = 2 OR sim >= 0.8 OR be + te = 2),
+e AS (SELECT i, j, blocked, greatest(s1, s2, s3) AS score, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 'strict' WHEN s2 >= s3 THEN 'fuzzy' ELSE 'veto' END AS rule FROM d), f AS (SELECT * FROM e WHERE score >= 0.5 OR blocked),
+h AS (SELECT i AS source, j AS candidate, score, rule, blocked FROM f UNION ALL SELECT j, i, score, rule, blocked FROM f)
+SELECT source, candidate, score, rule, blocked, score >= 0.95 AND NOT blocked AS auto_merge FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, candidate) <= 100"""
+
+
+@query(_RULES_SQL)
 def match_rules_top(spark: SparkSession, sf: str) -> DataFrame:
     """Several rules with a veto, fuzzy anchors, and the best candidates of each record."""
     C = matching.Condition

@@ -71,20 +71,24 @@ def match_value(c: Column, condition: Condition) -> Column:
 
 
 def build_index(records: DataFrame, rules: list[Rule], id_col: str = "id") -> DataFrame:
-    """(id, one column for each distinct fact of the active rules): the wide match index."""
+    """(id, one column for each distinct fact of the active rules): the wide match index.
+
+    Facts of fuzzy conditions have their trigrams beside them (name#), made once a record and not once a pair.
+    """
     facts = {c.column: c for r in rules if r.is_active for c in r.conditions}
-    return records.select(F.col(id_col).alias("id"), *[match_value(F.col(c.field), c).alias(n) for n, c in facts.items()])
+    out = records.select(F.col(id_col).alias("id"), *[match_value(F.col(c.field), c).alias(n) for n, c in facts.items()])
+    return out.select("*", *[trigrams(F.col(f"`{n}`")).alias(f"{n}#") for n, c in facts.items() if c.match_type == "fuzzy"])
 
 
 def tall_index(index: DataFrame) -> DataFrame:
     """(id, field, match_type, normalizer, value): the same facts as rows, none for nulls."""
-    names = [c for c in index.columns if c != "id"]
+    names = [c for c in index.columns if c != "id" and not c.endswith("#")]
     parts = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("field", "match_type", "normalizer"), n.split("|"), strict=True)], F.col(f"`{n}`").cast("string").alias("value")) for n in names])
     return index.select("id", F.inline(parts)).where("value is not null")
 
 
 def _similarity(a: str, b: str, n: str) -> Column:
-    return jaccard(trigrams(F.col(f"{a}.`{n}`")), trigrams(F.col(f"{b}.`{n}`")))
+    return jaccard(F.col(f"{a}.`{n}#`"), F.col(f"{b}.`{n}#`"))
 
 
 def trigram_pairs(values: DataFrame, threshold: float) -> DataFrame:
