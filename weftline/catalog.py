@@ -608,9 +608,9 @@ def neighbours_2hop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT * FROM a WHERE c_custkey = 1)
-SELECT 'c1' AS src, 'c' || a.c_custkey AS dst, CASE WHEN a.c_nationkey = f.c_nationkey THEN 2 ELSE 4 END AS hops FROM a, f WHERE a.c_custkey BETWEEN 2 AND 40 AND a.n_regionkey = f.n_regionkey""")
+SELECT 'c1' AS src, 'c' || a.c_custkey AS dst, CASE WHEN a.c_nationkey = f.c_nationkey THEN 2 ELSE 4 END AS hops FROM a, f WHERE a.c_custkey <> 1 AND a.n_regionkey = f.n_regionkey""")
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = t(spark, sf, "customer").where("c_custkey between 2 and 40").select(F.lit("c1").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    pairs = t(spark, sf, "customer").where("c_custkey <> 1").select(F.lit("c1").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
     return graph.shortest_paths(_nation_graph(spark, sf), pairs, 6).select("src", "dst", "hops")
 
 
@@ -622,7 +622,7 @@ def relationships_of_node(spark: SparkSession, sf: str) -> DataFrame:
 # -- scheduling, streaming, extraction ----------------------------------------------------------------------------------
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, max(ts) AS last FROM events WHERE user_id % 3 <> 0 GROUP BY 1), m AS (SELECT max(ts) AS mx FROM events)
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'purchase' GROUP BY 1), m AS (SELECT max(ts) AS mx FROM events)
 SELECT 'p' || u.user_id AS plan_key, s.last AS last_execution_at FROM u LEFT JOIN s USING (user_id), m WHERE s.last IS NULL OR s.last + INTERVAL 1 HOUR <= m.mx""")
 def due_plans(spark: SparkSession, sf: str) -> DataFrame:
     ev = t(spark, sf, "events")
@@ -630,7 +630,7 @@ def due_plans(spark: SparkSession, sf: str) -> DataFrame:
     plans = users.select(F.lit("t").alias("tenant_id"), F.concat(F.lit("p"), "user_id").alias("plan_key"), F.lit("i").alias("integration_id"), F.lit(True).alias("enabled"), F.lit(3600).alias("wait_seconds"))
     configs = spark.createDataFrame([("t", "c", "i", True), ("t", "d", "i", False)], "tenant_id string, config_id string, integration_id string, enabled boolean")
     integrations = spark.createDataFrame([("t", "i", "crm")], "tenant_id string, integration_id string, name string")
-    stats = ev.where("user_id % 3 <> 0").groupBy(F.concat(F.lit("p"), "user_id").alias("plan_key")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_execution_at")).select(F.lit("t").alias("tenant_id"), "plan_key", F.lit("c").alias("config_id"), "last_execution_at")
+    stats = ev.where("event_type = 'purchase'").groupBy(F.concat(F.lit("p"), "user_id").alias("plan_key")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_execution_at")).select(F.lit("t").alias("tenant_id"), "plan_key", F.lit("c").alias("config_id"), "last_execution_at")
     now = ev.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
     return scheduling.due_plans(plans, configs, integrations, stats, F.lit(now)).select("plan_key", F.col("last_execution_at").cast("timestamp_ntz").alias("last_execution_at"))
 
@@ -661,7 +661,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation""")
 def extract_plans(spark: SparkSession, sf: str) -> DataFrame:
     """The nations as a paged API: a plan pages through recorded responses in the data source, and the pages are exploded."""
-    rows = [r.asDict() for r in t(spark, sf, "nation").orderBy("n_nationkey").limit(1000).collect()]
+    rows = [r.asDict() for r in t(spark, sf, "nation").orderBy("n_nationkey").collect()]
     pages = [rows[i : i + 10] for i in range(0, len(rows), 10)]
     recorded = [{"url": "http://api/nations" + (f"?page={i}" if i else ""), "body": {"items": p, "next": i + 1 if i + 1 < len(pages) else None}} for i, p in enumerate(pages)]
     plan = {"key": "nations", "step": {"url": "{{ config.base }}/nations", "params": {"page": "{{ prev.next }}"}, "while": "response.next", "set_context": {"last": "response.items[-1].n_name"}}}
@@ -698,11 +698,11 @@ def record_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return api.find_records(rec, "source_id", "7").select("id")
 
 
-@query("""SELECT o_custkey AS cluster_id, min(o_orderdate) AS created_at FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 10 = 0) > 0""")
+@query("""SELECT o_custkey AS cluster_id, min(o_orderdate) AS created_at FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'P') > 0""")
 def cluster_memberships(spark: SparkSession, sf: str) -> DataFrame:
-    members = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster_id"), "o_orderdate")
+    members = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster_id"), "o_orderdate", "o_orderstatus")
     golden = members.groupBy("cluster_id").agg(F.min("o_orderdate").alias("created_at"))
-    return api.memberships(members, golden, members.where("id % 10 = 0"))
+    return api.memberships(members, golden, members.where("o_orderstatus = 'P'").select("id"))
 
 
 @query("""SELECT l_orderkey AS o, first(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS first_part, last(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS last_part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS parts,
@@ -744,27 +744,27 @@ def list_page(spark: SparkSession, sf: str) -> DataFrame:
     return scheduling.page(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3).select("o_orderkey", "total_count")
 
 
-@query("""SELECT count(*) AS pending FROM orders WHERE o_custkey % 3 = 0""")
+@query("""SELECT count(*) AS pending FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""")
 def edges_pending(spark: SparkSession, sf: str) -> DataFrame:
     x = F.lit
     o = t(spark, sf, "orders")
     edges = o.select(x("t").alias("tenant_id"), x("r").alias("relationship_type"), x("o").alias("from_entity_type"), F.col("o_orderkey").cast("string").alias("from_source_id"), x("s").alias("from_integration"), x("c").alias("to_entity_type"), F.col("o_custkey").cast("string").alias("to_source_id"), x("s").alias("to_integration"))
     ent = lambda kind, col, df: df.select(x("t").alias("tenant_id"), x(kind).alias("entity_type"), F.col(col).cast("string").alias("source_id"), x("s").alias("integration"), F.col(col).cast("string").alias("entity_id")).distinct()
-    found = relations.resolve_ends(edges, ent("o", "o_orderkey", o).unionByName(ent("c", "o_custkey", o.where("o_custkey % 3 <> 0"))))
+    found = relations.resolve_ends(edges, ent("o", "o_orderkey", o).unionByName(ent("c", "c_custkey", t(spark, sf, "customer").where("c_acctbal >= 0"))))
     return relations.pending(found).agg(F.count("*").alias("pending"))
 
 
-@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0)""")
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000)""")
 def delete_messages(spark: SparkSession, sf: str) -> DataFrame:
-    rec = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_custkey")
-    msg = rec.where("o_custkey % 2 = 0").select("id", F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("action"))
+    rec = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
+    msg = rec.where("o_totalprice > 100000").select("id", F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("action"))
     return deletion.apply_deletes(rec, msg, ["id"]).select("id")
 
 
 @query("""SELECT user_id AS id, last(event_type ORDER BY event_id) AS p FROM events GROUP BY 1 HAVING last(event_type ORDER BY event_id) <> 'error'""")
 def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    ev = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("p"), (F.col("event_type") == "error").alias("deleted"))
-    return graph.merge_nodes(ev.where("ts % 2 = 0"), ev.where("ts % 2 = 1")).select("id", "p")
+    ev = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("p"), (F.col("event_type") == "error").alias("deleted"), "value")
+    return graph.merge_nodes(ev.where("value < 10").drop("value"), ev.where("value >= 10").drop("value")).select("id", "p")
 
 
 @query("""SELECT event_id, CAST(least(power(2, event_id % 8), 60) AS DOUBLE) AS exponential, CAST(least(event_id % 8 + 1, 60) AS DOUBLE) AS linear, CAST([1, 1, 2, 3, 5, 8, 13, 21][CAST(event_id % 8 + 1 AS INTEGER)] AS DOUBLE) AS fibonacci FROM events""")
