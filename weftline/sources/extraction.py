@@ -10,18 +10,20 @@ from __future__ import annotations
 import base64
 import json
 import re
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from xml.etree import ElementTree
 
 from weftline.sources.jmespath import JmesError, as_bool, search
 
-MAX_LOOPS, MAX_DEPTH, MAX_FIELD, MAX_CONTEXT = 1000, 5, 64 * 1024, 1024 * 1024
+MAX_LOOPS, MAX_DEPTH, MAX_FIELD, MAX_CONTEXT, CONCURRENCY = 1000, 5, 64 * 1024, 1024 * 1024, 50
 RETRYABLE = frozenset((408, 429, 500, 502, 503, 504))
 _TEMPLATE = re.compile(r"\{\{(.+?)\}\}")
 
@@ -172,13 +174,17 @@ class RateLimiter:
 
     def __init__(self, limits: list[dict], clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.limits = sorted(limits, key=lambda x: -int(x.get("priority") or 0))
-        self.clock, self.sleep, self.log, self.blocked = clock, sleep, {}, {}
+        self.clock, self.sleep, self.log, self.blocked, self.lock = clock, sleep, {}, {}, threading.Lock()
 
     def key(self, limit: dict, url: str, config_id: str) -> tuple:
         scope = limit.get("scope") or "global"
         return (limit["name"], config_id if scope == "per_config" else url.split("?")[0] if scope == "per_endpoint" else "")
 
     def acquire(self, url: str, config_id: str) -> None:
+        with self.lock:  # requests that have to wait do so in turn
+            self._acquire(url, config_id)
+
+    def _acquire(self, url: str, config_id: str) -> None:
         for limit in self.limits:
             if limit.get("endpoint") and not re.search(limit["endpoint"], url):
                 continue
@@ -311,18 +317,27 @@ class PlanRunner:
             prev = response
 
     def fan_out(self, step: dict, extra: dict, data: dict, path: str, depth: int, request: Request, response: Response, took: int) -> Iterator[dict]:
-        """Sub-steps for each item; their bodies enrich a copy of the item under the sub-step's id."""
+        """Sub-steps for each item, up to ``concurrency`` items at a time, results in the order of the items; the bodies of
+        sub-steps enrich a copy of the item under the sub-step's id."""
         items = search(step["iterate_over"], data) or []
-        page = []
-        for i, item in enumerate(items):
-            enriched = dict(item) if isinstance(item, dict) else {"value": item}
+
+        def one(at: tuple[int, object]) -> tuple[list[dict], dict]:
+            i, item = at
+            enriched, out = dict(item) if isinstance(item, dict) else {"value": item}, []
             for n, sub in enumerate(step.get("sub_steps") or []):
                 name = sub.get("id") or f"step_{n}"
                 for e in self.step(sub | {"emit": True}, extra | {"item": enriched, "parent": data["response"]}, f"{path}.{name}[{i}]", depth + 1):
                     if e["error"] is None and e["response_body"] is not None and e["step_path"] == f"{path}.{name}[{i}]":
                         enriched[name] = json.loads(e["response_body"])
                     if e["error"] is not None or sub.get("emit_to_kafka", True):
-                        yield e
+                        out.append(e)
+            return out, enriched
+
+        page = []
+        with ThreadPoolExecutor(max(1, min(int(step.get("concurrency") or CONCURRENCY), len(items)))) as pool:
+            done = list(pool.map(one, enumerate(items)))
+        for i, (events, enriched) in enumerate(done):
+            yield from events
             page.append(enriched)
             if (step.get("fanout_emit_mode") or "record") == "record":
                 yield self.envelope(f"{path}.fanout[{i}]", request, response, enriched, None, took)
