@@ -14,8 +14,8 @@ import re
 from array import array
 from collections.abc import Callable
 
-#: Words and pieces that a Python worker remembers; beyond it a cache starts anew.
-CACHE_WORDS = 250_000
+#: Words and pieces that a Python worker remembers (about 200 bytes each); beyond it the cache starts anew.
+CACHE_WORDS = 200_000
 _LOADED: dict[tuple, object] = {}
 #: Controls and blanks on which splitting here and in tokenizers might differ, and beginnings of special tokens.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]|<\\|")
@@ -76,9 +76,16 @@ class _Encoder:
                 end = token.endswith("</w>") and len(token) > 4
                 ranks[bytes(symbols[c] for c in (token[:-4] if end else token)) + b"\xff" * end] = i
         merge = tiktoken.Encoding("file", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        pieces = _Words(lambda p: array("I", merge(p.encode() + b"\xff")).tobytes(), limit)
-        get, find = pieces.__getitem__, _PIECES.findall
-        return _Words(lambda w: b"".join(map(get, find(w))), limit)
+        find = _PIECES.findall
+
+        def make(word: str) -> bytes:
+            pieces = find(word)
+            if len(pieces) == 1:
+                return array("I", merge(word.encode() + b"\xff")).tobytes()
+            return b"".join(map(words.__getitem__, pieces))  # a piece is a word of one piece
+
+        words = _Words(make, limit)
+        return words
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
