@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.batches import values
+
 WINDOW = 10
 #: Benchmark words in one compiled block: the bound on what is sent to an executor at once (about 100 bytes a word).
 BLOCK_WORDS = 300_000
@@ -148,7 +150,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RESULT.split(", ")]
     for batch in batches:
         doc, text, spans, items = (batch.column(i) for i in range(4))
-        n_words = [len(split_words(t)) for t in text.to_pylist()]
+        n_words = [len(split_words(t)) for t in values(text)]
         hit = [sum(x[1::2]) - sum(x[::2]) if x else 0 for x in spans.to_pylist()]
         own = [x or [] for x in items.to_pylist()]
         sha = [hashlib.sha256(",".join(x or "" for x in y).encode()).hexdigest() for y in own]
@@ -176,7 +178,7 @@ def _cut(text_at: int, spans_at: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
-            cols[text_at] = pa.array([keep(t, s) for t, s in zip(cols[text_at].to_pylist(), cols[spans_at].to_pylist(), strict=True)], pa.string())
+            cols[text_at] = pa.array([keep(t, s) for t, s in zip(values(cols[text_at]), values(cols[spans_at]), strict=True)], pa.string())
             yield pa.record_batch(cols, batch.schema.names)
 
     return cut

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.batches import values
+
 #: HTML elements whose text is never shown as text.
 HIDDEN = frozenset("script style template noscript head title textarea select option button iframe object svg math audio video canvas datalist".split())
 #: HTML elements without content.
@@ -328,7 +330,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", model: Crf | Non
         own = Crf()
         own.w, own.t = sent.value
         for batch in batches:
-            found = [main_text(x, own) for x in batch.column(at).to_pylist()]
+            found = [main_text(x, own) for x in values(batch.column(at))]
             rest = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.record_batch([*rest, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names)
 

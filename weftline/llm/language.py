@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.batches import values
+
 UNDETERMINED = "und"
 #: N-grams of a profile and of a document that are ranked.
 PROFILE, DOCUMENT = 400, 400
+#: Distinct n-grams of documents that a task holds before it sums them up.
+COUNTED = 1_500_000
 #: Most languages that a model may have; more raise an error. It bounds what is sent to the executors.
 MAX_LANGUAGES = 2000
 RESULT = "lang_pred string, score double"
@@ -78,13 +82,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             if text:
                 held.setdefault(lang, []).append(grams(text))
                 size += len(held[lang][-1][0])
-        if size > 3_000_000:
-            yield summed()
-            size = 0
+                if size > COUNTED:
+                    yield summed()
+                    size = 0
     yield summed()
 
 
@@ -139,7 +143,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(sent.value)
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            found = [model.predict(t) for t in values(batch.column(at))]
             yield pa.record_batch([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names)
 
     schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.batches import values
 from weftline.plans.storage import Spill
 
 ORDER = 4
@@ -62,11 +63,11 @@ def _count(with_counts: bool):
             return pa.record_batch([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 if text:
                     held.append(codes(text))
                     size += len(held[-1])
-                    if size > 4_000_000:
+                    if size > 3_000_000:
                         held[:] = [np.concatenate(held)] if with_counts else [np.unique(np.concatenate(held))]
                         yield out()
                         size = 0
@@ -132,7 +133,7 @@ def _add(shard, text_at: int, sum_at: int, n_at: int, names: list[str], last: bo
                 known = [np.frombuffer(x, t) for x, t in zip(shard.value, (np.int64, np.float32), strict=True)]
             g, lp = known
             sums, counts = batch.column(sum_at).to_pylist(), batch.column(n_at).to_pylist()
-            for k, text in enumerate(batch.column(text_at).to_pylist()):
+            for k, text in enumerate(values(batch.column(text_at))):
                 if text and len(g):
                     own, times = np.unique(codes(text), return_counts=True)
                     at = np.minimum(np.searchsorted(g, own), len(g) - 1)
@@ -142,7 +143,7 @@ def _add(shard, text_at: int, sum_at: int, n_at: int, names: list[str], last: bo
             cols = list(batch.columns)
             cols[sum_at], cols[n_at] = pa.array(sums, pa.float64()), pa.array(counts, pa.int64())
             if last:
-                cols[text_at] = pa.array([None if t is None else len(t) for t in cols[text_at].to_pylist()], pa.int64())
+                cols[text_at] = pa.array([None if t is None else len(t) for t in values(cols[text_at])], pa.int64())
             yield pa.record_batch(cols, names)
 
     return add

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.batches import values
 from weftline.operators.components import connected_components
 from weftline.plans.storage import Spill, shuffle_partitions
 
@@ -210,7 +211,7 @@ def fingerprint_links(fps: DataFrame, threshold: int = THRESHOLD, hot: int = HOT
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t) for t in values(batch.column(1))], np.uint64).view(np.int64)
         yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
 
