@@ -94,3 +94,13 @@ def test_repeated_rows(spark):
     got = S.repeated_passages(df).collect()
     assert {r.doc_id for r in got} == {2}
     assert len({r.text for r in S.remove_repeated_passages(df).where("doc_id = 2").collect()}) == 1
+
+
+def test_all_passages_of_a_weak_part():
+    rnd = random.Random(7)
+    w = lambda n, x: [f"{x}{rnd.randrange(10**6)}".encode() for _ in range(n)]
+    one, two, three, four = w(60, "s"), w(10, "s"), w(10, "s"), w(60, "s")
+    a, b = (one + w(12, x) + two + w(12, x) + three + w(12, x) + four for x in "ab")
+    got = S.align(a, b, [0, 116], [0, 116])
+    cover = {i for r in got for i in range(r[0], r[1])}
+    assert cover >= set(range(60)) | set(range(116, 176)) and all(r[4] >= 0.8 and r[1] - r[0] >= 50 for r in got)

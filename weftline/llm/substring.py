@@ -235,15 +235,27 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
     out, part = [], []
 
     def close() -> None:
-        while part:
-            length = max(part[-1][0] + part[-1][2] - part[0][0], part[-1][1] + part[-1][2] - part[0][1])
-            equal = sum(r[2] for r in part)
-            if length < min_words:
-                break
-            if equal >= identity * length:
-                out.append((part[0][0], part[-1][0] + part[-1][2], part[0][1], part[-1][1] + part[-1][2], equal / length))
-                break
-            part.pop(0 if part[0][2] <= part[-1][2] else -1)  # the weaker end goes
+        """The longest stretch of runs that is a passage is reported, then what lies left and right of it is searched alike."""
+        todo = [(0, len(part))]
+        while todo:
+            lo, hi = todo.pop()
+            if lo >= hi:
+                continue
+            n = np.array(part[lo:hi])
+            start, end, before = n[:, :2], n[:, :2] + n[:, 2:], np.cumsum(n[:, 2]) - n[:, 2]
+            if (end[-1] - start[0]).max() < min_words:
+                continue
+            length, equal, first, last = 0, 0, 0, 0
+            for i in range(hi - lo):
+                if (end[-1] - start[i]).max() <= length:
+                    break
+                long, same = (end[i:] - start[i]).max(axis=1), (before + n[:, 2])[i:] - before[i]
+                ok = np.flatnonzero((long >= min_words) & (same >= identity * long))
+                if len(ok) and long[ok[-1]] > length:
+                    length, equal, first, last = int(long[ok[-1]]), int(same[ok[-1]]), i, i + int(ok[-1])
+            if length:
+                out.append((int(start[first][0]), int(end[last][0]), int(start[first][1]), int(end[last][1]), equal / length))
+                todo += [(lo + last + 1, hi), (lo, lo + first)]
         part.clear()
 
     for r in runs:
@@ -251,7 +263,7 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
             close()
         part.append(r)
     close()
-    return out
+    return sorted(out)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
