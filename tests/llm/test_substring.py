@@ -104,3 +104,20 @@ def test_all_passages_of_a_weak_part():
     got = S.align(a, b, [0, 116], [0, 116])
     cover = {i for r in got for i in range(r[0], r[1])}
     assert cover >= set(range(60)) | set(range(116, 176)) and all(r[4] >= 0.8 and r[1] - r[0] >= 50 for r in got)
+
+
+def test_recall_of_short_changed_passages(spark):
+    rnd = random.Random(5)
+    w = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(120):
+        n = rnd.randrange(50, 71)
+        passage, changed = w(n), (set(rnd.sample(range(n), n * (10, 15, 20)[i % 3] // 100)) if i % 2 else set(range(2, n, 5 + i % 4)))
+        same = [x for x in range(n) if x not in changed]
+        best = max(((y - x + 1, x, y + 1) for x in same for y in same if y - x >= 49 and sum(x <= z <= y for z in same) >= 0.8 * (y - x + 1)), default=None)
+        if best:  # by brute force
+            want[1000 + i] = set(range(20 + best[1], 20 + best[2]))
+        rows += [(i, " ".join(w(30) + passage + w(30))), (1000 + i, " ".join(w(20) + [f"n{rnd.randrange(10**6)}" if k in changed else x for k, x in enumerate(passage)] + w(30)))]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) > 100
+    assert sum(len(covered(got, i) & x) >= 0.9 * len(x) for i, x in want.items()) >= 0.99 * len(want)

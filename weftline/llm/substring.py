@@ -1,7 +1,7 @@
 """Substring near-duplicates by collinear chaining.
 
-1. Seeds: minimisers of 5-word shingles over windows of WINDOW shingles, so any shared run of WINDOW + 4 words shares one. The
-   key of a seed holds how often it came before in its document, so repetitive texts match place by place.
+1. Seeds: all shingles of SHINGLE words (minimisers, if WINDOW is above 1). The key of a seed holds how often it came
+   before in its document, so repetitive texts match place by place.
 2. Each seed links to its first document (smallest doc_id): one link an occurrence, never pairs of occurrences. The heads are
    found by an aggregation that folds before the shuffle; the join back is an ordinary one, which AQE splits at hot seeds.
 3. Matches of a (document, first document) pair are chained: best sum of seed weights minus a cost for the words skipped on
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from weftline.llm.batches import values
 from weftline.plans.storage import Spill, record_batches, shuffle_partitions
 
-SHINGLE, WINDOW, MIN_WORDS, IDENTITY = 5, 12, 50, 0.8
+SHINGLE, WINDOW, MIN_WORDS, IDENTITY = 4, 1, 50, 0.8
+#: Seeds of a chain that is aligned: n words with a fifth of them replaced share n - 3 - 4 * n / 5 shingles at least, 7 of 50.
+#: Fewer are asked for, as seeds may have their first document elsewhere.
+MIN_SEEDS = 3
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
 #: Grid to which ranges of words are rounded, and rows that the alignment takes at once: both bound its memory.
@@ -56,7 +59,9 @@ def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[
     for i in range(k):
         s = (s ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         s ^= s >> np.uint64(32)
-    if n <= window:
+    if window == 1:
+        places = np.arange(n)
+    elif n <= window:
         places = np.array([int(np.argmin(s))])
     else:
         views = np.lib.stride_tricks.sliding_window_view(s, window)
@@ -131,7 +136,7 @@ def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: floa
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by (doc, rep, pos) -> chains of two seeds or more."""
+    """Matches sorted by (doc, rep, pos) -> chains of MIN_SEEDS seeds or more."""
     rest: list[np.ndarray] = []
     out: list[tuple] = []
 
@@ -143,6 +148,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray) -> None:
         for c in chains(pos, rpos):
+            if len(c) < MIN_SEEDS:
+                continue
             n = max(1, -(-int(pos[c[-1]] - pos[c[0]]) // MAX_WORDS))  # pieces of even length; neighbours share a seed
             cuts = np.searchsorted(pos[c], np.linspace(pos[c[0]], pos[c[-1]], n + 1)).tolist() if n > 1 else [0, len(c) - 1]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -152,7 +159,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(cols: list[np.ndarray]) -> None:
         bounds = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
         bounds = np.concatenate([[0], bounds, [len(cols[0])]])
-        for g in np.flatnonzero(np.diff(bounds) > 1):
+        for g in np.flatnonzero(np.diff(bounds) >= MIN_SEEDS):
             s, e = bounds[g], bounds[g + 1]
             pair(int(cols[0][s]), int(cols[1][s]), cols[2][s:e], cols[3][s:e])
 
@@ -190,6 +197,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: int = SHINGLE, min_words: int = MIN_WORDS, identity: float = IDENTITY, split: int = SPLIT) -> list[tuple]:
     """Passages (a_start, a_end, b_start, b_end, identity) of a chain; pos and rpos are places of seeds in a and b."""
     runs: list[tuple[int, int, int]] = []  # (a, b, equal words) in ascending order
+    inner: list[tuple[int, int, int]] = []  # the same between the outer seeds, as found
 
     def add(i: int, j: int, n: int) -> None:
         if runs and i - j == runs[-1][0] - runs[-1][1] and i <= runs[-1][0] + runs[-1][2]:
@@ -197,10 +205,10 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
         elif not runs or i >= runs[-1][0] + runs[-1][2] and j >= runs[-1][1] + runs[-1][2]:
             runs.append((i, j, n))
 
-    def extend(i: int, j: int, step: int, limit_a: int, limit_b: int) -> list[tuple[int, int]]:
-        """Equal words beyond an end on its diagonal, as far as the score (1 for equal, -1 for not) holds up."""
+    def extend(i: int, j: int, step: int, limit_a: int, limit_b: int) -> tuple[list[tuple[int, int]], int]:
+        """Equal words beyond an end on its diagonal, until the score (1 for equal, -1 for not) falls, and how many of them hold it up."""
         out, score, best, good = [], 0, 0, 0
-        while (i < limit_a and j < limit_b if step > 0 else i > limit_a and j > limit_b) and score > best - 6:
+        while (i < limit_a and j < limit_b if step > 0 else i > limit_a and j > limit_b) and score > best - split:
             x, y = (i, j) if step > 0 else (i - 1, j - 1)
             if a[x] == b[y]:
                 score += 1
@@ -210,28 +218,24 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
             else:
                 score -= 1
             i, j = i + step, j + step
-        return out[:good]
+        return out, good
 
-    for i, j in reversed(extend(pos[0], rpos[0], -1, 0, 0)):
-        add(i, j, 1)
+    left, near = extend(pos[0], rpos[0], -1, 0, 0)
     i, j = pos[0], rpos[0]
     for p, q in zip(pos, rpos, strict=True):
         if p > i and q > j:
             x, y = a[i:p], b[j:q]
             if x == y:
-                add(i, j, p - i)
+                inner.append((i, j, p - i))
             else:
-                for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-                    if m.size:
-                        add(i + m.a, j + m.b, m.size)
+                inner += [(i + m.a, j + m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
         n = 0
         while n < k and p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
             n += 1
         if n:
-            add(p, q, n)
+            inner.append((p, q, n))
         i, j = max(i, p + n), max(j, q + n)
-    for x, y in extend(i, j, 1, len(a), len(b)):
-        add(x, y, 1)
+    right, far = extend(i, j, 1, len(a), len(b))
     out, part = [], []
 
     def close() -> None:
@@ -258,11 +262,17 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
                 todo += [(lo + last + 1, hi), (lo, lo + first)]
         part.clear()
 
-    for r in runs:
-        if part and max(r[0] - part[-1][0], r[1] - part[-1][1]) - part[-1][2] > split:
-            close()
-        part.append(r)
-    close()
+    for x, y in ((left[:near], right[:far]), (left, right)):  # scattered equal words beyond an end count only where it takes them
+        runs.clear()
+        for r in [(*e, 1) for e in reversed(x)] + inner + [(*e, 1) for e in y]:
+            add(*r)
+        for r in runs:
+            if part and max(r[0] - part[-1][0], r[1] - part[-1][1]) - part[-1][2] > split:
+                close()
+            part.append(r)
+        close()
+        if out:
+            break
     return sorted(out)
 
 
