@@ -121,3 +121,17 @@ def test_recall_of_short_changed_passages(spark):
     got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(want) > 100
     assert sum(len(covered(got, i) & x) >= 0.9 * len(x) for i, x in want.items()) >= 0.99 * len(want)
+
+
+def test_lines_in_an_earlier_document(spark):
+    rnd = random.Random(8)
+    w = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = w(72)
+    lines = [passage[max(0, i) : i + 9] for i in (*range(0, 72, 9), *range(-4, 72, 9))]  # every run of four words is in one
+    mixed = lambda: [x for i in rnd.sample(range(len(lines)), len(lines)) for x in lines[i] + w(20)]
+    docs = {1: mixed(), 5: w(30) + passage + w(20), 6: w(10) + passage + w(30)}
+    later = {1: w(30) + passage + w(20), 5: w(10) + passage + w(30), 9: mixed()}
+    both = {**docs, 9: mixed()}
+    for case, doc, rep in ((docs, 6, 5), (later, 5, 1), (both, 6, 5)):
+        got = S.repeated_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in case.items()], "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.rep_doc_id) for r in got} == {(doc, rep)} and set(range(10, 82)) <= covered(got, doc)

@@ -2,8 +2,10 @@
 
 1. Seeds: all shingles of SHINGLE words (minimisers, if WINDOW is above 1). The key of a seed holds how often it came
    before in its document, so repetitive texts match place by place.
-2. Each seed links to its first document (smallest doc_id): one link an occurrence, never pairs of occurrences. The heads are
-   found by an aggregation that folds before the shuffle; the join back is an ordinary one, which AQE splits at hot seeds.
+   Sparse seeds of LONG words tell documents that share a passage from those that only hold its lines.
+2. Each seed links to the first and the last document that has it (by doc_id): two links an occurrence, never pairs of
+   occurrences. Both are found by an aggregation that folds before the shuffle; the join back is an ordinary one, which AQE
+   splits at hot seeds.
 3. Matches of a (document, first document) pair are chained: best sum of seed weights minus a cost for the words skipped on
    both sides, with a Fenwick tree over places in the first document for the best chain so far (n log n).
 4. Chains are aligned: gaps between seeds by a word diff, ends by extension with a drop-off, weak gaps split a chain. Parts of
@@ -29,6 +31,9 @@ SHINGLE, WINDOW, MIN_WORDS, IDENTITY = 4, 1, 50, 0.8
 #: Seeds of a chain that is aligned: n words with a fifth of them replaced share n - 3 - 4 * n / 5 shingles at least, 7 of 50.
 #: Fewer are asked for, as seeds may have their first document elsewhere.
 MIN_SEEDS = 3
+#: Words of a long shingle, of which minimisers over as many are seeds too: where the short ones occur everywhere, these name the
+#: documents that share more than lines. One is as good as MIN_SEEDS short ones.
+LONG = 16
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
 #: Grid to which ranges of words are rounded, and rows that the alignment takes at once: both bound its memory.
@@ -55,7 +60,7 @@ def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[
         return np.empty(0, np.int64), np.empty(0, np.int64)
     digest = xxhash.xxh64_intdigest
     h = np.array(list(map(digest, words)), np.uint64)
-    s = np.zeros(n, np.uint64)
+    s = np.full(n, k, np.uint64)
     for i in range(k):
         s = (s ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         s ^= s >> np.uint64(32)
@@ -76,17 +81,24 @@ def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[
     return (keys + before * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), places
 
 
+def all_seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, word places, is long) of the short and long seeds of a text."""
+    (a, p), (b, q) = seeds_of(text), seeds_of(text, LONG, LONG)
+    return np.concatenate([a, b]), np.concatenate([p, q]), np.arange(len(a) + len(b)) >= len(a)
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column(0).to_pylist()
         for at in range(0, len(docs), 512):
-            keys, ids, places = [], [], []
+            keys, ids, places, kinds = [], [], [], []
             for doc, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist(), strict=True):
-                k, p = seeds_of(text)
+                k, p, kind = all_seeds(text)
                 keys.append(k)
                 places.append(p)
+                kinds.append(kind)
                 ids.append(np.full(len(k), doc, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc", "pos"])
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(kinds))], ["key", "doc", "pos", "long"])
 
 
 def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: float = GAP_COST) -> list[list[int]]:
@@ -136,7 +148,7 @@ def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: floa
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by (doc, rep, pos) -> chains of MIN_SEEDS seeds or more."""
+    """Matches sorted by (doc, rep, pos) -> chains of MIN_SEEDS seeds or more, or with a long seed."""
     rest: list[np.ndarray] = []
     out: list[tuple] = []
 
@@ -146,22 +158,25 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return batch
 
-    def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray) -> None:
+    def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray, long: np.ndarray) -> None:
+        at, inverse = np.unique(np.stack([pos, rpos], 1), axis=0, return_inverse=True)
+        long = np.bincount(inverse.ravel(), long) > 0
+        pos, rpos = at[:, 0], at[:, 1]
         for c in chains(pos, rpos):
-            if len(c) < MIN_SEEDS:
+            if len(c) < MIN_SEEDS and not long[c].any():
                 continue
             n = max(1, -(-int(pos[c[-1]] - pos[c[0]]) // MAX_WORDS))  # pieces of even length; neighbours share a seed
             cuts = np.searchsorted(pos[c], np.linspace(pos[c[0]], pos[c[-1]], n + 1)).tolist() if n > 1 else [0, len(c) - 1]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
+                if b > a or len(c) == 1:
                     out.append((doc, rep, pos[c[a : b + 1]].tolist(), rpos[c[a : b + 1]].tolist()))
 
     def pairs(cols: list[np.ndarray]) -> None:
         bounds = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
         bounds = np.concatenate([[0], bounds, [len(cols[0])]])
-        for g in np.flatnonzero(np.diff(bounds) >= MIN_SEEDS):
+        for g in np.flatnonzero((np.diff(bounds) >= MIN_SEEDS) | np.logical_or.reduceat(cols[4], bounds[:-1])):
             s, e = bounds[g], bounds[g + 1]
-            pair(int(cols[0][s]), int(cols[1][s]), cols[2][s:e], cols[3][s:e])
+            pair(int(cols[0][s]), int(cols[1][s]), *(c[s:e] for c in cols[2:]))
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -295,7 +310,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, text_hash, start_word, end_word, rep_doc_id, rep_start, rep_end, identity): passages of MIN_WORDS words or more
     that repeat, up to 20 % of their words, in a document of a smaller doc_id. Word places count from 0, ends are exclusive.
 
-    The first document of a passage has no row for it. Rows with a null doc_id or text neither have nor give passages.
+    The first document of a passage has no row for it. Two documents are compared if one of them is the first or the last
+    holder of seeds that they share; where other documents hold all pieces of a passage both before and after them, it can be missed. Rows with a null doc_id or text neither have nor give passages.
     Repeats inside a document aren't looked for. Rows that share a doc_id are searched together, and text_hash (XXH64 of
     the text) tells which text a passage is of. Passages of a document may overlap if they match several documents; those of
     more than MAX_WORDS words come in pieces.
@@ -303,9 +319,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    seeds = Spill(rows.mapInArrow(_seeds, "key long, doc long, pos int"), "seeds")
-    heads = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("head"), F.max("doc").alias("far")).where("far > head.doc")
-    matches = seeds.df.join(heads.select("key", F.col("head.doc").alias("rep"), F.col("head.pos").alias("rpos")), "key").where("doc > rep").select("doc", "rep", "pos", "rpos")
+    seeds = Spill(rows.mapInArrow(_seeds, "key long, doc long, pos int, long boolean"), "seeds")
+    ends = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", (-F.col("pos")).alias("back"))).alias("last")).where("last.doc > first.doc")
+    joined = seeds.df.join(ends, "key").where("doc > first.doc")
+    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long")
+    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long")
+    matches = joined.select(F.explode(F.when(F.col("doc") < F.col("last.doc"), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*")
     linked = matches.repartition(n, "doc", "rep").sortWithinPartitions("doc", "rep", "pos", "rpos")
     found = Spill(linked.mapInArrow(_chain, "doc long, rep long, pos array<int>, rpos array<int>"), "chains")
     seeds.drop()
