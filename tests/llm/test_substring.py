@@ -135,3 +135,14 @@ def test_lines_in_an_earlier_document(spark):
     for case, doc, rep in ((docs, 6, 5), (later, 5, 1), (both, 6, 5)):
         got = S.repeated_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in case.items()], "doc_id long, text string")).collect()
         assert {(r.doc_id, r.rep_doc_id) for r in got} == {(doc, rep)} and set(range(10, 82)) <= covered(got, doc)
+
+
+def test_passage_twice_in_a_later_document(spark):
+    rnd = random.Random(9)
+    w = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = w(60)
+    docs = {1: w(20) + passage + w(20), 2: w(10) + passage + w(30) + passage + w(25) + passage}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    got = S.repeated_passages(df).collect()
+    assert {*range(10, 70), *range(100, 160), *range(185, 245)} <= covered(got, 2) and {r.doc_id for r in got} == {2}
+    assert {r.doc_id: r.text.split() for r in S.remove_repeated_passages(df).collect()}[2] == docs[2][:10] + docs[2][70:100] + docs[2][160:185]

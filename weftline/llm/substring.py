@@ -1,7 +1,7 @@
 """Substring near-duplicates by collinear chaining.
 
 1. Seeds: all shingles of SHINGLE words (minimisers, if WINDOW is above 1). The key of a seed holds how often it came
-   before in its document, so repetitive texts match place by place.
+   before in its document, so repetitive texts match place by place; later occurrences have the first one's key too.
    Sparse seeds of LONG words tell documents that share a passage from those that only hold its lines.
 2. Each seed links to the first and the last document that has it (by doc_id): two links an occurrence, never pairs of
    occurrences. Both are found by an aggregation that folds before the shuffle; the join back is an ordinary one, which AQE
@@ -52,14 +52,11 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, word places) of a text's seeds; texts of fewer than k words have none."""
-    words = split_words(text)
-    n = len(words) - k + 1
+def _shingles(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, word places, how often the key came before) of the seeds of words with the hashes h."""
+    n = len(h) - k + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    h = np.array(list(map(digest, words)), np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     s = np.full(n, k, np.uint64)
     for i in range(k):
         s = (s ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -78,27 +75,50 @@ def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     before = np.empty(len(keys), np.uint64)
     before[order] = (np.arange(len(keys)) - first).astype(np.uint64)
-    return (keys + before * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), places
+    return keys, places, before
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh64_intdigest, split_words(text))), np.uint64)
+
+
+def _numbered(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (keys + before * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def all_seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, word places, is long) of the short and long seeds of a text."""
-    (a, p), (b, q) = seeds_of(text), seeds_of(text, LONG, LONG)
-    return np.concatenate([a, b]), np.concatenate([p, q]), np.arange(len(a) + len(b)) >= len(a)
+def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, word places) of a text's seeds; texts of fewer than k words have none."""
+    keys, places, before = _shingles(_hashes(text), k, window)
+    return _numbered(keys, before), places
+
+
+def all_seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, word places, is long, is again) of the short and long seeds of a text.
+
+    A seed that came before in the text is there twice, the second time (again) with the key of the first occurrence.
+    """
+    h = _hashes(text)
+    out = []
+    for long, (keys, places, before) in enumerate((_shingles(h, SHINGLE, WINDOW), _shingles(h, LONG, LONG))):
+        more = np.flatnonzero(before)
+        out.append((_numbered(keys, before), places, np.full(len(keys), bool(long)), np.zeros(len(keys), bool)))
+        out.append((keys[more].view(np.int64), places[more], np.full(len(more), bool(long)), np.ones(len(more), bool)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column(0).to_pylist()
         for at in range(0, len(docs), 512):
-            keys, ids, places, kinds = [], [], [], []
+            keys, ids, places, longs, agains = [], [], [], [], []
             for doc, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist(), strict=True):
-                k, p, kind = all_seeds(text)
+                k, p, long, again = all_seeds(text)
                 keys.append(k)
                 places.append(p)
-                kinds.append(kind)
+                longs.append(long)
+                agains.append(again)
                 ids.append(np.full(len(k), doc, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(kinds))], ["key", "doc", "pos", "long"])
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(longs)), pa.array(np.concatenate(agains))], ["key", "doc", "pos", "long", "again"])
 
 
 def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: float = GAP_COST) -> list[list[int]]:
@@ -158,7 +178,10 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return batch
 
-    def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray, long: np.ndarray) -> None:
+    def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray, long: np.ndarray, again: np.ndarray) -> None:
+        if again.any():  # counts where the other document has the seed fewer times
+            keep = ~again | ~np.isin(pos * 2 + long, (pos * 2 + long)[~again])
+            pos, rpos, long = pos[keep], rpos[keep], long[keep]
         at, inverse = np.unique(np.stack([pos, rpos], 1), axis=0, return_inverse=True)
         long = np.bincount(inverse.ravel(), long) > 0
         pos, rpos = at[:, 0], at[:, 1]
@@ -319,12 +342,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    seeds = Spill(rows.mapInArrow(_seeds, "key long, doc long, pos int, long boolean"), "seeds")
+    seeds = Spill(rows.mapInArrow(_seeds, "key long, doc long, pos int, long boolean, again boolean"), "seeds")
     ends = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", (-F.col("pos")).alias("back"))).alias("last")).where("last.doc > first.doc")
     joined = seeds.df.join(ends, "key").where("doc > first.doc")
-    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long")
-    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long")
-    matches = joined.select(F.explode(F.when(F.col("doc") < F.col("last.doc"), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*")
+    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long", "again")
+    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long", "again")
+    matches = joined.select(F.explode(F.when(~F.col("again") & (F.col("doc") < F.col("last.doc")), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*")
     linked = matches.repartition(n, "doc", "rep").sortWithinPartitions("doc", "rep", "pos", "rpos")
     found = Spill(linked.mapInArrow(_chain, "doc long, rep long, pos array<int>, rpos array<int>"), "chains")
     seeds.drop()
