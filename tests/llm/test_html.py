@@ -39,3 +39,14 @@ def test_table(spark):
     assert len(got) == 5 and by[1].text == want and by[1].n_chars == len(want)
     assert by[2].text == by[3].text == "" and by[None].n_chars > 600_000
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_head_without_end_tag():
+    text = lambda h: [b[0] for b in H.blocks_of(h)]
+    for page in ("<html><head><title>x</title><body><article><p>text", "<head><title>x</title><article><p>text", "<head><meta charset=utf-8><link rel=a><style>p{}</style><p>text", "<head><script>a</script>text", "<head><title>x</title><noscript><img src=a></noscript></head><body>text", "<head><template><p>no</p></template><body>text"):
+        assert text(page) == ["text"], page
+
+
+def test_digits_of_a_whole_block():
+    digits = lambda x: H._feature("digits=True") in H.features([(x, frozenset(), "p", 0)])[0]
+    assert digits("a" * 200 + "1" * 400) and not digits("1" * 200 + "a" * 4000)

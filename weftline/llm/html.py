@@ -31,6 +31,8 @@ ENDS_P = frozenset("address article aside blockquote details dialog div dl field
 SEAMLESS = INLINE | {"script", "style", "template", "noscript"}
 #: Elements that end an open element of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that can stand in head; any other ends an open head.
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
 #: Hashed feature space: the bound on the model's size.
 SPACE = 1 << 14
 #: Labelled pages that the model is fitted on.
@@ -64,6 +66,8 @@ class _Blocks(HTMLParser):
             self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag == "br":
             self.text.append(" ")
             return
@@ -104,7 +108,18 @@ class _Blocks(HTMLParser):
             self.flush()
         self.close_to(tag)
 
+    def end_head(self) -> None:
+        """</head> may be left out; what stands in a title, template or noscript of head ends nothing."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == "head":
+                del self.stack[i:]
+                return
+            if self.stack[i][0] in ("title", "template", "noscript", "svg", "math", "object"):
+                return
+
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():  # bare text can't stand in head either
+            self.end_head()
         top = self.stack[-1]
         if not top[2]:
             if not self.text:
@@ -139,7 +154,7 @@ def features(blocks: list[tuple[str, frozenset, str, int]]) -> list[list[int]]:
             f"words={min(4, text.count(' ').bit_length())}",
             f"end={text[-1] in '.!?…:;。！？' }",
             f"mark={text[0] in '©|»›•·'}",
-            f"digits={sum(map(str.isdigit, text[:200])) * 4 > min(200, length)}",
+            f"digits={sum(map(str.isdigit, text)) * 4 > length}",
             f"edge={'first' if k == 0 else 'last' if k == n - 1 else 'inner'}",
             f"tag={tag}&len={min(8, length.bit_length() - 3)}",
         ]
