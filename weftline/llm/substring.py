@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MIN_SEEDS = 3
 #: Words of a long shingle, of which minimisers over as many are seeds too: where the short ones occur everywhere, these name the
 #: documents that share more than lines. One is as good as MIN_SEEDS short ones.
 LONG = 16
+#: Rounds in which seeds are matched, each with its share of the keys: bounds the disk that seeds take at a time.
+ROUNDS = 4
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
 #: Grid to which ranges of words are rounded, and rows that the alignment takes at once: both bound its memory.
@@ -52,8 +55,8 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _shingles(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, word places, how often the key came before) of the seeds of words with the hashes h."""
+def _shingles(h: np.ndarray, k: int, window: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, word places, how often the key came before) of the seeds of words with the hashes h; of the keys one share."""
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -69,6 +72,11 @@ def _shingles(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarra
         views = np.lib.stride_tricks.sliding_window_view(s, window)
         places = np.unique(np.concatenate([views[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)]))
     keys = s[places]
+    if parts > 1:
+        own = (keys >> np.uint64(40)) % np.uint64(parts) == part
+        keys, places = keys[own], places[own]
+        if not len(keys):
+            return keys, places, keys
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -92,33 +100,36 @@ def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[
     return _numbered(keys, before), places
 
 
-def all_seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def all_seeds(text: str | None, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, word places, is long, is again) of the short and long seeds of a text.
 
     A seed that came before in the text is there twice, the second time (again) with the key of the first occurrence.
     """
     h = _hashes(text)
     out = []
-    for long, (keys, places, before) in enumerate((_shingles(h, SHINGLE, WINDOW), _shingles(h, LONG, LONG))):
+    for long, (keys, places, before) in enumerate((_shingles(h, SHINGLE, WINDOW, part, parts), _shingles(h, LONG, LONG, part, parts))):
         more = np.flatnonzero(before)
         out.append((_numbered(keys, before), places, np.full(len(keys), bool(long)), np.zeros(len(keys), bool)))
         out.append((keys[more].view(np.int64), places[more], np.full(len(more), bool(long)), np.ones(len(more), bool)))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs = batch.column(0).to_pylist()
-        for at in range(0, len(docs), 512):
-            keys, ids, places, longs, agains = [], [], [], [], []
-            for doc, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist(), strict=True):
-                k, p, long, again = all_seeds(text)
-                keys.append(k)
-                places.append(p)
-                longs.append(long)
-                agains.append(again)
-                ids.append(np.full(len(k), doc, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(longs)), pa.array(np.concatenate(agains))], ["key", "doc", "pos", "long", "again"])
+def _seeds(part: int, parts: int):
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            for at in range(0, len(docs), 512):
+                keys, ids, places, longs, agains = [], [], [], [], []
+                for doc, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist(), strict=True):
+                    k, p, long, again = all_seeds(text, part, parts)
+                    keys.append(k)
+                    places.append(p)
+                    longs.append(long)
+                    agains.append(again)
+                    ids.append(np.full(len(k), doc, np.int64))
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(longs)), pa.array(np.concatenate(agains))], ["key", "doc", "pos", "long", "again"])
+
+    return seeds
 
 
 def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: float = GAP_COST) -> list[list[int]]:
@@ -329,6 +340,25 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names)
 
 
+def _matches(rows: DataFrame, part: int) -> Spill:
+    """(doc, rep, pos, rpos, long, again): the links of one share of the keys."""
+    spark = rows.sparkSession
+    seeds = Spill(rows.mapInArrow(_seeds(part, ROUNDS), "key long, doc long, pos int, long boolean, again boolean"), "seeds")
+    ends = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", (-F.col("pos")).alias("back"))).alias("last")).where("last.doc > first.doc")
+    joined = seeds.df.join(ends, "key").where("doc > first.doc")
+    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long", "again")
+    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long", "again")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffle files of a round go with it
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        found = Spill(joined.select(F.explode(F.when(~F.col("again") & (F.col("doc") < F.col("last.doc")), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*"), "matches")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    seeds.drop()
+    return found
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, rep_doc_id, rep_start, rep_end, identity): passages of MIN_WORDS words or more
     that repeat, up to 20 % of their words, in a document of a smaller doc_id. Word places count from 0, ends are exclusive.
@@ -342,15 +372,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    seeds = Spill(rows.mapInArrow(_seeds, "key long, doc long, pos int, long boolean, again boolean"), "seeds")
-    ends = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", (-F.col("pos")).alias("back"))).alias("last")).where("last.doc > first.doc")
-    joined = seeds.df.join(ends, "key").where("doc > first.doc")
-    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long", "again")
-    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long", "again")
-    matches = joined.select(F.explode(F.when(~F.col("again") & (F.col("doc") < F.col("last.doc")), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*")
+    rounds = [_matches(rows, part) for part in range(ROUNDS)]
+    matches = reduce(DataFrame.union, [x.df for x in rounds])
     linked = matches.repartition(n, "doc", "rep").sortWithinPartitions("doc", "rep", "pos", "rpos")
     found = Spill(linked.mapInArrow(_chain, "doc long, rep long, pos array<int>, rpos array<int>"), "chains")
-    seeds.drop()
+    for x in rounds:
+        x.drop()
     # A chain too short for a passage even with both margins never becomes one. Ranges of words are rounded to a grid, so
     # that the copies of a passage ask for the same few ranges of its first document, and each range is cut once.
     low = lambda at: F.greatest(F.floor((F.element_at(at, 1) - MARGIN) / GRID) * GRID, F.lit(0)).cast("int")
