@@ -85,3 +85,12 @@ def test_nothing_trusted_and_empty(spark):
     got = Q.quality_by_perplexity(spark.createDataFrame([(1, "a", "x y"), (2, "a", None)], schema), none).collect()
     assert {r.doc_id: r.kept for r in got} == {1: True, 2: False}
     assert Q.quality_by_perplexity(spark.createDataFrame([], schema), none).collect() == []
+
+
+def test_more_languages_than_the_bound(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(Q, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, f"l{i % 4}", f"some words of text number {i}") for i in range(80)], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        Q.quality_by_perplexity(docs, docs.select("doc_id"))

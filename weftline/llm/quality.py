@@ -187,7 +187,9 @@ def quality_by_perplexity(docs: DataFrame, trusted_ids: DataFrame, quantile: flo
     scored = Spill(score_documents(rows, model), "perplexities").df.withColumn("h", -F.col("log_prob") / F.when(F.col("n_scored") > 0, F.col("n_scored")))
     fold = scored.join(trusted.where(held), "doc_id", "left_semi").where("h is not null")
     cut = lambda p: F.percentile_approx("h", p, 10_000)
-    by = fold.groupBy("lang").agg(cut(0.5).alias("mid"), cut(quantile).alias("top")).limit(MAX_LANGUAGES).collect()
+    by = fold.groupBy("lang").agg(cut(0.5).alias("mid"), cut(quantile).alias("top")).limit(MAX_LANGUAGES + 1).collect()
+    if len(by) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     whole = fold.agg(cut(0.5).alias("mid"), cut(quantile).alias("top")).first()
 
     def pick(field: str) -> Column:
