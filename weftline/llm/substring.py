@@ -1,14 +1,15 @@
 """Substring near-duplicates by collinear chaining.
 
-1. Seeds: all shingles of SHINGLE words (minimisers, if WINDOW is above 1). The key of a seed holds how often it came
-   before in its document, so repetitive texts match place by place; later occurrences have the first one's key too.
-   Sparse seeds of LONG words tell documents that share a passage from those that only hold its lines.
-2. Each seed links to the first and the last document that has it (by doc_id): two links an occurrence, never pairs of
-   occurrences. Both are found by an aggregation that folds before the shuffle; the join back is an ordinary one, which AQE
-   splits at hot seeds.
-3. Matches of a (document, first document) pair are chained: best sum of seed weights minus a cost for the words skipped on
-   both sides, with a Fenwick tree over places in the first document for the best chain so far (n log n).
-4. Chains are aligned: gaps between seeds by a word diff, ends by extension with a drop-off, weak gaps split a chain. Parts of
+1. Seeds: all runs of SHINGLE words, and minimisers of longer runs (LONG), which tell documents that share a passage from those
+   that only hold its lines. The key of a seed holds how often it came before in its document, so repetitive texts match place
+   by place; later occurrences have the first one's key too. Seeds of a group of documents travel as packed columns, one row
+   for each bucket of keys, so the shuffle moves about seven bytes a seed and is sorted in numpy.
+2. Each occurrence of a seed links to the document before it and to the first one that has it (by doc_id): two links an
+   occurrence, never pairs of occurrences. Keys of very many documents are split by ranges of doc_id (HOT_SHARE, RANGE_DOCS).
+3. Matches of a (document, earlier document) pair are chained: best sum of seed weights minus a cost for the words skipped on
+   both sides, with a Fenwick tree over places in the earlier document for the best chain so far (n log n). Matches that
+   ascend on both sides need no tree: the best one before is the one before.
+4. Chains are aligned, over 24-bit hashes of the words: gaps between seeds by a word diff, ends by extension with a drop-off, weak gaps split a chain. Parts of
    MIN_WORDS words or more with an identity of 0.8 or more are passages.
 """
 
@@ -17,121 +18,309 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import values
 from weftline.plans.storage import Spill, record_batches, shuffle_partitions
 
-SHINGLE, WINDOW, MIN_WORDS, IDENTITY = 4, 1, 50, 0.8
+SHINGLE, MIN_WORDS, IDENTITY = 4, 50, 0.8
+#: (words, window) of the long seeds: two texts with the same words + window - 1 words share one. A long seed is enough for a chain.
+LONG = ((16, 16), (40, 11))
+#: Words of the kinds of seeds.
+WORDS = np.array([SHINGLE, *(k for k, _ in LONG)])
 #: Seeds of a chain that is aligned: n words with a fifth of them replaced share n - 3 - 4 * n / 5 shingles at least, 7 of 50.
-#: Fewer are asked for, as seeds may have their first document elsewhere.
+#: Fewer are asked for, as seeds may have other documents before and between.
 MIN_SEEDS = 3
-#: Words of a long shingle, of which minimisers over as many are seeds too: where the short ones occur everywhere, these name the
-#: documents that share more than lines. One is as good as MIN_SEEDS short ones.
-LONG = 16
 #: Rounds in which seeds are matched, each with its share of the keys: bounds the disk that seeds take at a time.
-ROUNDS = 4
+ROUNDS = 2
+#: Bytes of text of a shuffle partition and of a bucket of keys (about a seed for every five bytes).
+PART_BYTES, BUCKET_BYTES = 64 << 20, 4 << 20
+#: Bytes of text whose seeds are packed at once, and those hashed at once.
+GROUP_BYTES, HASH_BYTES = 4 << 20, 1 << 20
+#: Documents of a range of doc_id. Where there are more, keys that HOT_SHARE of a sample of HOT_SAMPLE documents hold are dealt by
+#: key and range. The sample decides only how such keys are dealt; their first document is found over all documents.
+RANGE_DOCS, HOT_SHARE, HOT_SAMPLE, HOT_KEYS = 500_000, 0.01, 20_000, 100_000
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
-#: Grid to which ranges of words are rounded, and rows that the alignment takes at once: both bound its memory.
-GRID, ALIGN_ROWS = 32, 256
+#: Rows of an Arrow batch: packed columns and ranges of words are long.
+BATCH_ROWS = 2000
 #: Words beyond a chain's outer seeds that the alignment may take in.
 MARGIN = 64
+#: A passage of n words has n / 5 other words at most, so n / 5 + 1 runs of equal ones; those of less than SHINGLE words hold
+#: three fifths of n at most, so seeds shared with its other document cover a fifth of n: ten words of the shortest passage.
+MIN_COVER = MIN_WORDS // 5
+#: Bytes of a word's hash in the alignment (two different words in 17 million pass for equal).
+CODE = 3
 #: Cost of a skipped word on either side, in words of seed weight.
 GAP_COST = 0.06
 #: Unmatched words in a row that split a chain.
 SPLIT = 12
 PASSAGE = "doc_id long, text_hash long, start_word long, end_word long, rep_doc_id long, rep_start long, rep_end long, identity double"
 
+_M, _R = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
 
 def split_words(text: str | None) -> list[bytes]:
     """Words of a whole text: runs of anything but ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _shingles(h: np.ndarray, k: int, window: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, word places, how often the key came before) of the seeds of words with the hashes h; of the keys one share."""
-    n = len(h) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    s = np.full(n, k, np.uint64)
-    for i in range(k):
-        s = (s ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        s ^= s >> np.uint64(32)
-    if window == 1:
-        places = np.arange(n)
-    elif n <= window:
-        places = np.array([int(np.argmin(s))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(s, window)
-        places = np.unique(np.concatenate([views[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)]))
-    keys = s[places]
-    if parts > 1:
-        own = (keys >> np.uint64(40)) % np.uint64(parts) == part
-        keys, places = keys[own], places[own]
-        if not len(keys):
-            return keys, places, keys
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    before = np.empty(len(keys), np.uint64)
-    before[order] = (np.arange(len(keys)) - first).astype(np.uint64)
-    return keys, places, before
-
-
-def _hashes(text: str | None) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, split_words(text))), np.uint64)
-
-
-def _numbered(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return (keys + before * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
-
-def seeds_of(text: str | None, k: int = SHINGLE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, word places) of a text's seeds; texts of fewer than k words have none."""
-    keys, places, before = _shingles(_hashes(text), k, window)
-    return _numbered(keys, before), places
-
-
-def all_seeds(text: str | None, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, word places, is long, is again) of the short and long seeds of a text.
-
-    A seed that came before in the text is there twice, the second time (again) with the key of the first occurrence.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M
+    return x ^ (x >> np.uint64(29))
+
+
+_BYTE = _mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """R ** j and R ** -j modulo 2 ** 64 for j < n."""
+    ratio = np.ones((2, n), np.uint64)
+    ratio[:, 1:] = np.array([[_R], [pow(_R, -1, 1 << 64)]], np.uint64)
+    return tuple(np.cumprod(ratio, axis=1))
+
+
+def _next_cut(data: np.ndarray, offsets: np.ndarray, a: int) -> int:
+    """A place after ``a``, about HASH_BYTES on, at which no word is cut."""
+    end, b = int(offsets[-1]), a + HASH_BYTES
+    if b >= end:
+        return end
+    blank = np.flatnonzero(_SPACE[data[a:b]])
+    best = max(int(offsets[np.searchsorted(offsets, b, "right") - 1]), a + int(blank[-1]) + 1 if len(blank) else a)
+    while best <= a:  # a word of more than HASH_BYTES
+        blank, stop = np.flatnonzero(_SPACE[data[b : b + HASH_BYTES]]), int(offsets[np.searchsorted(offsets, b, "right")])
+        best = min(stop, b + int(blank[0]) if len(blank) else end) if len(blank) or stop <= b + HASH_BYTES else a
+        b += HASH_BYTES
+    return best
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words before each text) of the texts data[offsets[i]:offsets[i + 1]].
+
+    A word's hash is a polynomial of its bytes, read off running sums: no word becomes a Python value.
     """
-    h = _hashes(text)
-    out = []
-    for long, (keys, places, before) in enumerate((_shingles(h, SHINGLE, WINDOW, part, parts), _shingles(h, LONG, LONG, part, parts))):
-        more = np.flatnonzero(before)
-        out.append((_numbered(keys, before), places, np.full(len(keys), bool(long)), np.zeros(len(keys), bool)))
-        out.append((keys[more].view(np.int64), places[more], np.full(len(more), bool(long)), np.ones(len(more), bool)))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+    hashes, starts, a = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], int(offsets[0])
+    while a < offsets[-1]:
+        b = _next_cut(data, offsets, a)
+        space, edge = _SPACE[data[a:b]], np.zeros(b - a + 1, bool)
+        edge[[0, -1]] = True
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        before, after = edge[:-1].copy(), edge[1:].copy()
+        before[1:] |= space[:-1]
+        after[:-1] |= space[1:]
+        s, e = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        up, down = _powers(max(b - a, HASH_BYTES))
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=sums[1:])
+        hashes.append(_mix((sums[e] - sums[s]) * down[s]))
+        starts.append(s + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words, from those of runs of 1, 2, 4, ... words."""
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(len(a), len(b))
+        return _mix(a[:n] * _M + b[:n])
+
+    out, have, power, width = None, 0, h, 1
+    while True:
+        if k & width:
+            out = power if out is None else join(out, power[have:])
+            have += width
+        if have == k:
+            return out
+        power, width = join(power, power[width:]), width * 2
+
+
+def _minimisers(s: np.ndarray, window: int) -> np.ndarray:
+    """Whether a value is the least of any ``window`` values in a row (ties count), of fewer at the ends."""
+
+    def slide(x: np.ndarray, pick, fill) -> np.ndarray:  # over x[i : i + window]
+        width = 1
+        x = np.concatenate([x, np.full(window - 1, fill, np.uint64)])
+        while width < window:
+            step = min(width, window - width)
+            x = pick(x[:-step], x[step:])
+            width += step
+        return x
+
+    low = slide(np.concatenate([np.full(window - 1, ~np.uint64(0)), s]), np.minimum, ~np.uint64(0))
+    return slide(low[::-1], np.maximum, np.uint64(0))[::-1][window - 1 :] == s
+
+
+def _numbers(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """How often a key came before in its text."""
+    both = keys + texts.astype(np.uint64) * np.uint64(_R)
+    order = np.argsort(both)
+    same = both[order[1:]] == both[order[:-1]]
+    again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(keys) else order
+    again = again[np.lexsort((again, both[again]))]
+    new = np.concatenate([[True], both[again[1:]] != both[again[:-1]]])[: len(again)]
+    out = np.zeros(len(keys), np.uint64)
+    out[again] = np.arange(len(again)) - np.maximum.accumulate(np.where(new, np.arange(len(again)), 0))
+    return out
+
 
+def seeds_of(data: np.ndarray, offsets: np.ndarray, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, texts, places) of the seeds of texts, of one share of the keys. A place is 8 * word + 2 * kind + again.
+
+    A seed that came before in its text is there twice, the second time (again) with the key of the first occurrence.
+    """
+    h, bounds = word_hashes(data, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    found = []
+    for kind, (k, window) in enumerate(((SHINGLE, 1), *LONG)):
+        if len(h) < k:
+            continue
+        keys = _runs(h, k)
+        whole = owner[: len(keys)] == owner[k - 1 :]
+        if window > 1:
+            whole &= _minimisers(np.where(whole, keys, ~np.uint64(0)), window)
+        if parts > 1:
+            whole &= (keys >> np.uint64(40)) % np.uint64(parts) == part
+        at = np.flatnonzero(whole)
+        found.append((keys[at], owner[at], (at - bounds[owner[at]]) * 8 + kind * 2))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, texts, places = map(np.concatenate, zip(*found, strict=True))
+    before = _numbers(keys, texts)
+    more = np.flatnonzero(before)
+    keys = np.concatenate([keys + before * np.uint64(_R), keys[more]])
+    return keys, np.concatenate([texts, texts[more]]), np.concatenate([places, places[more] + 1])
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, data, offsets) of GROUP_BYTES of text at most, or of one longer text."""
+    column = batch.column(1)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    docs = batch.column(0).to_numpy(zero_copy_only=False)
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(docs):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
+        yield docs[at:end], data, offsets[at : end + 1]
+        at = end
+
+
+def _packed(bucket: np.ndarray, cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row for each bucket: its values of every column, as planes of bytes (planes of zeros vanish in the shuffle)."""
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else order
+    ends = np.append(at[1:], len(order))[: len(at)]
+    out = [pa.array(ordered[at].astype(np.int32))]
+    for c in cols:
+        c = c[order]
+        planes = [c[s:e].view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for s, e in zip(at.tolist(), ends.tolist(), strict=True)]
+        out.append(pa.array(planes, pa.binary()))
+    return pa.record_batch(out, names)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket, from rows sorted by bucket."""
+    held: list[list[np.ndarray]] = []
+    last = None
+
+    def unpack(x, kind: type) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+    for batch in batches:
+        for row, bucket in enumerate(batch.column(0).to_pylist()):
+            if held and bucket != last:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held.clear()
+            last = bucket
+            held.append([unpack(batch.column(i + 1)[row], kind) for i, kind in enumerate(kinds)])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mix(keys) >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int32)
+
+
+SEEDS, MATCHES = ["bucket", "keys", "docs", "places"], ["bucket", "docs", "reps", "places", "rplaces"]
+#: Matches that are packed at once.
+PACK_MATCHES = 500_000
+
+
+def _seeds(part: int, parts: int, buckets: int, hot=None):
+    """Rows (bucket, keys, docs, places). ``hot``: broadcast (keys, first docs, their places, upper bounds of ranges of doc_id)."""
 
-def _seeds(part: int, parts: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for at in range(0, len(docs), 512):
-                keys, ids, places, longs, agains = [], [], [], [], []
-                for doc, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist(), strict=True):
-                    k, p, long, again = all_seeds(text, part, parts)
-                    keys.append(k)
-                    places.append(p)
-                    longs.append(long)
-                    agains.append(again)
-                    ids.append(np.full(len(k), doc, np.int64))
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(longs)), pa.array(np.concatenate(agains))], ["key", "doc", "pos", "long", "again"])
+            for docs, data, offsets in _groups(batch):
+                keys, texts, places = seeds_of(data, offsets, part, parts)
+                own = docs[texts]
+                if hot is not None:
+                    known, first, first_place, bounds = hot.value
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    mine = np.flatnonzero(known[at] == keys)
+                    # A hot key is dealt by range, and each range is given the key's first document to link to.
+                    shift = (np.searchsorted(bounds, own[mine]) + 1).astype(np.uint64) * _M
+                    keys[mine] += shift
+                    new, which = np.unique(keys[mine], return_index=True)
+                    keys = np.concatenate([keys, new])
+                    own = np.concatenate([own, first[at[mine][which]]])
+                    places = np.concatenate([places, first_place[at[mine][which]]])
+                yield _packed(_bucket(keys, buckets), [keys.astype(np.uint32), own, places], SEEDS)
 
     return seeds
 
 
+def links(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, rep, place, rplace): each seed with the document before its own that has the key, and with the first one."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(key) else order
+    shared = shared[np.lexsort((place[shared], doc[shared], key[shared]))]
+    key, doc, place = key[shared], doc[shared], place[shared]
+    if not len(key):
+        return doc, doc, place, place
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new = np.concatenate([[True], doc[1:] != doc[:-1]]) | new_key
+    holder, at = np.cumsum(new) - 1, np.flatnonzero(new)  # of each seed its (key, document), of that its first seed
+    first = np.maximum.accumulate(np.where(new_key, holder, 0))
+    keep = new | np.concatenate([[True], place[1:] != place[:-1]])
+    before, far = np.flatnonzero(keep & (holder > first)), np.flatnonzero(keep & (holder > first + 1))
+    mine = np.concatenate([before, far])
+    rep = at[np.concatenate([holder[before] - 1, first[far]])]
+    return doc[mine], doc[rep], place[mine], place[rep]
+
+
+def _link(buckets: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            doc, rep, place, rplace = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(doc)
+            doc, rep, place, rplace = (x[order] for x in (doc, rep, place, rplace))
+            return _packed(_bucket(doc.view(np.uint64), buckets), [doc, rep, place, rplace], MATCHES)
+
+        for cols in _buckets(batches, [np.uint32, np.int64, np.int64]):
+            held.append(links(*cols))
+            if sum(len(x[0]) for x in held) > PACK_MATCHES:
+                yield table()
+        if held:
+            yield table()
+
+    return link
+
+
 def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: float = GAP_COST) -> list[list[int]]:
     """Disjoint chains of the matches (sorted by pos), best first; a chain strictly ascends on both sides.
 
@@ -177,74 +366,156 @@ def chains(pos: np.ndarray, rpos: np.ndarray, weight: float = SHINGLE, gap: floa
             out.append(path[::-1])
     return out
 
+def _steps(pair: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, chain) of the matches of many pairs, which are sorted by pair, pos and rpos: chains as ``chains`` finds them.
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by (doc, rep, pos) -> chains of MIN_SEEDS seeds or more, or with a long seed."""
-    rest: list[np.ndarray] = []
-    out: list[tuple] = []
-
-    def table() -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], ["doc", "rep", "pos", "rpos"])
-        out.clear()
-        return batch
-
-    def pair(doc: int, rep: int, pos: np.ndarray, rpos: np.ndarray, long: np.ndarray, again: np.ndarray) -> None:
-        if again.any():  # counts where the other document has the seed fewer times
-            keep = ~again | ~np.isin(pos * 2 + long, (pos * 2 + long)[~again])
-            pos, rpos, long = pos[keep], rpos[keep], long[keep]
-        at, inverse = np.unique(np.stack([pos, rpos], 1), axis=0, return_inverse=True)
-        long = np.bincount(inverse.ravel(), long) > 0
-        pos, rpos = at[:, 0], at[:, 1]
-        for c in chains(pos, rpos):
-            if len(c) < MIN_SEEDS and not long[c].any():
-                continue
-            n = max(1, -(-int(pos[c[-1]] - pos[c[0]]) // MAX_WORDS))  # pieces of even length; neighbours share a seed
-            cuts = np.searchsorted(pos[c], np.linspace(pos[c[0]], pos[c[-1]], n + 1)).tolist() if n > 1 else [0, len(c) - 1]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a or len(c) == 1:
-                    out.append((doc, rep, pos[c[a : b + 1]].tolist(), rpos[c[a : b + 1]].tolist()))
-
-    def pairs(cols: list[np.ndarray]) -> None:
-        bounds = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-        bounds = np.concatenate([[0], bounds, [len(cols[0])]])
-        for g in np.flatnonzero((np.diff(bounds) >= MIN_SEEDS) | np.logical_or.reduceat(cols[4], bounds[:-1])):
-            s, e = bounds[g], bounds[g + 1]
-            pair(int(cols[0][s]), int(cols[1][s]), *(c[s:e] for c in cols[2:]))
-
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
+    Where all matches of a pair ascend on both sides, a chain is a stretch of neighbours: with linear costs the best match
+    before is the last one, and a chain ends where its score is used up. Whole numbers, in fiftieths of a word.
+    """
+    gap, weight, far = round(GAP_COST * 50), SHINGLE * 50, 1 << 40
+    inner = pair[1:] == pair[:-1]
+    a, b = np.diff(pos), np.diff(rpos)
+    starts = np.flatnonzero(np.concatenate([[True], ~inner]))
+    tangled = np.logical_or.reduceat(np.concatenate([[False], inner & ~((a > 0) & (b > 0))]), starts)
+    total = np.cumsum(np.concatenate([[-far], np.where(inner, weight - gap * (a + b), -far)]))
+    least = np.minimum.accumulate(total)
+    score, stretch = total - least, np.cumsum(total == least)
+    over = stretch * (int(score.max()) + 1) - score  # a chain ends where no later score of its stretch is higher
+    ends = np.minimum.accumulate(over[::-1])[::-1] == over
+    fresh = np.concatenate([[True], ends[:-1]])
+    size = np.diff(np.append(starts, len(pair)))
+    plain = np.flatnonzero(np.repeat(~tangled, size))
+    orders, ids = [plain], [np.cumsum(fresh[plain]) - 1 if len(plain) else plain]
+    n = int(ids[0][-1]) + 1 if len(plain) else 0
+    for s, e in zip(starts[tangled].tolist(), (starts + size)[tangled].tolist(), strict=True):
+        for c in chains(pos[s:e], rpos[s:e]):
+            orders.append(np.array(c) + s)
+            ids.append(np.full(len(c), n))
+            n += 1
+    return np.concatenate(orders), np.concatenate(ids)
+
+
+def _pieces(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs (pos, rpos, words) of a chain, in pieces of MAX_WORDS words at most and even length."""
+    first, last = runs[0][0], runs[-1][0] + runs[-1][2]
+    n = max(1, -(-(last - first) // MAX_WORDS))
+    for k in range(n):
+        lo, hi = first + (last - first) * k // n, first + (last - first) * (k + 1) // n
+        own = [(max(p, lo), r + max(p, lo) - p, min(p + size, hi) - max(p, lo)) for p, r, size in runs if p < hi and p + size > lo]
+        if own:
+            yield own
+
+
+def _worth(found: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
+    """Chains (doc, rep, runs) of a document without those that lie inside a run of MIN_WORDS equal words of another one:
+    what they could show is shown."""
+    if len(found) == 1:
+        return found
+    out, shown = [], []
+    for doc, rep, runs in sorted(found, key=lambda x: (-max(n for *_, n in x[2]), x[1])):
+        lo, hi = runs[0][0], runs[-1][0] + runs[-1][2]
+        if any(s <= lo and hi <= e for s, e in shown):
             continue
-        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        last = int(np.argmax(same))
-        rest = [c[last:].copy() for c in cols]
-        if last:
-            pairs([c[:last] for c in cols])
-        yield table()
-    if rest:
-        pairs(rest)
-    yield table()
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(own, text, text_hash, ranges) -> (own, text_hash, lo, hi, seg): the words lo..hi of the text, joined by blanks."""
+        out.append((doc, rep, runs))
+        shown += [(p, p + n) for p, _, n in runs if n >= MIN_WORDS]
+    return out
+
+
+def document_chains(doc: np.ndarray, rep: np.ndarray, place: np.ndarray, rplace: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(doc, rep, runs (pos, rpos, words)) of the chains of MIN_SEEDS seeds or more, or with a long one; all of a document's
+    matches are given at once."""
+    if not len(doc):
+        return
+    known, number = np.unique(doc, return_inverse=True)
+    seed = np.unique((number << 40) + (place >> 3) * 4 + ((place >> 1) & 3))
+    start, until = seed >> 2 << 2, ((seed >> 2) + WORDS[seed & 3]) << 2
+    covered = np.cumsum(np.concatenate([[0], np.maximum(until - np.maximum(start, np.maximum.accumulate(np.concatenate([[0], until[:-1]]))), 0) >> 2]))
+    pair = _mix(doc.view(np.uint64)) * np.uint64(_R) + _mix(rep.view(np.uint64))
+    order = np.argsort(pair)
+    pair = pair[order]
+    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else order
+    size = np.diff(np.append(starts, len(pair)))
+    enough = (size >= MIN_SEEDS) | np.logical_or.reduceat((place[order] & 6) > 0, starts) if len(pair) else size > 0
+    order = order[np.repeat(enough, size)]
+    doc, rep, place, rplace = (x[order] for x in (doc, rep, place, rplace))
+    pos, kind, again, rpos = place >> 3, (place >> 1) & 3, place & 1, rplace >> 3
+    order = np.lexsort((rpos, again, pos, rep, doc))
+    doc, rep, pos, kind, again, rpos = (x[order] for x in (doc, rep, pos, kind, again, rpos))
+    if not len(doc):
+        return
+    pair = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1])]))
+    spot = np.concatenate([[True], (pos[1:] != pos[:-1]) | (pair[1:] != pair[:-1])])
+    lead = np.maximum.accumulate(np.where(spot, np.arange(len(spot)), 0))
+    keep = np.flatnonzero(again == again[lead])  # an occurrence that is matched as such isn't matched to the first one too
+    doc, rep, pos, kind, rpos, pair = (x[keep] for x in (doc, rep, pos, kind, rpos, pair))
+    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (pos[1:] != pos[:-1]) | (rpos[1:] != rpos[:-1])]))
+    kind = np.maximum.reduceat(kind, at)
+    doc, rep, pos, rpos, pair = (x[at] for x in (doc, rep, pos, rpos, pair))
+    order, chain = _steps(pair, pos, rpos)
+    starts = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    size = np.diff(np.append(starts, len(chain)))
+    good = np.repeat((size >= MIN_SEEDS) | (np.maximum.reduceat(kind[order], starts) > 0), size)
+    order, chain = order[good], chain[good]
+    if not len(order):
+        return
+    p, r, n = pos[order], rpos[order], WORDS[kind[order]]
+    new_chain = np.concatenate([[True], chain[1:] != chain[:-1]])
+    new = new_chain | np.concatenate([[True], (np.diff(p) != np.diff(r)) | (p[1:] > (p + n)[:-1])])
+    at = np.flatnonzero(new)
+    words = np.maximum.reduceat(p + n, at) - p[at]
+    runs = list(zip(p[at].tolist(), r[at].tolist(), words.tolist(), strict=True))
+    first = np.flatnonzero(new_chain[at])
+    whose = order[at[first]]
+    ends = np.append(first[1:], len(runs))
+    # Words near a chain that any earlier document's seeds cover: too few can't be a passage (seeds that reach in count whole).
+    base, last = np.searchsorted(known, doc[whose]) << 40, at[ends - 1]
+    near, far = p[at[first]] - MARGIN - WORDS.max(), p[last] + words[ends - 1] + MARGIN
+    cover = covered[np.searchsorted(seed, base + far * 4)] - covered[np.searchsorted(seed, base + np.maximum(near, 0) * 4)]
+    own: list[tuple[int, int, list]] = []
+    by_doc = np.argsort(doc[whose], kind="stable")
+    for k in by_doc[cover[by_doc] >= MIN_COVER].tolist():
+        found = (int(doc[whose[k]]), int(rep[whose[k]]), runs[first[k] : ends[k]])
+        if own and own[0][0] != found[0]:
+            yield from _worth(own)
+            own = []
+        own.append(found)
+    if own:
+        yield from _worth(own)
+
+
+CHAIN = "doc long, rep long, lo int, hi int, rlo int, rhi int, pos array<int>, rpos array<int>, size array<int>"
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches by bucket of documents -> chains, with the ranges of words to align."""
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
+    names = [x.split()[0] for x in CHAIN.split(", ")]
+    for cols in _buckets(batches, [np.int64] * 4):
+        out = []
+        for doc, rep, runs in document_chains(*cols):
+            for piece in _pieces(runs):
+                pos, rpos, size = map(list, zip(*piece, strict=True))
+                ranges = (max(0, x) for at in (pos, rpos) for x in (at[0] - MARGIN, at[-1] + size[-1] + MARGIN))
+                out.append((doc, rep, *ranges, pos, rpos, size))
+        for at in range(0, len(out), 4096):
+            part = zip(*out[at : at + 4096], strict=True)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(part, types, strict=True)], names)
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(own, text, text_hash) -> (own, text_hash, words): CODE bytes of hash for each word of a text."""
     for batch in batches:
-        own, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for at in range(0, batch.num_rows, 64):
-            out: list[tuple] = []
-            texts, ranges = batch.column(1).slice(at, 64).to_pylist(), batch.column(3).slice(at, 64).to_pylist()
-            for k, (text, asked) in enumerate(zip(texts, ranges, strict=True)):
-                words = split_words(text)
-                out += [(own[at + k], hashes[at + k], r["lo"], r["hi"], b" ".join(words[r["lo"] : r["hi"]])) for r in asked]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], ["own", "text_hash", "lo", "hi", "seg"])
-
-
-def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: int = SHINGLE, min_words: int = MIN_WORDS, identity: float = IDENTITY, split: int = SPLIT) -> list[tuple]:
-    """Passages (a_start, a_end, b_start, b_end, identity) of a chain; pos and rpos are places of seeds in a and b."""
+        at = 0
+        for docs, data, offsets in _groups(batch):
+            h, bounds = word_hashes(data, offsets)
+            raw = h.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+            words = [raw[s:e] for s, e in zip((bounds[:-1] * CODE).tolist(), (bounds[1:] * CODE).tolist(), strict=True)]
+            yield pa.record_batch([pa.array(docs), batch.column(2).slice(at, len(docs)), pa.array(words, pa.binary())], ["own", "text_hash", "words"])
+            at += len(docs)
+
+
+def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], min_words: int = MIN_WORDS, identity: float = IDENTITY, split: int = SPLIT) -> list[tuple]:
+    """Passages (a_start, a_end, b_start, b_end, identity) of a chain of runs: size[i] words at pos[i] in a and rpos[i] in b."""
     runs: list[tuple[int, int, int]] = []  # (a, b, equal words) in ascending order
     inner: list[tuple[int, int, int]] = []  # the same between the outer seeds, as found
 
@@ -271,14 +542,14 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
 
     left, near = extend(pos[0], rpos[0], -1, 0, 0)
     i, j = pos[0], rpos[0]
-    for p, q in zip(pos, rpos, strict=True):
+    for p, q, k in zip(pos, rpos, size, strict=True):
         if p > i and q > j:
             x, y = a[i:p], b[j:q]
             if x == y:
                 inner.append((i, j, p - i))
             else:
                 inner += [(i + m.a, j + m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
-        n = 0
+        n = k if a[p : p + k] == b[q : q + k] else 0
         while n < k and p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
             n += 1
         if n:
@@ -326,74 +597,118 @@ def align(a: list[bytes], b: list[bytes], pos: list[int], rpos: list[int], k: in
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, rep, text_hash, lo, seg, rlo, rseg, pos, rpos, size) -> passages."""
     names = [x.split()[0] for x in PASSAGE.split(", ")]
+    parts = 256 ** np.arange(CODE)
+    words = lambda seg: np.frombuffer(seg, np.uint8).reshape(-1, CODE) @ parts
     for batch in batches:
         out: list[tuple] = []
-        for doc, rep, text_hash, start, seg, rstart, rseg, pos, rpos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = seg.split(), rseg.split()
-            ok = [(p - start, q - rstart) for p, q in zip(pos, rpos, strict=True) if 0 <= p - start < len(a) and 0 <= q - rstart < len(b)]
+        for doc, rep, text_hash, start, seg, rstart, rseg, pos, rpos, size in zip(*map(values, batch.columns), strict=True):
+            a, b = words(seg), words(rseg)
+            ok = [(p - start, q - rstart, n) for p, q, n in zip(pos, rpos, size, strict=True) if 0 <= p - start < len(a) and 0 <= q - rstart < len(b)]
             if not ok:
                 continue
-            for i, j, x, y, same in align(a, b, *map(list, zip(*ok, strict=True))):
+            if len(ok) == 1:  # all equal words lie on one diagonal: too few of them are no passage
+                p, q, _ = ok[0]
+                at = min(p, q)
+                n = min(len(a) - p, len(b) - q) + at
+                if np.count_nonzero(a[p - at : p - at + n] == b[q - at : q - at + n]) < IDENTITY * MIN_WORDS:
+                    continue
+            for i, j, x, y, same in align(a.tolist(), b.tolist(), *map(list, zip(*ok, strict=True))):
                 out.append((doc, text_hash, i + start, j + start, rep, x + rstart, y + rstart, same))
         types = [pa.int64()] * 7 + [pa.float64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names)
 
 
-def _matches(rows: DataFrame, part: int) -> Spill:
-    """(doc, rep, pos, rpos, long, again): the links of one share of the keys."""
-    spark = rows.sparkSession
-    seeds = Spill(rows.mapInArrow(_seeds(part, ROUNDS), "key long, doc long, pos int, long boolean, again boolean"), "seeds")
-    ends = seeds.df.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", (-F.col("pos")).alias("back"))).alias("last")).where("last.doc > first.doc")
-    joined = seeds.df.join(ends, "key").where("doc > first.doc")
-    earlier = F.struct("doc", F.col("first.doc").alias("rep"), "pos", F.col("first.pos").alias("rpos"), "long", "again")
-    later = F.struct(F.col("last.doc").alias("doc"), F.col("doc").alias("rep"), (-F.col("last.back")).alias("pos"), F.col("pos").alias("rpos"), "long", "again")
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffle files of a round go with it
+def _cleaned(spark: SparkSession, df: DataFrame, name: str) -> Spill:
+    """A spilled table whose shuffle files go as soon as it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        found = Spill(joined.select(F.explode(F.when(~F.col("again") & (F.col("doc") < F.col("last.doc")), F.array(earlier, later)).otherwise(F.array(earlier))).alias("m")).select("m.*"), "matches")
+        return Spill(df, name)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    seeds.drop()
-    return found
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hot(rows: DataFrame, n: int, range_docs: int):
+    """Broadcast (keys, first docs, their places, bounds of ranges) of the keys that very many documents hold; None for few documents.
+
+    At most HOT_KEYS keys, each of HOT_SHARE of the sampled documents; who is first is found over all documents.
+    """
+    if n <= range_docs:
+        return None
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in _groups(batch):
+                keys, texts, places = seeds_of(data, offsets)
+                own = np.unique(np.stack([keys, texts.astype(np.uint64)], 1), axis=0)
+                key, k = np.unique(own[:, 0], return_counts=True)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(k.astype(np.int64))], ["key", "n"])
+
+    part = rows.sample(min(1.0, HOT_SAMPLE / n), seed=1).mapInArrow(count, "key long, n long")
+    least = max(2, int(HOT_SHARE * min(n, HOT_SAMPLE)))
+    top = part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
+    keys = np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
+    if not len(keys):
+        return None
+    sent = spark.sparkContext.broadcast(keys)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, data, offsets in _groups(batch):
+                keys, texts, places = seeds_of(data, offsets)
+                mine = np.flatnonzero(np.isin(keys, sent.value))
+                order = mine[np.lexsort((places[mine], docs[texts[mine]], keys[mine]))]
+                key, at = np.unique(keys[order], return_index=True)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(docs[texts[order[at]]]), pa.array(places[order[at]])], ["key", "doc", "place"])
+
+    heads = rows.mapInArrow(firsts, "key long, doc long, place long").groupBy("key").agg(F.min(F.struct("doc", "place")).alias("x")).select("key", "x.*").collect()
+    heads = sorted((np.int64(r.key).astype(np.uint64), r.doc, r.place) for r in heads)
+    ranges = -(-n // range_docs)
+    bounds = rows.stat.approxQuantile("doc", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    return spark.sparkContext.broadcast((np.array([h[0] for h in heads], np.uint64), *(np.array([h[i] for h in heads], np.int64) for i in (1, 2)), np.unique(np.array(bounds, np.int64))))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_docs: int = RANGE_DOCS) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, rep_doc_id, rep_start, rep_end, identity): passages of MIN_WORDS words or more
     that repeat, up to 20 % of their words, in a document of a smaller doc_id. Word places count from 0, ends are exclusive.
 
-    The first document of a passage has no row for it. Two documents are compared if one of them is the first or the last
-    holder of seeds that they share; where other documents hold all pieces of a passage both before and after them, it can be missed. Rows with a null doc_id or text neither have nor give passages.
-    Repeats inside a document aren't looked for. Rows that share a doc_id are searched together, and text_hash (XXH64 of
-    the text) tells which text a passage is of. Passages of a document may overlap if they match several documents; those of
-    more than MAX_WORDS words come in pieces.
+    The first document of a passage has no row for it. Two documents are compared if one is the first holder, or the last one
+    before the other, of MIN_SEEDS short seeds or a long one that they share; where documents before and between hold all pieces
+    of a passage, it can be missed. A stretch that repeats in several earlier documents is shown with one of them at least. Rows
+    with a null doc_id or text neither have nor give passages. Repeats inside a document aren't looked for. Rows that share a
+    doc_id are searched together, and text_hash (XXH64 of the text) tells which text a passage is of. Passages of a document may
+    overlap if they match several documents; those of more than MAX_WORDS words come in pieces. Very long texts are hashed in
+    parts; ties go to the smaller doc_id. Keys of very many documents are dealt by ranges of ``range_docs`` documents: there the
+    first document of each range is linked to the first of all only.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    rounds = [_matches(rows, part) for part in range(ROUNDS)]
-    matches = reduce(DataFrame.union, [x.df for x in rounds])
-    linked = matches.repartition(n, "doc", "rep").sortWithinPartitions("doc", "rep", "pos", "rpos")
-    found = Spill(linked.mapInArrow(_chain, "doc long, rep long, pos array<int>, rpos array<int>"), "chains")
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(shuffle_partitions(spark), -(-size // PART_BYTES))
+    buckets = n * max(1, -(-size // (n * BUCKET_BYTES)))
+    hot = _hot(rows, count, range_docs)
+    dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    with record_batches(spark, BATCH_ROWS):
+        rounds = []
+        for part in range(ROUNDS):
+            seeds = rows.mapInArrow(_seeds(part, ROUNDS, buckets, hot), "bucket int, keys binary, docs binary, places binary")
+            rounds.append(_cleaned(spark, dealt(seeds).mapInArrow(_link(buckets), "bucket int, docs binary, reps binary, places binary, rplaces binary"), "matches"))
+        matches = reduce(DataFrame.union, [x.df for x in rounds])
+        chained = _cleaned(spark, dealt(matches).mapInArrow(_chain, CHAIN), "chains").df
     for x in rounds:
         x.drop()
-    # A chain too short for a passage even with both margins never becomes one. Ranges of words are rounded to a grid, so
-    # that the copies of a passage ask for the same few ranges of its first document, and each range is cut once.
-    low = lambda at: F.greatest(F.floor((F.element_at(at, 1) - MARGIN) / GRID) * GRID, F.lit(0)).cast("int")
-    high = lambda at: (F.ceil((F.element_at(at, -1) + SHINGLE + MARGIN) / GRID) * GRID).cast("int")
-    chained = found.df.where(F.element_at("pos", -1) - F.element_at("pos", 1) + SHINGLE + 2 * MARGIN >= MIN_WORDS)
-    chained = chained.select("doc", "rep", low("pos").alias("lo"), high("pos").alias("hi"), low("rpos").alias("rlo"), high("rpos").alias("rhi"), "pos", "rpos")
-    asked = chained.select(F.col("doc").alias("own"), "lo", "hi").union(chained.select("rep", "rlo", "rhi")).distinct()
-    asked = asked.groupBy("own").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    texts = rows.select(F.col("doc").alias("own"), "text", F.xxhash64("text").alias("text_hash"))
-    joined = texts.join(asked, "own").select("own", "text", "text_hash", "ranges")
-    segments = Spill(joined.mapInArrow(_segments, "own long, text_hash long, lo int, hi int, seg binary"), "segments").df
-    first = segments.select(F.col("own").alias("doc"), "lo", "hi", "text_hash", "seg")
-    second = segments.select(F.col("own").alias("rep"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("seg").alias("rseg"))
-    both = chained.join(first, ["doc", "lo", "hi"]).join(second, ["rep", "rlo", "rhi"]).select("doc", "rep", "text_hash", "lo", "seg", "rlo", "rseg", "pos", "rpos")
-    with record_batches(spark, ALIGN_ROWS):
-        return Spill(both.mapInArrow(_align, PASSAGE), "passages").df
+    # Both joins move three bytes a word, no texts; the ranges of words are cut from them in the JVM.
+    codes = rows.select(F.col("doc").alias("own"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_codes, "own long, text_hash long, words binary")
+    cut = lambda words, lo, hi: F.substring(words, F.col(lo) * CODE + 1, (F.col(hi) - F.col(lo)) * CODE)
+    plan = ["doc", "rep", "lo", "hi", "rlo", "pos", "rpos", "size"]
+    others = chained.join(codes, F.col("rep") == F.col("own")).select(*plan, cut(F.col("words"), "rlo", "rhi").alias("rseg"))
+    both = others.join(codes, F.col("doc") == F.col("own")).select("doc", "rep", "text_hash", "lo", cut(F.col("words"), "lo", "hi").alias("seg"), "rlo", "rseg", "pos", "rpos", "size")
+    with record_batches(spark, BATCH_ROWS):
+        return _cleaned(spark, both.mapInArrow(_align, PASSAGE), "passages").df
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
