@@ -73,3 +73,11 @@ def test_held_out(spark):
     d = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
     for r in d.select("doc_id", L.is_held_out().alias("h")).collect():
         assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_marks_alone_are_no_letters(spark):
+    rows = spark.createDataFrame([(1, "a quick text", "en"), (2, "ein kurzer text", "de")], "doc_id long, text string, lang string")
+    model = L.Classifier(L.fit_profiles(rows))
+    for text in ("\u0301", "\u0903", "\u20dd 12", " \u0301!", "", None):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("\u0301a")[0] in ("en", "de")

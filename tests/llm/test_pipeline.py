@@ -38,3 +38,19 @@ def test_stages_on_planted_cases(spark, tmp_path):
     packed = C.run(spark, path).collect()
     assert {r.doc_id for r in packed} == left
     assert set(Q.queries()) == {q for q in Q.queries() if q[:2] == "op"} and len(Q.queries()) == 10
+
+
+def test_texts_that_share_an_id(spark):
+    one, two, three = ("".join(f" {c}{i} word{i * k}" for i in range(60)) for k, c in ((3, "a"), (5, "b"), (7, "c")))
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, three), (4, three), (4, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(C.STAGES)["simhash"](spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (1, two), (3, three)])
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    for name, docs in (("empty", []), ("odd", [(1, "long " * 300_000, "en", "s", 1), (None, None, None, None, None), (2, "", None, None, None), (2, "", None, None, None)])):
+        path = f"file://{tmp_path}/{name}"
+        write(spark, path, docs, [])
+        rows = C.run(spark, path).collect()
+        assert {r.doc_id for r in rows} <= {1}

@@ -87,10 +87,7 @@ def test_nothing_trusted_and_empty(spark):
     assert Q.quality_by_perplexity(spark.createDataFrame([], schema), none).collect() == []
 
 
-def test_more_languages_than_the_bound(spark, monkeypatch):
-    import pytest
-
-    monkeypatch.setattr(Q, "MAX_LANGUAGES", 2)
-    docs = spark.createDataFrame([(i, f"l{i % 4}", f"some words of text number {i}") for i in range(80)], "doc_id long, lang string, text string")
-    with pytest.raises(ValueError, match="languages"):
-        Q.quality_by_perplexity(docs, docs.select("doc_id"))
+def test_each_of_many_languages_has_its_threshold(spark):
+    docs = spark.createDataFrame([(i, f"l{i % 40}", f"some words of text number {i} " * (1 + i % 40)) for i in range(1200)], "doc_id long, lang string, text string")
+    got = Q.quality_by_perplexity(docs, docs.select("doc_id")).collect()
+    assert len(got) == 1200 and len({(r.lang, r.threshold) for r in got}) == 40 and len({r.threshold for r in got}) > 30

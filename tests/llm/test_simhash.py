@@ -63,12 +63,12 @@ def near_set(rnd, n=400):
     return sorted(out)
 
 
-def check_links(spark, fps, hot):
+def check_links(spark, fps, hot, bits=2):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = [(r.src, r.dst) for r in S.fingerprint_links(df, hot=hot).collect()]
-    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in got)
-    want = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2]
+    got = [(r.src, r.dst) for r in S.fingerprint_links(df, bits, hot).collect()]
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= bits for a, b in got)
+    want = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= bits]
     assert groups(signed, got) == groups(signed, want)
 
 
@@ -82,6 +82,9 @@ def test_hot_anchors_go_the_exact_way(spark):
     fps = sorted({centre ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(300)})
     check_links(spark, fps, 5)
     check_links(spark, fps, S.HOT_ANCHOR)
+    near = near_set(rnd, 200)
+    for bits in (0, 1, 2):
+        check_links(spark, near, 1, bits)
 
 
 def test_groups(spark):

@@ -117,11 +117,12 @@ class Classifier:
             self.ranks[np.searchsorted(every, profiles[lang]), j] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, 1 - distance / largest distance); ("und", 0) without letters or without a model. Ties: first by name."""
+        """(language, 1 - distance / largest distance); ("und", 0) without letters (marks alone are none) or without a model.
+        Ties: first by name."""
+        if not self.langs or not any(map(str.isalpha, text or "")):
+            return UNDETERMINED, 0.0
         codes, counts = grams(text or "")
         own = top(codes, counts, self.document)
-        if not len(own) or not self.langs:
-            return UNDETERMINED, 0.0
         at = np.searchsorted(self.every, own)
         at[(at == len(self.every)) | (self.every[np.minimum(at, len(self.every) - 1)] != own)] = len(self.every)
         ranks = self.ranks[at]

@@ -27,7 +27,6 @@ SHARD_GRAMS = 3_000_000
 QUANTILE, SLACK = 0.99, 0.05
 #: Characters of a language's median that a text's mean is shrunk by, so that very short texts aren't judged on chance.
 SHRINK = 60
-MAX_LANGUAGES = 2000
 
 
 def codes(text: str) -> np.ndarray:
@@ -187,18 +186,11 @@ def quality_by_perplexity(docs: DataFrame, trusted_ids: DataFrame, quantile: flo
     scored = Spill(score_documents(rows, model), "perplexities").df.withColumn("h", -F.col("log_prob") / F.when(F.col("n_scored") > 0, F.col("n_scored")))
     fold = scored.join(trusted.where(held), "doc_id", "left_semi").where("h is not null")
     cut = lambda p: F.percentile_approx("h", p, 10_000)
-    by = fold.groupBy("lang").agg(cut(0.5).alias("mid"), cut(quantile).alias("top")).limit(MAX_LANGUAGES + 1).collect()
-    if len(by) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    by = Spill(fold.where("lang is not null").groupBy("lang").agg(cut(0.5).alias("own_mid"), cut(quantile).alias("own_top")), "thresholds").df
     whole = fold.agg(cut(0.5).alias("mid"), cut(quantile).alias("top")).first()
-
-    def pick(field: str) -> Column:
-        found, default = {r.lang: r[field] for r in by if r.lang is not None}, F.lit(whole[field]).cast("double")
-        if not found:
-            return default
-        return F.coalesce(F.create_map(*[F.lit(x) for kv in found.items() for x in kv])[F.coalesce("lang", F.lit(""))], default)
-
-    n, mid, limit = F.col("n_scored"), pick("mid"), pick("top") * (1 + slack)
+    # As many languages as there are: Spark broadcasts the table only if its measured size is small.
+    scored = scored.join(by, "lang", "left")
+    n, mid, limit = F.col("n_scored"), F.coalesce("own_mid", F.lit(whole.mid).cast("double")), F.coalesce("own_top", F.lit(whole.top).cast("double")) * (1 + slack)
     smooth = F.coalesce((F.col("h") * n + mid * SHRINK) / (n + SHRINK), "h")
     kept = F.col("h").isNotNull() & F.coalesce(smooth <= limit, F.lit(True))
     return scored.select("doc_id", "lang", F.coalesce("text", F.lit(0)).cast("long").alias("n_chars"), F.exp("h").alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))

@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.llm.batches import values
 from weftline.operators.components import connected_components
@@ -198,37 +197,38 @@ def fingerprint_links(fps: DataFrame, threshold: int = THRESHOLD, hot: int = HOT
     found = Spill(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold, hot), "kind byte, a long, b long"), "links").df
     links = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     over = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
-    radius = threshold // 2  # points within one bit for two bits; for one bit a side the point itself and its flips too
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    points = F.concat(F.array("fp"), flips) if threshold else F.array("fp")
-    near = over.select("fp", F.explode(points).alias("point"))
-    least = near.groupBy("point").agg(F.min("fp").alias("m"))
-    more = near.join(least, "point").where(F.col("fp") != F.col("m"))
-    if radius == 0 and threshold == 1:
-        more = more.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= 1)
+    if threshold == 2:  # two bits apart: a point one bit from both, which links its members to the least of them
+        near = over.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
+        more = near.join(near.groupBy("point").agg(F.min("fp").alias("m")), "point").where(F.col("fp") != F.col("m"))
+    else:  # one bit apart: one is a flip of the other; none apart are one fingerprint
+        near = over.select("fp", F.explode(flips if threshold else F.array().cast("array<long>")).alias("m"))
+        more = near.join(over.select(F.col("fp").alias("m")), "m").where(F.col("m") < F.col("fp"))
     return links.union(more.select(F.col("fp").alias("src"), F.col("m").alias("dst")))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(t) for t in values(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id long, fingerprint string of 16 lowercase hex digits, component_id long), one row per row of ``docs``.
+    """(doc_id long, fingerprint string of 16 lowercase hex digits, component_id long, group_id long, text_hash long), one row per
+    row of ``docs``. group_id tells groups apart that a doc_id of several texts names alike; text_hash is the text's XXH64.
 
     Exact copies share a fingerprint and fold into one before any comparison. component_id is the smallest doc_id reachable
     by links of at most ``threshold`` differing bits. Null and wordless texts have the fingerprint zero and link like any
     other; a null doc_id keeps its row and never names a component (null if its group has no doc_id); repeated rows give
     repeated rows; an empty table an empty table; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = Spill(rows.mapInArrow(_fingerprints, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])), "fingerprints").df
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    table = Spill(rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "fingerprints").df
     fps = table.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     parts = connected_components(fingerprint_links(fps, threshold))
     parts = parts.select(F.col("node").alias("fp"), "component")
     least = parts.join(fps, "fp").groupBy("component").agg(F.min("rep").alias("low"))
-    linked = parts.join(least, "component").select("fp", "low")
-    named = fps.join(linked, "fp", "left").select("fp", F.when(F.col("low").isNotNull(), F.col("low")).otherwise(F.col("rep")).alias("component_id"))
-    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = parts.join(least, "component").select("fp", "low", "component")
+    named = fps.join(linked, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("low")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("component", "fp").alias("group_id"))
+    return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_id", "text_hash")
