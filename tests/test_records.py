@@ -26,7 +26,7 @@ def test_schema_validation(spark):
         ({"name": "a", "age": 3, "mail": "a@b.co", "extra": 1, "tags": ["2024-01-01"], "home": {"zip": "1"}}, []),
         ({"age": 3.0}, ["name"]),
         ({"name": 5, "age": 3.5, "mail": "nope"}, ["age", "mail", "name"]),
-        ({"name": "a", "age": None}, ["age"]),
+        ({"name": "a", "age": None}, []),
         ({"name": "a", "age": 1, "tags": ["2024-01-01", "x"], "home": {}}, ["home.zip", "tags[1]"]),
         ({"name": "a", "age": 1, "tags": "no", "home": 3}, ["home", "tags"]),
     ]
@@ -97,6 +97,21 @@ def test_graph(spark):
     assert [(r.id, r.p) for r in graph.merge_nodes(v, ch).collect()] == [("a", "new")]
 
 
+def test_validation_of_items_and_phones(spark):
+    text, number = {"type": "array", "items": {"type": "string"}}, {"type": "array", "items": {"type": "number"}}
+    schema = {"required": ["id", "other"], "properties": {"s": text, "n": number, "p": {"type": "string", "format": "phone"}, "id": {"type": "integer"}, "deep": {"type": "array", "items": {"type": "object", "properties": {"d": {"format": "date"}, "in": number}}}}}
+    cases = [
+        ({"id": 1, "other": None, "s": ["a", None], "n": [1, 2.5, None], "p": "abcdefgh"}, []),
+        ({"id": None, "other": 1, "s": [1, "2"], "n": ["5", 6]}, ["n[0]", "s[0]"]),
+        ({"other": [], "p": "(12) 34-5"}, ["id", "p"]),
+        ({"id": 1, "other": 1, "p": "+1 (555) 123-4567"}, []),
+        ({"id": 1, "other": 1, "deep": [{"d": "2024-01-01", "in": [1]}, {"d": "x", "in": ["y"]}, 3]}, ["deep[1].d", "deep[1].in[0]", "deep[2]"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(cases)], "i int, d string")
+    got = df.select("i", validation_errors(F.col("d"), schema).alias("e")).orderBy("i").collect()
+    assert [sorted(x.field for x in r.e) for r in got] == [w for _, w in cases]
+
+
 def test_scheduling(spark):
     df = spark.createDataFrame([(k,) for k in range(1, 9)], "k int")
     delays = lambda kind: [r.d for r in df.orderBy("k").select(scheduling.backoff_seconds(F.col("k"), kind).alias("d")).collect()]
@@ -106,9 +121,9 @@ def test_scheduling(spark):
 
 
 def test_page_batches_of_json(spark):
-    df = spark.createDataFrame([("root", "[1,[2,3],{\"a\":4}]"), ("r", "{\"b\":1}"), ("e", "[]")], "step_path string, response_body string")
+    df = spark.createDataFrame([("root", "[1,[2,3],{\"a\":4}]"), ("d", "[[[1,2],[3]],[[[\"x\", [null]]]], 7]"), ("n", None), ("r", "{\"b\":1}"), ("e", "[]")], "step_path string, response_body string")
     got = {(r.step_path, r.response_body) for r in routing.explode_pages(df).collect()}
-    assert got == {("root[0]", "1"), ("root[1][0]", "2"), ("root[1][1]", "3"), ("root[2]", '{"a":4}'), ("r", '{"b":1}')}
+    assert got == {("root[0]", "1"), ("root[1][0]", "2"), ("root[1][1]", "3"), ("root[2]", '{"a":4}'), ("r", '{"b":1}'), ("n", None), ("d[0][0][0]", "1"), ("d[0][0][1]", "2"), ("d[0][1][0]", "3"), ("d[1][0][0][0]", "x"), ("d[1][0][0][1][0]", "null"), ("d[2]", "7")}
 
 
 def test_lifecycle_split(spark):

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.paths import json_text
-
 #: Patterns of the formats.
-FORMATS = {
+PATTERNS = {
     "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
     "date": r"^\d{4}-\d{2}-\d{2}$",
     "date-time": r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$",
-    "phone": r"^[\d\s\-\+\(\)]{7,20}$",
     "uri": r"^(https?|ftp)://[^\s/$.?#].[^\s]*$",
     "url": r"^(https?|ftp)://[^\s/$.?#].[^\s]*$",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -24,74 +21,62 @@ _TYPES = {
     "object": lambda t: t.startswith("OBJECT"),
     "array": lambda t: t.startswith("ARRAY"),
 }
+ERRORS = "array<struct<field:string,message:string>>"
 
 
-def _error(bad: Column, field: str | Column, message: str) -> Column:
-    name = F.lit(field) if isinstance(field, str) else field
-    return F.when(bad, F.struct(name.alias("field"), F.lit(message).alias("message")))
+def _fits(text: Column, form: str) -> Column | None:
+    if form == "phone":  # any characters: only their number counts, separators aside
+        return F.octet_length(F.translate(text, " -()", "")).between(7, 15)
+    return text.rlike(PATTERNS[form]) if form in PATTERNS else None
 
 
-def _check(data: Column, schema: dict, prefix: str) -> list[Column]:
-    errors: list[Column] = []
-    required = set(schema.get("required") or [])
-    for name, rule in (schema.get("properties") or {}).items():
-        label = f"{prefix}{name}"
-        v = F.try_variant_get(data, f'$["{name}"]', "variant")
-        present = v.isNotNull() & ~F.is_variant_null(v)
-        if name in required:
-            errors.append(_error(~F.coalesce(present, F.lit(False)), label, "required field is missing"))
-        errors += _value(v, present, rule, label)
-    for name in required - set(schema.get("properties") or {}):
-        v = F.try_variant_get(data, f'$["{name}"]', "variant")
-        errors.append(_error(v.isNull(), f"{prefix}{name}", "required field is missing"))
-    return errors
-
-
-def _value(v: Column, present: Column, rule: dict, label: str) -> list[Column]:
-    kind, errors = rule.get("type"), []
-    t = F.schema_of_variant(v)
-    if kind == "integer":
-        whole = F.try_variant_get(v, "$", "double")
-        errors.append(_error(present & ~(F.coalesce(_TYPES["number"](t), F.lit(False)) & F.coalesce(whole == F.floor(whole), F.lit(False))), label, "expected integer"))
-    elif kind in _TYPES:
-        errors.append(_error(present & ~F.coalesce(_TYPES[kind](t), F.lit(False)), label, f"expected {kind}"))
-    if rule.get("format") in FORMATS:
-        s = F.try_variant_get(v, "$", "string")
-        errors.append(_error(present & (t == "STRING") & ~s.rlike(FORMATS[rule["format"]]), label, f"invalid {rule['format']} format"))
-    if kind == "object" and rule.get("properties"):
-        errors += [F.when(present & t.startswith("OBJECT"), e) for e in _check(v, rule, f"{label}.")]
-    return errors
+def _errors(*found: tuple[Column, Column, str]) -> Column:
+    """Array of the errors (condition, field, message) that hold."""
+    return F.array_compact(F.array(*[F.when(bad, F.struct(field.alias("field"), F.lit(message).alias("message"))) for bad, field, message in found])).cast(ERRORS)
 
 
-def validation_errors(data: Column, schema: dict) -> Column:
-    """Array of {field, message} for JSON text ``data``: required fields, types, formats, nested objects, array items.
+def _at(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f'$["{name}"]', "variant")
 
-    Unknown fields are allowed; null data counts as {}.
-    """
-    text = F.coalesce(data, F.lit("{}"))
-    parts = _check(F.try_parse_json(text), schema, "")
-    out = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<struct<field:string,message:string>>")
-    for name, rule in (schema.get("properties") or {}).items():
-        if rule.get("type") == "array" and rule.get("items"):
-            items = F.from_json(json_text(text, name, fold_case=False), "array<string>")
-            each = _item_errors(items, name, rule["items"])
-            out = F.concat(out, F.coalesce(F.array_compact(each), F.array().cast("array<struct<field:string,message:string>>")))
-    return out
 
+def _value(v: Column, rule: dict, label: Column) -> list[Column]:
+    """Arrays of errors of one value; null and missing values have none."""
+    kind, form = rule.get("type"), rule.get("format")
+    present, t = v.isNotNull() & ~F.is_variant_null(v), F.schema_of_variant(v)
+    right = F.lit(True)
+    if kind == "integer":
+        number = F.try_variant_get(v, "$", "double")
+        right = F.coalesce(_TYPES["number"](t), F.lit(False)) & F.coalesce(number == F.floor(number), F.lit(False))
+    elif kind in _TYPES:
+        right = F.coalesce(_TYPES[kind](t), F.lit(False))
+    found = [(present & ~right, label, f"expected {kind}")]
+    fits = _fits(F.try_variant_get(v, "$", "string"), form) if form else None
+    if fits is not None:  # a format applies to texts only
+        found.append((present & right & (t == "STRING") & ~fits, label, f"invalid {form} format"))
+    out, none = [_errors(*found)], F.array().cast(ERRORS)
+    if kind == "object" and rule.get("properties"):
+        inner = _object(v, rule, F.concat(label, F.lit(".")))
+        out.append(F.when(present & right, F.concat(*inner)).otherwise(none))
+    if kind == "array" and rule.get("items"):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: F.concat(*_value(x, rule["items"], F.concat(label, F.lit("["), i.cast("string"), F.lit("]")))))
+        out.append(F.coalesce(F.flatten(each), none))
+    return out
 
-def _item_errors(items: Column, name: str, rule: dict) -> Column:
-    bad, message = _bad_item(rule), f"expected {rule.get('format') or rule.get('type')}"
-    return F.transform(items, lambda x, i: _error(bad(x), F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]")), message))
 
+def _object(v: Column, schema: dict, prefix: Column) -> list[Column]:
+    name_of = lambda name: F.concat(prefix, F.lit(name))
+    missing = [(_at(v, name).isNull(), name_of(name), "required field is missing") for name in dict.fromkeys(schema.get("required") or [])]
+    out = [_errors(*missing)] if missing else []
+    for name, rule in (schema.get("properties") or {}).items():
+        out += _value(_at(v, name), rule, name_of(name))
+    return out or [F.array().cast(ERRORS)]
 
-def _bad_item(rule: dict):
-    kind = rule.get("type")
 
-    def bad(x: Column) -> Column:
-        number = x.try_cast("double")
-        ok = {"number": number.isNotNull(), "integer": F.coalesce(number == F.floor(number), F.lit(False)), "boolean": x.isin("true", "false"), "object": x.startswith("{"), "array": x.startswith("[")}.get(kind, F.lit(True))
-        if rule.get("format") in FORMATS:
-            ok = ok & x.rlike(FORMATS[rule["format"]])
-        return ~F.coalesce(ok, F.lit(False))
+def validation_errors(data: Column, schema: dict) -> Column:
+    """Array of {field, message} for JSON text ``data``: required fields, types, formats, nested objects, array items.
 
-    return bad
+    A required field must be there, null will do; a value of a wrong type isn't looked into; items keep their JSON types.
+    Unknown fields and types are allowed; null data counts as {}.
+    """
+    return F.concat(*_object(F.try_parse_json(F.coalesce(data, F.lit("{}"))), schema, F.lit("")))
