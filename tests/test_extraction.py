@@ -63,8 +63,8 @@ def test_conditions_and_status_policies():
     again = [{"url": "http://h/a", "body": {"busy": True}}, {"url": "http://h/a", "body": {"busy": False}}]
     _, out, waits = run({"step": step | {"retry_when": "response.busy"}}, again)
     assert len(out) == 1 and waits == [1.0]
-    with pytest.raises(ValueError, match="too large"):
-        run({"step": step | {"set_context": {"x": "response.v"}}}, [{"url": "http://h/a", "body": {"v": "z" * 70_000}}])
+    r, out, _ = run({"step": step | {"set_context": {"x": "response.v"}}}, [{"url": "http://h/a", "body": {"v": "z" * 70_000}}])
+    assert "too large" in out[-1]["error"] and r.status == "failed"
 
 
 def test_backoff():
@@ -155,3 +155,70 @@ def test_windowed_stream(spark, tmp_path):
     q = map_stream(stream, d).select("data.up").writeStream.format("memory").queryName("m").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c2").start()
     q.awaitTermination()
     assert [r.up for r in spark.table("m").collect()] == ["K"] * 6
+
+
+def test_more_pages_than_the_bound_is_an_error():
+    rec = [{"url": "http://h/u", "body": {"next": True}}]
+    plan = {"key": "p", "max_loops": 5, "step": {"url": "http://h/u", "while": "response.next"}}
+    r, out, _ = run(plan, rec)
+    assert [e["error"] is None for e in out] == [True] * 5 + [False] and "more than 5 loops" in out[-1]["error"] and r.status == "failed"
+
+
+def test_transport_errors_are_retried_and_end_as_rows():
+    calls = []
+
+    def flaky(request):
+        calls.append(request.url)
+        if len(calls) < 3:
+            raise TimeoutError("slow")
+        return X.Response(200, {"ok": 1})
+
+    waits = []
+    runner = X.PlanRunner({"key": "p", "step": {"url": "http://h/u", "retry": {"initial_delay": 10}}}, {"id": "c"}, flaky, sleep=waits.append)
+    assert [e["error"] for e in runner.run()] == [None] and waits == [0.01, 0.01] and runner.status == "completed"
+
+    def refused(request):
+        raise ConnectionRefusedError("no")
+
+    runner = X.PlanRunner({"key": "p", "step": {"url": "http://h/u", "retry": {"max_retries": 1, "initial_delay": 10}}}, {"id": "c"}, refused, sleep=waits.append)
+    out = list(runner.run())
+    assert len(out) == 1 and "ConnectionRefusedError" in out[0]["error"] and runner.status == "failed"
+    bad = X.PlanRunner({"key": "p", "step": {"url": "http://h/{{ nope( }}"}}, {"id": "c"}, refused)
+    assert "JmesError" in next(bad.run())["error"] and bad.status == "failed"
+
+
+def test_auth_and_context_in_the_data_source(spark):
+    from weftline.sources import datasource
+
+    datasource.register(spark)
+    auth = {"id": "a", "plan": {"step": {"url": "http://h/token"}}, "token_path": "access"}
+    plan = {"key": "p", "auth": auth, "emit_context": True, "step": {"url": "http://h/u", "params": {"since": "{{ context.last }}"}, "set_context": {"last": "response.last"}}}
+    recorded = [{"url": "http://h/token", "body": {"access": "T"}}, {"url": "http://h/u", "body": {"last": 7}}, {"url": "http://h/u?since=7", "body": {"last": 9}}]
+    options = {"plans": json.dumps([plan]), "configs": json.dumps([{"id": "c"}]), "recorded": json.dumps(recorded)}
+    read = lambda **more: {r.step_path: r for r in spark.read.format("plan_responses").options(**options | more).load().collect()}
+    got = read()
+    assert json.loads(got["context"].extracted_data) == {"last": 7} and got["root"].error is None
+    again = read(contexts=json.dumps({"p/c": {"last": 7}}))
+    assert again["root"].request_url.endswith("since=7") and json.loads(again["context"].extracted_data) == {"last": 9}
+    failed = read(recorded=json.dumps(recorded[1:]))
+    assert list(failed) == ["auth"] and failed["auth"].error
+
+
+def test_upserts_over_many_batches(spark, tmp_path):
+    from weftline.streaming import pipeline as P
+
+    path = f"file://{tmp_path}/out"
+    rows = lambda *x: spark.createDataFrame([(k, o, json.dumps(d) if d is not None else None) for k, o, d in x], "id string, o int, data string")
+    write = P.upsert_batches(path, ["id"], ["o"])
+    batches = [rows(("a", 5, {"x": 1, "y": 1}), ("b", 1, None)), rows(("a", 3, {"x": 9, "z": 3})), rows(("a", 7, {"y": None}), ("b", 2, {"q": "s"}))]
+    for n, batch in enumerate(batches):
+        write(batch, n)
+    write(batches[1], 1)  # replayed
+    read = lambda: {r.id: (json.loads(r.data), r.n_changes, r.last_o) for r in P.upserted(spark, path, ["id"], ["o"]).collect()}
+    want = {"a": ({"x": 1, "y": None, "z": 3}, 3, 7), "b": ({"q": "s"}, 2, 2)}
+    assert read() == want
+    assert P.compact_upserts(spark, path, ["id"]) == 2 and read() == want
+    write(rows(("a", 6, {"x": 6, "y": 6})), 3)
+    assert read() == {**want, "a": ({"x": 6, "y": None, "z": 3}, 4, 7)}
+    with pytest.raises(ValueError, match="no upserts"):
+        P.upserted(spark, f"file://{tmp_path}/none", ["id"], ["o"])

@@ -69,6 +69,18 @@ def test_relationship_messages(spark):
     assert relations.pending(done).count() == 1 and relations.pending(relations.resolve_ends(edges, ent, scope=False)).count() == 0
 
 
+def test_properties_of_relationships(spark):
+    schema = "tenant_id string, entity_type string, source_id string, integration string, relationships array<struct<type:string,to_entity_type:string,to_source_id:string,data:map<string,string>>>"
+    m = spark.createDataFrame([("t", "p", "1", "crm", [("owns", "d", "7", {"a": "1", "b": "x"}), ("owns", "d", "7", {"a": "2", "c": None}), ("owns", "d", "8", None)])], schema)
+    edges = relations.stage(relations.embedded_relationships(m))
+    got = {r.to_source_id: r for r in edges.collect()}
+    assert got["7"].properties == {"a": "2", "b": "x"} and got["8"].properties == {}
+    ends = edges.select("id", "relationship_type", "properties", F.lit("E1").alias("from_entity_id"), F.concat(F.lit("E"), "to_source_id").alias("to_entity_id"))
+    member = spark.createDataFrame([("E1", 1), ("E7", 2), ("E8", 2)], "entity_id string, cluster_id int")
+    golden = relations.golden_edges(ends, member).collect()
+    assert [(r.source_count, r.properties) for r in golden] == [(2, {"a": "2", "b": "x"})]
+
+
 def test_deletion(spark):
     df = spark.createDataFrame([(1, "r1"), (2, "r2"), (3, None)], "id long, execution_id string")
     ids = lambda d: sorted(r.id for r in d.collect())

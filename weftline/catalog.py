@@ -179,10 +179,22 @@ def action_arrays(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(None)
+@query("""SELECT c_custkey, array_to_string(list_sort(string_split(c_name, '0')), ',') AS items, CAST(len(string_split(c_name, '0')) AS BIGINT) AS n FROM customer""")
 def action_array_randomize(spark: SparkSession, sf: str) -> DataFrame:
-    a = Value(F.split("c_name", "0"), array_of(STRING))
-    return t(spark, sf, "customer").select("c_custkey", F.size(_act("array_randomize", a)).alias("n"))
+    """The items in any order: compared sorted."""
+    a = _act("array_randomize", Value(F.split("c_name", "0"), array_of(STRING)))
+    return t(spark, sf, "customer").select("c_custkey", F.array_join(F.array_sort(a), ",").alias("items"), F.size(a).cast("long").alias("n"))
+
+
+@query("""SELECT s_suppkey, CAST(factorial(CAST(s_suppkey % 15 AS INTEGER)) AS DOUBLE) AS factorial FROM supplier""")
+def action_factorial(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "supplier").select("s_suppkey", _act("number_factorial", Value((F.col("s_suppkey") % 15).cast("double"), NUMBER)).alias("factorial"))
+
+
+@query("""SELECT c_custkey, array_to_string(flatten([string_split(c_name, '#'), string_split(c_mktsegment, 'I')]), ',') AS items FROM customer""")
+def action_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    a = Value(F.array(F.split("c_name", "#"), F.split("c_mktsegment", "I")), array_of(array_of(STRING)))
+    return t(spark, sf, "customer").select("c_custkey", F.array_join(_act("array_flatten", a), ",").alias("items"))
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS object_get, array_to_string(list_sort(json_keys(props)), ',') AS object_keys, CAST(len(json_keys(props)) AS BIGINT) AS n_values,
@@ -345,16 +357,20 @@ def classify_messages(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in cols.items()])
 
 
-@query("""SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 10 OR event_type = 'purchase' AND FALSE""")
+@query("""SELECT event_id FROM events WHERE event_type IN ('purchase', 'refund', 'click') AND value > 10 AND value <= 90 AND contains(event_type, 'c')""")
 def criteria_filter(spark: SparkSession, sf: str) -> DataFrame:
     data = F.to_json(F.struct("event_type", "value", "user_id"))
-    return t(spark, sf, "events").where(crit.matches(data, {"event_type": {"$in": ["purchase", "refund"]}, "value": {"$gt": "10"}, "user_id": {"$exists": True}, "missing": {"$ne": "x"}})).where("event_type = 'purchase'").select("event_id")
+    return t(spark, sf, "events").where(crit.matches(data, {"event_type": {"$in": ["purchase", "refund", "click"], "$contains": "c"}, "value": {"$gt": "10", "$lte": "90"}, "user_id": {"$exists": True}, "missing": {"$ne": "x"}})).select("event_id")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS n_errors FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n_errors FROM customer""")
 def schema_validation(spark: SparkSession, sf: str) -> DataFrame:
-    data = F.to_json(F.struct(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).otherwise("no mail").alias("email"), F.array(F.lit(1), F.lit(2)).alias("tags")))
-    schema = {"required": ["balance"], "properties": {"balance": {"type": "number"}, "email": {"type": "string", "format": "email"}, "tags": {"type": "array", "items": {"type": "integer"}}}}
+    """Missing and null required fields, formats, and items of mixed types."""
+    email = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).otherwise("no mail")
+    own = F.to_json(F.struct(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), email.alias("email")))
+    tags = F.when(F.col("c_custkey") % 3 == 0, F.lit('[1, "2", null, 1.5]')).otherwise("[1, null, 2]")
+    data = F.concat(F.regexp_replace(own, r"\}$", ', "note": null, "tags": '), tags, F.lit("}"))
+    schema = {"required": ["balance", "note"], "properties": {"balance": {"type": "number"}, "email": {"type": "string", "format": "email"}, "tags": {"type": "array", "items": {"type": "integer"}}}}
     return t(spark, sf, "customer").select("c_custkey", F.size(validation_errors(data, schema)).alias("n_errors"))
 
 
@@ -649,19 +665,23 @@ def rate_limit_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT user_id, count(*) AS n_changes, last(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY user_id""")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a file stream, folded by micro-batches."""
+    """The events as a stream of six files, one a micro-batch, not in the order of their times; compacted half-way."""
     base = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex}"
     source = t(spark, sf, "events").select("user_id", "ts", "event_id", F.to_json(F.struct("event_type")).alias("data"))
-    source.repartition(3).write.parquet(f"{base}/in")
-    stream = file_stream(spark, f"{base}/in", source.schema, files_per_trigger=3)
-    streaming.start_upserts(stream, f"{base}/out", f"{base}/state", ["user_id"], ["ts", "event_id"], available_now=True).awaitTermination()
-    return streaming.latest_version(spark, f"{base}/out").select("user_id", "n_changes", F.get_json_object("data", "$.event_type").alias("event_type"))
+    key, order = ["user_id"], ["ts", "event_id"]
+    for n in (2, 1):
+        source.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == n - 1).repartition(3).write.mode("append").parquet(f"{base}/in")
+        stream = file_stream(spark, f"{base}/in", source.schema, files_per_trigger=1)
+        streaming.start_upserts(stream, f"{base}/out", f"{base}/state", key, order, available_now=True).awaitTermination()
+        if n == 2:
+            streaming.compact_upserts(spark, f"{base}/out", key)
+    return streaming.upserted(spark, f"{base}/out", key, order).select("user_id", "n_changes", F.get_json_object("data", "$.event_type").alias("event_type"))
 
 
 @query("""SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation""")
 def extract_plans(spark: SparkSession, sf: str) -> DataFrame:
     """The nations as a paged API: a plan pages through recorded responses in the data source, and the pages are exploded."""
-    rows = [r.asDict() for r in t(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    rows = [r.asDict() for r in t(spark, sf, "nation").orderBy("n_nationkey").limit(25).collect()]
     pages = [rows[i : i + 10] for i in range(0, len(rows), 10)]
     recorded = [{"url": "http://api/nations" + (f"?page={i}" if i else ""), "body": {"items": p, "next": i + 1 if i + 1 < len(pages) else None}} for i, p in enumerate(pages)]
     plan = {"key": "nations", "step": {"url": "{{ config.base }}/nations", "params": {"page": "{{ prev.next }}"}, "while": "response.next", "set_context": {"last": "response.items[-1].n_name"}}}

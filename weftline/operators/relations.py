@@ -40,15 +40,27 @@ def parse_relationship(data: Column, schema_type: Column, integration: Column) -
 def embedded_relationships(messages: DataFrame, relationships: str = "relationships") -> DataFrame:
     """One row for each embedded relationship: from the message's own entity to (to_entity_type, to_source_id)."""
     rows = messages.select("tenant_id", F.col("entity_type").alias("from_entity_type"), F.col("source_id").alias("from_source_id"), "integration", F.explode(relationships).alias("r"))
-    return rows.select("tenant_id", F.col("r.type").alias("relationship_type"), "from_entity_type", "from_source_id", F.col("integration").alias("from_integration"), F.col("r.to_entity_type").alias("to_entity_type"), F.col("r.to_source_id").alias("to_source_id"), F.col("integration").alias("to_integration"))
+    own = [F.col("r.data").alias("properties")] if "data" in rows.schema["r"].dataType.fieldNames() else []
+    return rows.select("tenant_id", F.col("r.type").alias("relationship_type"), "from_entity_type", "from_source_id", F.col("integration").alias("from_integration"), F.col("r.to_entity_type").alias("to_entity_type"), F.col("r.to_source_id").alias("to_source_id"), F.col("integration").alias("to_integration"), *own)
 
 
 NATURAL = ["tenant_id", "relationship_type", "from_entity_type", "from_source_id", "from_integration", "to_entity_type", "to_source_id", "to_integration"]
 
 
-def stage(edges: DataFrame) -> DataFrame:
-    """Edges once for each natural key, with their id."""
-    return edges.select(NATURAL).distinct().withColumn("id", edge_id(*NATURAL))
+def _merged(properties: str, order: list[str]) -> Column:
+    """Aggregate: maps of texts in one, later keys over earlier ones by ``order`` (then by content), null values left out."""
+    entries = F.array_sort(F.collect_set(F.struct(*[F.col(c) for c in order], F.to_json(properties).alias("_j"))))
+    maps = F.transform(F.filter(entries, lambda e: e["_j"].isNotNull()), lambda e: F.from_json(e["_j"], "map<string,string>"))
+    whole = F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(m, k)), m))
+    return F.map_filter(whole, lambda k, v: v.isNotNull())
+
+
+def stage(edges: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Edges once for each natural key, with their id. If there is a column properties (map of texts), those of a key are merged:
+    later ones (by the columns ``order``) over earlier ones, without nulls."""
+    if "properties" not in edges.columns:
+        return edges.select(NATURAL).distinct().withColumn("id", edge_id(*NATURAL))
+    return edges.groupBy(NATURAL).agg(_merged("properties", order or []).alias("properties")).withColumn("id", edge_id(*NATURAL))
 
 
 def resolve_ends(edges: DataFrame, entities: DataFrame, scope: bool = True) -> DataFrame:
@@ -95,8 +107,11 @@ def criteria_edges(criteria: list[dict], entities: DataFrame, data: str = "data"
 
 
 def golden_edges(resolved: DataFrame, membership: DataFrame) -> DataFrame:
-    """(relationship_type, from_id, to_id, source_count): distinct edges between clusters; membership: (entity_id, cluster_id)."""
+    """(relationship_type, from_id, to_id, source_count): distinct edges between clusters; membership: (entity_id, cluster_id).
+
+    With a column properties, also the properties of an edge's sources, merged by their ids (if there are) and without nulls."""
     m = membership.select("entity_id", "cluster_id")
     out = resolved.join(m.select(F.col("entity_id").alias("from_entity_id"), F.col("cluster_id").alias("from_id")), "from_entity_id")
     out = out.join(m.select(F.col("entity_id").alias("to_entity_id"), F.col("cluster_id").alias("to_id")), "to_entity_id")
-    return out.groupBy("relationship_type", "from_id", "to_id").agg(F.count("*").alias("source_count"))
+    own = [_merged("properties", ["id"] if "id" in out.columns else []).alias("properties")] if "properties" in out.columns else []
+    return out.groupBy("relationship_type", "from_id", "to_id").agg(F.count("*").alias("source_count"), *own)

@@ -42,6 +42,30 @@ def upsert(changes: DataFrame, key: list[str], order: list[str], data: str = "da
     return out.select(*key, object_json(F.col("_m"), encoded=True).alias(data), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), *[F.col("_last")[c].alias(f"last_{c}") for c in order])
 
 
+def field_changes(changes: DataFrame, key: list[str], order: list[str], data: str = "data") -> DataFrame:
+    """(key..., field, value, at, n): of each key's JSON fields the last value by ``order``, and one row with a null field that
+    holds the number of changes. Such tables merge: fold_changes over the union of several equals one over all changes, in
+    whatever order they come, so late older changes never win."""
+    at = F.struct(*[F.col(c) for c in order])
+    rows = changes.select(*key, at.alias("at"), F.explode(F.from_json(data, "map<string,variant>")).alias("field", "_v"))
+    rows = rows.select(*key, "at", "field", F.to_json("_v").alias("value"))
+    last = rows.groupBy(*key, "field").agg(F.max_by(F.struct("value"), "at")["value"].alias("value"), F.max("at").alias("at")).withColumn("n", F.lit(0).cast("long"))
+    counts = changes.groupBy(*key).agg(F.max(at).alias("at"), F.count("*").alias("n"))
+    return last.unionByName(counts.select(*key, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), "at", "n"))
+
+
+def merged_changes(parts: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each (key, field) of the union of several field_changes tables."""
+    return parts.groupBy(*key, "field").agg(F.max_by(F.struct("value"), "at")["value"].alias("value"), F.max("at").alias("at"), F.sum("n").alias("n"))
+
+
+def fold_changes(parts: DataFrame, key: list[str], order: list[str], data: str = "data") -> DataFrame:
+    """(key..., data, n_changes, last_order) of field_changes tables."""
+    fields = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value")))))
+    rows = merged_changes(parts, key).groupBy(*key).agg(fields.alias("_m"), F.max("at").alias("_last"), F.sum("n").alias("n_changes"))
+    return rows.select(*key, object_json(F.col("_m"), encoded=True).alias(data), "n_changes", *[F.col("_last")[c].alias(f"last_{c}") for c in order])
+
+
 def _escape(text: str) -> str:
     for c in "<>&  ":
         text = text.replace(c, f"\\u{ord(c):04x}")

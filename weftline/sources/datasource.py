@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from weftline.sources.extraction import PlanRunner, http_transport, replay
+from weftline.sources.extraction import PlanRunner, TokenCache, http_transport, replay
+from weftline.sources.jmespath import JmesError
 
 SCHEMA = (
     "tenant_id string, integration string, plan_key string, config_id string, execution_id string, step_path string, request_url string, request_method string, "
@@ -18,7 +19,12 @@ SCHEMA = (
 
 
 class PlanResponses(DataSource):
-    """Options: plans (JSON list), configs (JSON list), tenant_id, recorded (JSON list of responses; without it HTTP is used)."""
+    """Options: plans (JSON list), configs (JSON list), tenant_id, recorded (JSON list of responses; without it HTTP is used),
+    contexts (JSON object: "plan key/config id" -> what set_context kept in the run before).
+
+    A plan's ``auth`` ({id, plan, token_path, header?, format?, ...}) is run first, and its token sent with every request; a flow
+    that fails gives one error row. With ``emit_context`` a plan's last row (step_path "context") holds what set_context kept.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -39,6 +45,7 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.tenant, self.recorded = options.get("tenant_id", ""), options.get("recorded")
+        self.contexts = json.loads(options.get("contexts", "{}"))
         self.plans, self.configs = json.loads(options.get("plans", "[]")), json.loads(options.get("configs", "[{}]"))
 
     def partitions(self) -> list[_Part]:
@@ -47,8 +54,19 @@ class _Reader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         transport = replay(json.loads(self.recorded)) if self.recorded is not None else http_transport()
-        for e in PlanRunner(part.plan, part.config, transport, self.tenant, part.execution_id).run():
+        plan, context = part.plan, self.contexts.get(f"{part.plan.get('key')}/{part.config.get('id')}")
+        runner = PlanRunner(plan, part.config, transport, self.tenant, part.execution_id, context)
+        if flow := plan.get("auth"):
+            try:
+                token = TokenCache().get(flow, part.config, transport)
+            except JmesError as e:
+                yield tuple(runner.envelope("auth", None, None, error=str(e))[n] for n in names)
+                return
+            runner.headers[flow.get("header", "Authorization")] = flow.get("format", "Bearer {}").format(token)
+        for e in runner.run():
             yield tuple(e[n] for n in names)
+        if plan.get("emit_context"):
+            yield tuple(runner.envelope("context", None, None, extracted=runner.context)[n] for n in names)
 
 
 def register(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ transport is a callable Request -> Response; ``replay`` answers from recorded re
 from __future__ import annotations
 
 import base64
+import http.client
 import json
 import re
 import threading
@@ -169,6 +170,10 @@ class Aborted(Exception):
     """A plan ended by abort_when or abort_on."""
 
 
+class TransportError(Exception):
+    """A request that got no response, after all retries."""
+
+
 class RateLimiter:
     """Sliding-window log for each limit and scope key; waits with ``sleep`` until a request fits."""
 
@@ -228,6 +233,9 @@ class PlanRunner:
         except Aborted as e:
             self.status = "aborted"
             yield self.envelope("root", None, None, error=str(e))
+        except (JmesError, ValueError, LookupError, TypeError) as e:  # a plan or context that can't go on: what came before stays
+            self.status = "failed"
+            yield self.envelope("root", None, None, error=f"{type(e).__name__}: {e}")
 
     def data(self, extra: dict, response: Response | None = None, prev: Response | None = None) -> dict:
         out = {"config": self.config, "context": self.context, **extra}
@@ -256,8 +264,15 @@ class PlanRunner:
             request = self.request(step, data)
             self.limiter.acquire(request.url, str(self.config.get("id", "")))
             began = time.monotonic()
-            response = self.send(request)
             self.api_calls += 1
+            try:
+                response = self.send(request)
+            except (OSError, http.client.HTTPException) as e:  # refused, timed out, cut off
+                attempt += 1
+                if attempt > most:
+                    raise TransportError(f"{request.method} {request.url}: {type(e).__name__}: {e}") from e
+                self.sleep(backoff_ms(retry, attempt) / 1000)
+                continue
             took = int((time.monotonic() - began) * 1000)
             self.limiter.observe(request.url, str(self.config.get("id", "")), response)
             again = self.test(step.get("retry_when"), self.data(extra, response, prev)) or response.status in RETRYABLE and response.status not in (step.get("abort_on") or []) + (step.get("ignore_on") or [])
@@ -294,8 +309,19 @@ class PlanRunner:
         if depth > int(self.plan.get("max_nesting_depth") or MAX_DEPTH):
             raise ValueError("sub-steps are nested too deeply")
         prev: Response | None = None
-        for loop in range(MAX_LOOPS):
-            request, response, took = self.call(step, extra, prev)
+        most, loop = int(step.get("max_loops") or self.plan.get("max_loops") or MAX_LOOPS), 0
+        while True:
+            if loop == most:
+                self.status = "failed"
+                yield self.envelope(path, request, None, error=f"more than {most} loops: the pages after are missing")
+                return
+            loop += 1
+            try:
+                request, response, took = self.call(step, extra, prev)
+            except TransportError as e:
+                self.status = "failed"
+                yield self.envelope(path, None, None, error=f"transport: {e}")
+                return
             data = self.data(extra, response, prev)
             bad = response.status in (step.get("abort_on") or [])
             if bad or self.test(step.get("abort_when"), data):

@@ -1,6 +1,8 @@
 """Structured Streaming wrappers: mapping as a stateless transform, staged upserts by micro-batch, windowed counts.
 
-Micro-batches are idempotent: a batch writes under its id, and a batch that is run again writes the same rows there.
+Micro-batches are idempotent: a batch writes under its id, and a batch that is run again writes the same rows there. An upsert
+writes only the fields its batch changes; readers fold them by the order of the changes (event order, not arrival), and
+compact_upserts folds what has piled up.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.staging import fingerprint, upsert
+from weftline.operators.staging import field_changes, fold_changes, merged_changes
 from weftline.plans.mapping import Definition, apply_mapping
 
 
@@ -20,23 +22,14 @@ def map_stream(messages: DataFrame, definition: dict | Definition, body: str | N
     return apply_mapping(messages, definition, body)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def upsert_batches(path: str, key: list[str], order: list[str], data: str = "data") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: batch n's changes are folded by key onto the table of batch n - 1 and written as version n.
+    """foreachBatch function: batch n's changes, folded by (key, field), are written to ``path``/changes/v=n.
 
-    A version is written whole in ``path``/v=n and its success marked by the writer; a replayed batch overwrites its own version.
+    Nothing earlier is read or written again. A replayed batch overwrites its own version.
     """
 
     def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/v={n - 1}"
-        current = spark.read.parquet(before).select(*key, data) if n > 0 and _exists(spark, before) else None
-        out = upsert(batch, key, order, data, current)
-        out.withColumn("fingerprint", fingerprint(F.col(data))).write.mode("overwrite").parquet(f"{path}/v={n}")
+        field_changes(batch, key, order, data).write.mode("overwrite").parquet(f"{path}/changes/v={n}")
 
     return run
 
@@ -46,11 +39,43 @@ def start_upserts(stream: DataFrame, path: str, checkpoint: str, key: list[str],
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The table of the highest version."""
-    table = spark.read.parquet(path)
-    last = table.agg(F.max("v")).first()[0]
-    return table.where(F.col("v") == last).drop("v")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions under ``path`` that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("v=")]
+    return sorted(int(x.getName()[2:]) for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def _changes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The folded base of the highest version, if there is one, and the changes after it; the highest version."""
+    base, changes = _versions(spark, f"{path}/base"), _versions(spark, f"{path}/changes")
+    if not base and not changes:
+        raise ValueError(f"no upserts under {path}")
+    parts = [f"{path}/base/v={base[-1]}"] if base else []
+    parts += [f"{path}/changes/v={n}" for n in changes if not base or n > base[-1]]
+    return spark.read.parquet(*parts), max(base[-1:] + changes)
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: list[str], data: str = "data") -> DataFrame:
+    """(key..., data, n_changes, last_order): the table as of the last finished batch."""
+    return fold_changes(_changes(spark, path)[0], key, order, data)
+
+
+def compact_upserts(spark: SparkSession, path: str, key: list[str]) -> int:
+    """Folds all changes so far to one base, and deletes what it replaces; returns its version. Readers that began before may have
+    to begin again."""
+    rows, last = _changes(spark, path)
+    merged_changes(rows, key).write.mode("overwrite").parquet(f"{path}/base/v={last}")
+    jvm = spark.sparkContext._jvm
+    for kind, keep in (("base", last), ("changes", last + 1)):
+        for n in (n for n in _versions(spark, f"{path}/{kind}") if n < keep):
+            old = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/v={n}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return last
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: list[str], window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
