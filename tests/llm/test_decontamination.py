@@ -71,3 +71,10 @@ def test_search_skips_blocks():
     table = D.WuManber({tuple(b"%d" % i for i in range(10)): [1]}, 10)
     assert table.shift[b"7", b"8", b"9"] == 0 and table.shift[b"0", b"1", b"2"] == 7
     assert list(table.find([b"x"] * 5 + [b"%d" % i for i in range(10)] + [b"y"])) == [(5, [1])]
+
+
+def test_columns_of_the_result_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two three", "x", 5)], "doc_id long, text string, hit_spans string, hit_items long")
+    items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    got = D.find_contamination(docs, items).collect()
+    assert [(r.hit_spans, r.hit_items) for r in got] == [([1, 3], ["7"])]

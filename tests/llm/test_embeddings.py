@@ -80,3 +80,17 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in E.embedding_groups(df).collect())
     assert got[0][:3] == (-1, 0, None) and got[1:] == [(3, 1, 3, True)] * 2
     assert E.embedding_groups(df.limit(0)).collect() == []
+
+
+def test_more_rows_take_more_projections_at_the_same_recall():
+    rng, d = np.random.default_rng(1), np.sqrt(2 - 2 * E.THRESHOLD)
+    x = rng.normal(size=200_000) * d
+    shift = rng.uniform(0, E.WIDTH, len(x))
+    assert abs(np.mean(np.floor((x + shift) / E.WIDTH) == np.floor(shift / E.WIDTH)) - E.agreement(d)) < 0.005
+    before = (0, 0)
+    for rows in (0, 100, 50_000, 10**6, 10**9):
+        tables, k = E.table_plan(rows)
+        assert (tables, k) >= before and 1 - (1 - E.agreement(d) ** k) ** tables >= E.RECALL
+        assert rows * E.agreement(np.sqrt(2)) ** k <= E.LABEL_ROWS * E.agreement(np.sqrt(2)) ** E.PROJECTIONS
+        before = tables, k
+    assert E.table_plan(100)[1] == E.PROJECTIONS and E.table_plan(10**9)[1] > 12

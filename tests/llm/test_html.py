@@ -50,3 +50,29 @@ def test_head_without_end_tag():
 def test_digits_of_a_whole_block():
     digits = lambda x: H._feature("digits=True") in H.features([(x, frozenset(), "p", 0)])[0]
     assert digits("a" * 200 + "1" * 400) and not digits("1" * 200 + "a" * 4000)
+
+
+FIRST = "The quick brown fox jumps over the lazy dog while a second clause keeps the sentence going, and it ends here. Another sentence follows it."
+SECOND = "A further paragraph tells more about the same thing, with commas, numbers such as 42, and a proper end. It has two sentences as well."
+
+
+def test_layouts_that_the_training_pages_do_not_have():
+    model, both = H.trained_model(), f"<p>{FIRST}</p><p>{SECOND}</p>"
+    said = "<p>Nice post, thanks a lot for it.</p><p>I do not agree with this at all, sorry.</p>"
+    menu = '<a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact us</a>'
+    pages = [f'<html><body><div class="c1">{both}</div></body></html>', f'<div class="zq7"><div class="k"><div>{both}</div></div></div>', f'<article>{both}<section class="comments">{said}</section></article>', f"<table><tr><td>{menu}</td><td>{both}</td></tr></table>"]
+    for page in pages:
+        assert H.main_text(page, model) == f"{FIRST}\n{SECOND}"
+    assert H.main_text(f"{FIRST}\n {SECOND}", model) == f"{FIRST} {SECOND}"
+
+
+def test_depth_costs_linear_time():
+    import time
+
+    seconds = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        assert len(H.blocks_of("<div>" * n + "x" + "</div>" * n)) == 1
+        H.blocks_of("<p><b>" * n + "x")
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 40 * max(seconds[0], 0.02)

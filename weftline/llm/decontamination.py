@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import values
+from weftline.llm.batches import STEP, values
 
 WINDOW = 10
 #: Benchmark words in one compiled block: the bound on what is sent to an executor at once (about 100 bytes a word).
@@ -107,8 +107,8 @@ def _scan(block, text_at: int, spans_at: int, items_at: int, schema_names: list[
         tables = None
         for batch in batches:
             tables = tables if tables is not None else pickle.loads(block.value)
-            for at in range(0, max(1, batch.num_rows), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, max(1, batch.num_rows), STEP):
+                part = batch.slice(at, STEP)
                 spans, items = part.column(spans_at).to_pylist(), part.column(items_at).to_pylist()
                 for k, text in enumerate(part.column(text_at).to_pylist()):
                     words, hits, own = split_words(text), [], set()
@@ -135,9 +135,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     ``hit_items`` (item ids as strings, sorted). Both are null where nothing occurs.
 
     Null and empty texts have no words, and so have benchmark items without words. A null item_id is reported as null.
-    ``docs`` may have any other columns, but none of these two names. Memory: one compiled block and 1024 documents.
+    Columns of ``docs`` with these two names are replaced, all others stay. Texts of any length are read whole; repeated rows stay;
+    an empty benchmark hits nothing. Memory: one compiled block and 128 documents.
     """
     spark = docs.sparkSession
+    docs = docs.drop("hit_spans", "hit_items")
     out = docs.withColumns({"hit_spans": F.lit(None).cast("array<long>"), "hit_items": F.lit(None).cast("array<string>")})
     at = {f: i for i, f in enumerate(out.columns)}
     for block in benchmark_blocks(benchmark, item_col, window=window, block_words=block_words):

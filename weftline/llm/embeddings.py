@@ -1,9 +1,10 @@
 """Embedding near-duplicates by Euclidean p-stable hashing, then exact cosine checks.
 
-Vectors are normalised, so a cosine of c is a distance of sqrt(2 - 2c). Each of TABLES tables hashes PROJECTIONS Gaussian
+Vectors are normalised, so a cosine of c is a distance of sqrt(2 - 2c). Each table hashes a number of Gaussian
 projections, shifted and quantised to WIDTH, to one bucket; buckets also hold the label, as only equal labels are compared.
-For a pair at distance d one projection agrees with p(d) = 1 - 2 N(-w/d) - 2d / (sqrt(2 pi) w) (1 - exp(-w²/2d²)); with the
-values below a pair at the threshold cosine 0.93 meets in at least one table with probability 0.997, a closer one more often.
+For a pair at distance d one projection agrees with p(d) = 1 - 2 N(-w/d) - 2d / (sqrt(2 pi) w) (1 - exp(-w²/2d²)). A pair at the
+threshold meets in at least one table with probability RECALL, a closer one more often. Larger labels take more projections, so
+that as few unrelated vectors meet a vector as in a small one, and more tables, so that the recall stays (``table_plan``).
 
 Equal vectors of a label fold into one class first. A bucket's rows are compared with matrix products, and what leaves it is a
 count of links for each row and a spanning forest, never all pairs. A pair is counted in the first table in which it meets.
@@ -13,6 +14,7 @@ A bucket of more than BLOCK rows is dealt out in pairs of blocks, each a group o
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,26 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.plans.storage import Spill, shuffle_partitions
 
-THRESHOLD, TABLES, PROJECTIONS, WIDTH, SEED = 0.93, 28, 8, 1.6, 7
+THRESHOLD, PROJECTIONS, WIDTH, SEED = 0.93, 8, 1.6, 7
+#: Probability that a pair at the threshold meets, and rows of a label for which PROJECTIONS are enough.
+RECALL, LABEL_ROWS = 0.997, 50_000
 BLOCK = 1500
 ROW = "bucket long, rep long, label string, mult long, vec binary, keys binary"
 
 
+def agreement(distance: float, width: float = WIDTH) -> float:
+    """Probability that one projection puts two vectors at a distance into one cell."""
+    r = width / distance
+    return 1 - math.erfc(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def table_plan(rows: int, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, projections) for labels of at most ``rows`` vectors: the candidates of a vector don't grow with the label."""
+    near, far = agreement(math.sqrt(max(2 - 2 * threshold, 1e-12)), width), agreement(math.sqrt(2), width)
+    k = PROJECTIONS + max(0, math.ceil(math.log(max(rows, 1) / LABEL_ROWS) / -math.log(far)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - near**k)), k
+
+
 class Hasher:
     def __init__(self, dim: int, tables: int, projections: int, width: float, seed: int = SEED):
         rng = np.random.default_rng([seed, dim])
@@ -163,7 +180,7 @@ def _links(threshold: float, hot: int, sided: bool):
 LINK = "kind byte, a long, b long, bucket long, label string, mult long, vec binary, keys binary"
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, projections: int | None = None, width: float = WIDTH, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows without a label or a vec_id, link with
@@ -176,6 +193,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: i
     classes = table.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("vec").alias("vec"))
     classes = Spill(classes, "classes")
     n = shuffle_partitions(spark)
+    if tables is None or projections is None:
+        most = classes.df.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        chosen = table_plan(most, threshold, width)
+        tables, projections = tables or chosen[0], projections or chosen[1]
     dealt = classes.df.select("rep", "label", "mult", "vec").repartition(n, "rep").mapInArrow(_buckets(tables, projections, width), ROW)
     first = Spill(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(threshold, block, False), LINK), "near")
     hot = first.df.where("kind = 1")
