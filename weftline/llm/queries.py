@@ -32,7 +32,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
