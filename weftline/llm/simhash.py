@@ -15,6 +15,7 @@ most 65 distinct fingerprints, so no group can grow.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,10 @@ def golay_errors(threshold: int = THRESHOLD) -> list[tuple[np.ndarray, np.ndarra
 
     Excess 0 has the one pattern of weight <= 3 (the code is perfect), excess e those of weight 3 + e.
     """
-    weight = np.bitwise_count(np.arange(1 << GOLAY_LENGTH, dtype=np.uint32))
     out = []
     for e in range(threshold + 1):
-        words = np.flatnonzero(weight <= GOLAY_RADIUS if e == 0 else weight == GOLAY_RADIUS + e).astype(np.uint32)
+        sizes = range(GOLAY_RADIUS + 1) if e == 0 else [GOLAY_RADIUS + e]
+        words = np.array(sorted(sum(1 << b for b in bits) for n in sizes for bits in combinations(range(GOLAY_LENGTH), n)), np.uint32)
         syndrome = _syndromes(words)
         order = np.argsort(syndrome, kind="stable")
         words, syndrome = words[order], syndrome[order]
