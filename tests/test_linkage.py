@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -8,6 +9,8 @@ from weftline.functions import similarity as S
 from weftline.functions.normalize import address, normalize
 from weftline.operators import matching as M
 from weftline.operators import merging as G
+from weftline.operators import relations
+from weftline.streaming.pipeline import completion_batches
 
 WORDS = [("Steven", "S315"), ("Stephen", "S315"), ("Ashcraft", "A226"), ("Pfister", "P236"), ("Tymczak", "T522"), ("Lee", "L000"), ("Robert", "R163"), ("Jackson", "J250"), ("Honeyman", "H555")]
 
@@ -143,3 +146,45 @@ def test_clusters_and_events(spark):
     assert {r.cluster_id: r.survivor for r in G.survivors(members).collect()} == {1: 1, 4: 4, 5: 5, 6: 6}
     old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "cluster_id long, fingerprint string"), spark.createDataFrame([(1, "a"), (2, "z"), (4, "d")], "cluster_id long, fingerprint string")
     assert {r.cluster_id: r.event_type for r in G.golden_events(old, new).collect()} == {2: "entity.updated", 3: "entity.deleted", 4: "entity.created"}
+
+
+def test_consolidation_moves_members_edges_and_versions(spark):
+    members = spark.createDataFrame([(1, 10, 100), (2, 20, 100), (3, None, 100), (4, 30, 200), (5, None, 300)], "id long, golden_id long, cluster_id long")
+    golden = spark.createDataFrame([(10, 5, 1), (20, 3, 4), (30, 1, 2)], "golden_id long, created_at int, version int")
+    edges = spark.createDataFrame([("r", 10, 20), ("r", 10, 30), ("r", 20, 30), ("r", 10, 10)], "type string, from_id long, to_id long")
+    m, g, e = G.consolidate(members, golden, edges)
+    assert sorted((r.id, r.golden_id) for r in m.collect()) == [(1, 20), (2, 20), (3, 20), (4, 30), (5, 300)]
+    assert sorted((r.golden_id, r.version, r.merged_into) for r in g.collect()) == [(10, 1, 20), (20, 5, None), (30, 2, None)]
+    assert sorted((r.from_id, r.to_id) for r in e.collect()) == [(20, 20), (20, 30)]
+
+
+def test_consolidation_of_nothing(spark):
+    members = spark.createDataFrame([], "id long, golden_id long, cluster_id long")
+    golden = spark.createDataFrame([(1, 1, 1)], "golden_id long, created_at int, version int")
+    edges = spark.createDataFrame([], "type string, from_id long, to_id long")
+    m, g, e = G.consolidate(members, golden, edges)
+    assert m.isEmpty() and e.isEmpty() and [tuple(r) for r in g.collect()] == [(1, 1, 1, None)]
+
+
+def test_stored_criteria_agree_with_compiled_ones(spark):
+    rows = [("a", '{"n": 5, "s": "x", "tags": ["p", "q"], "o": {"k": true}}'), ("b", '{"n": "5", "s": null}'), ("c", '{"n": 7.5, "s": "xyz", "tags": []}'), ("d", "{}"), ("e", None)]
+    ent = spark.createDataFrame([("t", "k", "i", *r) for r in rows], "tenant_id string, entity_type string, integration string, entity_id string, data string")
+    wanted = [
+        {"n": 5}, {"s": None}, {"n": {"$gt": 5}}, {"n": {"$gte": 5, "$lt": 7.5}}, {"tags": {"$contains": "q"}}, {"s": {"$contains": "y"}}, {"o.k": True}, {"n": {"$in": [5, "8"]}}, {"s": {"$ne": "x"}},
+        {"tags": {"$exists": False}}, {"n": {"$odd": 1}}, {}, {"n": {"$in": []}},
+    ]
+    given = [{"id": str(i), "tenant_id": "t", "relationship_type": "r", "from_entity_id": "w", "to_entity_type": "k", "criteria": c} for i, c in enumerate(wanted)]
+    table = spark.createDataFrame([(c["id"], "t", "r", "w", "k", None, json.dumps(c["criteria"])) for c in given], "criteria_id string, tenant_id string, relationship_type string, from_entity_id string, to_entity_type string, to_integration string, criteria string")
+    got, want = (sorted((r.criteria_id, r.to_entity_id) for r in df.collect()) for df in (relations.stored_criteria_edges(table, ent), relations.criteria_edges(given, ent)))
+    assert got == want and len(got) > 10
+
+
+def test_completions_delete_what_the_run_did_not_send(spark, tmp_path):
+    records = spark.createDataFrame([(1, "s", "r1", 1), (2, "s", "r2", 2), (3, "s", "r3", 9), (4, "s", None, 1), (5, "z", "r1", 1)], "id long, source_key string, execution_id string, updated_at int")
+    events = spark.createDataFrame([("s", "execution.completed", "r1", 2), ("s", "execution.completed", "r2", 5), ("s", "execution.failed", "r3", 6)], "source_key string, type string, execution_id string, ts int")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    run = completion_batches(lambda: records, str(tmp_path / "out"), ["id"], ["source_key"])
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    run(events, 0)  # replayed
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()] == [1]

@@ -818,3 +818,144 @@ def mapping_counters(spark: SparkSession, sf: str) -> DataFrame:
     counted = rows.observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("error").isNull()).alias("mapped"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     counted.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([tuple(seen.get[k] for k in ("processed", "mapped", "failed"))], "processed long, mapped long, failed long")
+
+
+# -- consolidation, stored criteria, lifecycle, reviews ------------------------------------------------------------------
+
+
+def _consolidated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Golden records of single customers that grow together by the remainder of their number; every ninth order is new."""
+    o = t(spark, sf, "orders").where("o_custkey is not null")
+    members = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("golden_id"), (F.col("o_custkey") % 40).alias("cluster_id"))
+    golden = o.groupBy(F.col("o_custkey").alias("golden_id")).agg(F.min("o_orderdate").alias("created_at"), F.count("*").alias("version"))
+    edges = o.select(F.lit("r").alias("type"), F.col("o_custkey").alias("from_id"), (F.col("o_custkey") * 7 % 100).alias("to_id")).distinct()
+    return merging.consolidate(members, golden, edges)
+
+
+_CONSOLIDATED_SQL = """WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS golden_id, o_custkey % 40 AS cluster_id FROM orders WHERE o_custkey IS NOT NULL),
+g AS (SELECT o_custkey AS golden_id, min(o_orderdate) AS created_at, count(*) AS version FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
+h AS (SELECT DISTINCT cluster_id, golden_id FROM m WHERE golden_id IS NOT NULL), s AS (SELECT cluster_id, first(golden_id ORDER BY created_at, golden_id) AS survivor FROM h JOIN g USING (golden_id) GROUP BY 1),
+x AS (SELECT h.golden_id, s.survivor FROM h JOIN s USING (cluster_id)), grown AS (SELECT DISTINCT survivor FROM m JOIN s USING (cluster_id) WHERE golden_id IS NULL OR golden_id <> survivor),
+gone AS (SELECT golden_id, survivor AS merged_into FROM x WHERE golden_id <> survivor)
+"""
+
+
+@query(_CONSOLIDATED_SQL + """SELECT golden_id, version + CASE WHEN golden_id IN (SELECT survivor FROM grown) THEN 1 ELSE 0 END AS version, CAST(merged_into AS VARCHAR) AS merged_into FROM g LEFT JOIN gone USING (golden_id)""")
+def golden_consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    """The oldest golden record of a cluster stays, with its version raised; the others say what they went into."""
+    return _consolidated(spark, sf)[1].select("golden_id", "version", F.col("merged_into").cast("string").alias("merged_into"))
+
+
+@query(_CONSOLIDATED_SQL + """, e AS (SELECT DISTINCT o_custkey AS f, o_custkey * 7 % 100 AS t FROM orders WHERE o_custkey IS NOT NULL),
+r AS (SELECT e.f = e.t AS loop, coalesce(a.merged_into, e.f) AS from_id, coalesce(b.merged_into, e.t) AS to_id FROM e LEFT JOIN gone a ON a.golden_id = e.f LEFT JOIN gone b ON b.golden_id = e.t)
+SELECT DISTINCT from_id, to_id FROM r WHERE loop OR from_id <> to_id""")
+def edges_rewired(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges follow the golden records that were merged."""
+    return _consolidated(spark, sf)[2].select("from_id", "to_id")
+
+
+@query(_CONSOLIDATED_SQL + """SELECT id, coalesce(survivor, cluster_id) AS golden_id FROM m LEFT JOIN s USING (cluster_id)""")
+def members_consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    return _consolidated(spark, sf)[0].select("id", "golden_id")
+
+
+@query("""WITH b AS (SELECT o_custkey AS id, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), a AS (SELECT o_custkey AS id, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY 1),
+j AS (SELECT coalesce(a.id, b.id) AS id, a.id AS ai, b.id AS bi, a.n AS an, b.n AS bn, a.s AS sa, b.s AS sb FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, 'created' AS action, NULL AS field, NULL AS old_value, NULL AS new_value FROM j WHERE bi IS NULL UNION ALL SELECT id, 'deleted', NULL, NULL, NULL FROM j WHERE ai IS NULL
+UNION ALL SELECT id, 'updated', 'n', CAST(bn AS VARCHAR), CAST(an AS VARCHAR) FROM j WHERE ai IS NOT NULL AND bi IS NOT NULL AND an <> bn UNION ALL SELECT id, 'updated', 's', sb, sa FROM j WHERE ai IS NOT NULL AND bi IS NOT NULL AND sa IS DISTINCT FROM sb""")
+def audit_entries(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").where("o_custkey is not null")
+    state = lambda df: df.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.max("o_orderstatus").alias("s"))
+    return merging.audit_log(state(o.where("o_orderdate < timestamp_ntz '1997-01-01'")), state(o.where("o_orderdate >= timestamp_ntz '1993-01-01'")), "id", ["n", "s"])
+
+
+@query("""SELECT k.id AS criteria_id, CAST(c_custkey AS VARCHAR) AS to_entity_id FROM customer, (VALUES ('k0'), ('k1'), ('k2'), ('k3'), ('k4'), ('k5')) k(id) WHERE (id = 'k0' AND c_mktsegment = 'BUILDING' AND c_acctbal > 5000)
+OR (id = 'k1' AND c_nationkey IN (3, 5) AND c_acctbal <= 1000) OR (id = 'k2' AND c_acctbal < -900) OR (id = 'k3' AND contains(c_mktsegment, 'HOUSE') AND c_acctbal >= 9000) OR (id = 'k4' AND c_nationkey <> 7 AND c_nationkey = 8)
+OR (id = 'k5' AND c_custkey % 2 = 0 AND c_nationkey = 4)""")
+def criteria_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Criteria from a table; a key that's missing for odd customers, and a rule of another integration that meets nobody."""
+    body = F.to_json(F.struct("c_mktsegment", "c_acctbal", "c_nationkey", F.struct(F.when(F.col("c_custkey") % 2 == 0, 1).alias("even")).alias("x")))
+    ent = t(spark, sf, "customer").select(F.lit("t").alias("tenant_id"), F.lit("customer").alias("entity_type"), F.lit("crm").alias("integration"), F.col("c_custkey").cast("string").alias("entity_id"), body.alias("data"))
+    wanted = [
+        ("crm", {"c_mktsegment": "BUILDING", "c_acctbal": {"$gt": 5000}}), (None, {"c_nationkey": {"$in": [3, 5]}, "c_acctbal": {"$lte": 1000}}), (None, {"c_acctbal": {"$lt": -900}}),
+        (None, {"c_mktsegment": {"$contains": "HOUSE"}, "c_acctbal": {"$gte": 9000}}), (None, {"c_nationkey": {"$ne": 7, "$eq": 8}}), (None, {"x.even": {"$exists": True}, "c_nationkey": 4}), ("erp", {"c_nationkey": 4}),
+    ]
+    rows = [(f"k{n}", "t", "watches", f"w{n}", "customer", i, json.dumps(c)) for n, (i, c) in enumerate(wanted)]
+    rules = spark.createDataFrame(rows, "criteria_id string, tenant_id string, relationship_type string, from_entity_id string, to_entity_type string, to_integration string, criteria string")
+    return relations.stored_criteria_edges(rules, ent).select("criteria_id", "to_entity_id")
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS f, o_orderstatus AS s FROM orders) SELECT 'one_to_one' AS relationship_type, 'from' AS side, CAST(f AS VARCHAR) AS entity_id, count(*) AS n FROM e GROUP BY f HAVING count(*) > 1
+UNION ALL SELECT 'one_to_one', 'to', s, count(*) FROM e GROUP BY s HAVING count(*) > 1 UNION ALL SELECT 'many_to_one', 'from', CAST(f AS VARCHAR), count(*) FROM e GROUP BY f HAVING count(*) > 1 UNION ALL SELECT 'one_to_many', 'to', s, count(*) FROM e GROUP BY s HAVING count(*) > 1""")
+def edge_cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k, k) for k in relations.CARDINALITY], "relationship_type string, cardinality string")
+    edges = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("from_id"), F.col("o_orderstatus").alias("to_id")).distinct()
+    edges = edges.withColumn("relationship_type", F.explode(F.array(*[F.lit(k) for k in relations.CARDINALITY])))
+    return relations.cardinality_violations(edges, kinds)
+
+
+@query("""WITH d AS (SELECT event_type, max(ts) AS at, max_by(user_id % 5, (ts, user_id % 5)) AS run FROM events WHERE value > 5 GROUP BY 1)
+SELECT e.event_id FROM events e JOIN d USING (event_type) WHERE e.user_id % 5 <> d.run AND e.ts <= d.at""")
+def delete_completed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as records and, where their value is large, as the completion of a run: what the last one of a type didn't send goes."""
+    ev = t(spark, sf, "events").select("event_id", "event_type", F.concat(F.lit("run"), (F.col("user_id") % 5).cast("string")).alias("execution_id"), F.col("ts").alias("updated_at"), "ts", F.when(F.col("value") > 5, "execution.completed").otherwise("execution.failed").alias("type"))
+    runs = deletion.completed_runs(ev, ["event_type"])
+    return deletion.unseen_by_last_run(ev, runs, ["event_type"]).select("event_id")
+
+
+@query("""SELECT CASE WHEN event_type IN ('click', 'view') THEN 'lifecycle' ELSE 'message' END AS kind, count(*) AS n FROM events GROUP BY 1""")
+def lifecycle_split(spark: SparkSession, sf: str) -> DataFrame:
+    ev = t(spark, sf, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "execution.completed").otherwise(F.col("event_type")).alias("type"))
+    parts = [part.select(F.lit(kind).alias("kind")) for kind, part in zip(("lifecycle", "message"), routing.split_lifecycle(ev), strict=True)]
+    return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linenumber % 2 = 0 THEN 'has' ELSE 'holds' END AS relationship_type, CAST(l_orderkey AS VARCHAR) AS from_id, CAST(l_partkey AS VARCHAR) AS to_id, 'shop' AS from_integration,
+CAST(l_quantity AS VARCHAR) AS qty, l_linenumber <> 3 AS valid FROM lineitem""")
+def parse_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """Standalone relationship messages; a third line lacks its entity type and isn't valid."""
+    lit = F.lit
+    even = F.when(F.col("l_linenumber") % 2 == 0, "has")
+    data = F.create_map(lit("_relationship_type"), even, lit("_from_entity_type"), F.when(F.col("l_linenumber") != 3, "order"), lit("_from_source_id"), F.col("l_orderkey").cast("string"), lit("_to_entity_type"), lit("part"), lit("_to_source_id"), F.col("l_partkey").cast("string"), lit("qty"), F.col("l_quantity").cast("string"))
+    got = relations.parse_relationship(data, lit("holds"), lit("shop"))
+    rows = t(spark, sf, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), got["relationship_type"].alias("relationship_type"), got["from_source_id"].alias("from_id"), got["to_source_id"].alias("to_id"), got["from_integration"].alias("from_integration"), got["properties"]["qty"].alias("qty"), got["valid"].alias("valid"))
+
+
+@query("""SELECT o_orderkey, sha256(concat_ws('|', CAST(o_custkey AS VARCHAR), o_orderstatus, 'r')) AS id FROM orders""")
+def edge_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").select("o_orderkey", relations.edge_id("o_custkey", "o_orderstatus", F.lit("r")).alias("id"))
+
+
+@query("""SELECT o_orderstatus AS tenant_id, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1 UNION ALL SELECT 'live F', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000""")
+def tenant_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows left when a tenant is purged, and a tenant's rows that aren't soft-deleted."""
+    o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("tenant_id"), F.when(F.col("o_totalprice") >= 100000, F.col("o_orderdate")).alias("deleted_at"))
+    left = api.purge_tenant(o, "P").groupBy("tenant_id").agg(F.count("*").alias("n"))
+    return left.unionByName(api.tenant(o, "F").agg(F.count("*").alias("n")).select(F.lit("live F").alias("tenant_id"), "n"))
+
+
+@query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_nationkey < 10 THEN 'graph' ELSE 'store' END AS found_in FROM customer WHERE c_custkey % 3 = 0""")
+def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes by id, from the graph or else from the record store."""
+    c = t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), "c_nationkey", "c_custkey")
+    named = lambda df, name: df.select("id", F.lit(name).alias("found_in"))
+    return graph.get_nodes(named(c.where("c_nationkey < 10"), "graph"), named(c, "store"), c.where("c_custkey % 3 = 0").select("id"))
+
+
+@query("""SELECT o_custkey AS entity_a, o_orderkey + 1000000 AS entity_b, o_totalprice AS score FROM orders WHERE o_orderstatus = 'O' ORDER BY score DESC, entity_a, entity_b LIMIT 100""")
+def review_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """The best hundred pending candidates (a top-k report); approved and rejected ones aren't shown."""
+    o = t(spark, sf, "orders")
+    table = o.select(F.col("o_custkey").alias("entity_a"), (F.col("o_orderkey") + 1000000).alias("entity_b"), F.col("o_totalprice").alias("score"), F.lit("pending").alias("status"), "o_orderstatus")
+    verdict = F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected")
+    decisions = table.where("o_orderstatus <> 'O'").select("entity_a", "entity_b", verdict.alias("decision"), F.lit(1).alias("ts"))
+    return matching.review_queue(matching.decide(table.drop("o_orderstatus"), decisions)).select("entity_a", "entity_b", "score")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 9, '1') AS d FROM supplier) SELECT k, d AS ssn, CAST(k AS VARCHAR) || '-1' AS ssn_bad, substr(d, 1, 5) AS zip, CAST(k AS VARCHAR) || ' n main st ste 5' AS address FROM s""")
+def normalizers_places(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    d = F.lpad(k, 9, "1")
+    number = F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 6, 4))
+    return t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), norm.normalize(number, "ssn").alias("ssn"), norm.normalize(F.concat(k, F.lit("-1")), "ssn").alias("ssn_bad"), norm.normalize(number, "zip").alias("zip"), norm.normalize(F.concat(k, F.lit(" North  Main Street, Suite #5")), "address").alias("address"))

@@ -29,6 +29,19 @@ def not_seen(records: DataFrame, execution_id: str, status: str = "completed", c
     return records.where(~c.eqNullSafe(F.lit(execution_id)) if null_counts else c != execution_id)
 
 
+def completed_runs(events: DataFrame, scope: list[str], kind: str = "type", run: str = "execution_id", ts: str = "ts") -> DataFrame:
+    """(scope..., last_run, last_at): the last run of each scope that an event execution.completed reports; failed ones don't count."""
+    done = events.where(F.col(kind) == "execution.completed").where(F.col(run).isNotNull())
+    return done.groupBy(*scope).agg(F.max_by(run, F.struct(ts, run)).alias("last_run"), F.max(ts).alias("last_at"))
+
+
+def unseen_by_last_run(records: DataFrame, runs: DataFrame, scope: list[str], run: str = "execution_id", updated: str = "updated_at") -> DataFrame:
+    """``records`` that the last completed run of their scope didn't send (completed_runs). What was written after its end, by a
+    run that is still going, stays; a null execution stays, as in not_seen."""
+    joined = records.join(runs.select(*scope, "last_run", "last_at"), scope)
+    return joined.where((F.col(run) != F.col("last_run")) & (F.col(updated) <= F.col("last_at"))).select(records.columns)
+
+
 def too_old(now: Column, max_age_days: float, check_field: str = "updated_at") -> Column:
     """staleness and retention: ``check_field`` more than max_age_days before ``now``."""
     return F.coalesce(F.col(check_field) < F.timestamp_micros(F.unix_micros(now) - int(max_age_days * 86_400_000_000)), F.lit(False))

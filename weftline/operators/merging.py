@@ -112,3 +112,48 @@ def golden_events(before: DataFrame, after: DataFrame, key: str = "cluster_id",
     both = b.join(a, key, "full_outer")
     kind = F.when(F.col("_in").isNull(), "entity.created").when(F.col("_out").isNull(), "entity.deleted").when(~F.col("_a").eqNullSafe(F.col("_b")), "entity.updated")
     return both.select(key, kind.alias("event_type")).where("event_type is not null")
+
+
+def merged_golden(members: DataFrame, golden: DataFrame, cluster: str = "cluster_id", golden_id: str = "golden_id", created: str = "created_at") -> DataFrame:
+    """(cluster, golden_id, survivor): the golden records that the members of a cluster had, and the oldest of them, which stays.
+
+    ``members``: (id, cluster, golden_id or null). Clusters only ever grow: all members of one golden record are in one cluster.
+    Ties of age go to the smaller id.
+    """
+    held = members.where(F.col(golden_id).isNotNull()).select(cluster, golden_id).distinct().join(golden.select(golden_id, created), golden_id)
+    first = held.groupBy(cluster).agg(F.min_by(golden_id, F.struct(created, golden_id)).alias("survivor"))
+    return held.select(cluster, golden_id).join(first, cluster)
+
+
+def consolidate(members: DataFrame, golden: DataFrame, edges: DataFrame, cluster: str = "cluster_id", golden_id: str = "golden_id", created: str = "created_at") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, golden, edges) after clusters grew together; see merged_golden.
+
+    Members take the survivor as their golden_id; those of a cluster that had none take the cluster's id. Golden records get
+    ``merged_into`` (null: it stays); one that took in another record or a new member has its version raised by one. Clusters that
+    had none aren't added here: their records are built anew. Edges (type, from_id, to_id) are moved to the survivors, each once;
+    those whose ends fell together go (an edge from a record to itself stays).
+    """
+    moved = merged_golden(members, golden, cluster, golden_id, created)
+    named = members.join(moved.select(cluster, "survivor").distinct(), cluster, "left")
+    out = named.withColumn(golden_id, F.coalesce("survivor", F.col(cluster).cast(members.schema[golden_id].dataType))).drop("survivor").select(members.columns)
+    grown = named.where(F.col(golden_id).isNull() | (F.col(golden_id) != F.col("survivor"))).select(F.col("survivor").alias(golden_id)).distinct().withColumn("_grown", F.lit(1))
+    gone = moved.where(F.col(golden_id) != F.col("survivor")).select(golden_id, F.col("survivor").alias("merged_into"))
+    left = golden.join(grown, golden_id, "left").join(gone, golden_id, "left")
+    left = left.withColumn("version", F.col("version") + F.coalesce("_grown", F.lit(0))).select(*golden.columns, "merged_into")
+    ends = edges.withColumn("_loop", F.col("from_id") == F.col("to_id"))
+    for side in ("from_id", "to_id"):
+        ends = ends.join(gone.select(F.col(golden_id).alias(side), F.col("merged_into").alias(f"_{side}")), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    out_edges = ends.where(F.col("_loop") | (F.col("from_id") != F.col("to_id"))).select(edges.columns).distinct()
+    return out, left, out_edges
+
+
+def audit_log(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, action, field, old_value, new_value): created, updated and deleted rows of two snapshots, an update for each field
+    that changed (texts); created and deleted rows have one entry without a field."""
+    side = lambda df, name: df.select(key, F.struct(*[F.col(f"`{f}`").cast("string").alias(f) for f in fields]).alias(name))
+    both = side(before, "_b").join(side(after, "_a"), key, "full_outer")
+    entry = lambda action, field, old, new: F.struct(F.lit(action).alias("action"), F.lit(field).cast("string").alias("field"), old.alias("old_value"), new.alias("new_value"))
+    none = F.lit(None).cast("string")
+    changed = F.filter(F.array(*[F.when(~F.col("_b")[f].eqNullSafe(F.col("_a")[f]), entry("updated", f, F.col("_b")[f], F.col("_a")[f])) for f in fields]), lambda e: e.isNotNull())
+    whole = F.when(F.col("_b").isNull(), F.array(entry("created", None, none, none))).when(F.col("_a").isNull(), F.array(entry("deleted", None, none, none))).otherwise(changed)
+    return both.select(key, F.explode(whole).alias("_e")).select(key, "_e.*")

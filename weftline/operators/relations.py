@@ -106,6 +106,71 @@ def criteria_edges(criteria: list[dict], entities: DataFrame, data: str = "data"
     return found.join(F.broadcast(sources), "g").where(F.col("from_entity_id") != F.col("to_entity_id").cast("string")).select("criteria_id", "relationship_type", "from_entity_id", "to_entity_id")
 
 
+def _conditions(criteria: Column) -> Column:
+    """The array of (path, op, x) that a criteria object in JSON text asks for; x is text, or JSON where it's no text."""
+    one = lambda path, op, x: F.struct(path.alias("path"), op.alias("op"), x.alias("x"))
+    operators = lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda o: one(e["key"], o["key"], o["value"]))
+    is_operator = lambda e: F.coalesce(e["value"].rlike(r'^\{\s*"\$'), F.lit(False))
+    listed = F.transform(F.map_entries(F.from_json(criteria, "map<string,string>")), lambda e: F.when(is_operator(e), operators(e)).otherwise(F.array(one(e["key"], F.lit("$eq"), e["value"]))))
+    return F.flatten(listed)
+
+
+def _holds(v: Column, c: Column) -> Column:
+    """Whether condition ``c`` (path, op, x) holds for the value ``v`` at its path; an unknown operator never does."""
+    op, x = c["op"], c["x"]
+    number, limit = v.try_cast("double"), x.try_cast("double")
+    equal = F.when(x.isNull(), v.isNull()).otherwise(v == x)
+    inside = F.when(v.startswith("["), F.array_contains(F.from_json(v, "array<string>"), x)).otherwise(v.contains(x))
+    test = F.when(op == "$eq", equal).when(op == "$ne", ~F.coalesce(equal, F.lit(False))).when(op == "$in", F.array_contains(F.from_json(x, "array<string>"), v))
+    test = test.when(op == "$contains", inside).when(op == "$exists", F.when(x == "true", v.isNotNull()).otherwise(v.isNull()))
+    test = test.when(op == "$gt", number > limit).when(op == "$gte", number >= limit).when(op == "$lt", number < limit).when(op == "$lte", number <= limit)
+    return F.coalesce(test, F.lit(False))
+
+
+def stored_criteria_edges(criteria: DataFrame, entities: DataFrame, data: str = "data") -> DataFrame:
+    """criteria_edges for a table of criteria, of any number: (criteria_id, relationship_type, from_entity_id, to_entity_id).
+
+    ``criteria``: (criteria_id, tenant_id, relationship_type, from_entity_id, to_entity_type, to_integration or null, criteria:
+    JSON text). A criterion that asks for equality, or for one of a list, meets only the entities that have one of these values at
+    that path (an equi-join); one without such a condition meets all entities of its type, which is what it asks for unless its
+    ranges are narrow. All conditions are tested afterwards. Paths are keys joined by dots. Either table may be new.
+    """
+    rules = criteria.withColumn("_c", _conditions(F.col("criteria")))
+    choices = F.filter("_c", lambda c: (c["op"] == "$in") | ((c["op"] == "$eq") & c["x"].isNotNull()))
+    rules = rules.withColumn("_first", F.get(choices, F.lit(0)))
+    values = F.when(F.col("_first.op") == "$in", F.array_distinct(F.from_json("_first.x", "array<string>"))).when(F.col("_first").isNotNull(), F.array("_first.x"))
+    rules = rules.withColumn("_path", F.col("_first.path")).withColumn("_value", F.explode_outer(values)).where("_first is null or _value is not null").drop("_first", "criteria")
+    at = lambda p: F.call_function("get_json_object", F.col(data), F.concat(F.lit("$."), p))
+    ent = entities.select("tenant_id", F.col("entity_type").alias("to_entity_type"), "integration", F.col("entity_id").alias("to_entity_id"), data)
+    scope = ["tenant_id", "to_entity_type"]
+    # Few: the paths that criteria of a type are anchored at. Spark broadcasts them if their measured size is small.
+    paths = rules.where("_path is not null").select(*scope, "_path").distinct()
+    keyed = ent.join(paths, scope).withColumn("_value", at(F.col("_path"))).where("_value is not null")
+    found = keyed.join(rules.where("_path is not null"), [*scope, "_path", "_value"]).select(*scope, "integration", "to_entity_id", data, "criteria_id", "relationship_type", "from_entity_id", "to_integration", "_c")
+    every = ent.join(rules.where("_path is null").drop("_path", "_value"), scope).select(found.columns)
+    both = found.unionByName(every).where(F.col("to_integration").isNull() | (F.col("to_integration") == F.col("integration")))
+    both = both.where(F.forall("_c", lambda c: _holds(at(c["path"]), c)) & (F.col("from_entity_id") != F.col("to_entity_id").cast("string")))
+    return both.select("criteria_id", "relationship_type", "from_entity_id", "to_entity_id")
+
+
+#: How many edges of a type an entity may have on its from and its to side; None: any number.
+CARDINALITY = {"one_to_one": (1, 1), "one_to_many": (None, 1), "many_to_one": (1, None), "many_to_many": (None, None)}
+
+
+def cardinality_violations(edges: DataFrame, types: DataFrame) -> DataFrame:
+    """(relationship_type, side, entity_id, n): ends that have more different partners than their type allows.
+
+    ``edges``: (relationship_type, from_id, to_id), ``types``: (relationship_type, cardinality), joined by type; types that aren't
+    listed, and unknown cardinalities, allow any number.
+    """
+    known = edges.select("relationship_type", "from_id", "to_id").distinct().join(types.select("relationship_type", "cardinality"), "relationship_type")
+    parts = []
+    for n, side in enumerate(("from", "to")):
+        single = known.where(F.col("cardinality").isin([k for k, v in CARDINALITY.items() if v[n] == 1]))
+        parts.append(single.groupBy("relationship_type", F.lit(side).alias("side"), F.col(f"{side}_id").alias("entity_id")).agg(F.count("*").alias("n")).where("n > 1"))
+    return parts[0].unionByName(parts[1])
+
+
 def golden_edges(resolved: DataFrame, membership: DataFrame) -> DataFrame:
     """(relationship_type, from_id, to_id, source_count): distinct edges between clusters; membership: (entity_id, cluster_id).
 

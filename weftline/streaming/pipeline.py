@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftline.operators.deletion import completed_runs, unseen_by_last_run
 from weftline.operators.staging import field_changes, fold_changes, merged_changes
 from weftline.plans.mapping import Definition, apply_mapping
 
@@ -78,6 +79,17 @@ def compact_upserts(spark: SparkSession, path: str, key: list[str]) -> int:
     return last
 
 
+def completion_batches(records: Callable[[], DataFrame], path: str, key: list[str], scope: list[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over lifecycle events: the keys of the records that a completed run of the batch didn't send are
+    written to ``path``/v=n. ``records`` gives the table as it is then; a replayed batch overwrites its own keys."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        gone = unseen_by_last_run(records(), completed_runs(batch, scope), scope)
+        gone.select(key).distinct().write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return run
+
+
 def windowed_counts(stream: DataFrame, ts: str, key: list[str], window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by key and event-time window; rows later than ``late`` behind the newest are dropped by the watermark."""
     own = F.window(ts, window, slide) if slide else F.window(ts, window)
