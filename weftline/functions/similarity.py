@@ -78,7 +78,7 @@ def _batched(score):
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x.encode(), y.encode()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(batch, T.DoubleType(), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(batch, T.DoubleType())
 
 
 def jaro(a: Column, b: Column) -> Column:
