@@ -78,3 +78,17 @@ def test_columns_of_the_result_are_replaced(spark):
     items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
     got = D.find_contamination(docs, items).collect()
     assert [(r.hit_spans, r.hit_items) for r in got] == [([1, 3], ["7"])]
+
+
+def test_blocks_are_bounded_and_long_items_lose_no_window(spark, monkeypatch):
+    words = [f"v{i}" for i in range(137)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "v5 v6"), (3, None)], "item_id long, text string")
+    blocks = D.benchmark_blocks(items, block_words=20)
+    assert blocks.df.count() >= 7
+    docs = [(i, " ".join(words[i : i + 10])) for i in range(128)] + [(500, " ".join(words[i] for i in range(0, 137, 2)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for group in (1, D.GROUP_BYTES):  # one group of documents after another, or all at once
+        monkeypatch.setattr(D, "GROUP_BYTES", group)
+        got = {r.doc_id: r for r in D.find_contamination(d, items, block_words=20).collect()}
+        assert all(got[i].hit_spans == [0, 10] for i in range(128)) and got[500].hit_spans is None
+        assert got[5].hit_items == ["1", "2"] and got[6].hit_items == ["1"]

@@ -3,26 +3,33 @@
 Symbols are words, patterns the benchmark's windows. Windows of one length m form a table: the shift table maps a block of B
 words to the distance from its last place in any window to the window's end (a block in no window lets the search jump m-B+1
 words), the suffix-hash buckets list the windows that end with a block, and a direct comparison of all m words confirms an
-occurrence. A table is compiled for a block of windows of bounded size and travels to the executors; documents are scanned
-against one block after another inside one narrow pass each, with no shuffle, so a hot source or passage costs nothing extra.
+occurrence. Tables are compiled by tasks, for blocks of windows of bounded size, and written to the shared folder; documents are
+scanned against one block after another inside a narrow pass, with no shuffle, so a hot source or passage costs nothing extra.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import STEP, values
+from weftline.plans.storage import Spill
 
 WINDOW = 10
-#: Benchmark words in one compiled block: the bound on what is sent to an executor at once (about 100 bytes a word).
+#: Benchmark words in one compiled block (about 100 bytes a word): a task holds the tables of one block at a time.
 BLOCK_WORDS = 300_000
+#: Blocks that one pass over the documents takes in turn; more need one more pass, in the same tasks.
+PASS_BLOCKS = 8
+#: Bytes of text that are scanned against all blocks of a pass before the next documents are read.
+GROUP_BYTES = 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Bytes of words: digits, letters (A-Z become a-z) and everything beyond ASCII; the rest separates.
 TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -63,30 +70,47 @@ class WuManber:
 
 
 def compile_block(items: Iterable[tuple], window: int = WINDOW) -> bytes:
-    """Pickled tables, one for each window length, of (item_id, text) rows; an item of fewer words is one window of its own."""
+    """Pickled tables, one for each window length, of (item_id, words) rows; an item of fewer words is one window of its own."""
     by: dict[int, dict[tuple, list]] = {}
-    for item, text in items:
-        words = split_words(text)
-        if words:
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1):
-                own = by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), [])
-                if item not in own:
-                    own.append(item)
+    for item, words in items:
+        m = min(window, len(words))
+        for i in range(len(words) - m + 1):
+            own = by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), [])
+            if item not in own:
+                own.append(item)
     return pickle.dumps([WuManber(x, m) for m, x in sorted(by.items())])
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[bytes]:
-    """Compiled blocks of ``block_words`` benchmark words at most (a longer item is a block of its own)."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        n = len(row.t or "") // 2
-        if held and size + n > block_words:
-            yield compile_block(held, window)
-            held, size = [], 0
-        held.append((row.i, row.t))
-        size += n
-    yield compile_block(held, window)
+def _compile(window: int, block_words: int):
+    """(item, text) -> compiled blocks. A longer item is cut into pieces that overlap by all but one word of a window."""
+
+    def pieces(words: list) -> Iterator[list]:
+        for at in range(0, max(1, len(words) - window + 1), block_words):
+            yield words[at : at + block_words + window - 1]
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for item, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
+                for words in pieces(split_words(text)):
+                    if held and size + len(words) > block_words:
+                        yield pa.record_batch([pa.array([compile_block(held, window)], pa.binary())], ["tables"])
+                        held, size = [], 0
+                    if words:
+                        held.append((item, words))
+                        size += len(words)
+        if held:
+            yield pa.record_batch([pa.array([compile_block(held, window)], pa.binary())], ["tables"])
+
+    return compiled
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Spill:
+    """(tables): compiled blocks of ``block_words`` + ``window`` benchmark words at most, written to the shared folder."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    tasks = max(1, math.ceil(chars / 2 / block_words))  # a word and its separator take two characters at least
+    return Spill(items.repartition(tasks).mapInArrow(_compile(window, block_words), "tables binary"), "blocks")
 
 
 def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,31 +124,50 @@ def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _scan(block, text_at: int, spans_at: int, items_at: int, schema_names: list[str]):
-    """Adds a block's occurrences to the columns of word spans and items."""
+def _search(text: str | None, tables: list[WuManber], spans: list, items: list) -> tuple[list | None, list | None]:
+    """Word spans (flat) and items of a text: those known before, and what occurs in it of the tables of one block."""
+    words, hits, own = split_words(text), [], set()
+    for table in tables:
+        for start, found in table.find(words):
+            if hits and hits[-1][0] <= start <= hits[-1][1] <= start + table.m:
+                hits[-1] = (hits[-1][0], start + table.m)
+            else:
+                hits.append((start, start + table.m))
+            own.update(found)
+    if not hits:
+        return spans, items
+    known = list(zip((spans or [])[::2], (spans or [])[1::2], strict=True))
+    return [x for s in _spans(hits + known) for x in s], sorted(own.union(items or []), key=lambda x: "" if x is None else x)
+
+
+def _scan(blocks: list[Broadcast], text_at: int, spans_at: int, items_at: int, schema_names: list[str]):
+    """Adds the occurrences of some blocks to the columns of word spans and items."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                held.append(batch.slice(at, STEP))
+                size += held[-1].column(text_at).nbytes
+                if len(blocks) == 1 or size >= GROUP_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
-        for batch in batches:
-            tables = tables if tables is not None else pickle.loads(block.value)
-            for at in range(0, max(1, batch.num_rows), STEP):
-                part = batch.slice(at, STEP)
-                spans, items = part.column(spans_at).to_pylist(), part.column(items_at).to_pylist()
-                for k, text in enumerate(part.column(text_at).to_pylist()):
-                    words, hits, own = split_words(text), [], set()
-                    for table in tables:
-                        for start, found in table.find(words):
-                            if hits and hits[-1][0] <= start <= hits[-1][1] <= start + table.m:
-                                hits[-1] = (hits[-1][0], start + table.m)
-                            else:
-                                hits.append((start, start + table.m))
-                            own.update(found)
-                    if hits:
-                        flat = _spans(hits + [tuple(x) for x in zip((spans[k] or [])[::2], (spans[k] or [])[1::2], strict=True)])
-                        spans[k] = [x for s in flat for x in s]
-                        items[k] = sorted(own.union(items[k] or []), key=lambda x: "" if x is None else x)
+        for parts in groups(batches):
+            found = [list(zip(p.column(spans_at).to_pylist(), p.column(items_at).to_pylist(), strict=True)) for p in parts]
+            for block in blocks:
+                if tables is None or len(blocks) > 1:
+                    tables = None  # the block before goes first
+                    tables = pickle.loads(block.value)
+                for part, own in zip(parts, found, strict=True):
+                    own[:] = [_search(text, tables, *x) for text, x in zip(part.column(text_at).to_pylist(), own, strict=True)]
+            for part, own in zip(parts, found, strict=True):
                 cols = list(part.columns)
-                cols[spans_at], cols[items_at] = pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))
+                cols[spans_at], cols[items_at] = pa.array([x for x, _ in own], pa.list_(pa.int64())), pa.array([x for _, x in own], pa.list_(pa.string()))
                 yield pa.record_batch(cols, schema_names)
 
     return scan
@@ -136,15 +179,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     Null and empty texts have no words, and so have benchmark items without words. A null item_id is reported as null.
     Columns of ``docs`` with these two names are replaced, all others stay. Texts of any length are read whole; repeated rows stay;
-    an empty benchmark hits nothing. Memory: one compiled block and 128 documents.
+    an empty benchmark hits nothing. Ties don't arise: all items with a window count. Blocks are compiled by tasks and
+    broadcast one by one. Memory of a task: the tables of one block, the bytes of PASS_BLOCKS and GROUP_BYTES of text (or 128 documents).
     """
     spark = docs.sparkSession
     docs = docs.drop("hit_spans", "hit_items")
     out = docs.withColumns({"hit_spans": F.lit(None).cast("array<long>"), "hit_items": F.lit(None).cast("array<string>")})
     at = {f: i for i, f in enumerate(out.columns)}
-    for block in benchmark_blocks(benchmark, item_col, window=window, block_words=block_words):
-        sent = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scan(sent, at[text_col], at["hit_spans"], at["hit_items"], out.columns), out.schema)
+    blocks = benchmark_blocks(benchmark, item_col, window=window, block_words=block_words)
+    sent = [spark.sparkContext.broadcast(bytes(r.tables)) for r in blocks.df.toLocalIterator()]
+    blocks.drop()
+    for k in range(0, len(sent), PASS_BLOCKS):
+        out = out.mapInArrow(_scan(sent[k : k + PASS_BLOCKS], at[text_col], at["hit_spans"], at["hit_items"], out.columns), out.schema)
     return out
 
 
