@@ -55,3 +55,16 @@ def test_raw_files(spark, tmp_path):
         (tmp_path / f"{i}.bin").write_bytes(np.array(s, "<u4").tobytes())
     got = S.count_tokens(S.read_token_files(spark, str(tmp_path), 4, 2), separator=9, width=4).collect()
     assert sorted((r.doc_index, r.start_token, r.n_tokens, r.terminated) for r in got) == sorted(x for s in streams for x in slow(s, 9))
+
+
+def test_large_files_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_BLOCKS", 3)
+    rnd = random.Random(3)
+    streams = [[rnd.choice([1, 2, 3, 9]) for _ in range(n)] for n in (0, 3, 50, 48, 401)]
+    for i, s in enumerate(streams):
+        (tmp_path / f"{i}.bin").write_bytes(np.array(s, "<u2").tobytes())
+    whole, ranges = (S.read_token_files(spark, str(tmp_path), 2, 4, whole_bytes=n) for n in (1 << 20, 8))
+    rows = lambda df: sorted((r.file_id, r.block, bytes(r.ids)) for r in df.collect())
+    assert rows(ranges) == rows(whole)
+    got = S.count_tokens(ranges, separator=9).collect()
+    assert sorted((r.doc_index, r.start_token, r.n_tokens, r.terminated) for r in got) == sorted(x for s in streams for x in slow(s, 9))

@@ -8,20 +8,24 @@ runs), so that no task holds all blocks of a large file: the ids, separators and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.tokens import encoder
-from weftline.plans.storage import Spill
+from weftline.plans.storage import Spill, shuffle_partitions
 
 SEPARATOR, BLOCK_TOKENS, RUN = 49407, 1 << 16, 4096
 BLOCKS = "file_id long, block long, ids binary"
+#: Files up to this length are read whole (Spark's bound for a binary value is 2 GB); blocks of a range of a larger file.
+WHOLE_BYTES, RANGE_BLOCKS = 256 << 20, 1024
 
 
 def _write(encode, separator: int, block: int, width: int):
@@ -71,25 +75,48 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, separator: int = SEPARAT
     return rows.mapInArrow(_write(encoder(tokenizer, plain=True), separator, block_tokens, width), f"{BLOCKS}, first_doc long, doc_ids array<long>")
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw flat files under ``path`` (any file system Spark reads; a file may have 2 GB at most, Spark's bound).
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Blocks of raw flat files under ``path``.
 
-    file_id is the XXH64 of the file's path. A file whose length is no multiple of ``width`` raises an error.
+    Files of up to ``whole_bytes`` come through Spark's ``binaryFile``, from any file system Spark reads. Larger ones are read in
+    ranges of RANGE_BLOCKS blocks, one task's work each, through pyarrow's file systems (local, HDFS, S3, GCS). file_id is the
+    XXH64 of the file's path. A file whose length is no multiple of ``width`` raises an error; an empty file has no blocks.
     """
     step = block_tokens * width
 
+    def table(file: int, first: int, data: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        for i in range(0, data.size, step):
+            part = data.slice(i, min(step, data.size - i)).to_pybytes()
+            yield pa.record_batch([pa.array([file], pa.int64()), pa.array([first + i // step], pa.int64()), pa.array([part], pa.binary())], ["file_id", "block", "ids"])
+
+    def check(size: int) -> None:
+        if size % width:
+            raise ValueError("the length of a token file is no multiple of the id width")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = data.as_buffer()
-                if data.size % width:
-                    raise ValueError("the length of a token file is no multiple of the id width")
-                for i in range(0, data.size, step):
-                    part = data.slice(i, min(step, data.size - i)).to_pybytes()
-                    yield pa.record_batch([pa.array([file], pa.int64()), pa.array([i // step], pa.int64()), pa.array([part], pa.binary())], ["file_id", "block", "ids"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "content")
-    return files.mapInArrow(cut, BLOCKS)
+                check(data.as_buffer().size)
+                yield from table(file, 0, data.as_buffer())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                check(row["length"])
+                system, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", row["path"]))
+                with system.open_input_file(name) as file:
+                    for first in range(row["block"], row["block"] + RANGE_BLOCKS):
+                        size = min(step, row["length"] - first * step)
+                        if size <= 0:
+                            break
+                        file.seek(first * step)
+                        yield from table(row["file_id"], first, file.read_buffer(size))
+
+    files = spark.read.format("binaryFile").load(path).withColumn("file_id", F.xxhash64("path"))
+    small = files.where(F.col("length") <= whole_bytes).select("file_id", "content").mapInArrow(cut, BLOCKS)
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step), F.lit(RANGE_BLOCKS).cast("long")))
+    large = files.where(F.col("length") > whole_bytes).select("file_id", "path", "length", ranges.alias("block"))
+    return small.union(large.repartition(shuffle_partitions(spark)).mapInArrow(read, BLOCKS))
 
 
 def _find(separator: int, width: int):
