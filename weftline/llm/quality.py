@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from weftline.plans.storage import Spill
 ORDER = 4
 #: N-grams in a shard of the table that travels to the executors (12 bytes each): the bound on a broadcast.
 SHARD_GRAMS = 3_000_000
+#: Shards that a task holds at once; more need one more pass over the texts, in the same tasks.
+PASS_SHARDS = 4
 QUANTILE, SLACK = 0.99, 0.05
 #: Characters of a language's median that a text's mean is shrunk by, so that very short texts aren't judged on chance.
 SHRINK = 60
@@ -124,17 +127,48 @@ class KneserNey:
         return rows.select("g", F.ln("p").cast("float").alias("lp"))
 
 
-def _add(shard, text_at: int, sum_at: int, n_at: int, names: list[str], last: bool):
+def _pack(shard_grams: int):
+    """(g, lp) -> one row for each shard of ``shard_grams`` n-grams at most: both columns as bytes, sorted by g."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def shard() -> pa.RecordBatch:
+            g, lp = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(g)
+            held.clear()
+            return pa.record_batch([pa.array([x[order].tobytes()], pa.binary()) for x in (g, lp)], ["g", "lp"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, shard_grams - size)
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)))
+                at, size = at + part.num_rows, size + part.num_rows
+                if size == shard_grams:
+                    yield shard()
+                    size = 0
+        if held:
+            yield shard()
+
+    return pack
+
+
+def _add(shards: list[Broadcast], text_at: int, sum_at: int, n_at: int, names: list[str], last: bool):
+    """Adds the log-probabilities that some shards know to the sums of each document."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
         for batch in batches:
             if known is None:
-                known = [np.frombuffer(x, t) for x, t in zip(shard.value, (np.int64, np.float32), strict=True)]
-            g, lp = known
+                known = [(np.frombuffer(g, np.int64), np.frombuffer(lp, np.float32)) for g, lp in (s.value for s in shards)]
             sums, counts = batch.column(sum_at).to_pylist(), batch.column(n_at).to_pylist()
             for k, text in enumerate(values(batch.column(text_at))):
-                if text and len(g):
-                    own, times = np.unique(codes(text), return_counts=True)
+                if not text:
+                    continue
+                own, times = np.unique(codes(text), return_counts=True)
+                for g, lp in known:
                     at = np.minimum(np.searchsorted(g, own), len(g) - 1)
                     ok = g[at] == own
                     sums[k] += float((lp[at] * times)[ok].sum(dtype=np.float64))
@@ -154,18 +188,16 @@ def score_documents(docs: DataFrame, model: KneserNey, text_col: str = "text", s
     grams = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col)).mapInArrow(_count(False), "g long, n long").select("g").distinct()
     grams = Spill(grams, "asked").df
     table = Spill(model.log_probabilities(grams), "scores").df
-    shards = max(1, math.ceil(table.count() * 1.1 / shard_grams))  # hashing deals unevenly by far less than a tenth
+    tasks = max(1, math.ceil(table.count() / shard_grams))
+    packed = Spill(table.repartition(tasks).mapInArrow(_pack(shard_grams), "g binary, lp binary"), "shards")
+    sent = [spark.sparkContext.broadcast((bytes(r.g), bytes(r.lp))) for r in packed.df.toLocalIterator()]
+    packed.drop()
     out = docs.withColumns({"log_prob": F.lit(0.0), "n_scored": F.lit(0).cast("long")})
     names = out.columns
-    for s in range(shards):
-        part = table if shards == 1 else table.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s)
-        found = part.toArrow()
-        g, lp = found["g"].to_numpy(), found["lp"].to_numpy()
-        order = np.argsort(g)
-        sent = spark.sparkContext.broadcast((g[order].tobytes(), lp[order].tobytes()))
-        last = s == shards - 1
+    for k in range(0, max(1, len(sent)), PASS_SHARDS):
+        last = k + PASS_SHARDS >= len(sent)
         schema = T.StructType([T.StructField(f.name, T.LongType() if last and f.name == text_col else f.dataType) for f in out.schema])
-        out = out.mapInArrow(_add(sent, names.index(text_col), names.index("log_prob"), names.index("n_scored"), names, last), schema)
+        out = out.mapInArrow(_add(sent[k : k + PASS_SHARDS], names.index(text_col), names.index("log_prob"), names.index("n_scored"), names, last), schema)
     return out
 
 
