@@ -142,3 +142,45 @@ def test_lifecycle_split(spark):
     df = spark.createDataFrame([("execution.started",), (None,), ("response",)], "type string")
     a, b = routing.split_lifecycle(df)
     assert a.count() == 1 and b.count() == 2
+
+
+def test_dead_letters_by_stage_and_replay(spark):
+    from weftline.operators.routing import dead_letters, replay_dead_letters
+
+    df = spark.createDataFrame([(1, "x", None, 1), (2, "x", "y", None), (3, None, "y", 3), (4, None, None, 1)], "id int, a string, b string, attempts int")
+    good, dead = dead_letters(df, {"load_mapping": F.col("a"), "publish_output": F.col("b")})
+    assert [r.id for r in good.collect()] == [4] and good.columns == df.columns
+    assert sorted((r.id, r.error_stage, r.error) for r in dead.collect()) == [(1, "load_mapping", "x"), (2, "load_mapping", "x"), (3, "publish_output", "y")]
+    again, exhausted = replay_dead_letters(dead)
+    assert sorted((r.id, r.attempts) for r in again.collect()) == [(1, 2), (2, 2)] and again.columns == df.columns
+    assert [(r.id, r.error_stage) for r in exhausted.collect()] == [(3, "publish_output")]
+    assert {r.attempts for r in replay_dead_letters(dead.drop("attempts"))[0].collect()} == {2}
+
+
+def test_graph_batches_keep_event_order_and_replay(spark, tmp_path):
+    from weftline.streaming.pipeline import graph_batches, graph_rows
+
+    rows = lambda x: spark.createDataFrame(x, "id int, ts int, p string, deleted boolean")
+    run = graph_batches(str(tmp_path), ["id"], ["ts"])
+    run(rows([(1, 5, "new", False), (2, 1, "gone later", False), (3, 1, "a", None), (3, 1, "b", None)]), 0)
+    late = rows([(1, 4, "late", False), (2, 2, None, True)])
+    for _ in range(2):
+        run(late, 1)
+        assert sorted((r.id, r.p) for r in graph_rows(spark, str(tmp_path), ["id"], ["ts"]).collect()) == [(1, "new"), (3, "b")]
+
+
+def test_each_batch_is_routed_by_the_bindings_of_then(spark, tmp_path):
+    from weftline.catalog import _bindings
+    from weftline.streaming.pipeline import route_batches
+
+    schema = "message_id int, tenant_id string, integration string, plan_key string, status_code int, step_path string, request_url string"
+    batch, all_of_them, asked = spark.createDataFrame([(1, "t", "", "none", 500, "", "")], schema), _bindings(spark), []
+
+    def bindings():
+        asked.append(1)
+        return all_of_them if len(asked) == 1 else all_of_them.where("id <> 'b1'")
+
+    run = route_batches(bindings, str(tmp_path))
+    run(batch, 0)
+    run(batch.withColumn("message_id", F.lit(2)), 1)
+    assert [(r.message_id, r.binding_id) for r in spark.read.parquet(f"{tmp_path}/v=0", f"{tmp_path}/v=1").collect()] == [(1, "b1")]

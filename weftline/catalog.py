@@ -787,6 +787,42 @@ def graph_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return graph.merge_nodes(ev.where("value < 10").drop("value"), ev.where("value >= 10").drop("value")).select("id", "p")
 
 
+@query("""SELECT user_id AS id, last(event_type ORDER BY event_id) AS p FROM events GROUP BY 1 HAVING last(event_type ORDER BY event_id) <> 'error'""")
+def stream_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of nodes as a stream of three files, one a micro-batch, not in their order; errors delete their node."""
+    base = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex}"
+    source = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("p"), (F.col("event_type") == "error").alias("deleted"))
+    source.repartition(3, "ts").write.parquet(f"{base}/in")
+    stream = file_stream(spark, f"{base}/in", source.schema, files_per_trigger=1)
+    streaming.start_graph(stream, f"{base}/out", f"{base}/state", ["id"], ["ts"], available_now=True).awaitTermination()
+    return streaming.graph_rows(spark, f"{base}/out", ["id"], ["ts"]).select("id", "p")
+
+
+@query(_BIND_SQL + "SELECT message_id, binding_id, score FROM r WHERE message_id % 2 = 0 OR binding_id <> 'b1'")
+def stream_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of even ids come first; then binding b1 is disabled, which the batches after that see."""
+    base = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex}"
+    source, bindings = _messages(spark, sf), _bindings(spark)
+    for n in (0, 1):
+        source.where(F.col("message_id") % 2 == n).repartition(2).write.parquet(f"{base}/in/part={n}")
+        bindings.withColumn("is_enabled", F.col("is_enabled") & (F.lit(n == 0) | (F.col("id") != "b1"))).write.mode("overwrite").parquet(f"{base}/bindings")
+        stream = file_stream(spark, f"{base}/in/part=*", source.schema, files_per_trigger=1)
+        run = streaming.route_batches(lambda: spark.read.parquet(f"{base}/bindings"), f"{base}/out")
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("message_id", "binding_id", "score")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey IN (3, 4) THEN 'load_mapping' WHEN c_acctbal < 0 THEN 'execute_mapping' WHEN c_mktsegment = 'BUILDING' THEN 'output_topic_missing' END AS error_stage FROM customer)
+SELECT error_stage, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE c_custkey % 3 < 2) AS BIGINT) AS again FROM c WHERE error_stage IS NOT NULL GROUP BY 1""")
+def dead_letter_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Dead letters of three stages, and how many of them are sent again: those that failed less than three times."""
+    rows = t(spark, sf, "customer").withColumn("attempts", (F.col("c_custkey") % 3 + 1).cast("int"))
+    missing = F.when(F.col("c_nationkey").isin(3, 4), "no mapping")
+    dead = routing.dead_letters(rows, {"load_mapping": missing, "execute_mapping": F.when(F.col("c_acctbal") < 0, "negative"), "output_topic_missing": F.when(F.col("c_mktsegment") == "BUILDING", "no topic")})[1]
+    again = routing.replay_dead_letters(dead)[0].select("c_custkey", F.lit(1).alias("x"))
+    return dead.join(again, "c_custkey", "left").groupBy("error_stage").agg(F.count("*").alias("n"), F.count("x").alias("again"))
+
+
 @query("""SELECT event_id, CAST(least(power(2, event_id % 8), 60) AS DOUBLE) AS exponential, CAST(least(event_id % 8 + 1, 60) AS DOUBLE) AS linear, CAST([1, 1, 2, 3, 5, 8, 13, 21][CAST(event_id % 8 + 1 AS INTEGER)] AS DOUBLE) AS fibonacci FROM events""")
 def backoff_delays(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id") % 8 + 1

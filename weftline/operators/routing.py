@@ -136,6 +136,26 @@ def split_errors(mapped: DataFrame, error: str = "error", stage: str = "execute_
     return mapped.where(F.col(error).isNull()).drop(error), mapped.where(F.col(error).isNotNull()).withColumn("error_stage", F.lit(stage))
 
 
+def dead_letters(df: DataFrame, stages: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, dead letters) by several stages: ``stages`` names them in order, each with the error it gives (null: none).
+
+    Dead letters carry ``error_stage`` and ``error`` of the first stage that failed.
+    """
+    first = F.coalesce(*[F.when(error.isNotNull(), F.struct(F.lit(name).alias("stage"), error.cast("string").alias("error"))) for name, error in stages.items()])
+    marked = df.withColumn("_dead", first)
+    dead = marked.where(F.col("_dead").isNotNull()).withColumns({"error_stage": F.col("_dead.stage"), "error": F.col("_dead.error")}).drop("_dead")
+    return marked.where(F.col("_dead").isNull()).drop("_dead"), dead
+
+
+def replay_dead_letters(dead: DataFrame, max_attempts: int = 3, attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
+    """(messages to send again, exhausted dead letters): a message is sent again, its count of ``attempts`` raised and its error
+    taken off, until it has failed ``max_attempts`` times. No count, or a null one, is a first failure."""
+    before = F.coalesce(F.col(attempts), F.lit(1)) if attempts in dead.columns else F.lit(1)
+    counted = dead.withColumn(attempts, before)
+    again = counted.where(F.col(attempts) < max_attempts).withColumn(attempts, F.col(attempts) + 1).drop("error", "error_stage")
+    return again, counted.where(F.col(attempts) >= max_attempts)
+
+
 def split_lifecycle(messages: DataFrame, kind: str = "type") -> tuple[DataFrame, DataFrame]:
     """(lifecycle events, other messages): events have a type that begins with "execution."."""
     event = F.coalesce(F.col(kind).startswith("execution."), F.lit(False))

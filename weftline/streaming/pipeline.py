@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.deletion import completed_runs, unseen_by_last_run
+from weftline.operators.routing import match_bindings
 from weftline.operators.staging import field_changes, fold_changes, merged_changes
 from weftline.plans.mapping import Definition, apply_mapping
 
@@ -90,6 +91,48 @@ def completion_batches(records: Callable[[], DataFrame], path: str, key: list[st
     return run
 
 
+def route_batches(bindings: Callable[[], DataFrame], path: str, first: bool = False, id_col: str = "message_id") -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the batch's messages with their bindings (match_bindings) are written to ``path``/v=n.
+
+    ``bindings`` is asked anew for each batch, so a changed table takes effect with the next one. A replayed batch overwrites
+    its own version, by the bindings of then.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        match_bindings(batch, bindings(), first, id_col).write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return run
+
+
+def _last_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last by ``order``; ties go to the greatest values of the other columns."""
+    rest = [c for c in rows.columns if c not in key + order]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_x"))
+    return last.select(*key, *[F.col(f"_x.{c}").alias(c) for c in order + rest])
+
+
+def graph_batches(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over changes of nodes or edges: batch n's last change of each key, deletions among them, goes to
+    ``path``/changes/v=n. Nothing earlier is read; a replayed batch overwrites its own version."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        _last_rows(batch, key, order).write.mode("overwrite").parquet(f"{path}/changes/v={n}")
+
+    return run
+
+
+def start_graph(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str], interval: str = "1 second", available_now: bool = False) -> StreamingQuery:
+    """Changes of nodes or edges to a graph table, a micro-batch every ``interval``."""
+    writer = stream.writeStream.foreachBatch(graph_batches(path, key, order)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def graph_rows(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The nodes or edges as of the last finished batch: the last change of each key; those with deleted = true are gone."""
+    last = _last_rows(_changes(spark, path)[0], key, order)
+    return last.where("not coalesce(deleted, false)") if "deleted" in last.columns else last
+
+
 def windowed_counts(stream: DataFrame, ts: str, key: list[str], window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by key and event-time window; rows later than ``late`` behind the newest are dropped by the watermark."""
     own = F.window(ts, window, slide) if slide else F.window(ts, window)
