@@ -174,7 +174,7 @@ def test_each_batch_is_routed_by_the_bindings_of_then(spark, tmp_path):
     from weftline.streaming.pipeline import route_batches
 
     schema = "message_id int, tenant_id string, integration string, plan_key string, status_code int, step_path string, request_url string"
-    batch, all_of_them, asked = spark.createDataFrame([(1, "t", "", "none", 500, "", "")], schema), _bindings(spark), []
+    batch, all_of_them, asked = spark.createDataFrame([(1, "t", "web", "none", 500, "", "")], schema), _bindings(spark), []
 
     def bindings():
         asked.append(1)
