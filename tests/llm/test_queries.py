@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_html": "page_id bigint, url string, text string, n_chars bigint",
     "op9_token_counts": "doc_id bigint, file_id bigint, doc_index bigint, start_token bigint, n_tokens bigint",
     "op10_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op11_nearest": "query_id bigint, rank int, vec_id bigint, score double",
+    "op12_clusters": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -28,13 +31,15 @@ def test_contract(spark, name):
     df = Q.queries()[name](spark, SF)
     assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == COLUMNS[name]
     rows = df.collect()
-    source = {"op7_embeddings": "embeddings", "op8_html": "pages"}.get(name, "documents")
+    source = {"op7_embeddings": "embeddings", "op8_html": "pages", "op11_nearest": "embeddings", "op12_clusters": "embeddings"}.get(name, "documents")
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").collect()}
     got = [r[0] for r in rows]
     if name == "op3_substring":
         assert set(got) <= ids
     elif name == "op1_packing":
         assert set(got) == ids
+    elif name == "op11_nearest":
+        assert sorted(got) == sorted(i for i in ids if i % 20 == 0 for _ in range(20))
     else:
         assert sorted(got) == sorted(ids)
     if name in Q.oracle_sql():
