@@ -1,7 +1,8 @@
 """Criteria: JSON predicates over records, compiled to Columns.
 
 {path: value} asks for equality, {path: {op: value, ...}} for all its operators; everything is ANDed. Equality compares text
-forms ("5" equals 5); numeric operators read numbers from text; $ne holds where the path is missing; unknown operators never hold.
+forms, of numbers their values ("5", 5, 5.0 and 5e0 are equal); numeric operators read numbers from text; $ne holds where the path is
+missing; unknown operators never hold.
 """
 
 from __future__ import annotations
@@ -18,11 +19,18 @@ from weftline.functions.values import as_text, literal
 NUMERIC = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
 
+def comparable(c: Column) -> Column:
+    """The text that a value is compared by: a number in the grammar of JSON as its double, anything else (and what no double
+    holds) as it is."""
+    number = F.when(c.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), c.try_cast("double"))
+    return F.when(number.isNotNull() & (F.abs(number) < float("inf")), (number + F.lit(0.0)).cast("string")).otherwise(c)
+
+
 def _equal(c: Column, x: object) -> Column:
     if x is None:
         return c.isNull()
     if isinstance(x, bool | str | int | float):
-        return F.coalesce(c == as_text(literal(x)), F.lit(False))
+        return F.coalesce(comparable(c) == comparable(as_text(literal(x))), F.lit(False))
     return F.coalesce(c == json.dumps(x, separators=(",", ":")), F.lit(False))
 
 
@@ -36,7 +44,7 @@ def _operator(c: Column, op: str, x: object) -> Column:
     if op == "$contains":
         items = F.from_json(c, "array<string>")
         text = as_text(literal(x))
-        return F.coalesce(F.when(c.startswith("["), F.array_contains(items, text)).otherwise(c.contains(text)), F.lit(False))
+        return F.coalesce(F.when(c.startswith("["), F.exists(items, lambda i: F.coalesce(comparable(i) == comparable(text), F.lit(False)))).otherwise(c.contains(text)), F.lit(False))
     if op == "$exists":
         return c.isNotNull() if x else c.isNull()
     if op in NUMERIC:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.criteria import matches
+from weftline.functions.criteria import comparable, matches
+from weftline.operators.ranges import stabbed
 
 
 def edge_id(*parts: Column | str) -> Column:
@@ -119,36 +120,71 @@ def _holds(v: Column, c: Column) -> Column:
     """Whether condition ``c`` (path, op, x) holds for the value ``v`` at its path; an unknown operator never does."""
     op, x = c["op"], c["x"]
     number, limit = v.try_cast("double"), x.try_cast("double")
-    equal = F.when(x.isNull(), v.isNull()).otherwise(v == x)
-    inside = F.when(v.startswith("["), F.array_contains(F.from_json(v, "array<string>"), x)).otherwise(v.contains(x))
-    test = F.when(op == "$eq", equal).when(op == "$ne", ~F.coalesce(equal, F.lit(False))).when(op == "$in", F.array_contains(F.from_json(x, "array<string>"), v))
+    among = lambda items, y: F.exists(F.from_json(items, "array<string>"), lambda i: F.coalesce(comparable(i) == comparable(y), F.lit(False)))
+    equal = F.when(x.isNull(), v.isNull()).otherwise(comparable(v) == comparable(x))
+    inside = F.when(v.startswith("["), among(v, x)).otherwise(v.contains(x))
+    test = F.when(op == "$eq", equal).when(op == "$ne", ~F.coalesce(equal, F.lit(False))).when(op == "$in", among(x, v))
     test = test.when(op == "$contains", inside).when(op == "$exists", F.when(x == "true", v.isNotNull()).otherwise(v.isNull()))
     test = test.when(op == "$gt", number > limit).when(op == "$gte", number >= limit).when(op == "$lt", number < limit).when(op == "$lte", number <= limit)
     return F.coalesce(test, F.lit(False))
 
 
+#: Operators of ranges: whether they bound from below, and whether the bound itself is outside.
+RANGES = {"$gt": (True, True), "$gte": (True, False), "$lt": (False, True), "$lte": (False, False)}
+
+
+def _range_of(conditions: Column) -> Column:
+    """(bounds, path, lo, lo_open, hi, hi_open) of one path of ``conditions`` that has ranges, one with both bounds if there is; null
+    if there is none."""
+    is_range = lambda c: c["op"].isin(list(RANGES))
+
+    def along(path: Column) -> Column:
+        bound = lambda ops, sign: F.array_max(F.transform(F.filter(conditions, lambda c: (c["path"] == path) & c["op"].isin(ops)), lambda c: F.struct((c["x"].try_cast("double") * sign).alias("v"), (c["op"].isin(["$gt", "$lt"])).alias("open"))))
+        lo, hi = bound(["$gt", "$gte"], 1.0), bound(["$lt", "$lte"], -1.0)
+        both = lo.isNotNull().cast("int") + hi.isNotNull().cast("int")
+        return F.struct(both.alias("bounds"), path.alias("path"), lo["v"].alias("lo"), lo["open"].alias("lo_open"), (-hi["v"]).alias("hi"), hi["open"].alias("hi_open"))
+
+    return F.array_max(F.transform(F.array_distinct(F.transform(F.filter(conditions, is_range), lambda c: c["path"])), along))
+
+
 def stored_criteria_edges(criteria: DataFrame, entities: DataFrame, data: str = "data") -> DataFrame:
     """criteria_edges for a table of criteria, of any number: (criteria_id, relationship_type, from_entity_id, to_entity_id).
 
     ``criteria``: (criteria_id, tenant_id, relationship_type, from_entity_id, to_entity_type, to_integration or null, criteria:
     JSON text). A criterion that asks for equality, or for one of a list, meets only the entities that have one of these values at
-    that path (an equi-join); one without such a condition meets all entities of its type, which is what it asks for unless its
-    ranges are narrow. All conditions are tested afterwards. Paths are keys joined by dots. Either table may be new.
+    that path (an equi-join). One that has ranges instead meets those whose number is in the range of one of its paths (an interval
+    index, operators/ranges.py). Only one that has neither ($ne, $exists, $contains, or nothing) meets all entities of its type. All
+    conditions are tested afterwards. Paths are keys joined by dots. Either table may be new.
     """
-    rules = criteria.withColumn("_c", _conditions(F.col("criteria")))
+    rules = criteria.withColumn("_c", _conditions(F.col("criteria"))).drop("criteria")
+    # A bound that is no number is never met.
+    rules = rules.where(~F.exists("_c", lambda c: c["op"].isin(list(RANGES)) & c["x"].try_cast("double").isNull()))
     choices = F.filter("_c", lambda c: (c["op"] == "$in") | ((c["op"] == "$eq") & c["x"].isNotNull()))
-    rules = rules.withColumn("_first", F.get(choices, F.lit(0)))
-    values = F.when(F.col("_first.op") == "$in", F.array_distinct(F.from_json("_first.x", "array<string>"))).when(F.col("_first").isNotNull(), F.array("_first.x"))
-    rules = rules.withColumn("_path", F.col("_first.path")).withColumn("_value", F.explode_outer(values)).where("_first is null or _value is not null").drop("_first", "criteria")
+    rules = rules.withColumns({"_first": F.get(choices, F.lit(0)), "_range": _range_of(F.col("_c"))})
     at = lambda p: F.call_function("get_json_object", F.col(data), F.concat(F.lit("$."), p))
     ent = entities.select("tenant_id", F.col("entity_type").alias("to_entity_type"), "integration", F.col("entity_id").alias("to_entity_id"), data)
     scope = ["tenant_id", "to_entity_type"]
-    # Few: the paths that criteria of a type are anchored at. Spark broadcasts them if their measured size is small.
-    paths = rules.where("_path is not null").select(*scope, "_path").distinct()
-    keyed = ent.join(paths, scope).withColumn("_value", at(F.col("_path"))).where("_value is not null")
-    found = keyed.join(rules.where("_path is not null"), [*scope, "_path", "_value"]).select(*scope, "integration", "to_entity_id", data, "criteria_id", "relationship_type", "from_entity_id", "to_integration", "_c")
-    every = ent.join(rules.where("_path is null").drop("_path", "_value"), scope).select(found.columns)
-    both = found.unionByName(every).where(F.col("to_integration").isNull() | (F.col("to_integration") == F.col("integration")))
+    about = ["criteria_id", "relationship_type", "from_entity_id", "to_integration", "_c"]
+    columns = [*scope, "integration", "to_entity_id", data, *about]
+
+    def along(own: DataFrame) -> DataFrame:
+        # Few: the paths that criteria of a type are anchored at. Spark broadcasts them if their measured size is small.
+        return ent.join(own.select(*scope, "_path").distinct(), scope).withColumn("_value", at(F.col("_path"))).where("_value is not null")
+
+    values = F.when(F.col("_first.op") == "$in", F.from_json("_first.x", "array<string>")).otherwise(F.array("_first.x"))
+    equal = rules.where("_first is not null").withColumn("_path", F.col("_first.path"))
+    equal = equal.withColumn("_value", F.explode(F.array_distinct(F.transform(values, comparable)))).where("_value is not null")
+    found = along(equal).withColumn("_value", comparable(F.col("_value"))).join(equal.select(*scope, "_path", "_value", *about), [*scope, "_path", "_value"]).select(columns)
+    # Whether there are rules of the other kinds is looked up, so a plan has no join that nobody needs.
+    ranged = rules.where("_first is null and _range is not null")
+    if not ranged.isEmpty():
+        ranged = ranged.select(*scope, F.col("_range.path").alias("_path"), *[f"_range.{c}" for c in ("lo", "lo_open", "hi", "hi_open")], *about)
+        numbers = along(ranged).withColumn("x", F.col("_value").try_cast("double")).where("x is not null").drop("_value")
+        found = found.unionByName(stabbed(ranged, numbers, [*scope, "_path"]).select(columns))
+    rest = rules.where("_first is null and _range is null")
+    if not rest.isEmpty():
+        found = found.unionByName(ent.join(rest.select(*scope, *about), scope).select(columns))
+    both = found.where(F.col("to_integration").isNull() | (F.col("to_integration") == F.col("integration")))
     both = both.where(F.forall("_c", lambda c: _holds(at(c["path"]), c)) & (F.col("from_entity_id") != F.col("to_entity_id").cast("string")))
     return both.select("criteria_id", "relationship_type", "from_entity_id", "to_entity_id")
 
