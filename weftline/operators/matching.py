@@ -8,6 +8,7 @@ trigrams out of the shuffle. Keys of the same value fold before pairs are made.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +88,6 @@ def tall_index(index: DataFrame) -> DataFrame:
     return index.select("id", F.inline(parts)).where("value is not null")
 
 
-def _similarity(a: str, b: str, n: str) -> Column:
-    return jaccard(F.col(f"{a}.`{n}#`"), F.col(f"{b}.`{n}#`"))
-
-
 def trigram_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs a < b of distinct texts ``v`` (a column) with trigram Jaccard >= threshold, exactly.
 
@@ -107,6 +104,40 @@ def trigram_pairs(values: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(jaccard(trigrams(F.col("a")), trigrams(F.col("b"))) >= threshold)
 
 
+def postings(index: DataFrame, rules: list[Rule], order: DataFrame) -> DataFrame:
+    """(rule, key, id, len): the blocking keys of each record. A rule with exact or phonetic conditions has one key; one that is
+    anchored on a fuzzy condition has the rarest trigrams that a match must touch (prefix filtering), by ``order`` (rule, key, n): any
+    fixed order is right."""
+    out = None
+    for i, r in enumerate(rules):
+        if not r.is_active:
+            continue
+        if r.blocking:
+            cols = [F.col(f"`{c.column}`") for c in r.blocking]
+            rows = index.where(" and ".join(f"`{c.column}` is not null" for c in r.blocking))
+            rows = rows.select(F.lit(i).alias("rule"), F.to_json(F.array(*[c.cast("string") for c in cols])).alias("key"), "id", F.lit(0).alias("len"))
+        elif r.anchor:
+            n, t = r.anchor.column, r.anchor.threshold
+            grams = index.select("id", F.col(f"`{n}#`").alias("g")).where(F.size("g") > 0)
+            ranked = grams.select("id", F.size("g").alias("len"), F.explode("g").alias("key")).join(order.where(F.col("rule") == i).select("key", "n"), "key", "left")
+            by = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "key")
+            rows = ranked.withColumn("r", F.row_number().over(by)).where(F.col("r") <= F.col("len") - F.ceil(F.lit(t) * F.col("len")) + 1)
+            rows = rows.select(F.lit(i).alias("rule"), "key", "id", "len")
+        else:
+            continue
+        out = rows if out is None else out.unionByName(rows)
+    return index.sparkSession.createDataFrame([], "rule int, key string, id long, len int") if out is None else out
+
+
+def frequencies(index: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, key, n): how many records have a trigram, for the rules that are anchored on a fuzzy condition."""
+    out = index.sparkSession.createDataFrame([], "rule int, key string, n long")
+    for i, r in enumerate(rules):
+        if r.is_active and r.anchor:
+            out = out.unionByName(index.select(F.lit(i).alias("rule"), F.explode(f"`{r.anchor.column}#`").alias("key")).groupBy("rule", "key").agg(F.count("*").alias("n")))
+    return out
+
+
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     """(a, b), a < b: distinct pairs that some active rule's blocking lets through.
 
@@ -137,35 +168,32 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.distinct()
 
 
-def _condition(c: Condition) -> tuple[Column, Column]:
-    """(whether the condition passes, what it adds): a missing value fails, or passes if inverted."""
-    a, b = F.col(f"x.`{c.column}`"), F.col(f"y.`{c.column}`")
+Side = Callable[[str], Column]
+
+
+def _condition(c: Condition, x: Side, y: Side) -> tuple[Column, Column]:
+    """(whether the condition passes, what it adds) for two records: a missing value fails, or passes if inverted."""
+    a, b = x(c.column), y(c.column)
     there = a.isNotNull() & b.isNotNull()
     if c.match_type in ("exact", "phonetic"):
         sim = F.when(a == b, 1.0).otherwise(0.0)
         ok = a == b
     else:
-        sim = {"fuzzy": lambda: _similarity("x", "y", c.column), "numeric": lambda: numeric_proximity(a, b, c.threshold), "date_range": lambda: date_proximity(a, b, c.threshold)}[c.match_type]()
+        sim = {"fuzzy": lambda: jaccard(x(f"{c.column}#"), y(f"{c.column}#")), "numeric": lambda: numeric_proximity(a, b, c.threshold), "date_range": lambda: date_proximity(a, b, c.threshold)}[c.match_type]()
         ok = sim >= c.threshold if c.match_type == "fuzzy" else sim > 0
     ok = F.when(there, ~ok if c.invert else ok).otherwise(F.lit(c.invert))
     value = F.when(there, 1.0 - sim if c.invert else sim).otherwise(1.0 if c.invert else 0.0)
     return ok, F.when(ok, value * c.weight).otherwise(0.0)
 
 
-def score_pairs(pairs: DataFrame, index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(a, b, score, rule, blocked, auto_merge) for pairs of which a rule holds or a veto stands.
-
-    A rule holds if its required conditions pass; its score is the passed weights over all weights times score_weight. The
-    best rule wins, of equal ones that of the higher priority. A no_merge condition of any rule that passes (or whose inverted
-    form meets a missing value) blocks the pair. Pairs below KEEP are dropped unless blocked.
-    """
-    joined = pairs.join(index.alias("x"), F.col("a") == F.col("x.id")).join(index.alias("y"), F.col("b") == F.col("y.id"))
+def pair_score(rules: list[Rule], x: Side, y: Side) -> Column:
+    """(score, rule, blocked) of two records whose facts ``x`` and ``y`` give; see score_pairs."""
     veto = F.lit(False)
     scored = []
     for r in sorted((r for r in rules if r.is_active), key=lambda r: -r.priority):
         total, gained, holds = 0.0, F.lit(0.0), F.lit(True)
         for c in r.conditions:
-            ok, adds = _condition(c)
+            ok, adds = _condition(c, x, y)
             if c.no_merge:
                 veto = veto | ok
                 continue
@@ -178,15 +206,30 @@ def score_pairs(pairs: DataFrame, index: DataFrame, rules: list[Rule]) -> DataFr
     if not scored:
         scored = [F.struct(F.lit(-1.0).alias("score"), F.lit(0).alias("priority"), F.lit("").alias("rule"))]
     best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    out = joined.select("a", "b", best.alias("best"), F.coalesce(veto, F.lit(False)).alias("blocked"))
-    out = out.select("a", "b", F.greatest("best.score", F.lit(0.0)).alias("score"), F.when(F.col("best.score") >= 0, F.col("best.rule")).alias("rule"), "blocked")
+    return F.struct(best.alias("best"), F.coalesce(veto, F.lit(False)).alias("blocked"))
+
+
+def score_pairs(pairs: DataFrame, index: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(a, b, score, rule, blocked, auto_merge) for pairs of which a rule holds or a veto stands.
+
+    A rule holds if its required conditions pass; its score is the passed weights over all weights times score_weight. The
+    best rule wins, of equal ones that of the higher priority. A no_merge condition of any rule that passes (or whose inverted
+    form meets a missing value) blocks the pair. Pairs below KEEP are dropped unless blocked.
+    """
+    joined = pairs.join(index.alias("x"), F.col("a") == F.col("x.id")).join(index.alias("y"), F.col("b") == F.col("y.id"))
+    own = pair_score(rules, lambda n: F.col(f"x.`{n}`"), lambda n: F.col(f"y.`{n}`"))
+    return kept(joined.select("a", "b", own.alias("s")).select("a", "b", "s.best", "s.blocked"))
+
+
+def kept(scored: DataFrame) -> DataFrame:
+    """Rows (..., best, blocked) of pair_score as (..., score, rule, blocked, auto_merge), without those that count for nothing."""
+    rest = [c for c in scored.columns if c not in ("best", "blocked")]
+    out = scored.select(*rest, F.greatest("best.score", F.lit(0.0)).alias("score"), F.when(F.col("best.score") >= 0, F.col("best.rule")).alias("rule"), "blocked")
     return out.where((F.col("score") >= KEEP) | F.col("blocked")).withColumn("auto_merge", (F.col("score") >= AUTO_MERGE) & ~F.col("blocked"))
 
 
-def find_matches(records: DataFrame, rules: list[Rule], id_col: str = "id", top: int | None = TOP) -> DataFrame:
+def best_of(pairs: DataFrame, top: int | None = TOP) -> DataFrame:
     """(source, candidate, score, rule, blocked, auto_merge): the ``top`` best candidates of each record, both ways."""
-    index = build_index(records, rules, id_col)
-    pairs = score_pairs(candidates(index, rules), index, rules)
     rest = ["score", "rule", "blocked", "auto_merge"]
     both = pairs.select(F.col("a").alias("source"), F.col("b").alias("candidate"), *rest).unionByName(pairs.select(F.col("b").alias("source"), F.col("a").alias("candidate"), *rest))
     if top is None:
@@ -195,6 +238,12 @@ def find_matches(records: DataFrame, rules: list[Rule], id_col: str = "id", top:
     return both.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= top).drop("_n")
 
 
+def find_matches(records: DataFrame, rules: list[Rule], id_col: str = "id", top: int | None = TOP) -> DataFrame:
+    """(source, candidate, score, rule, blocked, auto_merge): the ``top`` best candidates of each record, both ways."""
+    index = build_index(records, rules, id_col)
+    return best_of(score_pairs(candidates(index, rules), index, rules), top)
+
+
 def candidate_table(pairs: DataFrame) -> DataFrame:
     """One row for each unordered pair with its highest score and status pending or auto_merged."""
     p = pairs.where("not blocked").select(F.least("a", "b").alias("entity_a"), F.greatest("a", "b").alias("entity_b"), "score", "auto_merge")

@@ -31,6 +31,26 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _fs(spark, path)
+    fs.delete(hadoop, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, root = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def finished_parts(spark: SparkSession, path: str, name: str = "part") -> list[int]:
+    """Numbers of the folders ``name``=n under ``path`` that were written to their end, ascending."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return []
+    found = [x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(x.getName()[len(name) + 1 :]) for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 #: Spilled tables of this process that are still there.
 _LEFT: list[Spill] = []
 

@@ -17,6 +17,7 @@ from weftline.operators.deletion import completed_runs, unseen_by_last_run
 from weftline.operators.routing import match_bindings
 from weftline.operators.staging import field_changes, fold_changes, merged_changes
 from weftline.plans.mapping import Definition, apply_mapping
+from weftline.plans.storage import delete_path, finished_parts
 
 
 def map_stream(messages: DataFrame, definition: dict | Definition, body: str | None = None) -> DataFrame:
@@ -41,20 +42,9 @@ def start_upserts(stream: DataFrame, path: str, checkpoint: str, key: list[str],
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions under ``path`` that were written to their end."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("v=")]
-    return sorted(int(x.getName()[2:]) for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
-
-
 def _changes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """The folded base of the highest version, if there is one, and the changes after it; the highest version."""
-    base, changes = _versions(spark, f"{path}/base"), _versions(spark, f"{path}/changes")
+    base, changes = finished_parts(spark, f"{path}/base", "v"), finished_parts(spark, f"{path}/changes", "v")
     if not base and not changes:
         raise ValueError(f"no upserts under {path}")
     parts = [f"{path}/base/v={base[-1]}"] if base else []
@@ -67,19 +57,26 @@ def upserted(spark: SparkSession, path: str, key: list[str], order: list[str], d
     return fold_changes(_changes(spark, path)[0], key, order, data)
 
 
-def compact_upserts(spark: SparkSession, path: str, key: list[str]) -> int:
-    """Folds all changes so far to one base, and deletes what it replaces; returns its version. Readers that began before may have
-    to begin again."""
+def _fold(spark: SparkSession, path: str, fold: Callable[[DataFrame], DataFrame]) -> int:
     rows, last = _changes(spark, path)
-    merged_changes(rows, key).write.mode("overwrite").parquet(f"{path}/base/v={last}")
-    jvm = spark.sparkContext._jvm
+    fold(rows).write.mode("overwrite").parquet(f"{path}/base/v={last}")
     for kind, keep in (("base", last), ("changes", last + 1)):
-        for n in (n for n in _versions(spark, f"{path}/{kind}") if n < keep):
-            old = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/v={n}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        for n in (n for n in finished_parts(spark, f"{path}/{kind}", "v") if n < keep):
+            delete_path(spark, f"{path}/{kind}/v={n}")
     return last
 
 
+def compact_upserts(spark: SparkSession, path: str, key: list[str]) -> int:
+    """Folds all changes so far to one base, and deletes what it replaces; returns its version. Readers that began before may have
+    to begin again."""
+    return _fold(spark, path, lambda rows: merged_changes(rows, key))
+
+
+def compact_graph(spark: SparkSession, path: str, key: list[str], order: list[str]) -> int:
+    """compact_upserts for a table of start_graph. Deletions are kept, as an older change may still come after them."""
+    return _fold(spark, path, lambda rows: _last_rows(rows, key, order))
+
+
 def completion_batches(records: Callable[[], DataFrame], path: str, key: list[str], scope: list[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function over lifecycle events: the keys of the records that a completed run of the batch didn't send are
     written to ``path``/v=n. ``records`` gives the table as it is then; a replayed batch overwrites its own keys."""
