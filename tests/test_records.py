@@ -138,6 +138,32 @@ def test_page_batches_of_json(spark):
     assert got == {("root[0]", "1"), ("root[1][0]", "2"), ("root[1][1]", "3"), ("root[2]", '{"a":4}'), ("r", '{"b":1}'), ("n", None), ("d[0][0][0]", "1"), ("d[0][0][1]", "2"), ("d[0][1][0]", "3"), ("d[1][0][0][0]", "x"), ("d[1][0][0][1][0]", "null"), ("d[2]", "7")}
 
 
+def test_page_batches_keep_what_is_written(spark):
+    rows = [("a", '[[[1e400]], 1.50, -0, {"n": 1.0, "s": "1.5 [2]", "q\\"[": [1E5]}, "[x]", "[1]", " 7 ", true, null]'), ("b", '[{"a":1,"a":2},[[[3]]]]'), ("c", '{"x": 1.50}'), ("d", "[1, [2"), ("e", None)]
+    df = spark.createDataFrame(rows, "step_path string, response_body string")
+    got = {(r.step_path, r.response_body) for r in routing.explode_pages(df).collect()}
+    want = {("a[0][0][0]", "1e400"), ("a[1]", "1.50"), ("a[2]", "-0"), ("a[3]", '{"n":1.0,"s":"1.5 [2]","q\\"[":[1E5]}'), ("a[4]", "[x]"), ("a[5]", "[1]"), ("a[6]", " 7 "), ("a[7]", "true"), ("a[8]", "null")}
+    assert got == want | {("b[0]", '{"a":1,"a":2}'), ("b[1][0][0][0]", "3"), ("c", '{"x": 1.50}'), ("e", None)}
+
+
+def test_the_first_binding_is_of_the_row(spark):
+    live = "id string, ord int, is_enabled boolean, tenant_id string, mapping_id string, output_topic string, filter struct<integration:string, keys:array<string>, status_codes:array<int>, step_path_prefix:string, request_url_contains:string, min_status_code:int, max_status_code:int>"
+    b = [(i, o, True, "t", "m" + i, "o", ("x", k, [], "", "", 0, 0)) for i, o, k in (("b1", 2, []), ("b2", 1, []), ("b3", 3, ["k"]))]
+    m = [(None, "t", "x", "k"), (None, "t", "x", "z"), (1, "t", "x", "k"), (1, "t", "x", "z"), (2, "t", "y", "k"), (3, "u", "x", "k"), (4, None, "x", "k")]
+    msgs = spark.createDataFrame([(*r, 200, "p", "u") for r in m], "message_id int, tenant_id string, integration string, plan_key string, status_code int, step_path string, request_url string")
+    got = sorted((str(r.message_id), r.plan_key, r.binding_id, r.mapping_id, r.score) for r in routing.match_bindings(msgs, spark.createDataFrame(b, live), first=True).collect())
+    assert got == [("1", "k", "b3", "mb3", 11), ("1", "z", "b2", "mb2", 1), ("None", "k", "b3", "mb3", 11), ("None", "z", "b2", "mb2", 1)]
+
+
+def test_deletes_and_records_go_by_time(spark):
+    rec = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, None), (5, 5), (6, 5)], "id int, updated_at int")
+    msg = spark.createDataFrame([(1, "delete", 4), (2, "delete", 5), (3, "delete", 6), (3, "delete", 1), (4, "delete", 1), (5, "delete", None), (6, "upsert", 9)], "id int, action string, ts int")
+    marked = {r.id: r.deleted_at for r in deletion.mark_deleted(rec, msg, ["id"]).collect()}
+    assert marked == {1: None, 2: 5, 3: 6, 4: 1, 5: 5, 6: None}
+    assert sorted(r.id for r in deletion.apply_deletes(rec, msg, ["id"], "updated_at", "ts").collect()) == [1, 6]
+    assert sorted(r.id for r in deletion.apply_deletes(rec, msg, ["id"]).collect()) == [6]
+
+
 def test_lifecycle_split(spark):
     df = spark.createDataFrame([("execution.started",), (None,), ("response",)], "type string")
     a, b = routing.split_lifecycle(df)

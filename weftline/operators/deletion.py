@@ -67,9 +67,27 @@ def policy_predicate(strategy: dict, now: Column) -> Column:
     return F.lit(False)  # explicit: only delete messages act; execution_based needs the run, see not_seen
 
 
-def apply_deletes(records: DataFrame, messages: DataFrame, key: list[str]) -> DataFrame:
-    """Records without those that a delete message names."""
-    return records.join(messages.where("action = 'delete'").select(key).distinct(), key, "left_anti")
+def _standing(records: DataFrame, messages: DataFrame, key: list[str], written: str, at: str) -> DataFrame:
+    """``records`` with _at, the time of their key's last delete message, and _gone, whether it stands."""
+    gone = messages.where("action = 'delete'").groupBy(*key).agg(F.max(at).alias("_at"), F.max(F.col(at).isNull()).alias("_always"))
+    stands = F.col("_always") | (F.col("_at") >= F.col(written)) | (F.col(written).isNull() & F.col("_at").isNotNull())
+    return records.join(gone, key, "left").withColumn("_gone", F.coalesce(stands, F.lit(False)))
+
+
+def mark_deleted(records: DataFrame, messages: DataFrame, key: list[str], written: str = "updated_at", at: str = "ts") -> DataFrame:
+    """``records`` with deleted_at: the time (``at``) of the last delete message of their key; null if there is none, or if the record was
+    ``written`` after it: what is sent again comes back. Of equal times, and where the record has no time, the delete stands; a delete
+    without a time stands against all (deleted_at is then the record's own time). Null keys match nothing."""
+    out = _standing(records, messages, key, written, at).withColumn("deleted_at", F.when(F.col("_gone"), F.coalesce("_at", written)))
+    return out.select(*[c for c in records.columns if c != "deleted_at"], "deleted_at")
+
+
+def apply_deletes(records: DataFrame, messages: DataFrame, key: list[str], written: str | None = None, at: str | None = None) -> DataFrame:
+    """Records without those that a delete message names; with ``written`` and ``at`` (times of records and messages) only those that
+    were written before the delete (see mark_deleted)."""
+    if written is None or at is None:
+        return records.join(messages.where("action = 'delete'").select(key).distinct(), key, "left_anti")
+    return _standing(records, messages, key, written, at).where("not _gone").select(records.columns)
 
 
 def cascade(members: DataFrame, golden: DataFrame, edges: DataFrame, deleted: DataFrame, id_col: str = "id", cluster: str = "cluster_id") -> tuple[DataFrame, DataFrame, DataFrame]:

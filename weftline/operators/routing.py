@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Rows of a bindings table up to which it is broadcast; larger ones are joined by shuffle on the tenant.
 BROADCAST_BINDINGS = 20_000
@@ -21,8 +17,11 @@ def binding_score(m: str = "m", b: str = "b") -> Column:
     Integration equal (only if the message has one); plan keys +10, status list +5, status range +2, step path prefix +5,
     URL part +5, base 1. A filter that isn't set neither tests nor scores.
     """
-    f = lambda n: F.col(f"{b}.filter.{n}")
-    c = lambda n: F.col(f"{m}.{n}")
+    return _score(lambda n: F.col(f"{m}.{n}"), lambda n: F.col(f"{b}.filter.{n}"))
+
+
+def _score(c: Callable[[str], Column], f: Callable[[str], Column]) -> Column:
+    """binding_score over the columns ``c`` of a message and ``f`` of a filter."""
     listed = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
     text = lambda x: F.coalesce(x, F.lit("")) != ""
     lo, hi = F.coalesce(f("min_status_code"), F.lit(0)), F.coalesce(f("max_status_code"), F.lit(0))
@@ -43,64 +42,88 @@ def binding_score(m: str = "m", b: str = "b") -> Column:
     return F.when(ok, score)
 
 
+def _best_binding(messages: DataFrame, live: DataFrame, order: str, small: bool) -> DataFrame:
+    """Each message row with the best of its tenant's bindings: these come as one array, so rows are told apart by being rows."""
+    b = live.select("tenant_id", F.struct(F.col(order).alias("ord"), F.col("id").alias("binding_id"), "mapping_id", "output_topic", "filter").alias("b"))
+    by_tenant = b.groupBy("tenant_id").agg(F.collect_list("b").alias("_bindings"))
+    own = (F.broadcast(by_tenant) if small else by_tenant).alias("b")
+    joined = messages.alias("m").join(own, F.col("m.tenant_id") == F.col("b.tenant_id"))
+    scored = F.transform("_bindings", lambda x: F.struct((-_score(lambda n: F.col(f"m.{n}"), lambda n: x["filter"][n])).alias("s"), x["ord"].alias("ord"), x["binding_id"].alias("binding_id"), x["mapping_id"].alias("mapping_id"), x["output_topic"].alias("output_topic")))
+    best = F.array_min(F.filter(scored, lambda x: x["s"].isNotNull()))
+    out = joined.select("m.*", best.alias("_best")).where("_best is not null")
+    return out.select("*", "_best.binding_id", "_best.mapping_id", "_best.output_topic", (-F.col("_best.s")).alias("score")).drop("_best")
+
+
 def match_bindings(messages: DataFrame, bindings: DataFrame, first: bool = False, id_col: str = "message_id") -> DataFrame:
     """Each message with each enabled binding of its tenant that matches: all columns of the message, binding_id, mapping_id,
-    output_topic and score. ``first``: only the best score of each message, ties to the binding of the lower ``ord`` (or id).
+    output_topic and score. ``first``: only the best score of each message row, ties to the binding of the lower ``ord`` (or id);
+    ids of messages may be null or repeat (``id_col`` is no longer needed).
 
     Bindings are a small dimension; up to BROADCAST_BINDINGS rows, which is counted, they are broadcast.
     """
     live = bindings.where("is_enabled")
     order = "ord" if "ord" in bindings.columns else "id"
     small = live.limit(BROADCAST_BINDINGS + 1).count() <= BROADCAST_BINDINGS
+    if first:
+        return _best_binding(messages, live, order, small)
     right = (F.broadcast(live) if small else live).alias("b")
     joined = messages.alias("m").join(right, F.col("m.tenant_id") == F.col("b.tenant_id"))
     out = joined.withColumn("score", binding_score()).where("score is not null")
-    out = out.select("m.*", F.col("b.id").alias("binding_id"), F.col("b.mapping_id"), F.col("b.output_topic"), F.col(f"b.{order}").alias("_ord"), "score")
-    if first:
-        by = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "_ord")
-        out = out.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
-    return out.drop("_ord")
+    return out.select("m.*", F.col("b.id").alias("binding_id"), F.col("b.mapping_id"), F.col("b.output_topic"), "score")
 
 
 def explode_pages(messages: DataFrame, body: str = "response_body", step_path: str = "step_path") -> DataFrame:
     """One message for each element of an array body, its step path with [i] added; an empty array gives none.
 
-    ``body`` is an array column, or JSON text of which arrays, however deep, are split and all else stays whole. The outer two
-    levels are split by built-in functions; only what is an array still goes through Python.
+    ``body`` is an array column, or JSON text of which arrays, however deep, are split and all else stays as it is written, but
+    texts, which lose their quotes; a text that looks like an array isn't one. Text that begins like an array and isn't JSON gives
+    none. All of it is built-in functions: the outer two levels are exploded, deeper ones are unfolded inside their row.
     """
     if dict(messages.dtypes)[body].startswith("array"):
         rows = messages.select(*[c for c in messages.columns if c not in (body, step_path)], step_path, F.posexplode(body).alias("_i", body))
         return rows.withColumn(step_path, F.concat(step_path, F.lit("["), F.col("_i").cast("string"), F.lit("]"))).select(messages.columns)
-    out = messages
+    listed = F.coalesce(F.ltrim(body).startswith("["), F.lit(False))
+    out = messages.withColumns({"_page": listed, "_list": listed, body: F.when(listed, _marked(F.col(body))).otherwise(F.col(body)), step_path: F.coalesce(step_path, F.lit(""))})
     for _ in range(2):
-        listed = F.trim(body).startswith("[")
-        parts = F.when(listed, F.transform(F.from_json(body, "array<string>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("p"), x.alias("b"))))
-        own = F.array(F.struct(F.lit("").alias("p"), F.col(body).alias("b")))
-        out = out.withColumn("_x", F.explode(F.coalesce(parts, own)))
-        out = out.withColumns({step_path: F.concat(F.coalesce(step_path, F.lit("")), "_x.p"), body: F.col("_x.b")}).drop("_x")
-    deep = _deep_items(F.when(F.trim(body).startswith("["), F.col(body)))
-    out = out.withColumn("_x", F.explode(F.coalesce(deep, F.array(F.struct(F.lit("").alias("p"), F.col(body).alias("b"))))))
-    return out.withColumns({step_path: F.concat(step_path, "_x.p"), body: F.col("_x.b")}).select(messages.columns)
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.StringType()), T.StructField("b", T.StringType())])))
-def _deep_items(bodies: pd.Series) -> pd.Series:
-    """(index path, JSON text) of the elements of arrays in arrays; null for what isn't read as an array."""
-
-    def walk(x: object, path: str) -> Iterator[tuple[str, str]]:
-        if isinstance(x, list):
-            for i, y in enumerate(x):
-                yield from walk(y, f"{path}[{i}]")
-        else:
-            yield path, x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-
-    def items(text: str | None) -> list[dict] | None:
-        try:
-            return None if text is None else [{"p": p, "b": b} for p, b in walk(json.loads(text), "")]
-        except ValueError:
-            return None
-
-    return bodies.map(items)
+        out = out.withColumn("_x", F.explode(_page_items(F.struct(F.col(step_path).alias("p"), F.col(body).alias("b"), F.col("_list").alias("list")))))
+        out = out.withColumns({step_path: F.col("_x.p"), body: F.col("_x.b"), "_list": F.col("_x.list")}).drop("_x")
+    whole = F.array(F.struct(F.col(step_path).alias("p"), F.col(body).alias("b"), F.col("_list").alias("list")))
+    # As many rounds as there are brackets are enough; what is no array any more passes through.
+    brackets = F.length(body) - F.length(F.replace(F.col(body), F.lit("["), F.lit("")))
+    deep = F.aggregate(F.sequence(F.lit(1), brackets), whole, lambda acc, _: F.when(F.exists(acc, lambda x: x["list"]), F.flatten(F.transform(acc, _page_items))).otherwise(acc))
+    out = out.withColumn("_x", F.explode(F.when(F.col("_list"), deep).otherwise(whole)))
+    return out.withColumns({step_path: F.col("_x.p"), body: F.when(F.col("_page"), _unmarked(F.col("_x.b"))).otherwise(F.col("_x.b"))}).select(messages.columns)
+
+
+#: Private characters around a number that travels as a text.
+MARK, UNMARK = "\ue000", "\ue001"
+
+
+def _marked(c: Column) -> Column:
+    """JSON with its numbers as marked texts: from_json would write 1.50 as 1.5 and 1e400 as Infinity."""
+    text, number = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")', r"(-?[0-9][0-9.eE+\-]*+)"
+    # What isn't in a text is a number or a word; the group that has not matched is empty.
+    split = F.regexp_replace(c, f"{text}|{number}", f"$1{MARK}$2{MARK}")
+    return F.regexp_replace(F.replace(split, F.lit(MARK + MARK), F.lit("")), f"{MARK}([^{MARK}]*+){MARK}", f'"{MARK}$1{UNMARK}"')
+
+
+def _unmarked(c: Column) -> Column:
+    return F.regexp_replace(c, f'"?{MARK}([^{UNMARK}]*+){UNMARK}"?', "$1")
+
+
+def _page_items(x: Column) -> Column:
+    """The elements of the JSON array of ``x`` (p: path, b: text, list: whether it is an array) as such structs, or ``x`` alone."""
+    texts = F.from_json(x["b"], "array<string>")
+    # from_json takes the quotes off texts, so the kind of an element is asked elsewhere; in a page that no variant can hold (one with
+    # a repeated key) it is told by the text.
+    kinds = F.try_parse_json(x["b"]).cast("array<variant>")
+
+    def item(text: Column, i: Column) -> Column:
+        looks = text.startswith("[") & F.from_json(text, "array<string>").isNotNull()
+        listed = F.coalesce(F.schema_of_variant(F.get(kinds, i)).startswith("ARRAY"), looks, F.lit(False))
+        return F.struct(F.concat(x["p"], F.lit("["), i.cast("string"), F.lit("]")).alias("p"), F.coalesce(text, F.lit("null")).alias("b"), listed.alias("list"))
+
+    return F.when(x["list"], F.coalesce(F.transform(texts, item), F.array().cast("array<struct<p:string,b:string,list:boolean>>"))).otherwise(F.array(x))
 
 
 def explode_records(mapped: DataFrame, data: str = "data") -> DataFrame:
