@@ -995,3 +995,6 @@ def normalizers_places(spark: SparkSession, sf: str) -> DataFrame:
     d = F.lpad(k, 9, "1")
     number = F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 6, 4))
     return t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), norm.normalize(number, "ssn").alias("ssn"), norm.normalize(F.concat(k, F.lit("-1")), "ssn").alias("ssn_bad"), norm.normalize(number, "zip").alias("zip"), norm.normalize(F.concat(k, F.lit(" North  Main Street, Suite #5")), "address").alias("address"))
+
+
+from weftline import catalog_state  # noqa: E402, F401  registers its queries here

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,46 @@ def to_kafka_rows(df: DataFrame, key: str | None, topic: str | None = None) -> D
     return df.select(*cols, *([F.col(topic).alias("topic")] if topic else []))
 
 
+#: Version of the candidates' messages.
+EVENT_VERSION = "1.0"
+
+
+def _event(kind: Column, key: Column, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, value): messages of ``kind`` with those of ``fields``, tenant_id and timestamp that ``changes`` has; nulls are left out."""
+    own = [c for c in [*fields, "tenant_id", "timestamp"] if c in changes.columns]
+    body = F.struct(kind.alias("event_type"), *own)
+    return changes.where(kind.isNotNull()).select(key.cast("string").alias("key"), F.to_json(body).alias("value"))
+
+
 def entity_events(changes: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """(key, value): event messages {event_type, entity_id, tenant_id, timestamp} as JSON."""
-    return changes.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("event_type", F.col(key).cast("string").alias("entity_id"), *[c for c in ("tenant_id", "timestamp") if c in changes.columns])).alias("value"))
+    """(key, value): event messages {event_type, entity_id, ...} as JSON; ``changes`` has event_type, and of entity_type, data,
+    source_entities, version, reason, tenant_id and timestamp what there is."""
+    named = changes.withColumn("entity_id", F.col(key).cast("string"))
+    return _event(F.col("event_type"), F.col(key), named, ["entity_id", "entity_type", "data", "source_entities", "version", "reason"])
+
+
+def relationship_events(before: DataFrame, after: DataFrame, reason: str | None = None) -> DataFrame:
+    """(key, value): relationship.created and relationship.deleted messages between two tables of edges (relationship_id,
+    relationship_type, from_entity_id, to_entity_id, and of from_entity_type, to_entity_type, properties, tenant_id what there is)."""
+    made = after.join(before.select("relationship_id"), "relationship_id", "left_anti")
+    gone = before.join(after.select("relationship_id"), "relationship_id", "left_anti")
+    ends = ["relationship_id", "relationship_type", "from_entity_id", "to_entity_id"]
+    created = _event(F.lit("relationship.created"), F.col("relationship_id"), made, [*ends, "from_entity_type", "to_entity_type", "properties"])
+    deleted = gone.withColumn("reason", F.lit(reason).cast("string"))
+    return created.unionByName(_event(F.lit("relationship.deleted"), F.col("relationship_id"), deleted, [*ends, "reason"]))
+
+
+#: Statuses of candidates and their events; others (deferred) are no news.
+CANDIDATE_EVENTS = {"pending": "match.candidate", "auto_merged": "match.approved", "approved": "match.approved", "rejected": "match.rejected"}
+
+
+def candidate_events(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """(key, value): match.candidate, match.approved and match.rejected messages of the candidates (entity_a, entity_b, score,
+    status) that are new or have changed their status; the key is entity_a."""
+    new = after
+    if before is not None:
+        old = before.select("entity_a", "entity_b", F.col("status").alias("_status"))
+        new = after.join(old, ["entity_a", "entity_b"], "left").where(~F.col("status").eqNullSafe(F.col("_status"))).drop("_status")
+    kind = F.create_map(*[F.lit(x) for kv in CANDIDATE_EVENTS.items() for x in kv])[F.col("status")]
+    named = new.withColumns({"schema_version": F.lit(EVENT_VERSION), "entity_a_id": F.col("entity_a").cast("string"), "entity_b_id": F.col("entity_b").cast("string")})
+    return _event(kind, F.col("entity_a"), named, ["schema_version", "entity_a_id", "entity_b_id", "entity_type", "score", "status", "rule_name"])
