@@ -55,11 +55,11 @@ def stream_pending_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_custkey AS node, 7 * (o_custkey // 7) AS component FROM orders WHERE o_custkey IS NOT NULL UNION SELECT o_orderkey + 10000000, 7 * (o_custkey // 7) FROM orders WHERE o_custkey IS NOT NULL UNION SELECT 7 * (o_custkey // 7), 7 * (o_custkey // 7) FROM orders WHERE o_custkey IS NOT NULL""")
 def clusters_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders join their customer's cluster, and customers those of their block of seven, in four increments; compacted after the second."""
+    """Orders join their customer's cluster, and customers those of their block of seven, in three increments; compacted after the second."""
     path, o = _folder(spark, "clusters"), t(spark, sf, "orders").where("o_custkey is not null")
     block = F.expr("7 * (o_custkey div 7)")
-    for n in range(4):
-        own = o.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == n)
+    for n in range(3):
+        own = o.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == n)
         incremental.extend_clusters(spark, path, own.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 10000000).alias("b")).unionByName(own.select(F.col("o_custkey").alias("a"), block.alias("b"))))
         if n == 1:
             incremental.compact(spark, path, incremental.CLUSTER_TABLES)

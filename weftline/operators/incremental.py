@@ -98,19 +98,23 @@ CLUSTER_TABLES = {"members": ["node"], "heads": ["label"]}
 def grown_clusters(members: DataFrame, heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members (node, label), heads (label, size, smallest, gone)): the rows that change when ``edges`` (a, b) come to the clusters.
 
-    ``members`` (node, label), ``heads`` (label, size, smallest). A label is the id of some member. New records get a row, and the
-    members of every cluster but the largest of those that grow together; nothing else does. Edges may repeat, and name what they
-    join already; null ends are dropped.
+    ``members`` (node, label, v), ``heads`` (label, size, smallest, gone, v): of a node's or label's rows the one of the highest v counts.
+    A label is the id of some member. New records get a row, and the members of every cluster but the largest of those that grow
+    together; nothing else does. Edges may repeat, and name what they join already; null ends are dropped. Of the stored tables only
+    the rows of touched records and labels are shuffled; the rest is filtered out where it is read.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = ends.join(members.select("node", "label"), "node", "left")
+    ends = Spill(ends, "touched").df
+    found = ends.join(_last(members.join(ends, "node", "left_semi"), ["node"]).select("node", "label"), "node", "left")
     nodes = Spill(found.select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("fresh")), "ends").df
     x = nodes.select(F.col("node").alias("a"), F.col("label").alias("la"))
     y = nodes.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     between = pairs.join(x, "a").join(y, "b").where("la <> lb").select("la", "lb").distinct()
     parts = connected_components(between, "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("tie"))
-    labels = nodes.groupBy("label").agg(F.max("fresh").alias("fresh")).join(parts, "label", "left").join(heads.select("label", "size", "smallest"), "label", "left")
+    own = nodes.groupBy("label").agg(F.max("fresh").alias("fresh"))
+    known = _last(heads.join(nodes.select("label"), "label", "left_semi"), ["label"]).where("not gone").select("label", "size", "smallest")
+    labels = own.join(parts, "label", "left").join(known, "label", "left")
     labels = labels.select("label", "fresh", F.coalesce("tie", "label").alias("tie"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.coalesce("smallest", "label").alias("smallest"))
     labels = Spill(labels, "labels").df
     ties = labels.groupBy("tie").agg(F.max_by("label", F.struct(~F.col("fresh"), "size", -F.col("label"))).alias("kept"), F.sum("size").alias("size"), F.min("smallest").alias("smallest"), F.count("*").alias("n"), F.max("fresh").alias("fresh"))
@@ -119,7 +123,10 @@ def grown_clusters(members: DataFrame, heads: DataFrame, edges: DataFrame) -> tu
     moved = Spill(moved, "moved").df
     # New records are their own labels; of the others all members of a label that goes.
     rows = moved.where("fresh").select(F.col("label").alias("node"), F.col("kept").alias("label"))
-    rows = rows.unionByName(members.select("node", "label").join(moved.where("not fresh"), "label").select("node", F.col("kept").alias("label")))
+    leaving = moved.where("not fresh").select("label", "kept")
+    once = members.join(leaving, "label", "left_semi").select("node").distinct()  # some have left that label before
+    there = _last(members.join(once, "node", "left_semi"), ["node"]).select("node", "label")
+    rows = rows.unionByName(there.join(leaving, "label").select("node", F.col("kept").alias("label")))
     gone = moved.where("not fresh and label <> kept").select("label", F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("smallest"), F.lit(True).alias("gone"))
     return rows, ties.select(F.col("kept").alias("label"), "size", "smallest", F.lit(False).alias("gone")).unionByName(gone)
 
@@ -129,7 +136,7 @@ def extend_clusters(spark: SparkSession, path: str, edges: DataFrame, n: int | N
     before = last_version(spark, path)
     n = before + 1 if n is None else n
     upto = min(before, n - 1)
-    rows, heads = grown_clusters(_cluster_members(spark, path, upto), _cluster_heads(spark, path, upto), edges)
+    rows, heads = grown_clusters(_read(spark, path, "members", MEMBERS, upto), _read(spark, path, "heads", HEADS, upto), edges)
     _write(rows.withColumn("v", F.lit(n).cast("long")), path, "members", n)
     _write(heads.withColumn("v", F.lit(n).cast("long")), path, "heads", n)
     _done(spark, path, n)
