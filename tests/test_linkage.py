@@ -60,6 +60,36 @@ def test_jaro_levenshtein_and_metaphone(spark):
     assert column(spark, ["Knight", "Philip", "Filip"], S.metaphone)[1:] == ["FLP", "FLP"]
 
 
+def slow_jaro(a, b):
+    if a == b or not a or not b:
+        return float(a == b)
+    reach, taken, first = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if j not in taken and b[j] == x:
+                taken.add(j)
+                first.append(x)
+                break
+    if not first:
+        return 0.0
+    m, half = len(first), sum(x != b[j] for x, j in zip(first, sorted(taken), strict=True))
+    return (m / len(a) + m / len(b) + (m - half / 2) / m) / 3
+
+
+def test_jaro_equals_a_plain_loop_without_python(spark, capsys):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcé") for _ in range(n))
+    pairs = [(text(rnd.randrange(12)), text(rnd.randrange(12))) for _ in range(150)] + [(text(90), text(150)) for _ in range(10)]
+    pairs += [(p[0], p[0][1:] + p[0][:1]) for p in pairs[-10:]]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.jaro(F.col("a"), F.col("b")).alias("j"), S.jaro_winkler(F.col("a"), F.col("b")).alias("w"))
+    df.explain()
+    assert "Python" not in capsys.readouterr().out
+    for r in df.collect():
+        a, b = r.a.encode(), r.b.encode()
+        same = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 4)
+        assert abs(r.j - slow_jaro(a, b)) < 1e-12 and abs(r.w - (r.j + same * 0.1 * (1 - r.j))) < 1e-12
+
+
 def people(n=120, seed=2):
     rnd = random.Random(seed)
     names = ["".join(rnd.choice(["an", "be", "ro", "li", "ka", "st"]) for _ in range(rnd.randrange(2, 5))) for _ in range(25)]

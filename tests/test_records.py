@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,27 @@ def test_fingerprints(spark):
     assert x[0] == x[1] == hashlib.sha256(staging.canonical_json(a).encode()).hexdigest() and x[2] is None
 
 
+def test_fingerprints_equal_the_plain_form_without_python(spark, capsys):
+    rnd = random.Random(1)
+    leaves = [0, -5, 12345678901234567890, 1.5, 0.1, 1e-7, 123456.789, 1e22, -2.5e-9, 1.0, 2.5e20, 1.7976931348623157e308, "a", "<b>&", "é\u2028", 'q"\\', "\n\t\x01", "1.50", "[1]", "", None, True]
+
+    def value(depth=0):
+        kind = rnd.randrange(6 if depth < 3 else 4)
+        if kind < 4:
+            return rnd.choice(leaves)
+        return [value(depth + 1) for _ in range(rnd.randrange(4))] if kind == 4 else {rnd.choice(["a", "b", "x.y", "é", "A", "<"]): value(depth + 1) for _ in range(rnd.randrange(4))}
+
+    docs = [json.dumps({"a": value(), "b": value(), "c": {"d": value(), "e": value()}}, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1])) for _ in range(80)]
+    docs += ["not json", "[1,2.0]", '"x"', "7.0", '{"a":-0,"b":-0.0,"c":1E2}', "", '{"c":{"d":[[{"a":1,"b":2}]],"e":[{"b":1},{"a":{"b":1}}]}}']
+    df = spark.createDataFrame([(d,) for d in docs], "d string")
+    for exclude in ((), ("a",), ("c.d.b", "c.e.b", "b")):
+        got = df.select("d", staging.canonical(F.col("d"), exclude).alias("c"))
+        got.explain()
+        assert "Python" not in capsys.readouterr().out
+        for r in got.collect():
+            assert r.c == staging.canonical_json(r.d, exclude)
+
+
 def test_relationship_messages(spark):
     rows = [({"_relationship_type": "owns", "_from_entity_type": "p", "_from_source_id": "1", "_to_entity_type": "d", "_to_source_id": "2", "since": "x"},), ({"_from_entity_type": "p"},)]
     df = spark.createDataFrame(rows, "m map<string,string>")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftline.functions.paths import bind
 
 #: Letters and their Soundex digits, vowels and H, W, Y as 0.
 SOUNDEX_LETTERS, SOUNDEX_DIGITS = "BFPVCGJKQSXZDTLMNRAEIOUYHW", "11112222222233455600000000"
@@ -45,50 +45,62 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / F.when(n > 0, n))
 
 
-def _jaro(a: bytes, b: bytes) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, first = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                first.append(x)
-                break
-    if not first:
-        return 0.0
-    second = [y for y, t in zip(b, taken, strict=True) if t]
-    m, half = len(first), sum(x != y for x, y in zip(first, second, strict=True))
-    return (m / len(a) + m / len(b) + (m - half / 2) / m) / 3
+def _bytes(c: Column) -> Column:
+    """The UTF-8 bytes of a text, as an array of their hexadecimal forms."""
+    return F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), F.lit(1))
+
+
+def _places(items: Column, x: Column) -> Column:
+    """The places of ``x`` in an array."""
+    return F.filter(F.transform(items, lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull())
 
 
-def _winkler(a: bytes, b: bytes) -> float:
-    s, same = _jaro(a, b), 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return s + same * 0.1 * (1 - s)
+def _matched(a: Column, b: Column) -> Column:
+    """Pairs (i, j, x) of equal items of two arrays: from left to right each item of ``a`` takes the first free equal one of ``b`` that is
+    no further away than half the longer array.
 
+    Equal items are matched among themselves. Going to the right, a free one that was passed is out of reach for good, so the one to take
+    is the first in reach behind the last one taken.
+    """
+    reach = F.greatest((F.greatest(F.size(a), F.size(b)) / 2).cast("int") - 1, F.lit(0))
 
-def _batched(score):
-    """An Arrow UDF of a score over UTF-8 bytes; null if either text is null."""
+    def of_item(x: Column) -> Column:
+        there = _places(b, x)
 
-    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score(x.encode(), y.encode()) for x, y in zip(a, b, strict=True)], dtype="float64")
+        def step(s: Column, i: Column) -> Column:
+            j = F.get(F.filter(there, lambda j: (j > s["last"]) & (j >= i - reach) & (j <= i + reach)), F.lit(0))
+            taken = F.when(j.isNull(), s["pairs"]).otherwise(F.concat(s["pairs"], F.array(F.struct(i.alias("i"), j.alias("j"), x.alias("x")))))
+            return F.struct(F.coalesce(j, s["last"]).alias("last"), taken.alias("pairs"))
 
-    return F.pandas_udf(batch, T.DoubleType())
+        start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<i:int,j:int,x:string>>").alias("pairs"))
+        return F.aggregate(_places(a, x), start, step, lambda s: s["pairs"])
+
+    return F.flatten(F.transform(F.array_intersect(a, b), of_item))
 
 
 def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity over bytes."""
-    return _batched(_jaro)(a, b)
+    """Jaro similarity over UTF-8 bytes, for texts of any length; null if either is null, 1 for equal texts."""
+
+    def score(s: Column) -> Column:
+        x, y, pairs = s["x"], s["y"], s["pairs"]
+        m = F.size(pairs)
+        by_first = F.transform(F.array_sort(pairs), lambda p: p["x"])
+        by_second = F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["j"].alias("j"), p["x"].alias("x")))), lambda p: p["x"])
+        moved = F.size(F.filter(F.zip_with(by_first, by_second, lambda p, q: p != q), lambda z: z))
+        return F.when(m == 0, 0.0).otherwise((m / F.size(x) + m / F.size(y) + (m - moved / 2) / m) / 3)
+
+    halves = F.struct(_bytes(a).alias("x"), _bytes(b).alias("y"))
+    matched = bind(halves, lambda h: F.struct(h["x"].alias("x"), h["y"].alias("y"), _matched(h["x"], h["y"]).alias("pairs")))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(bind(matched, score))
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro similarity raised by 0.1 for each of up to four equal leading bytes."""
-    return _batched(_winkler)(a, b)
+    x, y = F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))
+    same = F.lit(0)
+    for n in range(1, 5):
+        same = same + ((F.length(x) >= 2 * n) & (F.length(y) >= 2 * n) & (F.substring(x, 1, 2 * n) == F.substring(y, 1, 2 * n))).cast("int")
+    return bind(F.struct(jaro(a, b).alias("s"), same.alias("n")), lambda v: v["s"] + v["n"] * 0.1 * (1 - v["s"]))
 
 
 def metaphone(c: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.paths import MARK, UNMARK, marked_numbers
+
 #: Rows of a bindings table up to which it is broadcast; larger ones are joined by shuffle on the tenant.
 BROADCAST_BINDINGS = 20_000
 
@@ -83,7 +85,7 @@ def explode_pages(messages: DataFrame, body: str = "response_body", step_path: s
         rows = messages.select(*[c for c in messages.columns if c not in (body, step_path)], step_path, F.posexplode(body).alias("_i", body))
         return rows.withColumn(step_path, F.concat(step_path, F.lit("["), F.col("_i").cast("string"), F.lit("]"))).select(messages.columns)
     listed = F.coalesce(F.ltrim(body).startswith("["), F.lit(False))
-    out = messages.withColumns({"_page": listed, "_list": listed, body: F.when(listed, _marked(F.col(body))).otherwise(F.col(body)), step_path: F.coalesce(step_path, F.lit(""))})
+    out = messages.withColumns({"_page": listed, "_list": listed, body: F.when(listed, marked_numbers(F.col(body))).otherwise(F.col(body)), step_path: F.coalesce(step_path, F.lit(""))})
     for _ in range(2):
         out = out.withColumn("_x", F.explode(_page_items(F.struct(F.col(step_path).alias("p"), F.col(body).alias("b"), F.col("_list").alias("list")))))
         out = out.withColumns({step_path: F.col("_x.p"), body: F.col("_x.b"), "_list": F.col("_x.list")}).drop("_x")
@@ -95,18 +97,6 @@ def explode_pages(messages: DataFrame, body: str = "response_body", step_path: s
     return out.withColumns({step_path: F.col("_x.p"), body: F.when(F.col("_page"), _unmarked(F.col("_x.b"))).otherwise(F.col("_x.b"))}).select(messages.columns)
 
 
-#: Private characters around a number that travels as a text.
-MARK, UNMARK = "\ue000", "\ue001"
-
-
-def _marked(c: Column) -> Column:
-    """JSON with its numbers as marked texts: from_json would write 1.50 as 1.5 and 1e400 as Infinity."""
-    text, number = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")', r"(-?[0-9][0-9.eE+\-]*+)"
-    # What isn't in a text is a number or a word; the group that has not matched is empty.
-    split = F.regexp_replace(c, f"{text}|{number}", f"$1{MARK}$2{MARK}")
-    return F.regexp_replace(F.replace(split, F.lit(MARK + MARK), F.lit("")), f"{MARK}([^{MARK}]*+){MARK}", f'"{MARK}$1{UNMARK}"')
-
-
 def _unmarked(c: Column) -> Column:
     return F.regexp_replace(c, f'"?{MARK}([^{UNMARK}]*+){UNMARK}"?', "$1")
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.paths import object_json
+from weftline.functions.paths import MARK, marked_numbers, object_json
 
 KEY = ["tenant_id", "entity_type", "source_id", "integration", "source_key", "config_id"]
 
@@ -66,8 +65,12 @@ def fold_changes(parts: DataFrame, key: list[str], order: list[str], data: str =
     return rows.select(*key, object_json(F.col("_m"), encoded=True).alias(data), "n_changes", *[F.col("_last")[c].alias(f"last_{c}") for c in order])
 
 
+#: Characters that canonical JSON escapes in texts, besides those that JSON itself does.
+ESCAPED = "<>&\u2028\u2029"
+
+
 def _escape(text: str) -> str:
-    for c in "<>&  ":
+    for c in ESCAPED:
         text = text.replace(c, f"\\u{ord(c):04x}")
     return text
 
@@ -93,14 +96,57 @@ def canonical_json(data: str | None, exclude: tuple[str, ...] = ()) -> str | Non
     return _escape(json.dumps(walk(got, ""), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
-def fingerprint(data: Column, exclude: tuple[str, ...] = ()) -> Column:
-    """SHA-256 of the canonical form of free-form JSON text (an Arrow UDF: key order of nested JSON is beyond SQL)."""
+def _number(t: Column) -> Column:
+    """The text of a JSON number: whole numbers without point and exponent below 1e21, others in their shortest form."""
+    d = t.cast("double")
+    size = F.abs(d)
+    plain = lambda scale: F.regexp_replace(d.cast("string").cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+    mantissa, exponent = F.regexp_replace(F.regexp_extract(d.cast("string"), r"^(-?[0-9.]+)E", 1), r"\.0$", ""), F.regexp_extract(d.cast("string"), r"E(-?[0-9]+)$", 1).cast("int")
+    power = F.concat(mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    whole = F.when(t.rlike(r"^-?[0-9]+$"), F.when(t == "-0", "0").otherwise(t)).when((d == F.floor(d).cast("double")) & (size < 1e18), F.floor(d).cast("string")).when((size < 1e21) & (size >= 1e18), F.format_string("%.0f", d))
+    return F.coalesce(whole, F.when(size >= 1, F.when(size < 1e21, plain(16))).when(size >= 1e-4, plain(24)), F.when(size < float("inf"), power), t)
+
+
+def _without(text: Column, paths: list[list[str]], arrays: int = 2) -> Column:
+    """JSON text without the members at ``paths``; elements of arrays (and of arrays in them) are under their array's path."""
+    gone = [p[0] for p in paths if len(p) == 1]
+    deeper = {p[0]: [q[1:] for q in paths if q[0] == p[0] and len(q) > 1] for p in paths if len(p) > 1 and p[0] not in gone}
+
+    def value(e: Column) -> Column:
+        own = F.to_json(e["value"])
+        for k, rest in deeper.items():
+            own = F.when(e["key"] == k, _without(F.to_json(e["value"]), rest)).otherwise(own)
+        return own
 
-    @F.pandas_udf("string")
-    def canonical(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: canonical_json(s, exclude))
+    entries = F.filter(F.map_entries(F.from_json(text, "map<string,variant>")), lambda e: ~e["key"].isin(gone))
+    whole = object_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value")))), encoded=True)
+    out = F.when(text.startswith("{"), whole)
+    if arrays:
+        items = F.transform(F.try_parse_json(text).cast("array<variant>"), lambda x: _without(F.to_json(x), paths, arrays - 1))
+        out = out.when(text.startswith("["), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    return out.otherwise(text)
 
-    return F.sha2(canonical(data), 256)
+
+def canonical(data: Column, exclude: tuple[str, ...] = ()) -> Column:
+    """canonical_json as a Column: a variant keeps the members of objects in the order of their keys; numbers travel as marked texts
+    and get one form at the end. What a variant can't hold (no JSON, a repeated key) stays as it is."""
+    text = F.to_json(F.try_parse_json(marked_numbers(data)))
+    if exclude:
+        text = F.to_json(F.try_parse_json(_without(text, [e.split(".") for e in exclude])))
+    tokens = F.regexp_extract_all(text, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++)'), F.lit(1))
+
+    def token(x: Column) -> Column:
+        out = x
+        for c in ESCAPED:
+            out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+        return F.when(x.startswith(f'"{MARK}'), _number(F.substring(x, 3, F.length(x) - 4))).otherwise(out)
+
+    return F.coalesce(F.array_join(F.transform(tokens, token), ""), data)
+
+
+def fingerprint(data: Column, exclude: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the canonical form of free-form JSON text, in the JVM; null for null."""
+    return F.sha2(canonical(data, exclude), 256)
 
 
 def struct_fingerprint(names: list[str]) -> Column:
