@@ -232,3 +232,31 @@ def test_each_batch_is_routed_by_the_bindings_of_then(spark, tmp_path):
     run(batch, 0)
     run(batch.withColumn("message_id", F.lit(2)), 1)
     assert [(r.message_id, r.binding_id) for r in spark.read.parquet(f"{tmp_path}/v=0", f"{tmp_path}/v=1").collect()] == [(1, "b1")]
+
+
+def test_scheduled_deletions_equal_a_replay(spark):
+    """Against a store that goes through all moments in their order."""
+    rnd, grace, now = random.Random(8), 10, 200
+    runs = sorted({("s" + str(rnd.randrange(2)), f"r{i}", rnd.choice([rnd.randrange(190), 300])) for i in range(25)} | {("s0", "late", 195), ("s1", "late", 196)})
+    seen = [(s, rnd.randrange(30), r, done - rnd.randrange(1, 15)) for s, r, done in runs for _ in range(8)] + [("s0", 99, None, 3), ("none", 1, "q", 5), ("s1", None, "r1", 4), ("s1", 4, "r1", None)]
+    want = {}
+    for s, i in {(s, i) for s, i, _, t in seen if i is not None and t is not None and t <= now}:
+        own = [(t, r or "") for a, b, r, t in seen if (a, b) == (s, i) and t is not None and t <= now]
+        at, by = max(own)
+        status, missed, due, gone = "live", None, None, None
+        for done, r in sorted((d, r) for a, r, d in runs if a == s and at < d <= now and r != by):
+            if due is not None and due <= done and gone is None:
+                gone = due
+            if gone is None:
+                missed, due = missed if missed is not None else done, done + grace
+        if due is not None:
+            gone = due if gone is None and due <= now else gone
+            status = "deleted" if gone is not None else "pending"
+        want[s, i] = (at, status, missed, due, gone)
+    sec = lambda c: F.timestamp_seconds(F.col(c))
+    sight = spark.createDataFrame(seen, "scope string, id int, execution_id string, ts int").withColumn("ts", sec("ts")).repartition(3)
+    ends = spark.createDataFrame(runs, "scope string, execution_id string, completed_at int").withColumn("completed_at", sec("completed_at")).repartition(2)
+    got = deletion.scheduled_deletions(sight, ends, ["scope"], grace, F.timestamp_seconds(F.lit(now)))
+    out = {(r.scope, r.id): tuple(x if i == 1 or x is None else int(x.timestamp()) for i, x in enumerate((r.last_seen, r.status, r.missed_at, r.scheduled_for, r.deleted_at))) for r in got.collect()}
+    assert out == want and len({w[1] for w in want.values()}) == 3
+    assert deletion.scheduled_deletions(sight, ends.limit(0), ["scope"], grace, F.timestamp_seconds(F.lit(now))).where("status <> 'live'").count() == 0

@@ -201,3 +201,17 @@ def event_sink(spark: SparkSession, sf: str) -> DataFrame:
         stream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     got = event_log.read_events(spark, f"{base}/log", "event_type string, from_entity_id string, entity_a_id string")
     return got.select("event_type", F.coalesce("from_entity_id", "entity_a_id").alias("key"))
+
+
+@query("""WITH e AS (SELECT event_type, user_id, epoch_us(ts) AS us, event_id, 'x' || (event_id // 40) AS run FROM events), s AS (SELECT event_type, user_id, max(us) AS seen, max_by(run, (us, run)) AS run FROM e WHERE event_id % 40 <> 39 GROUP BY 1, 2),
+m AS (SELECT s.event_type, s.user_id, r.us AS x, lead(r.us) OVER (PARTITION BY s.event_type, s.user_id ORDER BY r.us) AS nx FROM s JOIN e r ON r.event_type = s.event_type AND r.event_id % 40 = 39 AND r.us > s.seen AND r.run <> s.run),
+d AS (SELECT event_type, user_id, min(x) AS missed, max(x) AS last, min(x + 86400000000) FILTER (WHERE nx IS NULL OR nx - x >= 86400000000) AS due FROM m GROUP BY 1, 2), n AS (SELECT max(us) AS now FROM e)
+SELECT s.event_type, s.user_id, CASE WHEN missed IS NULL THEN 'live' WHEN due <= now THEN 'deleted' ELSE 'pending' END AS status, coalesce(missed, 0) AS missed_us, CASE WHEN missed IS NULL THEN 0 WHEN due <= now THEN due ELSE last + 86400000000 END AS scheduled_us FROM s LEFT JOIN d USING (event_type, user_id), n""")
+def deletions_scheduled(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as sightings of users, every fortieth as the end of a run: what is deleted, due or alive a day of grace later."""
+    ev = t(spark, sf, "events").select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.concat(F.lit("x"), F.expr("event_id div 40")).alias("execution_id"))
+    now = ev.agg(F.max("ts")).first()[0]
+    runs = ev.where("event_id % 40 = 39").select("event_type", "execution_id", F.col("ts").alias("completed_at"))
+    got = deletion.scheduled_deletions(ev.where("event_id % 40 <> 39"), runs, ["event_type"], 86400, F.lit(now), "user_id")
+    us = lambda c: F.coalesce(F.unix_micros(c), F.lit(0))
+    return got.select("event_type", "user_id", "status", us("missed_at").alias("missed_us"), us("scheduled_for").alias("scheduled_us"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.ranges import locate
+from weftline.plans.storage import Spill
+
 
 def applicable(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     """The policy of each scope (tenant_id, entity_type, integration, source_key): of enabled ones whose integration and source
@@ -104,3 +107,54 @@ def cascade(members: DataFrame, golden: DataFrame, edges: DataFrame, deleted: Da
 def due_deletions(pending: DataFrame, now: Column) -> DataFrame:
     """Scheduled deletions whose time has come and that weren't cancelled."""
     return pending.where((F.col("due_at") <= now) & F.col("cancelled_at").isNull())
+
+
+def scheduled_deletions(sightings: DataFrame, runs: DataFrame, scope: list[str], grace_seconds: float, now: Column, id_col: str = "id", run: str = "execution_id", at: str = "ts", done: str = "completed_at") -> DataFrame:
+    """(scope..., id, last_seen, status, missed_at, scheduled_for, deleted_at) of every record at the time ``now``.
+
+    A completed run schedules the deletion of the records of its scope that it didn't send, ``grace_seconds`` after its end; each
+    further run without the record puts it off again, unless it is due by then; a record that is seen again is cancelled, or revived.
+    So a record goes by the runs after its last sighting: ``missed_at`` is the end of the first of them that wasn't the run that saw
+    it, ``scheduled_for`` the time that holds now, ``deleted_at`` when it came; status is live, pending or deleted.
+
+    ``sightings`` (scope..., id, execution_id, ts): a row each time a record came, in any order; ``runs`` (scope..., execution_id,
+    completed_at): completed ones only. What lies after ``now`` doesn't count. Rows without a time or an id are left out.
+
+    Records find the run after their last sighting by their place among the ends of runs (ranges.locate), so neither a scope's records
+    nor those of one moment have to fit into one task; only the ends of runs are put in order by scope.
+    """
+    us, grace = F.unix_micros, int(grace_seconds * 1_000_000)
+    time = lambda c: us(F.col(c).cast("timestamp"))
+    until = us(now.cast("timestamp"))
+    seen = sightings.where(F.col(id_col).isNotNull() & (time(at) <= until))
+    last = seen.groupBy(*scope, id_col).agg(F.max(F.struct(time(at).alias("x"), F.col(run).alias("run"))).alias("_l")).select(*scope, id_col, "_l.x", F.col("_l.run").alias("_run"))
+    once = runs.where(time(done) <= until).groupBy(*scope, F.col(run).cast("string").alias("_run")).agg(F.max(time(done)).alias("x"))
+    ends = once.groupBy(*scope, "x").agg(F.count("*").alias("_runs"))
+    points, placed = locate(ends.select(*scope, "x"), last, scope)
+    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    own = points.alias("p").join(ends.alias("e"), same("p", "e", [*scope, "x"])).select("p.*", "e._runs")
+    order = Window.partitionBy(*scope).orderBy("rank")
+    own = own.withColumns({"_before": F.lag("x").over(order), "_after": F.lead("x").over(order), "_top": F.max("x").over(Window.partitionBy(*scope))})
+    # Of the moments when a deletion that is still scheduled becomes due, the first from this run on.
+    fires = F.when(F.col("_after").isNull() | (F.col("_after") - F.col("x") >= grace), F.col("x") + grace)
+    own = own.withColumn("_due", F.first(fires, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    own = own.withColumn("_next", F.lead(F.struct("x", "_due")).over(order))
+    own = Spill(own, "runs").df
+    after = placed.withColumn("rank", F.expr("(segment + 1) div 2 + 1")).withColumn("_run", F.col("_run").cast("string"))
+    joined = after.alias("a").join(own.alias("r"), same("a", "r", [*scope, "rank"]), "left")
+    # The run that saw the record last may end after the sighting; a moment when it alone ends is none for the record.
+    alone = once.alias("o").join(own.where("_runs = 1").alias("r"), same("o", "r", [*scope, "x"])).select(*[F.col(f"o.{c}") for c in scope], "o._run", "r.x", "r._before", "r._after")
+    joined = joined.join(alone.alias("o"), [*same("a", "o", scope), F.col("a._run") == F.col("o._run")], "left")
+    start = F.when(F.col("r.x") == F.col("o.x"), F.col("r._next")).otherwise(F.when(F.col("r.x").isNotNull(), F.struct("r.x", "r._due")))
+    # Later on, the run before it waits for the one after it.
+    between = F.col("o.x") > F.col("r.x")
+    sooner = between & (F.col("r._due") >= F.col("o.x") + grace) & (F.col("o._after").isNull() | (F.col("o._after") - F.col("o._before") >= grace))
+    due = F.when(sooner, F.col("o._before") + grace).otherwise(start["_due"])
+    top = F.when(between & F.col("o._after").isNull(), F.col("o._before")).otherwise(F.col("r._top"))
+    first = F.when(start.isNotNull(), F.struct(start["x"].alias("x"), due.alias("_due")))
+    out = joined.select(*[F.col(f"a.{c}") for c in [*scope, id_col]], F.col("a.x").alias("_seen"), first.alias("_f"), top.alias("_top"))
+    deleted = F.when(F.col("_f._due") <= until, F.col("_f._due"))
+    moment = lambda c: F.timestamp_micros(c)
+    status = F.when(F.col("_f").isNull(), "live").when(deleted.isNotNull(), "deleted").otherwise("pending")
+    scheduled = F.when(F.col("_f").isNotNull(), F.coalesce(deleted, F.col("_top") + grace))
+    return out.select(*scope, id_col, moment(F.col("_seen")).alias("last_seen"), status.alias("status"), moment(F.col("_f.x")).alias("missed_at"), moment(scheduled).alias("scheduled_for"), moment(deleted).alias("deleted_at"))
