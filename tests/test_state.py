@@ -3,6 +3,7 @@ import random
 
 from weftline.operators import relations
 from weftline.sources.feeds import file_stream
+from weftline.streaming import pipeline as P
 from weftline.streaming import state as S
 
 CHANGE = "id string, ts long, data string, action string"
@@ -54,3 +55,16 @@ def test_edges_wait_for_their_ends(spark, tmp_path):
     reminded = spark.read.parquet(f"{base}/out").where("status = 'pending'")
     assert reminded.count() == reminded.select("edge_id").distinct().count() > 0
     assert reminded.where("from_entity_id is not null and to_entity_id is not null").count() == 0
+
+
+def test_graph_tables_are_compacted(spark, tmp_path):
+    path, schema = f"file://{tmp_path}", "id string, ts int, p string, deleted boolean"
+    write = P.graph_batches(path, ["id"], ["ts"])
+    rows = lambda: sorted((r.id, r.p) for r in P.graph_rows(spark, path, ["id"], ["ts"]).collect())
+    for n, step in enumerate([[("a", 1, "x", False), ("b", 5, "y", True)], [("a", 3, "z", False)], [("b", 4, "late", False), ("a", 2, "old", False)], [("b", 6, "new", None)]]):
+        write(spark.createDataFrame(step, schema), n)
+        before = rows()
+        if n in (1, 2):
+            assert P.compact_graph(spark, path, ["id"], ["ts"]) == n and rows() == before
+            assert len(list(tmp_path.glob("changes/v=*"))) == 0 and len(list(tmp_path.glob("base/v=*"))) == 1
+    assert before == [("a", "z"), ("b", "new")]

@@ -27,18 +27,23 @@ def upsert(changes: DataFrame, key: list[str], order: list[str], data: str = "da
     Rows of deleted keys come back simply by being sent again. Null and empty data add no fields but keep their key.
     """
     o = F.struct(*[F.col(c) for c in order])
-    fields = F.from_json(data, "map<string,variant>")
-    as_json = lambda df: df.withColumn("_v", F.to_json("_v"))
-    rows = as_json(changes.select(*key, o.alias("_o"), F.explode_outer(fields).alias("_k", "_v")))
+    rows = changes.select(*key, o.alias("_o"), F.lit(1).alias("_n"), F.explode(_marked_fields(data)).alias("_x"))
     if current is not None:
-        old = as_json(current.select(*key, F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.explode_outer(fields).alias("_k", "_v")))
+        old = current.select(*key, F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.lit(0).alias("_n"), F.explode(_marked_fields(data)).alias("_x"))
         rows = rows.unionByName(old)
-    last = rows.groupBy(*key, "_k").agg(F.max_by(F.struct("_v"), F.struct(F.col("_o").isNotNull(), "_o")).alias("_v"), F.max("_o").alias("_last"))
-    whole = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v._v")))))
-    merged = last.groupBy(*key).agg(whole.alias("_m"), F.max("_last").alias("_last"))
-    counts = changes.groupBy(*key).agg(F.count("*").alias("n_changes"))
-    out = merged.join(counts, key, "left")
-    return out.select(*key, object_json(F.col("_m"), encoded=True).alias(data), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), *[F.col("_last")[c].alias(f"last_{c}") for c in order])
+    own = F.col("_x.field").isNull()
+    last = rows.groupBy(*key, F.col("_x.field").alias("_k")).agg(F.max_by(F.struct("_x.value"), F.struct(F.col("_o").isNotNull(), "_o")).alias("_v"), F.max("_o").alias("_last"), F.sum(F.when(own, F.col("_n")).otherwise(0)).alias("_n"))
+    whole = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v.value")))))
+    merged = last.groupBy(*key).agg(whole.alias("_m"), F.max("_last").alias("_last"), F.sum("_n").alias("n_changes"))
+    return merged.select(*key, object_json(F.col("_m"), encoded=True).alias(data), "n_changes", *[F.col("_last")[c].alias(f"last_{c}") for c in order])
+
+
+def _marked_fields(data: str) -> Column:
+    """(field, value as JSON) of an object's members, after one row without a field that stands for the change itself: so one pass over
+    the changes gives both, and a change without members is not lost."""
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")))
+    members = F.transform(F.map_entries(F.from_json(data, "map<string,variant>")), lambda e: F.struct(e["key"].alias("field"), F.to_json(e["value"]).alias("value")))
+    return F.concat(marker, F.coalesce(members, F.array().cast("array<struct<field:string,value:string>>")))
 
 
 def field_changes(changes: DataFrame, key: list[str], order: list[str], data: str = "data") -> DataFrame:
@@ -46,11 +51,9 @@ def field_changes(changes: DataFrame, key: list[str], order: list[str], data: st
     holds the number of changes. Such tables merge: fold_changes over the union of several equals one over all changes, in
     whatever order they come, so late older changes never win."""
     at = F.struct(*[F.col(c) for c in order])
-    rows = changes.select(*key, at.alias("at"), F.explode(F.from_json(data, "map<string,variant>")).alias("field", "_v"))
-    rows = rows.select(*key, "at", "field", F.to_json("_v").alias("value"))
-    last = rows.groupBy(*key, "field").agg(F.max_by(F.struct("value"), "at")["value"].alias("value"), F.max("at").alias("at")).withColumn("n", F.lit(0).cast("long"))
-    counts = changes.groupBy(*key).agg(F.max(at).alias("at"), F.count("*").alias("n"))
-    return last.unionByName(counts.select(*key, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), "at", "n"))
+    rows = changes.select(*key, at.alias("at"), F.explode(_marked_fields(data)).alias("_x")).select(*key, "at", "_x.*")
+    n = F.sum(F.when(F.col("field").isNull(), 1).otherwise(0))
+    return rows.groupBy(*key, "field").agg(F.max_by(F.struct("value"), "at")["value"].alias("value"), F.max("at").alias("at"), n.alias("n"))
 
 
 def merged_changes(parts: DataFrame, key: list[str]) -> DataFrame:
