@@ -71,14 +71,12 @@ class WuManber:
 
 def compile_block(items: Iterable[tuple], window: int = WINDOW) -> bytes:
     """Pickled tables, one for each window length, of (item_id, words) rows; an item of fewer words is one window of its own."""
-    by: dict[int, dict[tuple, list]] = {}
+    by: dict[int, dict[tuple, dict]] = {}
     for item, words in items:
         m = min(window, len(words))
         for i in range(len(words) - m + 1):
-            own = by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), [])
-            if item not in own:
-                own.append(item)
-    return pickle.dumps([WuManber(x, m) for m, x in sorted(by.items())])
+            by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), {})[item] = None  # each item once, in order
+    return pickle.dumps([WuManber({w: list(own) for w, own in x.items()}, m) for m, x in sorted(by.items())])
 
 
 def _compile(window: int, block_words: int):
