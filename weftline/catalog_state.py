@@ -49,7 +49,7 @@ def stream_pending_edges(spark: SparkSession, sf: str) -> DataFrame:
         part(entities, "source_id", (n + 3) % 5).write.mode("append").parquet(f"{base}/entities")
         if n in (2, 4):
             both = (file_stream(spark, f"{base}/{name}", df.schema, files_per_trigger=1) for name, df in (("edges", edges), ("entities", entities)))
-            state.start_table(state.resolved_edges(*both), f"{base}/out", f"{base}/state", True).awaitTermination()
+            state.start_table(state.resolved_edges(*both, salts=2), f"{base}/out", f"{base}/state", True).awaitTermination()
     return spark.read.parquet(f"{base}/out").where("status = 'resolved'").select("from_entity_id", "to_entity_id")
 
 

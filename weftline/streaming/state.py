@@ -11,8 +11,7 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,15 +33,6 @@ def _mode(*bounds: int | None) -> str:
     return "None" if all(b is None for b in bounds) else "ProcessingTime"
 
 
-def _plain(x: object) -> object:
-    """A pandas cell as a state store takes it; missing values as None."""
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
-        return None
-    if isinstance(x, pd.Timestamp):
-        return x.to_pydatetime()
-    return x.item() if hasattr(x, "item") else x
-
-
 # -- records ------------------------------------------------------------------------------------------------------------
 
 
@@ -60,22 +50,21 @@ class MergedRecord(StatefulProcessor):
         self.last = handle.getValueState("last", whole, self.ttl)
         self.names = names
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n, deleted, at = 0, False, None
         if self.last.exists():
             n, deleted, *before = self.last.get()
             at = tuple(before)
         new: dict[str, tuple] = {}
-        for part in rows:
-            for field, value, gone, *order in part[["change_field", "change_value", "change_gone", *self.names]].itertuples(index=False):
-                order = tuple(_plain(x) for x in order)
-                if field is None or field != field:  # the marker row of a change
-                    n += 1
-                    # Of a delete and an upsert in the same place of the order the delete stands.
-                    if at is None or (order, bool(gone)) > (at, deleted):
-                        at, deleted = order, bool(gone)
-                elif field not in new or order >= new[field][1:]:
-                    new[field] = (_plain(value), *order)
+        for row in rows:
+            field, order = row["change_field"], tuple(row[c] for c in self.names)
+            if field is None:  # the marker row of a change
+                n += 1
+                # Of a delete and an upsert in the same place of the order the delete stands.
+                if at is None or (order, row["change_gone"]) > (at, deleted):
+                    at, deleted = order, row["change_gone"]
+            elif field not in new or order >= new[field][1:]:
+                new[field] = (row["change_value"], *order)
         merged = {k[0]: v for k, v in self.fields.iterator()}
         for field, v in new.items():
             if field not in merged or v[1:] >= tuple(merged[field][1:]):
@@ -83,8 +72,7 @@ class MergedRecord(StatefulProcessor):
                 merged[field] = v
         self.last.update((n, deleted, *at))
         data = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{'null' if v[0] is None else v[0]}" for k, v in sorted(merged.items())) + "}"
-        cells = {c: [x] for c, x in zip([*self.key, "data", "n_changes", "deleted", *[f"last_{c}" for c in self.names]], [*key, data, n, deleted, *at], strict=True)}
-        yield pd.DataFrame(cells)
+        yield Row(*self.key, "data", "n_changes", "deleted", *[f"last_{c}" for c in self.names])(*key, data, n, deleted, *at)
 
     def close(self) -> None:
         pass
@@ -106,7 +94,7 @@ def merged_records(changes: DataFrame, key: list[str], order: list[str], data: s
     types = {f.name: f.dataType for f in changes.schema}
     schema = T.StructType([T.StructField(k, types[k]) for k in key] + [T.StructField("data", T.StringType()), T.StructField("n_changes", T.LongType()), T.StructField("deleted", T.BooleanType())] + [T.StructField(f"last_{c}", types[c]) for c in order])
     processor = MergedRecord(key, [T.StructField(c, types[c]) for c in order], ttl_ms)
-    return rows.groupBy(*key).transformWithStateInPandas(processor, schema, "append", _mode(ttl_ms))
+    return rows.groupBy(*key).transformWithState(processor, schema, "append", _mode(ttl_ms))
 
 
 def latest_records(history: DataFrame, key: list[str]) -> DataFrame:
@@ -119,6 +107,10 @@ def latest_records(history: DataFrame, key: list[str]) -> DataFrame:
 # -- edges --------------------------------------------------------------------------------------------------------------
 
 
+IDS = T.ArrayType(T.StringType())
+END, PAIR = Row("edge_id", "side", "entity_id"), Row("edge_id", "from_entity_id", "to_entity_id", "status")
+
+
 class EndsOfEntity(StatefulProcessor):
     """Under the natural key of an entity: the ids it has, and the ends of edges that name it."""
 
@@ -127,36 +119,29 @@ class EndsOfEntity(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         end = T.StructType([T.StructField("edge_id", T.StringType()), T.StructField("side", T.StringType())])
-        self.entities = handle.getMapState("entities", TEXT, TEXT, self.ttl)
+        self.entities = handle.getValueState("entities", T.StructType([T.StructField("ids", IDS)]), self.ttl)
         self.ends = handle.getMapState("ends", end, TEXT, self.ttl)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         ids, ends = set(), set()
-        for part in rows:
-            for edge, side, entity in part[["edge_id", "side", "entity_id"]].itertuples(index=False):
-                if entity is None or entity != entity:
-                    ends.add((edge, side))
-                else:
-                    ids.add(entity)
-        known = {k[0] for k, _ in self.entities.iterator()}
-        ids = {i for i in ids if i not in known}
-        ends = {e for e in ends if not self.ends.containsKey(e)}
-        out = [(*e, None) for e in sorted(ends)] + [(*e, i) for e in sorted(ends) for i in sorted(known)]
-        for i in sorted(ids):
-            self.entities.updateValue((i,), ("",))
+        for row in rows:
+            if row["entity_id"] is None:
+                ends.add((row["edge_id"], row["side"]))
+            else:
+                ids.add(row["entity_id"])
+        held = self.entities.get()
+        known = set(held[0]) if held else set()
+        ids -= known
+        # An end that comes again comes out again; what it is part of has seen it before.
+        for e in sorted(ends):
+            yield from (END(*e, i) for i in (None, *sorted(known | ids)))
+        if ids:
+            self.entities.update((sorted(known | ids),))
+            for e, _ in self.ends.iterator():  # read through: what waits for an entity isn't held in memory
+                if tuple(e) not in ends:
+                    yield from (END(*e, i) for i in sorted(ids))
         for e in ends:
             self.ends.updateValue(e, ("",))
-        if ids:  # the store is read through: what waits for an entity isn't held in memory
-            for e, _ in self.ends.iterator():
-                out += [(*e, i) for i in sorted(ids)]
-                if len(out) > 10_000:
-                    yield self._frame(out)
-                    out = []
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["edge_id", "side", "entity_id"]).astype("object")
 
     def close(self) -> None:
         pass
@@ -170,39 +155,32 @@ class PairsOfEdge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sides = {s: handle.getMapState(s, TEXT, TEXT, self.ttl) for s in ("from", "to")}
-        self.announced = handle.getValueState("announced", TEXT, self.ttl)
+        self.found = handle.getValueState("found", T.StructType([T.StructField("from", IDS), T.StructField("to", IDS)]), self.ttl)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = {s: {k[0] for k, _ in m.iterator()} for s, m in self.sides.items()}
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.found.get()
+        old = {s: set(x) for s, x in zip(("from", "to"), held or ((), ()), strict=True)}
         new: dict[str, set] = {"from": set(), "to": set()}
-        for part in rows:
-            for side, entity in part[["side", "entity_id"]].itertuples(index=False):
-                if entity is not None and entity == entity and entity not in old[side]:
-                    new[side].add(entity)
-        for side, found in new.items():
-            for i in found:
-                self.sides[side].updateValue((i,), ("",))
-        if not self.announced.exists():
-            self.announced.update(("",))
-            if self.remind is not None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remind)
+        for row in rows:
+            if row["entity_id"] is not None and row["entity_id"] not in old[row["side"]]:
+                new[row["side"]].add(row["entity_id"])
+        if held is None or new["from"] or new["to"]:
+            self.found.update(tuple(sorted(old[s] | new[s]) for s in ("from", "to")))
+        if held is None and self.remind is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remind)
         pairs = [(f, t) for f in new["from"] for t in old["to"] | new["to"]] + [(f, t) for f in old["from"] for t in new["to"]]
-        yield self._frame(key, sorted(pairs), "resolved")
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        some = {s: min((k[0] for k, _ in m.iterator()), default=None) for s, m in self.sides.items()}
-        yield self._frame(key, [(some["from"], some["to"])] if None in some.values() else [], "pending")
+        yield from (PAIR(key[0], f, t, "resolved") for f, t in sorted(pairs))
 
-    @staticmethod
-    def _frame(key: tuple, pairs: list[tuple], status: str) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], f, t, status) for f, t in pairs], columns=["edge_id", "from_entity_id", "to_entity_id", "status"]).astype("object")
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        some = [min(x, default=None) for x in self.found.get() or ((), ())]
+        if None in some:
+            yield PAIR(key[0], *some, "pending")
 
     def close(self) -> None:
         pass
 
 
-def resolved_edges(edges: DataFrame, entities: DataFrame, scope: bool = True, salts: int = 8, ttl_ms: int | None = None, remind_ms: int | None = None) -> DataFrame:
+def resolved_edges(edges: DataFrame, entities: DataFrame, scope: bool = True, salts: int = 4, ttl_ms: int | None = None, remind_ms: int | None = None) -> DataFrame:
     """A stream of (edge_id, from_entity_id, to_entity_id, status) over streams of edges and entities, whichever comes first.
 
     ``edges`` have the natural key of relations.stage, ``entities`` (tenant_id, entity_type, source_id, integration, entity_id); with
@@ -223,8 +201,8 @@ def resolved_edges(edges: DataFrame, entities: DataFrame, scope: bool = True, sa
     ends = ends.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in key], F.when(whole, F.pmod(F.xxhash64("edge_id"), F.lit(salts)).cast("string")).otherwise(F.concat(F.lit("!"), "edge_id")).alias("salt"), "edge_id", "side", F.lit(None).cast("string").alias("entity_id"))
     there = entities.where(" and ".join(f"{c} is not null" for c in [*key, "entity_id"]))
     there = there.select(*[F.col(c).cast("string").alias(c) for c in key], F.explode(F.array(*[F.lit(str(i)) for i in range(salts)])).alias("salt"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("string").alias("side"), F.col("entity_id").cast("string").alias("entity_id"))
-    found = ends.unionByName(there).groupBy(*key, "salt").transformWithStateInPandas(EndsOfEntity(ttl_ms), "edge_id string, side string, entity_id string", "append", _mode(ttl_ms))
-    return found.groupBy("edge_id").transformWithStateInPandas(PairsOfEdge(ttl_ms, remind_ms), "edge_id string, from_entity_id string, to_entity_id string, status string", "append", _mode(ttl_ms, remind_ms))
+    found = ends.unionByName(there).groupBy(*key, "salt").transformWithState(EndsOfEntity(ttl_ms), "edge_id string, side string, entity_id string", "append", _mode(ttl_ms))
+    return found.groupBy("edge_id").transformWithState(PairsOfEdge(ttl_ms, remind_ms), "edge_id string, from_entity_id string, to_entity_id string, status string", "append", _mode(ttl_ms, remind_ms))
 
 
 def start_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
