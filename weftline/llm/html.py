@@ -55,6 +55,8 @@ MASKED, BARE, NESTED, TABLED, ALONE, UNMARKED, OTHER_SCRIPTS, SHORT, WRAPPED = 0
 #: Ranges of letters of the other scripts of the training pages, and whether they put spaces between words: Cyrillic, Greek, Arabic,
 #: Devanagari, Hangul, Hiragana, Chinese.
 SCRIPTS = ((0x430, 0x450, True), (0x3B1, 0x3CA, True), (0x627, 0x64B, True), (0x905, 0x93A, True), (0xAC00, 0xAD00, True), (0x3042, 0x3094, False), (0x4E00, 0x5200, False))
+#: Attributes whose words name an element.
+NAMING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _TOKENS = re.compile(r"[a-z]{2,}")
 
 
@@ -66,6 +68,12 @@ def _feature(name: str) -> int:
     return h % SPACE
 
 
+@lru_cache(maxsize=20_000)
+def _element(tag: str, *names: str) -> tuple[int, ...]:
+    """Features of an element: its tag and the words of its names."""
+    return tuple({_feature(f"t={tag}"), *(_feature(f"c={x}") for name in names for x in _TOKENS.findall(name.lower()))})
+
+
 class Node:
     """What an element adds to the features of its ancestors. Iterates over all of them, its own first."""
 
@@ -162,13 +170,10 @@ class _Blocks(HTMLParser):
             return
         node, box, own = top.node, top.box, ()
         if tag not in SEAMLESS:
-            names = {f"t={tag}"}
-            for name, value in attrs:
-                if name in ("class", "id", "role", "itemprop", "aria-label") and value:
-                    names.update(f"c={x}" for x in _TOKENS.findall(value.lower()))
-            own = tuple({_feature(x) for x in names})
-            new = tuple(x for x in own if not self.active[x])
-            self.active.update(own)
+            own = _element(tag, *[v for name, v in attrs if v and name in NAMING])
+            new = tuple([x for x in own if not self.active[x]])
+            for x in own:
+                self.active[x] += 1
             node = Node(node, new) if new else node  # nested elements of a kind share one node
             if tag not in HIDDEN:
                 box = Box(box)
@@ -182,9 +187,10 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def cut(self, at: int) -> None:
-        self.open.subtract(x.tag for x in self.stack[at:])
-        for x in self.stack[at:]:
-            self.active.subtract(x.names)
+        for element in self.stack[at:]:
+            self.open[element.tag] -= 1
+            for x in element.names:
+                self.active[x] -= 1
         del self.stack[at:]
 
     def close_to(self, tag: str) -> None:
@@ -308,6 +314,7 @@ class Crf:
 
     def __init__(self):
         self.w, self.t = np.zeros((SPACE, 2)), np.zeros((2, 2))
+        self._odds: list[float] | None = None
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         flat = np.fromiter((x for r in rows for x in r), np.int64)
@@ -348,25 +355,36 @@ class Crf:
         """The most probable labels (Viterbi); ties go to content."""
         if not rows:
             return []
-        return self.best(self.scores(rows))
+        return self.best(self.scores(rows).tolist())
 
     def decode_blocks(self, blocks: Sequence[Block]) -> list[int]:
         """The same from blocks: the weights of an element are summed once, for all that stands in it."""
         if not blocks:
             return []
-        sums: dict[Node | None, np.ndarray] = {None: np.zeros(2)}
-        for block in blocks:
+        odds = self.odds()
+        sums: dict[Node | None, float] = {None: 0.0}
+        scores = []
+        for block, own in zip(blocks, text_features(blocks), strict=True):
             path, node = [], block.own
             while node not in sums:
                 path.append(node)
                 node = node.parent
             total = sums[node]
             for x in reversed(path):
-                total = sums[x] = total + self.w[list(x.new)].sum(axis=0)
-        return self.best(self.scores(text_features(blocks)) + np.array([sums[b.own] for b in blocks]))
-
-    def best(self, scores: np.ndarray) -> list[int]:
-        e, t = scores.tolist(), self.t.tolist()
+                for f in x.new:
+                    total += odds[f]
+                sums[x] = total
+            scores.append((0.0, total + sum([odds[f] for f in own])))
+        return self.best(scores)
+
+    def odds(self) -> list[float]:
+        """How much each feature speaks for content; only differences between the labels matter to decoding."""
+        if self._odds is None:
+            self._odds = (self.w[:, 1] - self.w[:, 0]).tolist()
+        return self._odds
+
+    def best(self, e: Sequence[Sequence[float]]) -> list[int]:
+        t = self.t.tolist()
         (x, y), back = e[0], []
         for e0, e1 in e[1:]:
             back.append((int(y + t[1][0] >= x + t[0][0]), int(y + t[1][1] >= x + t[0][1])))
