@@ -464,7 +464,21 @@ def normalizers(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "customer").select("c_custkey", *[norm.normalize(F.col("c_name"), n).alias(n) for n in names])
 
 
-@query(None)
+def _metaphone_sql(c: str) -> str:
+    """The rules of the simplified Metaphone as SQL. RE2 looks neither ahead nor behind, so what follows is captured and put back; runs
+    of a letter are folded letter by letter."""
+    w = f"regexp_replace(upper({c}), '[^A-Z]', '', 'g')"
+    w = f"regexp_replace({w}, '^(?:K(N)|G(N)|P(N)|W(R)|A(E))', '\\1\\2\\3\\4\\5')"
+    for old, new in (
+        ("^X", "S"), ("^WH", "W"), ("MB$", "M"), ("SCH", "SK"), ("TI[AO]", "X"), ("CIA", "X"), ("SI[AO]", "X"), ("TCH", "CH"), ("TH", "0"), ("[CS]H", "X"), ("PH", "F"), ("GH", ""),
+        ("DG([EIY])", r"J\1"), ("C([EIY])", r"S\1"), ("[CQ]", "K"), ("G([EIY])", r"J\1"), ("G", "K"), ("D", "T"), ("V", "F"), ("Z", "S"),
+        ("([AEIOU])H([^AEIOU]|$)", r"\1\2"), ("W+([^AEIOUW]|$)", r"\1"), ("W+(W[AEIOU])", r"\1"), ("Y+([^AEIOUY]|$)", r"\1"), ("Y+(Y[AEIOU])", r"\1"), *((f"{x}+", x) for x in "0ABDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ):
+        w = f"regexp_replace({w}, '{old}', '{new}', 'g')"
+    return f"left(left({w}, 1) || regexp_replace(substr({w}, 2), '[AEIOU]', '', 'g'), 6)"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT p_name, {_metaphone_sql("p_name")} AS token FROM n) SELECT p_partkey, token FROM part JOIN m USING (p_name)""")
 def metaphone_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", sim.metaphone(F.col("p_name")).alias("token"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalog import _BIND_SQL, _bindings, _messages, _people, query, t
+from weftline.functions import criteria
 from weftline.operators import admission, deletion, hotkeys, incremental, matching, relations, routing
 from weftline.plans.storage import shared_dir
 from weftline.sources import event_log, feeds
@@ -116,6 +117,30 @@ def criteria_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return relations.stored_criteria_edges(rules, ent).select("criteria_id", "to_entity_id")
 
 
+def _written_criteria(spark: SparkSession, sf: str) -> DataFrame:
+    """(c_custkey, criteria): segments and balances by nation; keys, spaces and numbers written in different ways."""
+    seg, n, m = F.col("c_mktsegment"), F.col("c_nationkey"), F.col("c_nationkey") + 10
+    plain = F.format_string('{"seg":"%s","bal":{"$gt":%d,"$lt":%d},"at.zip":%d}', seg, n, m, n)
+    turned = F.format_string(' { "at.zip" : %d.0, "bal": {"$lt": %d, "$gt": %d.00},\n "seg":"%s"}', n, m, n, seg)
+    return t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, plain).otherwise(turned).alias("criteria"))
+
+
+_WRITTEN_SQL = """WITH w AS (SELECT c_custkey, '{"at.zip":' || c_nationkey || ',"bal":{"$gt":' || c_nationkey || ',"$lt":' || (c_nationkey + 10) || '}' AS rest, '"seg":"' || c_mktsegment || '"}' AS seg FROM customer)
+"""
+
+
+@query(_WRITTEN_SQL + "SELECT sha256(rest || ',' || seg) AS criteria_hash, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1")
+def criteria_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored criteria that ask for the same share one hash, in whatever way they are written."""
+    return _written_criteria(spark, sf).groupBy(criteria.hash_of(F.col("criteria")).alias("criteria_hash")).agg(F.count("*").alias("n"))
+
+
+@query(_WRITTEN_SQL + "SELECT c_custkey, '{' || seg AS asked, rest || '}' AS rest FROM w")
+def criteria_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a source can be asked for, and what is left to test."""
+    return _written_criteria(spark, sf).select("c_custkey", criteria.split_texts(F.col("criteria")).alias("p")).select("c_custkey", "p.asked", "p.rest")
+
+
 @query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 w(user_id, n, event_id, held, ok) AS (SELECT user_id, 0, CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), false FROM (SELECT DISTINCT user_id FROM e)
 UNION ALL SELECT user_id, n + 1, eid, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END, len(h) < 3 FROM (SELECT w.user_id, w.n, e.event_id AS eid, e.us, list_filter(w.held, lambda x: x > e.us - 43200000000) AS h FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))

@@ -89,3 +89,26 @@ def canonical(criteria: dict) -> str:
 def criteria_hash(criteria: dict) -> str:
     """SHA-256 of the key-sorted JSON."""
     return hashlib.sha256(canonical(criteria).encode()).hexdigest()
+
+
+def canonical_text(c: Column) -> Column:
+    """``c`` as key-sorted JSON without white space, numbers by value (5.0 and 5 are one; one with an exponent stays a double), so that
+    criteria which ask for the same read the same. Null for null, for what is no JSON object, and for repeated keys."""
+    return F.to_json(F.when(F.ltrim(c).startswith("{"), F.try_parse_json(c)))
+
+
+def hash_of(c: Column) -> Column:
+    """criteria_hash of a column of criteria: SHA-256 of canonical_text, in lowercase hex."""
+    return F.sha2(canonical_text(c), 256)
+
+
+def split_texts(c: Column) -> Column:
+    """split of a column of criteria: a struct of the texts asked and rest, both canonical; null as there."""
+    entries = F.from_json(canonical_text(c), "map<string,variant>")
+
+    def simple(path: Column, want: Column) -> Column:
+        return ~F.schema_of_variant(want).rlike("^(OBJECT|ARRAY|VOID)") & ~path.contains(".")
+
+    asked = F.to_json(F.map_filter(entries, simple))
+    rest = F.to_json(F.map_filter(entries, lambda path, want: ~simple(path, want)))
+    return F.when(entries.isNotNull(), F.struct(asked.alias("asked"), rest.alias("rest")))
