@@ -222,3 +222,16 @@ def test_upserts_over_many_batches(spark, tmp_path):
     assert read() == {**want, "a": ({"x": 6, "y": None, "z": 3}, 4, 7)}
     with pytest.raises(ValueError, match="no upserts"):
         P.upserted(spark, f"file://{tmp_path}/none", ["id"], ["o"])
+
+
+def test_recorded_responses_of_a_folder_are_read_by_config(spark, tmp_path):
+    from weftline.sources import datasource
+
+    path = f"file://{tmp_path}/pages"
+    rows = [("a", "http://x/items", '{"v":1}'), ("b", "http://x/items", '{"v":2}'), ("b", "http://x/items", '{"v":3}')]
+    spark.createDataFrame(rows, "config_id string, url string, body string").coalesce(1).write.parquet(path)
+    datasource.register(spark)
+    options = {"plans": json.dumps([{"key": "p", "step": {"url": "http://x/items"}}]), "configs": json.dumps([{"id": i} for i in "abc"]), "recorded_path": path}
+    got = {r.config_id: r for r in spark.read.format("plan_responses").options(**options).load().collect()}
+    assert json.loads(got["a"].response_body) == {"v": 1} and json.loads(got["b"].response_body) == {"v": 2}
+    assert got["c"].status_code == 404

@@ -694,13 +694,20 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation""")
 def extract_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """The nations as a paged API: a plan pages through recorded responses in the data source, and the pages are exploded."""
-    rows = [r.asDict() for r in t(spark, sf, "nation").orderBy("n_nationkey").limit(25).collect()]
-    pages = [rows[i : i + 10] for i in range(0, len(rows), 10)]
-    recorded = [{"url": "http://api/nations" + (f"?page={i}" if i else ""), "body": {"items": p, "next": i + 1 if i + 1 < len(pages) else None}} for i, p in enumerate(pages)]
+    """The nations as the paged APIs of four tenants: a plan pages through each one's recorded responses, which the task that runs it
+    reads from the shared folder, and the pages are exploded."""
+    base, keys, page = f"{shared_dir(spark)}/weftline-pages-{uuid.uuid4().hex}", 4, 5
+    rows = t(spark, sf, "nation").withColumns({"config_id": F.format_string("c%d", F.expr(f"n_nationkey % {keys}")), "page": F.expr(f"n_nationkey div {keys * page}")})
+    pages = rows.groupBy("config_id", "page").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("items"))
+    # The first page has no number in its URL; each names the one after it.
+    following = Window.partitionBy("config_id").orderBy("page")
+    pages = pages.withColumns({"next": F.lead("page").over(following), "first": F.row_number().over(following) == 1})
+    url = F.concat(F.lit("http://api/"), "config_id", F.lit("/nations"), F.when(F.col("first"), "").otherwise(F.concat(F.lit("?page="), "page")))
+    pages.select("config_id", url.alias("url"), F.to_json(F.struct("items", "next"), {"ignoreNullFields": "false"}).alias("body")).write.parquet(base)
     plan = {"key": "nations", "step": {"url": "{{ config.base }}/nations", "params": {"page": "{{ prev.next }}"}, "while": "response.next", "set_context": {"last": "response.items[-1].n_name"}}}
+    configs = [{"id": f"c{n}", "base": f"http://api/c{n}"} for n in range(keys)]
     datasource.register(spark)
-    got = spark.read.format("plan_responses").option("plans", json.dumps([plan])).option("configs", json.dumps([{"id": "c", "base": "http://api"}])).option("recorded", json.dumps(recorded)).load()
+    got = spark.read.format("plan_responses").options(plans=json.dumps([plan]), configs=json.dumps(configs), recorded_path=base).load()
     items = got.where("error is null").select(F.explode(F.from_json(F.get_json_object("response_body", "$.items"), "array<struct<n_nationkey:int,n_name:string,n_regionkey:int>>")).alias("n"))
     return items.select(F.col("n.n_nationkey").alias("id"), F.col("n.n_name").alias("name"), F.col("n.n_regionkey").alias("region"))
 

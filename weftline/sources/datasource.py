@@ -19,8 +19,9 @@ SCHEMA = (
 
 
 class PlanResponses(DataSource):
-    """Options: plans (JSON list), configs (JSON list), tenant_id, recorded (JSON list of responses; without it HTTP is used),
-    contexts (JSON object: "plan key/config id" -> what set_context kept in the run before).
+    """Options: plans (JSON list), configs (JSON list), tenant_id, recorded (JSON list of responses), recorded_path (Parquet
+    of them in a folder that tasks can read: config_id, url, body as JSON text; each task reads those of its config; without either
+    HTTP is used), contexts (JSON object: "plan key/config id" -> what set_context kept in the run before).
 
     A plan's ``auth`` ({id, plan, token_path, header?, format?, ...}) is run first, and its token sent with every request; a flow
     that fails gives one error row. With ``emit_context`` a plan's last row (step_path "context") holds what set_context kept.
@@ -37,6 +38,17 @@ class PlanResponses(DataSource):
         return _Reader(self.options)
 
 
+def _recorded(path: str, config_id: str) -> list[dict]:
+    """Responses of one config, read where the plan runs."""
+    from pyarrow import dataset
+
+    from weftline.sources.event_log import _store
+
+    store, root = _store(path)
+    own = dataset.dataset(root, filesystem=store, format="parquet").to_table(["url", "body"], filter=dataset.field("config_id") == config_id)
+    return [{"url": r["url"], "body": json.loads(r["body"])} for r in own.to_pylist()]
+
+
 class _Part(InputPartition):
     def __init__(self, plan: dict, config: dict, execution_id: str):
         self.plan, self.config, self.execution_id = plan, config, execution_id
@@ -44,7 +56,7 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.tenant, self.recorded = options.get("tenant_id", ""), options.get("recorded")
+        self.tenant, self.recorded, self.recorded_path = options.get("tenant_id", ""), options.get("recorded"), options.get("recorded_path")
         self.contexts = json.loads(options.get("contexts", "{}"))
         self.plans, self.configs = json.loads(options.get("plans", "[]")), json.loads(options.get("configs", "[{}]"))
 
@@ -53,7 +65,10 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        transport = replay(json.loads(self.recorded)) if self.recorded is not None else http_transport()
+        if self.recorded is not None:
+            transport = replay(json.loads(self.recorded))
+        else:
+            transport = http_transport() if self.recorded_path is None else replay(_recorded(self.recorded_path, part.config.get("id")))
         plan, context = part.plan, self.contexts.get(f"{part.plan.get('key')}/{part.config.get('id')}")
         runner = PlanRunner(plan, part.config, transport, self.tenant, part.execution_id, context)
         if flow := plan.get("auth"):
