@@ -267,3 +267,20 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(long)), (2, " ".join(["a", *long[300_000:300_100], "b"])), (3, "x" * 3_000_000 + " tail")]
     got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.start_word, r.end_word, r.rep_start) for r in got] == [(2, 1, 101, 300_000)]
+
+
+def test_frequent_keys_keep_the_document_before_their_range(spark):
+    rnd = random.Random(13)
+    w = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = w(96)
+    lines = [passage[i : i + 5] for i in range(1, 96, 6)]  # what all documents share, scattered in the first one
+    copy = lambda: [x if i % 6 else w(1)[0] for i, x in enumerate(passage)]
+    docs = {1: [x for i in rnd.sample(range(len(lines)), len(lines)) for x in lines[i] + w(20)]}
+    docs |= {10 + i: w(20) + copy() + w(20) for i in range(12)}
+    pool = [[f"p{i}w{rnd.randrange(40)}" for _ in range(rnd.randrange(60, 120))] for i in range(4)]
+    docs |= {40 + i: [x for p in rnd.sample(pool, 2) for x in p[rnd.randrange(9) :]] + w(9) for i in range(20)}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id long, text string").repartition(5)
+    plain = sorted(map(tuple, S.repeated_passages(df).collect()))
+    assert {r[0] for r in plain} >= set(range(11, 22))
+    for n in (3, 11):
+        assert sorted(map(tuple, S.repeated_passages(df, range_docs=n).collect())) == plain

@@ -22,7 +22,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import values
@@ -43,8 +43,8 @@ PART_BYTES, BUCKET_BYTES = 64 << 20, 4 << 20
 #: Bytes of text whose seeds are packed at once, and those hashed at once.
 GROUP_BYTES, HASH_BYTES = 4 << 20, 1 << 20
 #: Documents of a range of doc_id. Where there are more, keys that HOT_SHARE of a sample of HOT_SAMPLE documents hold are dealt by
-#: key and range. The sample decides only how such keys are dealt; their first document is found over all documents.
-RANGE_DOCS, HOT_SHARE, HOT_SAMPLE, HOT_KEYS = 500_000, 0.01, 20_000, 100_000
+#: key and range. The sample decides only how such keys are dealt; what their ranges link to is found over all documents.
+RANGE_DOCS, HOT_SHARE, HOT_SAMPLE = 500_000, 0.01, 20_000
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
 #: Rows of an Arrow batch: packed columns and ranges of words are long.
@@ -252,12 +252,30 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 SEEDS, MATCHES = ["bucket", "keys", "docs", "places"], ["bucket", "docs", "reps", "places", "rplaces"]
+SEED_ROW = "bucket int, keys binary, docs binary, places binary"
 #: Matches that are packed at once.
 PACK_MATCHES = 500_000
 
 
+def _ranged(keys: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The keys that hot ones are dealt by in a range of doc_id."""
+    return keys + (spans + 1).astype(np.uint64) * _M
+
+
+def _heads(buckets: int):
+    """Rows (key, span, doc, place) of documents before a range as seeds of that range."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, spans, docs, places = (x.to_numpy() for x in batch.columns)
+            keys = _ranged(keys.view(np.uint64), spans)
+            yield _packed(_bucket(keys, buckets), [keys.astype(np.uint32), docs, places], SEEDS)
+
+    return heads
+
+
 def _seeds(part: int, parts: int, buckets: int, hot=None):
-    """Rows (bucket, keys, docs, places). ``hot``: broadcast (keys, first docs, their places, upper bounds of ranges of doc_id)."""
+    """Rows (bucket, keys, docs, places). ``hot``: broadcast (keys, upper bounds of ranges of doc_id)."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,16 +283,9 @@ def _seeds(part: int, parts: int, buckets: int, hot=None):
                 keys, texts, places = seeds_of(data, offsets, part, parts)
                 own = docs[texts]
                 if hot is not None:
-                    known, first, first_place, bounds = hot.value
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    mine = np.flatnonzero(known[at] == keys)
-                    # A hot key is dealt by range, and each range is given the key's first document to link to.
-                    shift = (np.searchsorted(bounds, own[mine]) + 1).astype(np.uint64) * _M
-                    keys[mine] += shift
-                    new, which = np.unique(keys[mine], return_index=True)
-                    keys = np.concatenate([keys, new])
-                    own = np.concatenate([own, first[at[mine][which]]])
-                    places = np.concatenate([places, first_place[at[mine][which]]])
+                    known, bounds = hot.value
+                    mine = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys)
+                    keys[mine] = _ranged(keys[mine], np.searchsorted(bounds, own[mine]))
                 yield _packed(_bucket(keys, buckets), [keys.astype(np.uint32), own, places], SEEDS)
 
     return seeds
@@ -632,9 +643,12 @@ def _cleaned(spark: SparkSession, df: DataFrame, name: str) -> Spill:
 
 
 def _hot(rows: DataFrame, n: int, range_docs: int):
-    """Broadcast (keys, first docs, their places, bounds of ranges) of the keys that very many documents hold; None for few documents.
+    """(broadcast (keys, bounds of ranges), rows (key, span, doc, place)) of the keys that very many documents hold; None for few
+    documents.
 
-    At most HOT_KEYS keys, each of HOT_SHARE of the sampled documents; who is first is found over all documents.
+    The keys are those of HOT_SHARE of the sampled documents, so 1 / HOT_SHARE times the seeds of a mean document at most. A range
+    that holds a key, but not its first document, is given two documents: the first one of all, and the last one before the
+    range. So each occurrence links as it would if the key weren't dealt by ranges.
     """
     if n <= range_docs:
         return None
@@ -650,26 +664,37 @@ def _hot(rows: DataFrame, n: int, range_docs: int):
 
     part = rows.sample(min(1.0, HOT_SAMPLE / n), seed=1).mapInArrow(count, "key long, n long")
     least = max(2, int(HOT_SHARE * min(n, HOT_SAMPLE)))
-    top = part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
-    keys = np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
+    top = part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    keys = np.sort(top.toArrow()["key"].to_numpy().view(np.uint64))
     if not len(keys):
         return None
-    sent = spark.sparkContext.broadcast(keys)
+    ranges = -(-n // range_docs)
+    bounds = rows.stat.approxQuantile("doc", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    sent = spark.sparkContext.broadcast((keys, np.unique(np.array(bounds, np.int64))))
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last document of each key and range, with the first place in them."""
+        known, limits = sent.value
         for batch in batches:
             for docs, data, offsets in _groups(batch):
                 keys, texts, places = seeds_of(data, offsets)
-                mine = np.flatnonzero(np.isin(keys, sent.value))
-                order = mine[np.lexsort((places[mine], docs[texts[mine]], keys[mine]))]
-                key, at = np.unique(keys[order], return_index=True)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(docs[texts[order[at]]]), pa.array(places[order[at]])], ["key", "doc", "place"])
-
-    heads = rows.mapInArrow(firsts, "key long, doc long, place long").groupBy("key").agg(F.min(F.struct("doc", "place")).alias("x")).select("key", "x.*").collect()
-    heads = sorted((np.int64(r.key).astype(np.uint64), r.doc, r.place) for r in heads)
-    ranges = -(-n // range_docs)
-    bounds = rows.stat.approxQuantile("doc", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    return spark.sparkContext.broadcast((np.array([h[0] for h in heads], np.uint64), *(np.array([h[i] for h in heads], np.int64) for i in (1, 2)), np.unique(np.array(bounds, np.int64))))
+                mine = np.flatnonzero(np.isin(keys, known))
+                key, doc, place = keys[mine], docs[texts[mine]], places[mine]
+                order = np.lexsort((place, doc, key))
+                key, doc, place = key[order], doc[order], place[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)])
+                key, doc, place = key[new], doc[new], place[new]
+                span = np.searchsorted(limits, doc)
+                edge = np.concatenate([[True], (key[1:] != key[:-1]) | (span[1:] != span[:-1]), [True]])
+                low, high = np.flatnonzero(edge[:-1][: len(key)]), np.flatnonzero(edge[1:][: len(key)])
+                yield pa.record_batch([pa.array(x) for x in (key[low].view(np.int64), span[low], doc[low], place[low], doc[high], place[high])], ["key", "span", "doc", "place", "last", "last_place"])
+
+    held = rows.mapInArrow(ends, "key long, span long, doc long, place long, last long, last_place long").groupBy("key", "span")
+    held = held.agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("last", (-F.col("last_place")).alias("back"))).alias("end"))
+    ranged = Window.partitionBy("key").orderBy("span")  # as many rows as there are ranges
+    held = held.select("key", "span", F.first("first").over(ranged).alias("first"), F.lag("end").over(ranged).alias("end")).where("end is not null")
+    before = F.struct(F.col("end.last").alias("doc"), (-F.col("end.back")).alias("place"))
+    return sent, _cleaned(spark, held.select("key", "span", F.explode(F.array("first", before)).alias("x")).select("key", "span", "x.*"), "heads")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_docs: int = RANGE_DOCS) -> DataFrame:
@@ -682,24 +707,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with a null doc_id or text neither have nor give passages. Repeats inside a document aren't looked for. Rows that share a
     doc_id are searched together, and text_hash (XXH64 of the text) tells which text a passage is of. Passages of a document may
     overlap if they match several documents; those of more than MAX_WORDS words come in pieces. Very long texts are hashed in
-    parts; ties go to the smaller doc_id. Keys of very many documents are dealt by ranges of ``range_docs`` documents: there the
-    first document of each range is linked to the first of all only.
+    parts; ties go to the smaller doc_id. Keys of very many documents are dealt by ranges of ``range_docs`` documents, which links
+    the same documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(shuffle_partitions(spark), -(-size // PART_BYTES))
     buckets = n * max(1, -(-size // (n * BUCKET_BYTES)))
-    hot = _hot(rows, count, range_docs)
+    hot, heads = _hot(rows, count, range_docs) or (None, None)
     dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
     with record_batches(spark, BATCH_ROWS):
         rounds = []
         for part in range(ROUNDS):
-            seeds = rows.mapInArrow(_seeds(part, ROUNDS, buckets, hot), "bucket int, keys binary, docs binary, places binary")
+            seeds = rows.mapInArrow(_seeds(part, ROUNDS, buckets, hot), SEED_ROW)
+            if heads is not None:  # those of the other rounds' keys only link to each other, as they do there
+                seeds = seeds.unionByName(heads.df.mapInArrow(_heads(buckets), SEED_ROW))
             rounds.append(_cleaned(spark, dealt(seeds).mapInArrow(_link(buckets), "bucket int, docs binary, reps binary, places binary, rplaces binary"), "matches"))
         matches = reduce(DataFrame.union, [x.df for x in rounds])
         chained = _cleaned(spark, dealt(matches).mapInArrow(_chain, CHAIN), "chains").df
-    for x in rounds:
+    for x in [*rounds, *([heads] if heads is not None else [])]:
         x.drop()
     # Both joins move three bytes a word, no texts; the ranges of words are cut from them in the JVM.
     codes = rows.select(F.col("doc").alias("own"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_codes, "own long, text_hash long, words binary")
