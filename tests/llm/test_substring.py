@@ -284,3 +284,54 @@ def test_frequent_keys_keep_the_document_before_their_range(spark):
     assert {r[0] for r in plain} >= set(range(11, 22))
     for n in (3, 11):
         assert sorted(map(tuple, S.repeated_passages(df, range_docs=n).collect())) == plain
+
+
+def test_words_are_hashed_once_for_both_sides(spark, monkeypatch):
+    docs, *_ = corpus()
+    seen, codes = spark.sparkContext.accumulator(0), S._codes
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield from codes(iter([batch]))
+
+    monkeypatch.setattr(S, "_codes", counted)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"  # large tables are shuffled
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert {r.doc_id for r in S.repeated_passages(df).collect()} == {101, 102, 111, 121, 122, 131}
+    finally:
+        spark.conf.set(key, before)
+    assert seen.value == len(docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**32 - 1), st.integers(-5, 5), st.integers(0, 9)), min_size=1, max_size=40), st.sampled_from([1, 2**40, 2**60]))
+def test_order_of_seeds(rows, scale):
+    rows += [(r[0], r[1], 3) for r in rows[::2]]
+    key, doc, place = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.uint32, np.int64, np.int64)))
+    order = S._by_pair(key, doc * scale, place)
+    assert list(zip(*(x[order].tolist() for x in (key, doc, place)), strict=True)) == sorted(rows)
+
+
+def test_words_of_many_chains_are_aligned_as_one_by_one():
+    rnd = random.Random(14)
+    rows, want = [], []
+    code = lambda x: b"".join(v.to_bytes(S.CODE, "little") for v in x)
+    for i in range(400):
+        n = rnd.randrange(0, 120)
+        a = [rnd.randrange(1 << 24) for _ in range(n)]
+        b = [x if rnd.random() < rnd.choice([0.6, 0.95]) else 7 for x in a]
+        a, b = [1] * rnd.randrange(9) + a, [2] * rnd.randrange(9) + b
+        p = sorted(rnd.sample(range(130), rnd.choice([1, 1, 3])))
+        runs = [[x + 5 for x in p], [x + len(b) - len(a) + 8 for x in p], [4] * len(p)]
+        rows.append((i, -i, (i - 9).to_bytes(8, "little", signed=True), 5, code(a), 8, code(b), *runs))
+        ok = [(x, y + len(b) - len(a), 4) for x, y in zip(p, p, strict=True) if x < len(a) and 0 <= y + len(b) - len(a) < len(b)]
+        found = S.align(a, b, *map(list, zip(*ok, strict=True))) if ok else []
+        want += [(i, i - 9, s + 5, e + 5, -i, t + 8, u + 8, same) for s, e, t, u, same in found]
+    kinds = [S.pa.int64()] * 2 + [S.pa.binary()] + [S.pa.int32(), S.pa.binary()] * 2 + [S.pa.list_(S.pa.int32())] * 3
+    batch = S.pa.record_batch([S.pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{i}" for i in range(10)])
+    got = [tuple(r.values()) for b in S._align(iter([batch.slice(0, 300), batch.slice(300)])) for r in b.to_pylist()]
+    assert len(want) > 50 and got == want

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import values
+from weftline.llm.batches import STEP, values
 from weftline.plans.storage import Spill, record_batches, shuffle_partitions
 
 SHINGLE, MIN_WORDS, IDENTITY = 4, 50, 0.8
@@ -47,8 +47,8 @@ GROUP_BYTES, HASH_BYTES = 4 << 20, 1 << 20
 RANGE_DOCS, HOT_SHARE, HOT_SAMPLE = 500_000, 0.01, 20_000
 #: Longest piece of a chain that is aligned at once; longer passages are reported in pieces.
 MAX_WORDS = 2000
-#: Rows of an Arrow batch: packed columns and ranges of words are long.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch: packed columns and ranges of words are long; a row of packed matches is some 60 KB.
+BATCH_ROWS, MATCH_ROWS = 2000, 100
 #: Words beyond a chain's outer seeds that the alignment may take in.
 MARGIN = 64
 #: A passage of n words has n / 5 other words at most, so n / 5 + 1 runs of equal ones; those of less than SHINGLE words hold
@@ -291,15 +291,31 @@ def _seeds(part: int, parts: int, buckets: int, hot=None):
     return seeds
 
 
+def _by_pair(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The order by (key, doc, place) of keys of 32 bits: a sort of one number, then of those that have it in common."""
+    low = int(doc.min())
+    if int(doc.max()) - low >> 32:
+        return np.lexsort((place, doc, key))
+    both = (key.astype(np.uint64) << np.uint64(32)) + (doc - low).astype(np.uint64)
+    order = np.argsort(both)
+    both = both[order]
+    same = both[1:] == both[:-1]
+    at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    again = order[at]
+    order[at] = again[np.lexsort((place[again], both[at]))]
+    return order
+
+
 def links(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, rep, place, rplace): each seed with the document before its own that has the key, and with the first one."""
     order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(key) else order
-    shared = shared[np.lexsort((place[shared], doc[shared], key[shared]))]
     key, doc, place = key[shared], doc[shared], place[shared]
     if not len(key):
         return doc, doc, place, place
+    order = _by_pair(key, doc, place)
+    key, doc, place = key[order], doc[order], place[order]
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
     new = np.concatenate([[True], doc[1:] != doc[:-1]]) | new_key
     holder, at = np.cumsum(new) - 1, np.flatnonzero(new)  # of each seed its (key, document), of that its first seed
@@ -396,19 +412,23 @@ def _steps(pair: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[np.ndar
     fresh = np.concatenate([[True], ends[:-1]])
     size = np.diff(np.append(starts, len(pair)))
     plain = np.flatnonzero(np.repeat(~tangled, size))
-    orders, ids = [plain], [np.cumsum(fresh[plain]) - 1 if len(plain) else plain]
-    n = int(ids[0][-1]) + 1 if len(plain) else 0
+    known = np.cumsum(fresh[plain]) - 1 if len(plain) else plain
+    order: list[int] = []
+    sizes: list[int] = []
     for s, e in zip(starts[tangled].tolist(), (starts + size)[tangled].tolist(), strict=True):
         for c in chains(pos[s:e], rpos[s:e]):
-            orders.append(np.array(c) + s)
-            ids.append(np.full(len(c), n))
-            n += 1
-    return np.concatenate(orders), np.concatenate(ids)
+            order += [i + s for i in c]
+            sizes.append(len(c))
+    more = np.repeat(np.arange(len(sizes)) + (int(known[-1]) + 1 if len(plain) else 0), sizes) if sizes else plain[:0]
+    return np.concatenate([plain, np.array(order, np.int64)]), np.concatenate([known, more])
 
 
 def _pieces(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
     """Runs (pos, rpos, words) of a chain, in pieces of MAX_WORDS words at most and even length."""
     first, last = runs[0][0], runs[-1][0] + runs[-1][2]
+    if len(runs) == 1 and last - first <= MAX_WORDS:
+        yield runs
+        return
     n = max(1, -(-(last - first) // MAX_WORDS))
     for k in range(n):
         lo, hi = first + (last - first) * k // n, first + (last - first) * (k + 1) // n
@@ -432,13 +452,19 @@ def _worth(found: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def document_chains(doc: np.ndarray, rep: np.ndarray, place: np.ndarray, rplace: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(doc, rep, runs (pos, rpos, words)) of the chains of MIN_SEEDS seeds or more, or with a long one; all of a document's
     matches are given at once."""
     if not len(doc):
         return
-    known, number = np.unique(doc, return_inverse=True)
-    seed = np.unique((number << 40) + (place >> 3) * 4 + ((place >> 1) & 3))
+    known = _distinct(doc)
+    number = np.searchsorted(known, doc)
+    seed = _distinct((number << 40) + (place >> 3) * 4 + ((place >> 1) & 3))
     start, until = seed >> 2 << 2, ((seed >> 2) + WORDS[seed & 3]) << 2
     covered = np.cumsum(np.concatenate([[0], np.maximum(until - np.maximum(start, np.maximum.accumulate(np.concatenate([[0], until[:-1]]))), 0) >> 2]))
     pair = _mix(doc.view(np.uint64)) * np.uint64(_R) + _mix(rep.view(np.uint64))
@@ -505,23 +531,23 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, rep, runs in document_chains(*cols):
             for piece in _pieces(runs):
-                pos, rpos, size = map(list, zip(*piece, strict=True))
-                ranges = (max(0, x) for at in (pos, rpos) for x in (at[0] - MARGIN, at[-1] + size[-1] + MARGIN))
-                out.append((doc, rep, *ranges, pos, rpos, size))
+                (p, q, _), (x, y, k) = piece[0], piece[-1]
+                out.append((doc, rep, max(0, p - MARGIN), x + k + MARGIN, max(0, q - MARGIN), y + k + MARGIN, *zip(*piece, strict=True)))
         for at in range(0, len(out), 4096):
             part = zip(*out[at : at + 4096], strict=True)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(part, types, strict=True)], names)
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(own, text, text_hash) -> (own, text_hash, words): CODE bytes of hash for each word of a text."""
+    """(own, text, text_hash) -> (own, words): the eight bytes of text_hash, then CODE bytes of hash for each word of a text."""
     for batch in batches:
         at = 0
         for docs, data, offsets in _groups(batch):
             h, bounds = word_hashes(data, offsets)
             raw = h.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
-            words = [raw[s:e] for s, e in zip((bounds[:-1] * CODE).tolist(), (bounds[1:] * CODE).tolist(), strict=True)]
-            yield pa.record_batch([pa.array(docs), batch.column(2).slice(at, len(docs)), pa.array(words, pa.binary())], ["own", "text_hash", "words"])
+            marks = batch.column(2).slice(at, len(docs)).to_numpy().tobytes()
+            words = [marks[8 * i : 8 * i + 8] + raw[s:e] for i, (s, e) in enumerate(zip((bounds[:-1] * CODE).tolist(), (bounds[1:] * CODE).tolist(), strict=True))]
+            yield pa.record_batch([pa.array(docs), pa.array(words, pa.binary())], ["own", "words"])
             at += len(docs)
 
 
@@ -536,22 +562,30 @@ def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], mi
         elif not runs or i >= runs[-1][0] + runs[-1][2] and j >= runs[-1][1] + runs[-1][2]:
             runs.append((i, j, n))
 
-    def extend(i: int, j: int, step: int, limit_a: int, limit_b: int) -> tuple[list[tuple[int, int]], int]:
-        """Equal words beyond an end on its diagonal, until the score (1 for equal, -1 for not) falls, and how many of them hold it up."""
-        out, score, best, good = [], 0, 0, 0
+    def extend(i: int, j: int, step: int, limit_a: int, limit_b: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """Runs of equal words beyond an end on its diagonal, outwards: those that hold up the score (1 for equal, -1 for not), and all
+        until it falls."""
+        out, score, best, good, words = [], 0, 0, 0, 0
         while (i < limit_a and j < limit_b if step > 0 else i > limit_a and j > limit_b) and score > best - split:
             x, y = (i, j) if step > 0 else (i - 1, j - 1)
             if a[x] == b[y]:
                 score += 1
-                out.append((x, y))
+                if out and out[-1][0] + (out[-1][2] if step > 0 else -1) == x:
+                    out[-1] = (*out[-1][:2], out[-1][2] + 1) if step > 0 else (x, y, out[-1][2] + 1)
+                else:
+                    out.append((x, y, 1))
                 if score > best:
-                    best, good = score, len(out)
+                    best, good, words = score, len(out), out[-1][2]
             else:
                 score -= 1
             i, j = i + step, j + step
-        return out, good
+        near = out[:good]
+        if near:
+            x, y, n = near[-1]
+            near[-1] = (x, y, words) if step > 0 else (x + n - words, y + n - words, words)
+        return near, out
 
-    left, near = extend(pos[0], rpos[0], -1, 0, 0)
+    near_left, left = extend(pos[0], rpos[0], -1, 0, 0)
     i, j = pos[0], rpos[0]
     for p, q, k in zip(pos, rpos, size, strict=True):
         if p > i and q > j:
@@ -566,7 +600,7 @@ def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], mi
         if n:
             inner.append((p, q, n))
         i, j = max(i, p + n), max(j, q + n)
-    right, far = extend(i, j, 1, len(a), len(b))
+    near_right, right = extend(i, j, 1, len(a), len(b))
     out, part = [], []
 
     def close() -> None:
@@ -576,10 +610,15 @@ def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], mi
             lo, hi = todo.pop()
             if lo >= hi:
                 continue
+            (p, q, _), (x, y, k), whole = part[lo], part[hi - 1], sum(r[2] for r in part[lo:hi])
+            most = max(x + k - p, y + k - q)
+            if most < min_words or whole < identity * min_words:
+                continue
+            if whole >= identity * most:
+                out.append((p, x + k, q, y + k, whole / most))
+                continue
             n = np.array(part[lo:hi])
             start, end, before = n[:, :2], n[:, :2] + n[:, 2:], np.cumsum(n[:, 2]) - n[:, 2]
-            if (end[-1] - start[0]).max() < min_words:
-                continue
             length, equal, first, last = 0, 0, 0, 0
             for i in range(hi - lo):
                 if (end[-1] - start[i]).max() <= length:
@@ -593,9 +632,9 @@ def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], mi
                 todo += [(lo + last + 1, hi), (lo, lo + first)]
         part.clear()
 
-    for x, y in ((left[:near], right[:far]), (left, right)):  # scattered equal words beyond an end count only where it takes them
+    for x, y in ((near_left, near_right), (left, right)):  # scattered equal words beyond an end count only where it takes them
         runs.clear()
-        for r in [(*e, 1) for e in reversed(x)] + inner + [(*e, 1) for e in y]:
+        for r in x[::-1] + inner + y:
             add(*r)
         for r in runs:
             if part and max(r[0] - part[-1][0], r[1] - part[-1][1]) - part[-1][2] > split:
@@ -607,26 +646,53 @@ def align(a: list, b: list, pos: list[int], rpos: list[int], size: list[int], mi
     return sorted(out)
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words, number of words before each row) of rows of CODE bytes a word."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, CODE)
+    return sum(raw[:, i].astype(np.int32) << 8 * i for i in range(CODE)), (offsets - offsets[0]) // CODE
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number of values before each row) of a column of lists."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _equal(wa: np.ndarray, at_a: np.ndarray, wb: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the n[i] words from wa[at_a[i]] and from wb[at_b[i]] on are equal."""
+    before = np.cumsum(n) - n
+    step = np.arange(n.sum())
+    same = wa[np.repeat(at_a - before, n) + step] == wb[np.repeat(at_b - before, n) + step]
+    return np.diff(np.concatenate([[0], np.cumsum(same)])[np.append(before, n.sum())])
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, rep, text_hash, lo, seg, rlo, rseg, pos, rpos, size) -> passages."""
+    """(doc, rep, text_hash, lo, seg, rlo, rseg, pos, rpos, size) -> passages. text_hash comes as its eight bytes."""
     names = [x.split()[0] for x in PASSAGE.split(", ")]
-    parts = 256 ** np.arange(CODE)
-    words = lambda seg: np.frombuffer(seg, np.uint8).reshape(-1, CODE) @ parts
-    for batch in batches:
+    for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
         out: list[tuple] = []
-        for doc, rep, text_hash, start, seg, rstart, rseg, pos, rpos, size in zip(*map(values, batch.columns), strict=True):
-            a, b = words(seg), words(rseg)
-            ok = [(p - start, q - rstart, n) for p, q, n in zip(pos, rpos, size, strict=True) if 0 <= p - start < len(a) and 0 <= q - rstart < len(b)]
+        (wa, ea), (wb, eb) = _words(batch.column(4)), _words(batch.column(6))
+        (pos, runs), (rpos, _), (size, _) = (_lists(batch.column(i)) for i in (7, 8, 9))
+        lo, rlo = (batch.column(i).to_numpy() for i in (3, 5))
+        one = np.flatnonzero(np.diff(runs) == 1)  # all equal words lie on one diagonal: too few of them are no passage
+        p, q, la, lb = pos[runs[one]] - lo[one], rpos[runs[one]] - rlo[one], np.diff(ea)[one], np.diff(eb)[one]
+        inside = (p >= 0) & (p < la) & (q >= 0) & (q < lb)
+        at = np.minimum(p, q)
+        n = np.where(inside, np.minimum(la - p, lb - q) + at, 0)
+        keep = np.ones(batch.num_rows, bool)
+        keep[one] = _equal(wa, ea[one] + p - at, wb, eb[one] + q - at, n) >= IDENTITY * MIN_WORDS
+        docs, reps = (batch.column(i).to_numpy() for i in (0, 1))
+        for i in np.flatnonzero(keep).tolist():
+            a, b = wa[ea[i] : ea[i + 1]].tolist(), wb[eb[i] : eb[i + 1]].tolist()
+            start, rstart, own = int(lo[i]), int(rlo[i]), slice(runs[i], runs[i + 1])
+            found = zip((pos[own] - start).tolist(), (rpos[own] - rstart).tolist(), size[own].tolist(), strict=True)
+            ok = [(p, q, n) for p, q, n in found if 0 <= p < len(a) and 0 <= q < len(b)]
             if not ok:
                 continue
-            if len(ok) == 1:  # all equal words lie on one diagonal: too few of them are no passage
-                p, q, _ = ok[0]
-                at = min(p, q)
-                n = min(len(a) - p, len(b) - q) + at
-                if np.count_nonzero(a[p - at : p - at + n] == b[q - at : q - at + n]) < IDENTITY * MIN_WORDS:
-                    continue
-            for i, j, x, y, same in align(a.tolist(), b.tolist(), *map(list, zip(*ok, strict=True))):
-                out.append((doc, text_hash, i + start, j + start, rep, x + rstart, y + rstart, same))
+            text_hash = int.from_bytes(batch.column(2)[i].as_py(), "little", signed=True)
+            for x, end, y, rend, same in align(a, b, *map(list, zip(*ok, strict=True))):
+                out.append((int(docs[i]), text_hash, x + start, end + start, int(reps[i]), y + rstart, rend + rstart, same))
         types = [pa.int64()] * 7 + [pa.float64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names)
 
@@ -724,16 +790,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if heads is not None:  # those of the other rounds' keys only link to each other, as they do there
                 seeds = seeds.unionByName(heads.df.mapInArrow(_heads(buckets), SEED_ROW))
             rounds.append(_cleaned(spark, dealt(seeds).mapInArrow(_link(buckets), "bucket int, docs binary, reps binary, places binary, rplaces binary"), "matches"))
-        matches = reduce(DataFrame.union, [x.df for x in rounds])
+    matches = reduce(DataFrame.union, [x.df for x in rounds])
+    with record_batches(spark, MATCH_ROWS):
         chained = _cleaned(spark, dealt(matches).mapInArrow(_chain, CHAIN), "chains").df
     for x in [*rounds, *([heads] if heads is not None else [])]:
         x.drop()
-    # Both joins move three bytes a word, no texts; the ranges of words are cut from them in the JVM.
-    codes = rows.select(F.col("doc").alias("own"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_codes, "own long, text_hash long, words binary")
-    cut = lambda words, lo, hi: F.substring(words, F.col(lo) * CODE + 1, (F.col(hi) - F.col(lo)) * CODE)
+    # Both joins move three bytes a word, no texts, and read one exchange, so words holds the text's hash too; ranges of words are cut in the JVM.
+    codes = rows.select(F.col("doc").alias("own"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_codes, "own long, words binary")
+    cut = lambda words, lo, hi: F.substring(words, F.col(lo) * CODE + 9, (F.col(hi) - F.col(lo)) * CODE)
     plan = ["doc", "rep", "lo", "hi", "rlo", "pos", "rpos", "size"]
     others = chained.join(codes, F.col("rep") == F.col("own")).select(*plan, cut(F.col("words"), "rlo", "rhi").alias("rseg"))
-    both = others.join(codes, F.col("doc") == F.col("own")).select("doc", "rep", "text_hash", "lo", cut(F.col("words"), "lo", "hi").alias("seg"), "rlo", "rseg", "pos", "rpos", "size")
+    both = others.join(codes, F.col("doc") == F.col("own")).select("doc", "rep", F.substring("words", 1, 8).alias("text_hash"), "lo", cut(F.col("words"), "lo", "hi").alias("seg"), "rlo", "rseg", "pos", "rpos", "size")
     with record_batches(spark, BATCH_ROWS):
         return _cleaned(spark, both.mapInArrow(_align, PASSAGE), "passages").df
 
