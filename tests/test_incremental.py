@@ -118,3 +118,15 @@ def test_golden_records_of_touched_clusters(spark, tmp_path):
         there = {r.component for r in I.clusters(spark, path).select("component").distinct().collect()}
         golden = {c: g for c, g in golden.items() if c in there}
         assert golden == build(I.clusters(spark, path))
+
+
+def test_records_of_equal_facts_are_matched_once(spark, tmp_path):
+    path, rule = f"file://{tmp_path}", M.Rule("r", (M.Condition("k", required=True), M.Condition("s", "numeric", threshold=2.0)))
+    rows = spark.range(600).select("id", F.lit("k").alias("k"), (F.col("id") % 2).cast("string").alias("s"))
+    I.extend_matches(spark, path, rows, [rule], buckets=2)
+    assert spark.read.parquet(f"{path}/pairs").count() == 3  # two classes, each with itself and with the other
+    I.extend_matches(spark, path, rows.where("id < 10").withColumn("k", F.lit("gone")), [rule], deleted=rows.where("id >= 595").select("id"), buckets=2)
+    I.extend_matches(spark, path, rows.where("id < 4"), [rule], buckets=2)
+    live = [i for i in range(595) if not 4 <= i < 10]
+    want = sorted((a, b) for n in (live, range(4, 10)) for a in n for b in n if a < b)
+    assert sorted((r.a, r.b) for r in I.current_pairs(spark, path, chunk=50).select("a", "b").collect()) == want

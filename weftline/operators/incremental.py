@@ -7,8 +7,10 @@ Clusters: every record has the label of its cluster, every label its size and sm
 between labels, components of these few edges say which clusters grow together, and the largest of them keeps its label, so a record
 changes its label at most log2(records) times however clusters grow.
 
-Matches: facts of records, and postings (rule, blocking key) -> record, bucketed by key. An increment's postings are joined with the buckets
-of their keys only. A pair counts as long as neither of its records was replaced after it was found.
+Matches: records of the same facts are one class. A record has its class, a class its facts and postings (rule, blocking key) -> class,
+bucketed by key. The postings of classes that an increment brings in are joined with the buckets of their keys only. How two classes match
+depends on their facts alone, so it is found once and stays; which records are meant is what their last rows say. A class stays when its
+last record leaves it, and is there again without any work when one comes back.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark.sql import types as T
 
 from weftline.functions.similarity import jaccard
 from weftline.operators.components import connected_components
-from weftline.operators.matching import TOP, Rule, best_of, build_index, frequencies, postings, score_pairs
+from weftline.operators.matching import TOP, Rule, best_of, build_index, frequencies, kept, pair_score, postings
+from weftline.operators.pairs import CHUNK, expand, meet, tasks
 from weftline.plans.storage import Spill, delete_path, finished_parts
 
 BUCKETS = 64
 MEMBERS, HEADS = "node long, label long, v long", "label long, size long, smallest long, gone boolean, v long"
-PAIRS = "a long, b long, score double, rule string, blocked boolean, auto_merge boolean, v long"
+PAIRS = "a binary, b binary, score double, rule string, blocked boolean, auto_merge boolean, v long"
 
 
 # -- parts --------------------------------------------------------------------------------------------------------------
@@ -167,8 +170,8 @@ def touched_members(spark: SparkSession, path: str, since: int) -> DataFrame:
 
 # -- matches ------------------------------------------------------------------------------------------------------------
 
-MATCH_TABLES = {"facts": ["id"], "postings": ["rule", "key", "id"], "pairs": ["a", "b"]}
-POSTINGS = "rule int, key string, id long, len int, gone boolean, v long"
+MATCH_TABLES = {"records": ["id"], "classes": ["class"], "postings": ["rule", "key", "class"], "pairs": ["a", "b"]}
+RECORDS, POSTINGS = "id long, class binary, gone boolean, v long", "rule int, key string, class binary, len int, v long"
 
 
 def _touched(df: DataFrame, key: str, buckets: int) -> list[int]:
@@ -176,65 +179,78 @@ def _touched(df: DataFrame, key: str, buckets: int) -> list[int]:
     return sorted(r.b for r in df.select(_bucket(key, buckets).alias("b")).distinct().collect())
 
 
+def _class_of(facts: list[str]):
+    """Sixteen bytes of a hash of all facts, nulls among them."""
+    named = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(facts)])
+    return F.unhex(F.substring(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}) if facts else F.lit(""), 256), 1, 32))
+
+
 def extend_matches(spark: SparkSession, path: str, records: DataFrame, rules: list[Rule], id_col: str = "id", deleted: DataFrame | None = None, n: int | None = None, buckets: int = BUCKETS) -> int:
     """Adds ``records`` to the match index under ``path``, replacing those of the same id, takes ``deleted`` (ids) out, and finds the
-    pairs of the new ones; returns the increment's number.
+    pairs of the new classes; returns the increment's number.
 
     Ids are longs and occur once in an increment; ``rules`` and ``buckets`` must stay the same. Only the buckets of postings whose keys
-    the new records have are read, and those of the facts of replaced and found records.
+    the new classes have are read, and those of the facts of found classes.
     """
     before = last_version(spark, path)
     n = before + 1 if n is None else n
     upto = min(before, n - 1)
-    index = build_index(records, rules, id_col).withColumn("id", F.col("id").cast("long")).withColumns({"gone": F.lit(False), "v": F.lit(n).cast("long")})
-    schema = index.schema
-    fresh = index
+    now = F.lit(n).cast("long")
+    index = build_index(records, rules, id_col).withColumn("id", F.col("id").cast("long"))
+    facts = [c for c in index.columns if c != "id"]
+    index = index.withColumn("class", _class_of([c for c in facts if not c.endswith("#")]))
+    own = index.select("id", "class").withColumns({"gone": F.lit(False), "v": now})
     if deleted is not None:
         out = deleted.select(F.col(id_col).cast("long").alias("id")).distinct()
-        fresh = fresh.unionByName(out.withColumns({"gone": F.lit(True), "v": F.lit(n).cast("long")}), allowMissingColumns=True)
-    _write(fresh, path, "facts", n, "id", buckets)
-    fresh = _read(spark, path, "facts", schema, n, bucketed=True).where(F.col("v") == n)
+        own = own.unionByName(out.select("id", F.lit(None).cast("binary").alias("class"), F.lit(True).alias("gone"), now.alias("v")))
+    _write(own, path, "records", n, "id", buckets)
+    came = _read(spark, path, "records", RECORDS, n, bucketed=True).where((F.col("v") == n) & ~F.col("gone"))
+    classes = index.drop("id").groupBy("class").agg(*[F.first(f"`{c}`").alias(c) for c in facts]).withColumn("v", now)
+    schema = classes.select(F.col("class"), *[F.col(f"`{c}`") for c in facts], "v").schema
+    known = _read(spark, path, "classes", schema, upto, _touched(came, "class", buckets), True).select("class")
+    _write(classes.join(known, "class", "left_anti").select(schema.fieldNames()), path, "classes", n, "class", buckets)
+    fresh = _read(spark, path, "classes", schema, n, bucketed=True).where(F.col("v") == n).withColumnRenamed("class", "id")
     if upto == 0:
         _write(frequencies(fresh, rules), path, "order", n)
     order = _read(spark, path, "order", "rule int, key string, n long", 1 << 60)
-    own = _touched(fresh, "id", buckets)
-    old = _last(_read(spark, path, "facts", schema, upto, own, True), ["id"]).where("not gone").join(fresh.select("id"), "id", "left_semi").select(schema.fieldNames())
-    new = postings(fresh.where("not gone"), rules, order).withColumns({"gone": F.lit(False), "v": F.lit(n).cast("long")})
-    left = postings(old, rules, order).join(new, ["rule", "key", "id"], "left_anti").withColumns({"gone": F.lit(True), "v": F.lit(n).cast("long")})
-    _write(new.unionByName(left), path, "postings", n, "key", buckets)
-    new = _read(spark, path, "postings", POSTINGS, n, bucketed=True).where((F.col("v") == n) & ~F.col("gone"))
-    there = _last(_read(spark, path, "postings", POSTINGS, n, _touched(new, "key", buckets), True), ["rule", "key", "id"]).where("not gone")
-    x, y = new.alias("x"), there.alias("y")
-    share = F.create_map(*[c for i, r in enumerate(rules) for c in (F.lit(i), F.lit(r.anchor.threshold if r.anchor else 0.0))]) if rules else F.create_map().cast("map<int,double>")
-    t = share[F.col("x.rule")]
-    # A pair of two new records comes from both sides; the smaller one looks for the larger.
-    first = (F.col("y.v") < n) | (F.col("x.id") < F.col("y.id"))
-    near = (F.col("x.len") >= F.col("y.len") * t) & (F.col("y.len") >= F.col("x.len") * t)
-    met = x.join(y, (F.col("x.rule") == F.col("y.rule")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & first & near)
-    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.rule").alias("rule")).distinct()
-    met = Spill(met, "met").df
-    ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    facts = _last(_read(spark, path, "facts", schema, n, _touched(ids, "id", buckets), True), ["id"]).join(ids, "id", "left_semi").select(schema.fieldNames())
-    facts = Spill(facts.drop("gone", "v"), "facts").df
-    anchored = {i: r.anchor for i, r in enumerate(rules) if r.is_active and r.anchor}
-    pairs = met.where(~F.col("rule").isin(list(anchored))).select("a", "b") if anchored else met.select("a", "b")
-    for i, c in anchored.items():
-        own_pairs = met.where(F.col("rule") == i).join(facts.alias("x"), F.col("a") == F.col("x.id")).join(facts.alias("y"), F.col("b") == F.col("y.id"))
-        pairs = pairs.unionByName(own_pairs.where(jaccard(F.col(f"x.`{c.column}#`"), F.col(f"y.`{c.column}#`")) >= c.threshold).select("a", "b"))
-    _write(score_pairs(pairs.distinct(), facts, rules).withColumn("v", F.lit(n).cast("long")), path, "pairs", n)
+    _write(postings(fresh, rules, order).select("rule", "key", F.col("id").alias("class"), "len", now.alias("v")), path, "postings", n, "key", buckets)
+    new = _read(spark, path, "postings", POSTINGS, n, bucketed=True).where(F.col("v") == n)
+    there = _read(spark, path, "postings", POSTINGS, n, _touched(new, "key", buckets), True)
+    about = lambda rows: rows.join(_read(spark, path, "classes", schema, n, _touched(rows, "class", buckets), True).drop("v"), "class")
+    # Facts travel with the postings, so two classes are judged where they meet.
+    met = meet(about(new), about(there), ["rule", "key"], "class")
+    # Two new classes meet on both sides; the smaller one looks for the larger, and every new one for itself.
+    ok = (F.col("y.v") < n) | (F.col("x.class") <= F.col("y.class"))
+    active = [r for r in rules if r.is_active and (r.blocking or r.anchor)]
+    for i, c in ((i, r.anchor) for i, r in enumerate(rules) if r.is_active and r.anchor):
+        near = (F.col("x.len") >= F.col("y.len") * c.threshold) & (F.col("y.len") >= F.col("x.len") * c.threshold)
+        ok = ok & ((F.col("x.rule") != i) | (near & (jaccard(F.col(f"x.`{c.column}#`"), F.col(f"y.`{c.column}#`")) >= c.threshold)))
+    score = pair_score(rules, lambda c: F.col(f"x.`{c}`"), lambda c: F.col(f"y.`{c}`")).alias("s")
+    pairs = kept(met.where(ok).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"), score).select("a", "b", "s.best", "s.blocked"))
+    # Several rules, or trigrams of one, may find the same two.
+    pairs = pairs.distinct() if len(active) > 1 or any(r.anchor for r in active) else pairs
+    _write(pairs.withColumn("v", now), path, "pairs", n)
     _done(spark, path, n)
     return n
 
 
-def current_pairs(spark: SparkSession, path: str) -> DataFrame:
+def current_pairs(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(a, b, score, rule, blocked, auto_merge): the pairs of records as they are now; what matching.score_pairs gives over all records."""
-    upto = last_version(spark, path)
-    pairs = _last(_read(spark, path, "pairs", PAIRS, upto), ["a", "b"])
-    last = _last(_read(spark, path, "facts", "id long, gone boolean, v long", upto), ["id"])
-    for side in ("a", "b"):
-        own = last.select(F.col("id").alias(side), F.col("gone").alias("_gone"), F.col("v").alias("_v"))
-        pairs = pairs.join(own, side).where(~F.col("_gone") & (F.col("v") >= F.col("_v"))).drop("_gone", "_v")
-    return pairs.select("a", "b", "score", "rule", "blocked", "auto_merge")
+    upto, k = last_version(spark, path), tasks(spark)
+    live = _last(_read(spark, path, "records", RECORDS, upto), ["id"]).where("not gone")
+    many = live.groupBy("class").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("k")).where("k > 1")
+    dealt = live.join(many, "class", "left").select("class", "id", F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")), F.lit(0)).alias("c"))
+    # A class is rows of some ``chunk`` ids; those of one side meet each of the other in a task of its own.
+    rows = Spill(dealt.groupBy("class", "c").agg(F.sort_array(F.collect_list("id")).alias("ids")), "members").df
+    count = rows.groupBy("class").agg((F.max("c") + 1).alias("k")).where("k > 1")
+    x = rows.select(F.col("class").alias("a"), F.col("c").alias("_ca"), F.col("ids").alias("_x"))
+    y = rows.select(F.col("class").alias("b"), F.col("c").alias("_cb"), F.col("ids").alias("_y"))
+    units = _read(spark, path, "pairs", PAIRS, upto).drop("v").join(count.select(F.col("class").alias("b"), "k"), "b", "left")
+    units = units.withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1))).drop("k").join(x, "a")
+    units = units.where("a <> b or _ca <= _cb").repartition(k, "b", "_cb").join(y.repartition(k, "b", "_cb").hint("merge"), ["b", "_cb"])
+    twins = (F.col("a") == F.col("b")) & (F.col("_ca") == F.col("_cb"))
+    rest = ["score", "rule", "blocked", "auto_merge"]
+    return expand(units.select("_x", "_y", twins.alias("_one"), *rest), "_x", "_y", F.col("_one")).select("a", "b", *rest)
 
 
 def current_matches(spark: SparkSession, path: str, top: int | None = TOP) -> DataFrame:
