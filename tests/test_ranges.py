@@ -50,3 +50,17 @@ def test_numbers_are_equal_by_value(spark):
         table = spark.createDataFrame([("c", "t", "r", "z", "k", None, json.dumps(criteria))], "criteria_id string, tenant_id string, relationship_type string, from_entity_id string, to_entity_type string, to_integration string, criteria string")
         for df in (relations.stored_criteria_edges(table, ent), relations.criteria_edges([rule], ent)):
             assert "".join(sorted(r.to_entity_id for r in df.collect())) == want, criteria
+
+
+def test_counts_of_stored_criteria_equal_their_edges(spark):
+    rnd = random.Random(9)
+    bodies = [{"n": rnd.choice([rnd.randrange(12), 3.5, "7", "x", None]), "m": {"k": rnd.randrange(4)}, "t": rnd.choice(["u", "w"])} for _ in range(60)]
+    ent = [("t", rnd.choice(["k", "k", "z", None]), rnd.choice(["i", "j", None]), str(n % 50), json.dumps(b)) for n, b in enumerate(bodies)] + [("t", "k", "i", "50", None)]
+    wanted = [{"n": {"$gt": 2, "$lte": 9}}, {"n": {"$gt": 2, "$lte": 9}, "m.k": {"$gte": 2}}, {"n": {"$gte": 3}}, {"n": {"$lt": 8, "$ne": 5}, "t": {"$ne": "u"}}, {"t": "u", "n": {"$gt": 1}}, {"n": {"$in": [3, "7"]}}, {"t": {"$exists": True}}, {}, {"n": {"$lt": "no"}}]
+    rules = [(str(i), "t", "r", rnd.choice(["z", "3", "7", None]), rnd.choice(["k", "k", "z"]), rnd.choice([None, None, "i"]), json.dumps(rnd.choice(wanted))) for i in range(150)]
+    e = spark.createDataFrame(ent, "tenant_id string, entity_type string, integration string, entity_id string, data string")
+    r = spark.createDataFrame(rules, "criteria_id string, tenant_id string, relationship_type string, from_entity_id string, to_entity_type string, to_integration string, criteria string")
+    want = {x.to_entity_id: x.n for x in relations.stored_criteria_edges(r, e).groupBy("to_entity_id").agg(F.count("*").alias("n")).collect()}
+    got = relations.stored_criteria_counts(r, e)
+    assert {x.to_entity_id: x.n for x in got.collect()} == want and len(want) > 30
+    assert relations.stored_criteria_counts(r.limit(0), e).isEmpty() and relations.stored_criteria_counts(r, e.limit(0)).isEmpty()

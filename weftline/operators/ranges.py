@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.pairs import meet
 from weftline.plans.storage import Spill, shuffle_partitions
 
 #: Levels of the tree over the segments: up to 2 ** 40 segments a scope.
@@ -74,12 +75,8 @@ def cover(first: Column, last: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), ends)))
 
 
-def stabbed(ranges: DataFrame, values: DataFrame, scope: list[str]) -> DataFrame:
-    """The rows of ``values`` (scope..., x, ...) joined with the ``ranges`` (scope..., lo, lo_open, hi, hi_open, ...) that hold x.
-
-    A null bound is none; ``lo_open`` / ``hi_open``: the bound itself is outside. A null x is in no range, not even in one without
-    bounds; empty ranges hold nothing. Column names besides the scope must differ.
-    """
+def _indexed(ranges: DataFrame, values: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(values with _level and _at, one row for each ancestor of their segment, ranges with the nodes _node that cover them)."""
     ends = ranges.select(*scope, F.explode(F.array("lo", "hi")).alias("x")).where("x is not null").distinct()
     points, placed = locate(ends, values.where("x is not null"), scope)
     points = Spill(points, "ranks").df
@@ -95,7 +92,26 @@ def stabbed(ranges: DataFrame, values: DataFrame, scope: list[str]) -> DataFrame
     # Only levels that some range of the scope uses are looked at.
     used = nodes.select(*scope, "_node.level").distinct().groupBy(*scope).agg(F.collect_set("level").alias("_levels"))
     looking = placed.alias("v").join(used.alias("u"), _same("v", "u", scope)).select("v.*", F.explode("u._levels").alias("_level"))
-    looking = looking.withColumn("_at", F.call_function("shiftright", F.col("segment"), F.col("_level"))).drop("segment")
+    return looking.withColumn("_at", F.call_function("shiftright", F.col("segment"), F.col("_level"))).drop("segment"), nodes
+
+
+def stabbed(ranges: DataFrame, values: DataFrame, scope: list[str]) -> DataFrame:
+    """The rows of ``values`` (scope..., x, ...) joined with the ``ranges`` (scope..., lo, lo_open, hi, hi_open, ...) that hold x.
+
+    A null bound is none; ``lo_open`` / ``hi_open``: the bound itself is outside. A null x is in no range, not even in one without
+    bounds; empty ranges hold nothing. Column names besides the scope must differ.
+    """
+    looking, nodes = _indexed(ranges, values, scope)
     on = _same("l", "n", scope) & (F.col("l._level") == F.col("n._node.level")) & (F.col("l._at") == F.col("n._node.node"))
     rest = [c for c in ranges.columns if c not in scope]
     return looking.alias("l").join(nodes.alias("n"), on).select(*[f"l.{c}" for c in [*scope, *[c for c in values.columns if c not in scope]]], *[f"n.{c}" for c in rest])
+
+
+def counted(ranges: DataFrame, values: DataFrame, scope: list[str], by: list[str], weight: str) -> DataFrame:
+    """(scope..., x, by..., weight): what stabbed gives for the distinct ``values`` (scope..., x), with the ``weight`` of ranges summed by the columns
+    ``by``. Ranges are summed at the nodes first, so a value meets O(log m) rows for each ``by``, however many ranges hold it. Null scopes
+    meet nothing."""
+    looking, nodes = _indexed(ranges, values.select(*scope, "x").distinct(), scope)
+    sums = nodes.groupBy(*scope, F.col("_node.level").alias("_level"), F.col("_node.node").alias("_at"), *by).agg(F.sum(weight).alias(weight))
+    met = meet(looking, sums, [*scope, "_level", "_at"], "x")
+    return met.groupBy(*[F.col(f"x.{c}").alias(c) for c in [*scope, "x"]], *[F.col(f"y.{c}").alias(c) for c in by]).agg(F.sum(f"y.{weight}").alias(weight))

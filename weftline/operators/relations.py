@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.criteria import comparable, matches
-from weftline.operators.ranges import stabbed
+from weftline.operators.pairs import meet
+from weftline.operators.ranges import counted, stabbed
+from weftline.plans.storage import Spill
 
 
 def edge_id(*parts: Column | str) -> Column:
@@ -147,6 +149,15 @@ def _range_of(conditions: Column) -> Column:
     return F.array_max(F.transform(F.array_distinct(F.transform(F.filter(conditions, is_range), lambda c: c["path"])), along))
 
 
+def _rules(criteria: DataFrame) -> DataFrame:
+    """``criteria`` with their conditions _c, and what they are found by: _first, an equality or list, and _range."""
+    rules = criteria.withColumn("_c", _conditions(F.col("criteria"))).drop("criteria")
+    # A bound that is no number is never met.
+    rules = rules.where(~F.exists("_c", lambda c: c["op"].isin(list(RANGES)) & c["x"].try_cast("double").isNull()))
+    choices = F.filter("_c", lambda c: (c["op"] == "$in") | ((c["op"] == "$eq") & c["x"].isNotNull()))
+    return rules.withColumns({"_first": F.get(choices, F.lit(0)), "_range": _range_of(F.col("_c"))})
+
+
 def stored_criteria_edges(criteria: DataFrame, entities: DataFrame, data: str = "data") -> DataFrame:
     """criteria_edges for a table of criteria, of any number: (criteria_id, relationship_type, from_entity_id, to_entity_id).
 
@@ -156,11 +167,7 @@ def stored_criteria_edges(criteria: DataFrame, entities: DataFrame, data: str =
     index, operators/ranges.py). Only one that has neither ($ne, $exists, $contains, or nothing) meets all entities of its type. All
     conditions are tested afterwards. Paths are keys joined by dots. Either table may be new.
     """
-    rules = criteria.withColumn("_c", _conditions(F.col("criteria"))).drop("criteria")
-    # A bound that is no number is never met.
-    rules = rules.where(~F.exists("_c", lambda c: c["op"].isin(list(RANGES)) & c["x"].try_cast("double").isNull()))
-    choices = F.filter("_c", lambda c: (c["op"] == "$in") | ((c["op"] == "$eq") & c["x"].isNotNull()))
-    rules = rules.withColumns({"_first": F.get(choices, F.lit(0)), "_range": _range_of(F.col("_c"))})
+    rules = _rules(criteria)
     at = lambda p: F.call_function("get_json_object", F.col(data), F.concat(F.lit("$."), p))
     ent = entities.select("tenant_id", F.col("entity_type").alias("to_entity_type"), "integration", F.col("entity_id").alias("to_entity_id"), data)
     scope = ["tenant_id", "to_entity_type"]
@@ -189,6 +196,57 @@ def stored_criteria_edges(criteria: DataFrame, entities: DataFrame, data: str =
     return both.select("criteria_id", "relationship_type", "from_entity_id", "to_entity_id")
 
 
+def stored_criteria_counts(criteria: DataFrame, entities: DataFrame, data: str = "data") -> DataFrame:
+    """(to_entity_id, n): how many edges of stored_criteria_edges lead to each entity that has any, without these edges.
+
+    Criteria that read the same and entities that hold the same are folded with their numbers. Ranges are counted at the nodes of the
+    interval index, apart by what else their criteria ask for, so rows follow the different conditions beside a range and not the
+    criteria that an entity meets.
+    """
+    scope = ["tenant_id", "to_entity_type"]
+    named = criteria.where("from_entity_id is not null").groupBy(*scope, "to_integration", "from_entity_id", "criteria").agg(F.count("*").alias("n"))
+    named = Spill(named, "named").df
+    rules = Spill(_rules(named.groupBy(*scope, "to_integration", "criteria").agg(F.sum("n").alias("n"))), "rules").df
+    at = lambda p: F.call_function("get_json_object", F.col(data), F.concat(F.lit("$."), p))
+    ent = entities.select("tenant_id", F.col("entity_type").alias("to_entity_type"), "integration", F.col("entity_id").alias("to_entity_id"), data).where("to_entity_id is not null")
+    kinds = Spill(ent.select(*scope, "integration", data).distinct(), "kinds").df
+    about = ["to_integration", "_c"]
+    of_kind = [*scope, "integration", data]
+    columns = [*of_kind, *about, "n"]
+
+    def along(own: DataFrame) -> DataFrame:
+        return kinds.join(own.select(*scope, "_path").distinct(), scope).withColumn("_value", at(F.col("_path"))).where("_value is not null")
+
+    def met(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        return meet(x, y, keys, data).select(*[f"x.{c}" for c in of_kind], *[f"y.{c}" for c in (*about, "n")])
+
+    values = F.when(F.col("_first.op") == "$in", F.from_json("_first.x", "array<string>")).otherwise(F.array("_first.x"))
+    equal = rules.where("_first is not null").withColumn("_path", F.col("_first.path"))
+    equal = equal.withColumn("_value", F.explode(F.array_distinct(F.transform(values, comparable)))).where("_value is not null")
+    found = met(along(equal).withColumn("_value", comparable(F.col("_value"))), equal, [*scope, "_path", "_value"])
+    ranged = rules.where("_first is null and _range is not null")
+    if not ranged.isEmpty():
+        # A range of the index says all that the conditions it was made of do.
+        ranged = ranged.withColumns({"_path": F.col("_range.path"), "_c": F.filter("_c", lambda c: ~((c["path"] == F.col("_range.path")) & c["op"].isin(list(RANGES))))})
+        ranged = ranged.select(*scope, "_path", *[f"_range.{c}" for c in ("lo", "lo_open", "hi", "hi_open")], *about, "n")
+        numbers = along(ranged).withColumn("x", F.col("_value").try_cast("double")).where("x is not null").drop("_value")
+        sums = Spill(counted(ranged, numbers, [*scope, "_path"], about, "n"), "sums").df
+        found = found.unionByName(met(numbers, sums, [*scope, "_path", "x"]))
+    rest = rules.where("_first is null and _range is null")
+    if not rest.isEmpty():
+        found = found.unionByName(met(kinds, rest, scope))
+    holds = (F.col("to_integration").isNull() | (F.col("to_integration") == F.col("integration"))) & F.forall("_c", lambda c: _holds(at(c["path"]), c))
+    sums = found.where(holds).groupBy(*of_kind).agg(F.sum("n").alias("n"))
+    on = (F.col("e.integration").eqNullSafe(F.col("s.integration"))) & (F.col(f"e.{data}").eqNullSafe(F.col(f"s.{data}")))
+    for c in scope:
+        on = on & (F.col(f"e.{c}") == F.col(f"s.{c}"))
+    every = ent.alias("e").join(sums.alias("s"), on).select(F.col("e.to_entity_id"), "s.n")
+    # An entity's own criteria don't lead to itself.
+    own = ent.withColumn("from_entity_id", F.col("to_entity_id").cast("string")).join(_rules(named), [*scope, "from_entity_id"])
+    every = every.unionByName(own.where(holds).select("to_entity_id", (-F.col("n")).alias("n")))
+    return every.groupBy("to_entity_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 #: How many edges of a type an entity may have on its from and its to side; None: any number.
 CARDINALITY = {"one_to_one": (1, 1), "one_to_many": (None, 1), "many_to_one": (1, None), "many_to_many": (None, None)}
 
