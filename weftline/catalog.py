@@ -15,10 +15,11 @@ from weftline.functions import criteria as crit
 from weftline.functions import normalize as norm
 from weftline.functions import similarity as sim
 from weftline.functions.actions import apply_action
+from weftline.functions.jaro_batches import jaro_scores
 from weftline.functions.paths import record_array
 from weftline.functions.validation import validation_errors
 from weftline.functions.values import BOOL, NUMBER, OBJECT, STRING, Value, array_of
-from weftline.operators import deletion, graph, matching, merging, relations, routing, scheduling, staging
+from weftline.operators import deletion, graph, matching, merging, pairs, relations, routing, scheduling, staging
 from weftline.plans.mapping import apply_mapping, latest_definitions
 from weftline.plans.storage import shared_dir
 from weftline.sources import datasource
@@ -443,10 +444,11 @@ def lev_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(jaro_similarity(a.s_name, b.s_name), 6) AS jaro, round(jaro_winkler_similarity(a.s_name, b.s_name), 6) AS jaro_winkler FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
 def jaro_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    s = t(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    x, y = s.alias("x"), s.alias("y")
-    j = x.join(y, (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey")))
-    return j.select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b"), F.round(sim.jaro(F.col("x.s_name"), F.col("y.s_name")), 6).alias("jaro"), F.round(sim.jaro_winkler(F.col("x.s_name"), F.col("y.s_name")), 6).alias("jaro_winkler"))
+    own = pairs.fold(t(spark, sf, "supplier"), ["s_nationkey", "s_name"], "s_suppkey")
+    # Jaro may change when texts change places, so names meet both ways, as far as some supplier of one comes before one of the other.
+    met = pairs.meet(own, own, ["s_nationkey"], "ids", F.size("ids")).where(F.array_min("x.ids") < F.array_max("y.ids"))
+    scored = jaro_scores(met.select(F.col("x.s_name").alias("p"), F.col("y.s_name").alias("q"), F.col("x.ids").alias("i"), F.col("y.ids").alias("j")), "p", "q", whole=True)
+    return pairs.ordered(scored.select("i", "j", F.round("jaro", 6).alias("jaro"), F.round("jaro_winkler", 6).alias("jaro_winkler")), "i", "j")
 
 
 @query("""SELECT a.o_orderkey AS o_orderkey, greatest(0, 1 - CAST(abs(date_diff('microsecond', TIMESTAMP '1996-01-01', a.o_orderdate)) AS DOUBLE) / CAST(86400000000 AS DOUBLE) / 365) AS date_score, greatest(0, 1 - abs(a.o_totalprice - 150000) / 100000) AS number_score,

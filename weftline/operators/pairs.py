@@ -53,3 +53,11 @@ def expand(found: DataFrame, x: str, y: str, twins: Column) -> DataFrame:
     rest = [c for c in found.columns if c not in (x, y)]
     rows = found.withColumn("_same", twins).select(*rest, "_same", y, F.explode(x).alias("_i")).select(*rest, "_same", "_i", F.explode(y).alias("_j"))
     return rows.where(~F.col("_same") | (F.col("_i") < F.col("_j"))).select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), *rest)
+
+
+def ordered(found: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows of two classes with the ids ``x`` and ``y`` as rows (a, b, other columns...) with a of ``x``, b of ``y`` and a < b: for what depends on which
+    of two records comes first, where each class meets the other both ways."""
+    rest = [c for c in found.columns if c not in (x, y)]
+    rows = found.select(*rest, y, F.explode(x).alias("a")).select(*rest, "a", F.explode(y).alias("b"))
+    return rows.where("a < b").select("a", "b", *rest)
