@@ -48,3 +48,14 @@ def test_folded_pairs_are_all_pairs_of_a_key(spark):
     assert [x[:2] for x in got] == [x[:2] for x in want] and all(x[2] == y[2] or abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want, strict=True))
     once = met.where(F.array_min("x.ids") <= F.array_min("y.ids")).select(F.col("x.ids").alias("i"), F.col("y.ids").alias("j"), (F.array_min("x.ids") == F.array_min("y.ids")).alias("s"))
     assert sorted(tuple(r) for r in P.expand(once, "i", "j", F.col("s")).select("a", "b").collect()) == [x[:2] for x in want]
+
+
+def test_pairs_of_few_bytes_are_dealt_over_tasks(spark, tmp_path):
+    from weftline import catalog
+
+    spark.range(3000).selectExpr("id p_partkey", "concat('part ', id % 9) p_name", "'b' p_brand", "1 p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spread = catalog.QUERIES["lev_similarity"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("similarity").alias("s")).collect()
+    whole = 3000 * 2999 // 2
+    equal = sum(n * (n - 1) // 2 for n in [334] * 3 + [333] * 6)
+    assert sum(r.n for r in spread) == whole and max(r.n for r in spread) < whole * 0.8
+    assert abs(sum(r.s for r in spread) - (equal + (whole - equal) * round(1 - 1 / 6, 6))) < 1

@@ -436,10 +436,11 @@ def match_rules_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(1.0 - levenshtein(a.p_name, b.p_name) / CAST(greatest(len(a.p_name), len(b.p_name)) AS DOUBLE), 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def lev_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    p = t(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    x, y = p.alias("x"), p.alias("y")
-    j = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    return j.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.round(sim.levenshtein_similarity(F.col("x.p_name"), F.col("y.p_name")), 6).alias("similarity"))
+    own = pairs.fold(t(spark, sf, "part"), ["p_brand", "p_size", "p_name"], "p_partkey")
+    first = [F.array_min(f"{s}.ids") for s in ("x", "y")]
+    met = pairs.meet(own, own, ["p_brand", "p_size"], "ids", F.size("ids")).where(first[0] <= first[1])
+    found = met.select(F.round(sim.levenshtein_similarity(F.col("x.p_name"), F.col("y.p_name")), 6).alias("similarity"), F.col("x.ids").alias("i"), F.col("y.ids").alias("j"), (first[0] == first[1]).alias("one"))
+    return pairs.expand(found, "i", "j", F.col("one")).select("a", "b", "similarity")
 
 
 @query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(jaro_similarity(a.s_name, b.s_name), 6) AS jaro, round(jaro_winkler_similarity(a.s_name, b.s_name), 6) AS jaro_winkler FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
