@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions.jaro_batches import jaro_scores, scores
+from weftline.operators import matching as M
 from weftline.operators import pairs as P
 
 
@@ -59,3 +60,32 @@ def test_pairs_of_few_bytes_are_dealt_over_tasks(spark, tmp_path):
     equal = sum(n * (n - 1) // 2 for n in [334] * 3 + [333] * 6)
     assert sum(r.n for r in spread) == whole and max(r.n for r in spread) < whole * 0.8
     assert abs(sum(r.s for r in spread) - (equal + (whole - equal) * round(1 - 1 / 6, 6))) < 1
+
+
+def people(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, "anna", "Anna", "otto", "ottilie"]), rnd.choice(["a@x.y", "b@x.y", None]), rnd.randrange(6)) for i in range(180)]
+    return spark.createDataFrame(rows, "id long, name string, mail string, size int").repartition(3)
+
+
+def test_matched_pairs_equal_scored_candidates(spark):
+    C = M.Condition
+    rules = [
+        M.Rule("mail", (C("mail", weight=2.0, required=True), C("size", "numeric", threshold=6.0), C("name", "fuzzy", threshold=0.4))),
+        M.Rule("sound", (C("name", "phonetic", required=True), C("mail", weight=0.5)), priority=1),
+        M.Rule("veto", (C("size"), C("name", no_merge=True, invert=True))),
+    ]
+    index = M.build_index(people(spark), rules)
+    plain = lambda df: sorted(map(str, df.select("a", "b", "score", "rule", "blocked", "auto_merge").collect()))
+    for own in (None, rules[1:], []):
+        assert plain(M.matched_pairs(index, rules, own)) == plain(M.score_pairs(M.candidates(index, rules if own is None else own), index, rules))
+
+
+def test_candidate_table_of_matched_pairs_groups_nothing(spark):
+    C = M.Condition
+    rules = [M.Rule("mail", (C("mail", required=True), C("size", "numeric", 2.0, threshold=4.0))), M.Rule("name", (C("name", required=True), C("mail")))]
+    pairs = M.matched_pairs(M.build_index(people(spark), rules), rules)
+    once = M.candidate_table(pairs, once=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, M.candidate_table(pairs).collect())) and once.count() > 1000
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Generate")] and "RepartitionByExpression" not in plan[: plan.index("Generate")]

@@ -389,7 +389,7 @@ def match_exact(spark: SparkSession, sf: str) -> DataFrame:
     rule = matching.Rule("brand", (matching.Condition("brand", required=True), matching.Condition("size", required=True), matching.Condition("name", normalizer="lowercase")))
     name_free = matching.Rule("brand", tuple(c for c in rule.conditions if c.required))
     index = matching.build_index(_people(spark, sf), [rule])
-    return matching.score_pairs(matching.candidates(index, [name_free]), index, [rule]).select("a", "b", F.round("score", 6).alias("score"), "auto_merge")
+    return matching.matched_pairs(index, [rule], [name_free], digits=6).select("a", "b", "score", "auto_merge")
 
 
 _SOUNDEX_SQL = """rpad(left(concat(left(w, 1), replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
