@@ -771,8 +771,7 @@ def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
     brand, name = matching.Condition("brand", weight=0.5, required=True), matching.Condition("name", weight=0.5, required=True)
     rule = matching.Rule("r", (brand, name, matching.Condition("size", "numeric", 3.0, threshold=5.0)))
     index = matching.build_index(_people(spark, sf), [rule])
-    table = matching.candidate_table(matching.score_pairs(matching.candidates(index, [rule]), index, [rule]))
-    return table.withColumn("score", F.round("score", 9))
+    return matching.candidate_table(matching.matched_pairs(index, [rule], digits=9), once=True)
 
 
 @query("""WITH b AS (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), a AS (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY 1)
