@@ -68,3 +68,21 @@ def test_graph_tables_are_compacted(spark, tmp_path):
             assert P.compact_graph(spark, path, ["id"], ["ts"]) == n and rows() == before
             assert len(list(tmp_path.glob("changes/v=*"))) == 0 and len(list(tmp_path.glob("base/v=*"))) == 1
     assert before == [("a", "z"), ("b", "new")]
+
+
+def test_edges_without_clocks_are_joined_in_the_jvm(spark, tmp_path):
+    base, rnd = f"file://{tmp_path}", random.Random(2)
+    edges = [("t", rnd.choice("rs"), "o", str(rnd.randrange(8)), "s", "c", rnd.choice([None, *map(str, range(8))]), rnd.choice("su")) for _ in range(40)]
+    entities = [("t", k, str(i), g, f"{k}{i}{g}") for k in "oc" for i in range(7) for g in "su"] + [("t", "c", "3", "s", "second"), ("t", None, "3", "s", "x"), ("t", "c", "4", "s", None)]
+    rnd.shuffle(entities)
+    for e, v in [(edges[:20], entities[:15]), (edges[10:], entities[10:])]:  # a restart between both
+        spark.createDataFrame(e, NATURAL).coalesce(1).write.mode("append").parquet(f"{base}/e")
+        spark.createDataFrame(v, ENTITY).coalesce(1).write.mode("append").parquet(f"{base}/v")
+        both = (file_stream(spark, f"{base}/{d}", s, files_per_trigger=1) for d, s in (("e", NATURAL), ("v", ENTITY)))
+        found = S.resolved_edges(*both, salts=2)
+        assert "TransformWithState" not in found._jdf.queryExecution().analyzed().toString()
+        S.start_table(found, f"{base}/out", f"{base}/cp", True).awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{base}/out").select("edge_id", "from_entity_id", "to_entity_id").collect()]
+    there = spark.createDataFrame(sorted(set(entities), key=str), ENTITY)
+    want = relations.resolve_ends(relations.stage(spark.createDataFrame(edges, NATURAL)), there).where("from_entity_id is not null and to_entity_id is not null")
+    assert sorted(got) == sorted(tuple(r) for r in want.select("id", "from_entity_id", "to_entity_id").collect()) and got
